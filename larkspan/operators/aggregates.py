@@ -56,7 +56,8 @@ def quantiles(
     n_rows = F.sum(weight) if weight else F.count(F.lit(1))
     counted = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(n_rows.cast("bigint").alias("_n"))
     placed = with_position(
-        counted, keys, [F.col(col)], position=None, running={"_to": F.col("_n")}, totals={"_all": F.col("_n")}, blocks=blocks
+        counted, keys, [F.col(col)], position=None, running={"_to": F.col("_n")}, totals={"_all": F.col("_n")}, blocks=blocks,
+        derived=True,
     )
     out, first, last = {}, F.col("_to") - F.col("_n"), F.col("_to") - 1
     for name, q in qs.items():

@@ -131,7 +131,7 @@ def with_order(df: DataFrame, label: str, by: str, group: Sequence[str] = (), ou
 
     keys = [*group, label]
     labels = df.groupBy(*keys).agg(F.sum(by).alias("_by"))
-    ranked = with_position(labels, list(group), [F.col("_by"), F.col(label)], position=out).drop("_by")
+    ranked = with_position(labels, list(group), [F.col("_by"), F.col(label)], position=out, derived=True).drop("_by")
     return attach(df, ranked, keys)
 
 

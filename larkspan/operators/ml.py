@@ -35,7 +35,7 @@ def kfold(
     """Fold 0..k-1, balanced inside quantile strata of ``y``."""
     tiled = with_ntile(df, [F.col(y), *map(F.col, key)], strata, out="_stratum", blocks=blocks)
     hashed = tiled.withColumn("_hash", hash_key(key, seed))
-    placed = with_position(hashed, ["_stratum"], [F.col("_hash"), *map(F.col, key)], "_at", blocks=blocks)
+    placed = with_position(hashed, ["_stratum"], [F.col("_hash"), *map(F.col, key)], "_at", blocks=blocks, derived=True)
     return placed.withColumn(out, ((F.col("_at") - 1) % k).cast("int")).drop("_stratum", "_hash", "_at")
 
 

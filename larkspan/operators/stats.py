@@ -63,7 +63,7 @@ def spearman_by(df: DataFrame, key: Sequence[str], x: str, y: str, p_value: bool
 
 def p_adjust_bh(df: DataFrame, p: str, ties: Sequence[str], keys: Sequence[str] = (), out: str = "p_adj", blocks=None) -> DataFrame:
     """Benjamini-Hochberg adjustment over all tests (or per key); ``ties`` makes the order total."""
-    numbered = with_position(df, keys, [F.col(p), *map(F.col, ties)], "_rank", total="_m", blocks=blocks)
+    numbered = with_position(df, keys, [F.col(p), *map(F.col, ties)], "_rank", total="_m", blocks=blocks, derived=True)
     scaled = numbered.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
-    lowest = with_position(scaled, keys, [-F.col("_rank")], None, running={out: ("min", F.col("_raw"))}, blocks=blocks)
+    lowest = with_position(scaled, keys, [-F.col("_rank")], None, running={out: ("min", F.col("_raw"))}, blocks=blocks, derived=True)
     return lowest.withColumn(out, F.least(F.col(out), F.lit(1.0))).drop("_rank", "_m", "_raw")

@@ -27,13 +27,13 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return df.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n).drop("_at")
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "row_index", blocks=None) -> DataFrame:
-    return with_position(df, keys, order, out, blocks=blocks)
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "row_index", blocks=None, derived=False) -> DataFrame:
+    return with_position(df, keys, order, out, blocks=blocks, derived=derived)
 
 
-def cum_share(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: str, index: str = "row_index", blocks=None) -> DataFrame:
+def cum_share(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: str, index: str = "row_index", blocks=None, derived=False) -> DataFrame:
     """Index, running sum and running share of the group total."""
-    out = with_position(df, keys, order, index, running={"cum_sum": F.col(n)}, totals={"total": F.col(n)}, blocks=blocks)
+    out = with_position(df, keys, order, index, running={"cum_sum": F.col(n)}, totals={"total": F.col(n)}, blocks=blocks, derived=derived)
     return out.withColumn("cum_share", F.try_divide(F.col("cum_sum").cast("double"), F.col("total")))
 
 
@@ -48,9 +48,9 @@ def topk_share(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: s
     return head.filter(F.col("_rows") == k).join(totals, list(keys)).select(*keys, share.alias("cum_share"))
 
 
-def with_ntile(df: DataFrame, order: Sequence[Column], n: int, keys: Sequence[str] = (), out: str = "tile", blocks=None) -> DataFrame:
+def with_ntile(df: DataFrame, order: Sequence[Column], n: int, keys: Sequence[str] = (), out: str = "tile", blocks=None, derived=False) -> DataFrame:
     """Tile 1..n of nearly equal size; the first tiles take the extra rows."""
-    numbered = with_position(df, keys, order, "_pos", total="_rows", blocks=blocks)
+    numbered = with_position(df, keys, order, "_pos", total="_rows", blocks=blocks, derived=derived)
     small = F.floor(F.col("_rows") / F.lit(n))
     extra = F.col("_rows") % n
     at = F.col("_pos") - 1
@@ -67,7 +67,7 @@ def running_counts(
     sums = events.groupBy(*key, t).agg(*[F.sum(c).alias(out) for out, c in flags.items()])
     grid = calendar.join(sums, [*key, t], "left")
     return with_position(
-        grid, key, [F.col(t)], None, running={out: F.coalesce(F.col(out), F.lit(0)) for out in flags}, blocks=blocks
+        grid, key, [F.col(t)], None, running={out: F.coalesce(F.col(out), F.lit(0)) for out in flags}, blocks=blocks, derived=True
     )
 
 
@@ -120,6 +120,6 @@ def avg_rank(df: DataFrame, keys: Sequence[str], col: str, out: str = "rank", bl
     Only the distinct values with their counts are ordered; ranks join back.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
-    placed = with_position(counts, keys, [F.col(col)], None, running={"_to": F.col("_n")}, blocks=blocks)
+    placed = with_position(counts, keys, [F.col(col)], None, running={"_to": F.col("_n")}, blocks=blocks, derived=True)
     ranks = placed.select(*keys, col, (F.col("_to") - (F.col("_n") - 1) / 2).alias(out))
     return attach(df, ranks, [*keys, col])

@@ -15,9 +15,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.session import checkpoint
+
 # Inputs the planner expects to stay under this size are numbered with one window per group.
 SMALL_BYTES = 64 * 1024 * 1024
-DEFAULT_BLOCKS = 256
+MAX_BLOCKS = 512
+ROWS_PER_BLOCK = 1_000_000
 SAMPLES_PER_BLOCK = 16
 
 KEY, BLOCK = "_grp", "_blk"
@@ -33,10 +36,17 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 def block_count(df: DataFrame, blocks: int | None = None) -> int:
+    """1 for input known to be small, else about one block per shuffle partition."""
     if blocks is not None:
         return blocks
     size = estimated_bytes(df)
-    return 1 if size is not None and size <= SMALL_BYTES else DEFAULT_BLOCKS
+    if size is not None and size <= SMALL_BYTES:
+        return 1
+    return max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS))
+
+
+def blocks_of_rows(rows: int) -> int:
+    return max(1, min(-(-rows // ROWS_PER_BLOCK), MAX_BLOCKS))
 
 
 def _tuple(parts: Sequence[Column]) -> Column:
@@ -74,6 +84,7 @@ def with_position(
     running: Mapping[str, Column | tuple[str, Column]] | None = None,
     totals: Mapping[str, Column] | None = None,
     blocks: int | None = None,
+    derived: bool = False,
 ) -> DataFrame:
     """Add the row number in group order, and optionally the group's row count,
     running values (current row included) and group sums.
@@ -81,12 +92,18 @@ def with_position(
     A running value is a column to sum, or ``("min" | "max" | "sum", column)``.
 
     ``order`` holds ascending expressions that make a total order in the group;
-    negate a number for descending order.
+    negate a number for descending order. ``derived`` says that the input is the
+    result of joins or aggregations: unless known to be small it is checkpointed,
+    so that its three uses do not compute it three times, and its counted rows
+    decide how many blocks are needed.
     """
     running = {k: v if isinstance(v, tuple) else ("sum", v) for k, v in (running or {}).items()}
     totals = dict(totals or {})
     order = list(order)
     n = block_count(df, blocks)
+    if n > 1 and derived:
+        df = checkpoint(df)
+        n = blocks if blocks is not None else blocks_of_rows(df.count())
     if n <= 1:
         whole = Window.partitionBy(*keys)
         rows = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

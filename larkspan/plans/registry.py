@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,6 +29,15 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def scratch(self, name: str) -> str:
+        """A new folder under the shared checkpoint folder, for queries that write and read back."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="larkspan-")
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
 @dataclass(frozen=True)
 class Query:
@@ -34,6 +45,7 @@ class Query:
     covers: tuple[str, ...]
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    module: str = ""
 
 
 QUERIES: dict[str, Query] = {}
@@ -45,7 +57,7 @@ def query(name: str, covers: str, sql: str | None = None):
     def add(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = Query(name, tuple(covers.split()), lambda spark, folder: fn(Tables(spark, folder)), sql)
+        QUERIES[name] = Query(name, tuple(covers.split()), lambda spark, folder: fn(Tables(spark, folder)), sql, fn.__module__.rpartition(".")[2])
         return fn
 
     return add

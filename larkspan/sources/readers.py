@@ -21,7 +21,7 @@ def read_many(
 ) -> DataFrame:
     """Headerless files stacked into one table, optionally with the file each row came from."""
     df = spark.read.schema(schema).csv(paths if isinstance(paths, str) else list(paths), header=False)
-    return df.select("*", F.col("_metadata.file_name").alias(provenance)) if provenance else df
+    return df.select("*", F.col("_metadata.file_path").alias(provenance)) if provenance else df
 
 
 def read_json_docs(spark: SparkSession, path: str, schema: str, rows: str | None = None) -> DataFrame:
@@ -38,19 +38,17 @@ def read_json_twice(spark: SparkSession, path: str, schema: str, rows: str | Non
     return df.select(F.inline(f"doc.{rows}")) if rows else df.select("doc.*")
 
 
-def read_latest(df: DataFrame, as_of: date | None = None, file_column: str | None = None) -> DataFrame:
-    """Rows of the newest dated file only; fails when that is not ``as_of``.
-
-    The date comes out of the file path. Works on any file-based DataFrame.
-    """
-    path = F.col(file_column) if file_column else F.col("_metadata.file_path")
-    dated = df.select("*", F.to_date(F.nullif(F.regexp_extract(path, DATED_NAME, 1), F.lit(""))).alias("file_date"))
-    newest = dated.agg(F.max("file_date").alias("newest"))
-    if as_of is not None:
-        found = F.coalesce(F.col("newest").cast("string"), F.lit("none"))
-        newest = newest.select(
-            F.when(F.col("newest") == F.lit(as_of), F.col("newest"))
-            .otherwise(F.raise_error(F.concat(F.lit(f"no data for {as_of}, newest is "), found)).cast("date"))
-            .alias("newest")
-        )
-    return dated.filter(F.col("file_date") == newest.scalar())
+def newest_day(spark: SparkSession, path: str) -> str | None:
+    """Largest date in the file names under a path; only the listing is read, no file content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    day = F.nullif(F.regexp_extract("path", DATED_NAME + "[^/]*(/[^/]*)?$", 1), F.lit(""))
+    return files.agg(F.max(day).alias("d")).first().d
+
+
+def read_latest(spark: SparkSession, path: str, schema: str, as_of: date | str | None = None) -> DataFrame:
+    """JSON of the newest dated file or folder only; fails when that is not ``as_of``."""
+    newest = newest_day(spark, path)
+    if newest is None or (as_of is not None and newest != str(as_of)):
+        raise FileNotFoundError(f"no data for {as_of or 'any day'}, newest is {newest}")
+    df = spark.read.schema(schema).json(f"{path.rstrip('/')}/*{newest}*")
+    return df.withColumn("file_date", F.lit(newest).cast("date"))

@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL in DuckDB: ``check_queries.py [folder] [name part ...]``."""
+"""Compare registered queries with their SQL in DuckDB: ``check_queries.py [folder] [name part ...] [@module]``."""
 
 from __future__ import annotations
 
@@ -61,6 +61,8 @@ def compare(a_cols, a, b_cols, b):
 def main(argv):
     folder = argv[0] if argv else "/root/testdata/sf0.01"
     parts = argv[1:]
+    module = next((p[1:] for p in parts if p.startswith("@")), None)
+    parts = [p for p in parts if not p.startswith("@")]
     spark = local_session("check")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -68,7 +70,7 @@ def main(argv):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     bad = 0
     for name, q in QUERIES.items():
-        if parts and not any(p in name for p in parts):
+        if (parts and not any(p in name for p in parts)) or (module and q.module != module):
             continue
         t0 = time.time()
         try:
