@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -100,7 +101,7 @@ def students_p(t, df) -> np.ndarray:
     return betainc(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def beta_pdf(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """Beta density; infinite where the density is (x at 0 or 1 with a parameter under 1)."""
     x, a, b = (np.asarray(v, float) for v in (x, a, b))
@@ -110,17 +111,17 @@ def beta_pdf(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(dens)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def beta_ppf(q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(betaincinv(np.asarray(a, float), np.asarray(b, float), np.asarray(q, float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided p-value of a standard normal statistic."""
     return pd.Series(_erfc(np.abs(np.asarray(z, float)) / math.sqrt(2))) if len(z) else pd.Series([], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(students_p(t, df))

@@ -110,12 +110,16 @@ def eb_coefficients(
     """Beta-binomial fit with identity link: mean coefficients and dispersion sigma.
 
     Rows are counted per distinct (k, n, covariates) cell. Every Newton step is
-    one distributed aggregation; only the gradient and Hessian sums, whose size
+    one distributed aggregation on standardised covariates; only the gradient and Hessian sums, whose size
     depends on the number of covariates alone, come back.
     """
     covs = list(covs)
+    scale = {c: (0.0, 1.0) for c in covs}
+    if covs:
+        facts = df.agg(*[F.struct(F.avg(c), F.stddev(c)).alias(c) for c in covs]).first()
+        scale = {c: (float(facts[c][0]), float(facts[c][1] or 1.0)) for c in covs}
     cells = (
-        df.select(F.col(k).cast("double").alias("k"), F.col(n).cast("double").alias("n"), *[F.col(c).cast("double").alias(c) for c in covs])
+        df.select(F.col(k).cast("double").alias("k"), F.col(n).cast("double").alias("n"), *[((F.col(c) - scale[c][0]) / scale[c][1]).alias(c) for c in covs])
         .na.drop()
         .filter(F.col("n") > 0)
         .groupBy("k", "n", *covs)
@@ -127,10 +131,10 @@ def eb_coefficients(
         theta = np.concatenate([[min(max(start.mu, 1e-3), 1 - 1e-3)], np.zeros(len(covs)), [np.log(20.0)]])
         value, grad, hess = _evaluate(cells, theta, covs)
         for _ in range(iterations):
-            shift = np.linalg.eigvalsh(hess).max()
-            curved = hess - (shift + 1e-6 * (1 + abs(shift))) * np.eye(len(theta)) if shift >= 0 else hess
-            step = -np.linalg.solve(curved, grad)
-            step[-1] = np.clip(step[-1], -2, 2)
+            # Absolute curvatures make every step go uphill.
+            curve, axes = np.linalg.eigh(hess)
+            step = axes @ ((axes.T @ grad) / np.maximum(np.abs(curve), 1e-8))
+            step *= min(1.0, 2 / max(abs(step[-1]), 1e-12))
             size, moved = 1.0, False
             while size > 1e-4:
                 new = theta + size * step
@@ -143,7 +147,9 @@ def eb_coefficients(
                 size /= 2
             if not moved or gain < tol * (1 + abs(value)):
                 break
-        return theta[:-1], float(np.exp(-theta[-1]))
+        slopes = np.array([b / scale[c][1] for c, b in zip(covs, theta[1:-1])])
+        constant = theta[0] - sum(b * scale[c][0] for c, b in zip(covs, slopes))
+        return np.array([constant, *slopes]), float(np.exp(-theta[-1]))
     finally:
         cells.unpersist()
 

@@ -121,7 +121,7 @@ def bootstrap_replicates(
     cells = df.groupBy(treat, *covs, y).agg(F.count(F.lit(1)).alias("n")).na.drop()
     runs = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > max_cells:
             raise ValueError(f"{len(pdf)} distinct cells; bin the covariates or the outcome first")
         pdf = pdf.sort_values([treat, *covs, y])

@@ -98,17 +98,17 @@ def related(
     def terms(c: str) -> Column:
         return F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: F.lower(t))))
 
+    def weighed(c: str) -> Column:
+        worth = F.lit(float(weights[c])).alias("w")
+        return F.transform(F.col(f"_set.{c}"), lambda t: F.struct(F.lit(c).alias("field"), t.alias("term"), worth))
+
     cols = list(weights)
     signed = df.select(key, newest, F.struct(*[terms(c).alias(c) for c in cols]).alias("_set"))
     sets = signed.select("_set").distinct()
     long = sets.select(
         "_set",
-        F.inline(F.concat(*[
-            F.transform(F.col(f"_set.{c}"), lambda t, c=c: F.struct(F.lit(c).alias("field"), t.alias("term"), F.lit(float(weights[c])).alias("w")))
-            for c in cols
-        ])),
+        F.inline(F.concat(*map(weighed, cols))),
     )
-    own = sum((F.size(F.col(f"_set.{c}")) * F.lit(float(weights[c])) for c in cols), F.lit(0.0))
     other = long.select(F.col("_set").alias("_other"), "field", "term")
     shared = long.join(other, ["field", "term"]).groupBy("_set", "_other").agg(F.sum("w").alias("_w"))
     scored = shared.withColumn("score", F.round(F.col("_w") * 100 / own, 6)).filter(F.col("score") >= threshold)

@@ -115,7 +115,7 @@ def forecast_groups(
     calendar = _holiday_days(df)
     step = spec.freq if spec.freq.startswith("W-") else f"{int(spec.freq[:-1] or 1)}D"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["y"].notna()].sort_values("ds")
         if len(pdf) < 2:
             return pd.DataFrame(columns=[*keys, "ds", "yhat_lower", "yhat_upper", "yhat"])
@@ -142,41 +142,43 @@ def _holiday_days(df: DataFrame, years: tuple[int, int] = (1970, 2100)) -> np.nd
     return np.array([r.ds for r in rows], dtype="datetime64[D]")
 
 
-def _smooth(y: np.ndarray, alpha: float, beta: float, phi: float) -> tuple[np.ndarray, float, float]:
-    level, slope = y[0], (y[1] - y[0]) if beta else 0.0
-    errors = np.empty(len(y) - 1)
-    for i, v in enumerate(y[1:]):
-        ahead = level + phi * slope
-        errors[i] = v - ahead
-        level = ahead + alpha * errors[i]
-        slope = phi * slope + alpha * beta * errors[i]
-    return errors, level, slope
-
-
-# Simple, Holt and damped Holt smoothing with a grid of smoothing weights.
-GRID = np.arange(0.1, 1.0, 0.1)
+# Simple, Holt and damped Holt smoothing over a grid of weights (alpha, beta, phi).
+WEIGHTS = np.arange(0.1, 1.0, 0.1)
 MODELS = {
-    "simple": [(a, 0.0, 1.0) for a in GRID],
-    "holt": [(a, b, 1.0) for a in GRID for b in GRID],
-    "damped": [(a, b, p) for a in GRID for b in GRID for p in (0.8, 0.9, 0.98)],
+    "simple": (3, np.array([(a, 0.0, 1.0) for a in WEIGHTS])),
+    "holt": (5, np.array([(a, b, 1.0) for a in WEIGHTS for b in WEIGHTS])),
+    "damped": (6, np.array([(a, b, p) for a in WEIGHTS for b in WEIGHTS for p in (0.8, 0.9, 0.98)])),
 }
 
 
+def _smooth(y: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared error, last level and last slope for every weight set at once."""
+    alpha, beta, phi = grid.T
+    level = np.full(len(grid), y[0])
+    slope = np.where(beta > 0, y[1] - y[0], 0.0)
+    sse = np.zeros(len(grid))
+    for v in y[1:]:
+        ahead = level + phi * slope
+        error = v - ahead
+        level, slope = ahead + alpha * error, phi * slope + alpha * beta * error
+        sse += error * error
+    return sse, level, slope
+
+
 def ets_forecast(y: np.ndarray, h: int, z: float) -> tuple[str, np.ndarray, np.ndarray]:
     """Best of the models by AICc: (name, mean, half width of the interval)."""
-    best = None
-    for name, grid in MODELS.items():
-        errors, params = min(((_smooth(y, *p), p) for p in grid), key=lambda e: float(np.sum(e[0][0] ** 2)))
-        n, k = len(y) - 1, {"simple": 3, "holt": 5, "damped": 6}[name]
-        if n - k - 1 <= 0 and best is not None:
+    best, n = None, len(y) - 1
+    for name, (k, grid) in MODELS.items():
+        if best is not None and n - k - 1 <= 0:
             continue
-        sse = max(float(np.sum(errors[0] ** 2)), 1e-12)
-        score = n * np.log(sse / n) + 2 * k + (2 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else 1e9)
+        sse, level, slope = _smooth(y, grid)
+        at = int(np.argmin(sse))
+        var = max(float(sse[at]), 1e-12) / n
+        score = n * np.log(var) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1e-9)
         if best is None or score < best[0]:
-            best = (score, name, errors, params, sse / n)
-    _, name, (_, level, slope), (alpha, beta, phi), var = best
-    steps = np.arange(1, h + 1)
-    damp = np.cumsum(phi**steps) if beta else np.zeros(h)
+            best = (score, name, level[at], slope[at], grid[at], var)
+    _, name, level, slope, (alpha, beta, phi), var = best
+    damp = np.cumsum(phi ** np.arange(1, h + 1)) if beta else np.zeros(h)
     # Variance of step j sums the squared effects of the j - 1 shocks before it.
     effect = alpha + alpha * beta * damp
     total = 1 + np.concatenate([[0], np.cumsum(effect**2)[:-1]])
@@ -188,7 +190,7 @@ def ets_groups(df: DataFrame, key: list[str], t: str, y: str, h: int = 10, level
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in key], f"`{t}` int", f"`{y}` double", "lo double", "hi double", "model string"])
 
-    def one(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
         values = pdf[y].to_numpy(float)
         if len(values) < 3:

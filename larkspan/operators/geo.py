@@ -102,7 +102,7 @@ def route_groups(
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in df.columns], "tour_pos bigint"])
 
-    def one(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
         tour = two_opt(pdf[[lat, lng]].to_numpy(float), bool(pdf["_whole"].iloc[0]))
         out = pdf.iloc[tour].copy()

@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.sets import hash_key
@@ -45,7 +45,11 @@ def multi_hot(df: DataFrame, key: Sequence[str], col: str, values: Mapping[str,
     Labels are counted inside each cell, so only one row per input row is shuffled.
     """
     cells = F.split(col, sep)
-    flags = {name: F.size(F.filter(cells, lambda c, v=v: c == v)) for v, name in values.items()}
+
+    def count_of(label: str) -> Column:
+        return F.size(F.filter(cells, lambda c: c == label))
+
+    flags = {name: count_of(label) for label, name in values.items()}
     return df.select(*key, *[c.alias(n) for n, c in flags.items()]).groupBy(*key).agg(*[F.sum(n).alias(n) for n in flags])
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _osa(a: str, b: str) -> int:
@@ -22,7 +23,7 @@ def _osa(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _osa(x, y) for x, y in zip(a, b)], dtype="Int32")
 
@@ -78,11 +79,13 @@ def token_table(df: DataFrame, key: str, weights: Mapping[str, float]) -> DataFr
     """(key, token, field, weight): one row per document, field and distinct word."""
     arrays = {f.name for f in df.schema.fields if f.dataType.typeName() == "array"}
     text = lambda c: F.concat_ws(" ", F.col(c)) if c in arrays else F.coalesce(F.col(c), F.lit(""))
-    parts = [
-        F.transform(tokens(text(c)), lambda t, c=c, w=w: F.struct(t.alias("token"), F.lit(c).alias("field"), F.lit(float(w)).alias("weight")))
-        for c, w in weights.items()
-        if c in df.columns
-    ]
+
+    def words(field: str, weight: float) -> Column:
+        return F.transform(
+            tokens(text(field)), lambda t: F.struct(t.alias("token"), F.lit(field).alias("field"), F.lit(float(weight)).alias("weight"))
+        )
+
+    parts = [words(c, w) for c, w in weights.items() if c in df.columns]
     return df.select(key, F.inline(F.concat(*parts)))
 
 

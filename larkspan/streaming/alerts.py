@@ -61,3 +61,19 @@ def beta_stream(events: DataFrame, key: Sequence[str], success: str, prior_alpha
     counts = events.groupBy(*key).agg(s.alias("successes"), (F.count(F.lit(1)) - s).alias("failures"))
     a, b = F.col("successes") + prior_alpha, F.col("failures") + prior_beta
     return counts.select(*key, "successes", "failures", a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"))
+
+
+def keep_updates(state: DataFrame, sink: str) -> DataStreamWriter:
+    """Append the keys each batch changed, one folder per batch; a repeated batch replaces its own."""
+
+    def emit(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    return state.writeStream.outputMode("update").foreachBatch(emit)
+
+
+def latest_state(updates: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Current value per key from the kept updates: the one of the latest batch."""
+    rest = [c for c in updates.columns if c not in (*key, "epoch")]
+    newest = F.max_by(F.struct(*rest), F.col("epoch"))
+    return updates.groupBy(*key).agg(newest.alias("s")).select(*key, "s.*")
