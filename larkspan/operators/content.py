@@ -94,24 +94,35 @@ def related(
     newer page. Pages with the same terms score alike, so scores are computed
     between distinct term sets, and a set hands on only its ``k + 1`` newest
     pages: nobody's best ``k`` can need more.
+
+    Sets meet on their rarest terms only. A set that shares none of the terms
+    making up the first (100 - threshold) percent of another's weight cannot
+    reach the threshold, so very common terms bring no pairs together.
     """
+    cols = list(weights)
+
     def terms(c: str) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: F.lower(t))))
+        given = F.coalesce(F.col(c), F.array().cast("array<string>"))
+        return F.array_sort(F.array_distinct(F.transform(given, lambda t: F.lower(t))))
 
     def weighed(c: str) -> Column:
         worth = F.lit(float(weights[c])).alias("w")
         return F.transform(F.col(f"_set.{c}"), lambda t: F.struct(F.lit(c).alias("field"), t.alias("term"), worth))
 
-    cols = list(weights)
+    def weight(size) -> Column:
+        return sum((F.lit(float(weights[c])) * size(c) for c in cols), F.lit(0.0))
+
     signed = df.select(key, newest, F.struct(*[terms(c).alias(c) for c in cols]).alias("_set"))
     sets = signed.select("_set").distinct()
-    long = sets.select(
-        "_set",
-        F.inline(F.concat(*map(weighed, cols))),
-    )
-    other = long.select(F.col("_set").alias("_other"), "field", "term")
-    shared = long.join(other, ["field", "term"]).groupBy("_set", "_other").agg(F.sum("w").alias("_w"))
-    scored = shared.withColumn("score", F.round(F.col("_w") * 100 / own, 6)).filter(F.col("score") >= threshold)
+    long = sets.select("_set", F.inline(F.concat(*map(weighed, cols))))
+    counts = long.groupBy("field", "term").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = Window.partitionBy("_set").orderBy("_n", "field", "term").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = long.join(counts, ["field", "term"]).withColumn("_before", F.coalesce(F.sum("w").over(rarest), F.lit(0.0)))
+    own = weight(lambda c: F.size(F.col(f"_set.{c}")))
+    rare = ranked.filter(F.col("_before") <= own * (1 - threshold / 100) + 1e-9).select("_set", "field", "term")
+    met = rare.join(long.select(F.col("_set").alias("_other"), "field", "term"), ["field", "term"]).select("_set", "_other").distinct()
+    shared = weight(lambda c: F.size(F.array_intersect(F.col(f"_set.{c}"), F.col(f"_other.{c}"))))
+    scored = met.withColumn("score", F.round(shared * 100 / own, 6)).filter(F.col("score") >= threshold)
 
     ahead = Window.partitionBy("_set").orderBy(F.desc(newest), key)
     heads = signed.withColumn("_i", F.row_number().over(ahead)).filter(F.col("_i") <= k + 1)
