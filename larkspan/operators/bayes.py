@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larkspan.functions.special import beta_pdf, beta_ppf, digamma, lgamma, trigamma
 from larkspan.operators.aggregates import quantiles
 from larkspan.operators.windows import running_counts
+from larkspan.plans.ordered import spread
 
 
 def beta_update(df: DataFrame, success: str, failure: str, a0: Column, b0: Column) -> DataFrame:
@@ -127,8 +128,14 @@ def eb_coefficients(
         .persist()
     )
     try:
-        start = cells.agg((F.sum(F.col("k") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("mu")).first()
-        theta = np.concatenate([[min(max(start.mu, 1e-3), 1 - 1e-3)], np.zeros(len(covs)), [np.log(20.0)]])
+        n, k, w = F.col("n"), F.col("k"), F.col("w")
+        rate = cells.agg((F.sum(k * w) / F.sum(n * w)).alias("mu")).first().mu
+        rate = min(max(rate, 1e-3), 1 - 1e-3)
+        # The spread beyond binomial gives the first guess of the dispersion.
+        chi = F.sum(w * F.pow(k - n * rate, F.lit(2)) / (n * rate * (1 - rate)))
+        excess = cells.agg(chi.alias("chi"), F.sum(w).alias("rows"), (F.sum(n * w) / F.sum(w)).alias("size")).first()
+        rho = (excess.chi / excess.rows - 1) / max(excess.size - 1, 1e-9)
+        theta = np.concatenate([[rate], np.zeros(len(covs)), [np.clip(-np.log(max(rho, 1e-12)), -5, 14)]])
         value, grad, hess = _evaluate(cells, theta, covs)
         for _ in range(iterations):
             # Absolute curvatures make every step go uphill.
@@ -189,7 +196,7 @@ def posterior_win_prob(df: DataFrame, key: Sequence[str], a: str, b: str, n: int
                 wins.append(float(np.mean(first > second)))
             yield pdf[key].assign(win_prob=wins)
 
-    return df.mapInPandas(run, schema)
+    return spread(df, *key).mapInPandas(run, schema)
 
 
 def versus(posteriors: DataFrame, t: str, entity: str, a: str, b: str) -> DataFrame:
@@ -214,7 +221,8 @@ def posterior_predictive(
                 made = rng.binomial(trials, rng.beta(a, b, n))
                 yield pd.DataFrame({entity: name, "draw": np.arange(n, dtype="int32"), "successes": made, "season_pts": made * points})
 
-    return df.select(entity, F.col("alpha").cast("double"), F.col("beta").cast("double")).mapInPandas(run, schema)
+    given = df.select(entity, F.col("alpha").cast("double"), F.col("beta").cast("double"))
+    return spread(given, entity).mapInPandas(run, schema)
 
 
 def paired_diff(df: DataFrame, entity: str, draw: str, value: str, a, b) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.scalar import clip
 from larkspan.operators.aggregates import quantiles
+from larkspan.plans.ordered import spread
 
 
 def group_means(df: DataFrame, y: str, treat: str, weight: str | None = None) -> DataFrame:
@@ -137,7 +138,7 @@ def bootstrap_replicates(
         means = [np.sum((w * out)[t == v]) / max(np.sum(w[t == v]), 1e-300) for v in (0, 1)]
         return pd.DataFrame({"replicate": [int(key[0])], "effect": [means[1] - means[0]]})
 
-    return runs.groupBy("replicate").applyInPandas(one, "replicate int, effect double")
+    return spread(runs, "replicate").groupBy("replicate").applyInPandas(one, "replicate int, effect double")
 
 
 def bootstrap_effect(df: DataFrame, y: str, treat: str, covs: Sequence[str], n: int = 500, seed: int = 1, q: float = 0.99) -> DataFrame:

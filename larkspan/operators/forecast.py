@@ -6,12 +6,15 @@ its calendar; Spark spreads the groups over the tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.operators.series import SeriesSpec
+from larkspan.plans.ordered import spread
 
 YEAR = 365.25
 Z95 = 1.959963984540054
@@ -132,7 +135,7 @@ def forecast_groups(
             out[name] = value
         return out[[*keys, "ds", "yhat_lower", "yhat_upper", "yhat"]]
 
-    return df.select(*keys, "cap", "floor", "ds", "y").groupBy(*keys).applyInPandas(one, schema)
+    return spread(df.select(*keys, "cap", "floor", "ds", "y"), *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
 def _holiday_days(df: DataFrame, years: tuple[int, int] = (1970, 2100)) -> np.ndarray:
@@ -152,55 +155,76 @@ MODELS = {
 
 
 def _smooth(y: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared error, last level and last slope for every weight set at once."""
+    """Squared error, last level and last slope: one row per series, one column per weight set."""
     alpha, beta, phi = grid.T
-    level = np.full(len(grid), y[0])
-    slope = np.where(beta > 0, y[1] - y[0], 0.0)
-    sse = np.zeros(len(grid))
-    for v in y[1:]:
+    level = np.repeat(y[:, :1], len(grid), axis=1)
+    slope = np.where(beta > 0, (y[:, 1] - y[:, 0])[:, None], 0.0)
+    sse = np.zeros_like(level)
+    for i in range(1, y.shape[1]):
         ahead = level + phi * slope
-        error = v - ahead
+        error = y[:, i : i + 1] - ahead
         level, slope = ahead + alpha * error, phi * slope + alpha * beta * error
         sse += error * error
     return sse, level, slope
 
 
-def ets_forecast(y: np.ndarray, h: int, z: float) -> tuple[str, np.ndarray, np.ndarray]:
-    """Best of the models by AICc: (name, mean, half width of the interval)."""
-    best, n = None, len(y) - 1
+def ets_forecast(y: np.ndarray, h: int, z: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best model by AICc for each row of a matrix of equally long series.
+
+    Returns (model name, mean, half width of the interval).
+    """
+    rows, n = np.arange(len(y)), y.shape[1] - 1
+    best = np.full(len(y), np.inf)
+    names = np.full(len(y), "", dtype=object)
+    mean, half = np.zeros((len(y), h)), np.zeros((len(y), h))
     for name, (k, grid) in MODELS.items():
-        if best is not None and n - k - 1 <= 0:
+        if name != "simple" and n - k - 1 <= 0:
             continue
         sse, level, slope = _smooth(y, grid)
-        at = int(np.argmin(sse))
-        var = max(float(sse[at]), 1e-12) / n
+        at = np.argmin(sse, axis=1)
+        var = np.maximum(sse[rows, at], 1e-12) / n
         score = n * np.log(var) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1e-9)
-        if best is None or score < best[0]:
-            best = (score, name, level[at], slope[at], grid[at], var)
-    _, name, level, slope, (alpha, beta, phi), var = best
-    damp = np.cumsum(phi ** np.arange(1, h + 1)) if beta else np.zeros(h)
-    # Variance of step j sums the squared effects of the j - 1 shocks before it.
-    effect = alpha + alpha * beta * damp
-    total = 1 + np.concatenate([[0], np.cumsum(effect**2)[:-1]])
-    return name, level + slope * damp, z * np.sqrt(var * total)
-
-
-def ets_groups(df: DataFrame, key: list[str], t: str, y: str, h: int = 10, level_z: float = Z80) -> DataFrame:
-    """Exponential-smoothing forecast of a yearly series per key, lower bound clipped at zero."""
+        alpha, beta, phi = (c[:, None] for c in grid[at].T)
+        damp = np.where(beta > 0, np.cumsum(phi ** np.arange(1, h + 1), axis=1), 0.0)
+        # Variance of step j sums the squared effects of the j - 1 shocks before it.
+        effect = np.cumsum((alpha + alpha * beta * damp) ** 2, axis=1)
+        total = 1 + np.concatenate([np.zeros((len(y), 1)), effect[:, :-1]], axis=1)
+        win = score < best
+        best[win], names[win] = score[win], name
+        mean[win] = (level[rows, at][:, None] + slope[rows, at][:, None] * damp)[win]
+        half[win] = (z * np.sqrt(var[:, None] * total))[win]
+    return names, mean, half
+
+
+def ets_groups(df: DataFrame, key: Sequence[str], t: str, y: str, h: int = 10, level_z: float = Z80) -> DataFrame:
+    """Exponential-smoothing forecast of a yearly series per key, lower bound clipped at zero.
+
+    A series is one array (one value per year), and a batch of equally long
+    series is smoothed as one matrix. Series of one or two values repeat their
+    first value.
+    """
+    key = list(key)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in key], f"`{t}` int", f"`{y}` double", "lo double", "hi double", "model string"])
-
-    def one(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        values = pdf[y].to_numpy(float)
-        if len(values) < 3:
-            values = np.concatenate([np.repeat(values[:1], 3 - len(values)), values])
-        name, mean, half = ets_forecast(values, h, level_z)
-        last = int(pdf[t].iloc[-1])
-        out = pd.DataFrame({t: np.arange(last + 1, last + h + 1, dtype="int32"), y: mean, "lo": np.maximum(mean - half, 0), "hi": mean + half})
-        out["model"] = name
-        for k, v in zip(key, group):
-            out[k] = v
-        return out[[*key, t, y, "lo", "hi", "model"]]
-
-    return df.select(*key, t, F.col(y).cast("double").alias(y)).groupBy(*key).applyInPandas(one, schema)
+    point = F.struct(F.col(t).cast("int").alias("t"), F.col(y).cast("double").alias("y"))
+    series = df.groupBy(*key).agg(F.array_sort(F.collect_list(point)).alias("p"))
+    series = series.select(*key, F.array_max("p.t").alias("_last"), F.col("p.y").alias("_ys"))
+    ahead = "array<struct<step:int,y:double,lo:double,hi:double>>"
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in key], "_last int", "model string", f"_ahead {ahead}"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lengths = pdf["_ys"].map(len)
+            for length in sorted(lengths.unique()):
+                part = pdf[lengths == length]
+                values = np.array(part["_ys"].tolist(), dtype=float)
+                if length < 3:
+                    values = np.concatenate([np.repeat(values[:, :1], 3 - length, axis=1), values], axis=1)
+                names, mean, half = ets_forecast(values, h, level_z)
+                low, high = np.maximum(mean - half, 0), mean + half
+                steps = [
+                    [{"step": j + 1, "y": m[j], "lo": a[j], "hi": b[j]} for j in range(h)] for m, a, b in zip(mean, low, high)
+                ]
+                yield part[[*key, "_last"]].assign(model=names, _ahead=steps)
+
+    out = spread(series, *key).mapInPandas(run, schema).select(*key, "_last", "model", F.inline("_ahead"))
+    return out.select(*key, (F.col("_last") + F.col("step")).alias(t), F.col("y").alias(y), "lo", "hi", "model")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.scalar import earth_feet
 from larkspan.functions.text import FEET_PER_MILE, to_feet
-from larkspan.plans.ordered import attach, with_neighbour, with_position
+from larkspan.plans.ordered import attach, spread, with_neighbour, with_position
 
 
 def distance(metric: str, lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -109,7 +109,7 @@ def route_groups(
         out["tour_pos"] = int(pdf["_at"].iloc[0]) + np.arange(len(out))
         return out.drop(columns=["_at", "_n", "_piece", "_whole"])
 
-    return pieces.groupBy(*group, "_piece").applyInPandas(one, schema)
+    return spread(pieces, *group, "_piece").groupBy(*group, "_piece").applyInPandas(one, schema)
 
 
 def rotate(df: DataFrame, group: Sequence[str], position: str, depot: str, out: str = "route_order") -> DataFrame:

@@ -177,3 +177,14 @@ def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "lef
         F.struct(*[F.col(k) for k in keys]).alias(KEY), *[c for c in facts.columns if c not in keys]
     )
     return df.withColumn(KEY, F.struct(*[F.col(k) for k in keys])).join(marked, KEY, how).drop(KEY)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Fixed number of hash partitions ahead of Python model fits.
+
+    Their cost is the fits, not the bytes, so merging small partitions by size
+    would leave the work to a few tasks. Grouping by the same keys needs no
+    further exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
