@@ -83,8 +83,11 @@ def over_index(
 
     (n / group total) / (entity total / grand total), for pairs reaching both
     minimum counts. All totals come from the counted pairs, not from the rows.
+    Rows without an entity or group are left out first, so that every branch
+    reads the same counted pairs and Spark exchanges them once.
     """
-    counts = df.groupBy(entity, group).agg(F.sum(n).alias("n"))
+    known = df.filter(F.col(entity).isNotNull() & F.col(group).isNotNull())
+    counts = known.groupBy(entity, group).agg(F.sum(n).alias("n"))
     by_entity = counts.groupBy(entity).agg(F.sum("n").alias("entity_total")).filter(F.col("entity_total") >= min_overall)
     by_group = counts.groupBy(group).agg(F.sum("n").alias("group_total"))
     total = counts.agg(F.sum("n")).scalar()

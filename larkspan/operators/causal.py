@@ -52,12 +52,16 @@ def glm_effect(df: DataFrame, y: str, treat: str, weight: str | None = None) ->
 
 
 def propensity_model(df: DataFrame, treat: str, covs: Sequence[str]) -> PipelineModel:
-    """Logistic regression of the treatment on the covariates, fitted on counted cells."""
-    cells = df.groupBy(treat, *covs).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    cells = cells.na.drop().withColumn(treat, F.col(treat).cast("double"))
+    """Logistic regression of the treatment on the covariates.
+
+    Rows are counted per distinct covariate cell: the label is the treated
+    share and the weight the number of rows, which gives the fit on the rows.
+    """
+    share = [F.avg(F.col(treat).cast("double")).alias("_share"), F.count(treat).cast("double").alias("_n")]
+    cells = df.na.drop(subset=[treat, *covs]).groupBy(*covs).agg(*share)
     assembler = VectorAssembler(inputCols=list(covs), outputCol="_x", handleInvalid="skip")
     glr = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol=treat, featuresCol="_x", weightCol="_n", predictionCol="propensity", maxIter=50, tol=1e-10
+        family="binomial", link="logit", labelCol="_share", featuresCol="_x", weightCol="_n", predictionCol="propensity", maxIter=50, tol=1e-10
     )
     return PipelineModel([assembler, glr.fit(assembler.transform(cells))])
 

@@ -59,12 +59,14 @@ def with_total(df: DataFrame, col: str, out: str = "total") -> DataFrame:
     return df.withColumn(out, df.agg(F.sum(col)).scalar())
 
 
-def expand_grid(a: DataFrame, b: DataFrame, buckets: int = 8) -> DataFrame:
+def expand_grid(a: DataFrame, b: DataFrame, buckets: int | None = None) -> DataFrame:
     """Every combination of two key tables, as an equi-join on a bucket number.
 
-    Rows of ``b`` go to one bucket each and rows of ``a`` to all of them, so the
-    pairs spread over the tasks whatever the sizes are.
+    Rows of ``b`` go to one bucket each and rows of ``a`` (the shorter table) to
+    all of them, so the pairs spread over the tasks whatever the sizes are.
     """
+    if buckets is None:
+        buckets = min(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512)
     cols = [*a.columns, *b.columns]
     left = a.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     right = b.withColumn("_bucket", F.pmod(F.xxhash64(*b.columns), F.lit(buckets)).cast("int"))

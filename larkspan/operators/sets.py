@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.plans.ordered import with_position
+
 
 def sort(df: DataFrame, *cols: Column | str) -> DataFrame:
     return df.orderBy(*cols)
@@ -25,9 +27,19 @@ def argmin(df: DataFrame, by: str, ties: Sequence[str] = ()) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, n: int) -> DataFrame:
+    """Rows ``offset + 1`` to ``offset + n``; every task keeps only its first ``offset + n``."""
     return df.orderBy(*order).offset(offset).limit(n)
 
 
+def deep_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, blocks: int | None = None) -> DataFrame:
+    """The same far down a long listing: rows are numbered block-wise and cut by number.
+
+    ``order`` holds ascending expressions (negate a number for descending order).
+    """
+    numbered = with_position(df, [], order, "_at", blocks=blocks)
+    return numbered.filter((F.col("_at") > offset) & (F.col("_at") <= offset + n)).drop("_at")
+
+
 def hash_key(key: Sequence[str], seed: int) -> Column:
     """Pseudo-random text that depends on key and seed only, not on partitioning."""
     return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))

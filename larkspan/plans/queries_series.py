@@ -92,7 +92,9 @@ def _(t):
     "pad_snapped",
     "K3",
     DAILY
-    + """SELECT o_orderpriority, day + ((12 - isodow(day)) % 7)::INT AS day, round(sum(sales), 4) AS sales FROM daily GROUP BY ALL""",
+    + """, snapped AS (SELECT o_orderpriority, day + ((12 - isodow(day)) % 7)::INT AS day, sum(sales) AS sales FROM daily GROUP BY ALL),
+        weeks AS (SELECT o_orderpriority, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 7 DAY))::DATE AS day FROM snapped GROUP BY o_orderpriority)
+        SELECT o_orderpriority, day, round(sales, 4) AS sales FROM weeks LEFT JOIN snapped USING (o_orderpriority, day)""",
 )
 def _(t):
     return K.pad(daily_sales(t), DAILY_SPEC, off_grid="snap").withColumn("sales", F.round("sales", 4))

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def write_daily_json(df: DataFrame, path: str, day: str | Column, column: str = "date") -> None:
-    """One folder per day; only the days present in ``df`` are replaced."""
+    """One folder per day; only the days present in ``df`` are replaced.
+
+    Rows are gathered by day first, which keeps the files few; a large day is
+    split over several.
+    """
     value = day if isinstance(day, Column) else F.lit(day).cast("date")
     (
         df.withColumn(column, value)
+        .hint("rebalance", F.col(column))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(column)
@@ -27,7 +32,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_partitioned(df: DataFrame, path: str, cols: Sequence[str], fmt: str = "parquet") -> None:
     """Partitioned files; a rerun replaces the partitions it writes and no others."""
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *map(F.col, cols))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*cols)
         .format(fmt)
