@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkspan.functions.scalar import ratio
-from larkspan.plans.ordered import attach, with_position
+from larkspan.plans.ordered import attach, block_count, with_position
 
 
 def summarise(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
@@ -49,10 +49,17 @@ def quantiles(
 
     Equal values are counted first; the running count over the distinct values
     tells which ones hold the two ranks a quantile needs. ``weight`` names a
-    column of repeat counts. ``approx`` uses the built-in sketch instead.
+    column of repeat counts. ``approx`` uses the built-in sketch instead. Input
+    known to be small goes to the built-in exact percentile, which holds a
+    group's distinct values in one task.
     """
     if approx:
         return df.groupBy(*keys).agg(*[F.percentile_approx(col, q, accuracy).alias(k) for k, q in qs.items()])
+    if block_count(df, blocks) <= 1:
+        levels = F.array(*[F.lit(float(q)) for q in qs.values()])
+        found = F.percentile(F.col(col).cast("double"), levels, F.col(weight) if weight else 1)
+        some = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(found.alias("_q"))
+        return some.select(*keys, *[F.col("_q")[i].alias(k) for i, k in enumerate(qs)])
     n_rows = F.sum(weight) if weight else F.count(F.lit(1))
     counted = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(n_rows.cast("bigint").alias("_n"))
     placed = with_position(

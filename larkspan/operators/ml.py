@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspan.operators.sets import hash_key
 from larkspan.operators.windows import with_ntile
-from larkspan.plans.ordered import with_position
+from larkspan.plans.ordered import spread, with_position
 
 
 class Predictor(Protocol):
@@ -91,9 +91,17 @@ def _regressor(y: str, trees: int, mtry: int | None, rate: float, depth: int, se
 def fit_gbt(
     df: DataFrame, x: Sequence[str], y: str, trees: int = 100, mtry: int | None = None, rate: float = 0.01, depth: int = 6, seed: int = 1
 ) -> PipelineModel:
-    """Boosted regression trees as a pipeline that assembles its own features."""
+    """Boosted regression trees as a pipeline that assembles its own features.
+
+    Training passes over the rows once per tree level, so the few columns it
+    needs are spread evenly over the tasks and kept first.
+    """
     assembler = VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip")
-    return Pipeline(stages=[assembler, _regressor(y, trees, mtry, rate, depth, seed)]).fit(df)
+    data = spread(df.select(*x, y)).persist()
+    try:
+        return Pipeline(stages=[assembler, _regressor(y, trees, mtry, rate, depth, seed)]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def tune(
@@ -105,7 +113,7 @@ def tune(
     One fit per fold and mtry grows the longest model; shorter ones are its
     first trees, so their errors are read off stage by stage.
     """
-    data = VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip").transform(df).select("_x", y, fold).persist()
+    data = VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip").transform(spread(df.select(*x, y, fold))).select("_x", y, fold).persist()
     longest = max(trees)
 
     def run(job: tuple[int, int]) -> list[tuple[int, int, int, float]]:

@@ -33,7 +33,7 @@ z AS (SELECT l_partkey, n, s, var_s, CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE (s -
 """
 
 
-@query("mann_kendall", "L4", YEARLY + "SELECT l_partkey, n, s, round(var_s, 6) AS var_s, round(z, 6) AS z FROM z")
+@query("mann_kendall", "L4 Q5", YEARLY + "SELECT l_partkey, n, s, round(var_s, 6) AS var_s, round(z, 6) AS z FROM z")
 def _(t):
     out = S.mann_kendall(yearly_lines(t), ["l_partkey"], "year", "n", p_value=False)
     return out.select("l_partkey", F.col("n").cast("bigint").alias("n"), "s", F.round("var_s", 6).alias("var_s"), F.round("z", 6).alias("z"))

@@ -194,7 +194,7 @@ PREPARED = """, kept AS (
 
 @query(
     "prepare_series",
-    "K10 K1 K2 K3 K4 K5 K7 K8",
+    "K10 K1 K2 K3 K4 K5 K7 K8 Q6",
     WEEKLY
     + PREPARED
     + """SELECT n_name, c_mktsegment, day, round(ln(1 + sales), 9) AS sales_log1p, round(ln(1 + floor_value), 9) AS floor_value_log1p,

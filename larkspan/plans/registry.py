@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.session import configure
+from larkspan.session import configure, shared_folder
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -31,12 +30,7 @@ class Tables:
 
     def scratch(self, name: str) -> str:
         """A new folder under the shared checkpoint folder, for queries that write and read back."""
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not self.spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="larkspan-")
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @dataclass(frozen=True)

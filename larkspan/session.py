@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime-settable, so they also apply to a session somebody else built.
 RUNTIME_CONF = {
@@ -36,12 +38,19 @@ def local_session(app: str, cores: int | str = 8, partitions: int = 8, memory: s
     return configure(spark)
 
 
-def checkpoint(df):
-    """Cut lineage through the shared folder the session names in ``spark.checkpoint.dir``."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only on a single machine without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="larkspan-")
+    return folder.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from check_queries import compare
+from conftest import plan_of
 
 from larkspan.plans import ordered
 from larkspan.plans.catalog import QUERIES
@@ -26,9 +27,15 @@ def con(sf):
     return c
 
 
+def no_cross_join(df):
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
 def check(spark, sf, con, name):
     q = QUERIES[name]
     df = q.run(spark, sf)
+    no_cross_join(df)
     cur = con.execute(q.sql)
     message = compare(df.columns, [tuple(r) for r in df.collect()], [d[0] for d in cur.description], cur.fetchall())
     assert message is None, message
@@ -48,7 +55,9 @@ def test_matches_sql_in_blocks(spark, sf, con, name, monkeypatch):
 
 @pytest.mark.parametrize("name", WITHOUT_SQL)
 def test_gives_rows(spark, sf, name):
-    df = QUERIES[name].run(spark, sf)
+    # The smallest tables leave every weekly series with long gaps, which the streak filter drops.
+    df = QUERIES[name].run(spark, sf.replace("sf0.001", "sf0.01") if name.startswith("forecast_") else sf)
+    no_cross_join(df)
     assert len(set(df.columns)) == len(df.columns)
     assert len(df.take(1)) == 1
 
