@@ -142,18 +142,17 @@ def lump(df: DataFrame, col: str, n: int, other: str, out: str | None = None) ->
     return joined.withColumn(out or col, value).drop("_top")
 
 
-def digest(
-    lines: DataFrame, days: DataFrame, key: Sequence[str], order: str, text: str, empty: str, out: str = "message"
-) -> DataFrame:
-    """One message per day: formatted lines in order, or a fallback text.
+def digest(df: DataFrame, key: Sequence[str], order: str, text: str, empty: str, out: str = "message") -> DataFrame:
+    """One message per key: its lines in order, or a fallback where every line is NULL.
 
-    ``lines`` must hold at most one line per day and ``order`` value (an hour),
-    which bounds a message.
+    A key must hold at most one row per ``order`` value (an hour), which bounds
+    a message.
     """
-    rows = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_lines"))
+    line = F.when(F.col(text).isNotNull(), F.struct(order, text))
+    lists = df.groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("_lines"))
     joined = F.array_join(F.transform("_lines", lambda r: r[text]), "<br/>")
-    body = F.coalesce(joined, F.lit(empty))
-    return days.join(rows, list(key), "left").select(*days.columns, F.concat(F.lit("<p>"), body, F.lit("</p>")).alias(out))
+    body = F.when(F.size("_lines") > 0, joined).otherwise(F.lit(empty))
+    return lists.select(*key, F.concat(F.lit("<p>"), body, F.lit("</p>")).alias(out))
 
 
 def mean_param(df: DataFrame, col: str, out: str = "mean") -> DataFrame:

@@ -51,13 +51,15 @@ def glm_effect(df: DataFrame, y: str, treat: str, weight: str | None = None) ->
     )
 
 
-def propensity_model(df: DataFrame, treat: str, covs: Sequence[str]) -> PipelineModel:
+def propensity_model(df: DataFrame, treat: str, covs: Sequence[str], rows: str | None = None) -> PipelineModel:
     """Logistic regression of the treatment on the covariates.
 
     Rows are counted per distinct covariate cell: the label is the treated
     share and the weight the number of rows, which gives the fit on the rows.
+    ``rows`` names a column of repeat counts.
     """
-    share = [F.avg(F.col(treat).cast("double")).alias("_share"), F.count(treat).cast("double").alias("_n")]
+    n = F.col(rows).cast("double") if rows else F.lit(1.0)
+    share = [(F.sum(F.col(treat) * n) / F.sum(n)).alias("_share"), F.sum(n).alias("_n")]
     cells = df.na.drop(subset=[treat, *covs]).groupBy(*covs).agg(*share)
     assembler = VectorAssembler(inputCols=list(covs), outputCol="_x", handleInvalid="skip")
     glr = GeneralizedLinearRegression(
@@ -66,9 +68,9 @@ def propensity_model(df: DataFrame, treat: str, covs: Sequence[str]) -> Pipeline
     return PipelineModel([assembler, glr.fit(assembler.transform(cells))])
 
 
-def propensity(df: DataFrame, treat: str, covs: Sequence[str]) -> DataFrame:
+def propensity(df: DataFrame, treat: str, covs: Sequence[str], rows: str | None = None) -> DataFrame:
     """Treatment probability per row."""
-    return propensity_model(df, treat, covs).transform(df).drop("_x")
+    return propensity_model(df, treat, covs, rows).transform(df).drop("_x")
 
 
 def iptw(p: Column, treat: Column) -> Column:
@@ -76,16 +78,22 @@ def iptw(p: Column, treat: Column) -> Column:
     return 1 / F.when(treat == 0, 1 - p).otherwise(p)
 
 
-def trim_weights(df: DataFrame, w: str, q: float = 0.99) -> DataFrame:
-    """Weights above their own quantile are set to it."""
-    limit = quantiles(df.select(w), [], w, {"limit": q}).scalar()
+def trim_weights(df: DataFrame, w: str, q: float = 0.99, rows: str | None = None) -> DataFrame:
+    """Weights above their own quantile are set to it; ``rows`` names a column of repeat counts."""
+    limit = quantiles(df, [], w, {"limit": q}, weight=rows).scalar()
     return df.withColumn(w, clip(F.col(w), high=limit))
 
 
 def weighted_effect(df: DataFrame, y: str, treat: str, covs: Sequence[str], q: float = 0.99) -> DataFrame:
-    """Propensity, weights, truncation and effect in one go."""
-    scored = propensity(df, treat, covs).withColumn("iptw", iptw(F.col("propensity"), F.col(treat)))
-    return glm_effect(trim_weights(scored, "iptw", q), y, treat, "iptw")
+    """Propensity, weights, truncation and effect in one go.
+
+    Rows with the same treatment, covariates and outcome weigh the same, so the
+    steps run on counted cells and the rows are read once for them.
+    """
+    cells = df.groupBy(treat, *covs, y).agg(F.count(F.lit(1)).alias("_rows"))
+    scored = propensity(cells, treat, covs, "_rows").withColumn("iptw", iptw(F.col("propensity"), F.col(treat)))
+    trimmed = trim_weights(scored, "iptw", q, "_rows").withColumn("_w", F.col("iptw") * F.col("_rows"))
+    return glm_effect(trimmed, y, treat, "_w")
 
 
 def _logistic(x: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ def top_n(df: DataFrame, keys: Sequence[str], n: int, by: str, ties: bool = True
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows per group; above the group limit's threshold (1000) filter ``row_index`` instead."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n).drop("_at")
 
@@ -71,16 +72,18 @@ def running_counts(
     )
 
 
-def missing_streak(df: DataFrame, keys: Sequence[str], t: str, y: str, out: str = "streak") -> DataFrame:
+def missing_streak(df: DataFrame, keys: Sequence[str], t: str, y: str, out: str = "streak", blocks: int | None = 1) -> DataFrame:
     """Length of the run of NULLs ending at each row (0 where observed).
 
-    One row per key and date, so a group is no longer than its calendar.
+    The default suits series (one row per key and date, so a group is no longer
+    than its calendar). ``blocks`` above 1, or None to decide by size, splits
+    groups of any length.
     """
-    w = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    missing = F.sum(F.col(y).isNull().cast("int")).over(w)
-    counted = df.withColumn("_missing", missing)
-    base = F.coalesce(F.last(F.when(F.col(y).isNotNull(), F.col("_missing")), ignorenulls=True).over(w), F.lit(0))
-    return counted.withColumn(out, F.col("_missing") - base).drop("_missing")
+    counted = with_position(df, keys, [F.col(t)], None, running={"_missing": F.col(y).isNull().cast("int")}, blocks=blocks)
+    # The running count only grows, so its value at the last observed row is its largest there.
+    seen = {"_base": ("max", F.when(F.col(y).isNotNull(), F.col("_missing")))}
+    based = with_position(counted, keys, [F.col(t)], None, running=seen, blocks=blocks)
+    return based.withColumn(out, F.col("_missing") - F.coalesce("_base", F.lit(0))).drop("_missing", "_base")
 
 
 def lead_cols(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Mapping[str, str], blocks=None) -> DataFrame:
@@ -93,20 +96,19 @@ def group_mean(df: DataFrame, keys: Sequence[str], col: str, out: str = "group_m
     return attach(df, df.groupBy(*keys).agg(F.avg(col).alias(out)), keys)
 
 
-def interpolate(df: DataFrame, keys: Sequence[str], t: str, y: str, out: str, both: bool = False) -> DataFrame:
+def interpolate(
+    df: DataFrame, keys: Sequence[str], t: str, y: str, out: str, both: bool = False, blocks: int | None = 1
+) -> DataFrame:
     """Linear by row position between observed neighbours, inside each group.
 
     Trailing gaps take the last value; leading gaps stay NULL unless ``both``,
-    which carries the first value back. One row per key and date.
+    which carries the first value back. ``blocks`` as in ``missing_streak``.
     """
-    ordered = Window.partitionBy(*keys).orderBy(t)
-    back = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    numbered = df.withColumn("_i", F.row_number().over(ordered))
+    numbered = with_position(df, keys, [F.col(t)], "_i", blocks=blocks)
     seen = F.when(F.col(y).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(y).cast("double").alias("v")))
-    sides = numbered.withColumns(
-        {"_a": F.last(seen, ignorenulls=True).over(back), "_b": F.first(seen, ignorenulls=True).over(ahead)}
-    )
+    # Positions order the observations: the latest so far is the largest, the next one the smallest to come.
+    back = with_position(numbered, keys, [F.col("_i")], None, running={"_a": ("max", seen)}, blocks=blocks)
+    sides = with_position(back, keys, [-F.col("_i")], None, running={"_b": ("min", seen)}, blocks=blocks)
     a, b = F.col("_a"), F.col("_b")
     between = a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["i"]) / F.nullif(b["i"] - a["i"], F.lit(0))
     ends = F.coalesce(a["v"], b["v"]) if both else a["v"]

@@ -160,7 +160,7 @@ def _(t):
 )
 def _(t):
     pages = t.pages.select("page_id", "html")
-    return extract_pages(pages, "html", lambda df: extract_records(df, "html", LINK_ROW, LINK_FIELDS), "page_id")[1]
+    return extract_pages(pages, "html", LINK_ROW, LINK_FIELDS, "page_id")[1]
 
 
 def school_pages(t):

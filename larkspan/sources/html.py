@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,30 +23,43 @@ def html_tag_bodies(df: DataFrame, html: str, tag: str, out: str = "body", posit
     return df.select(*keep, F.posexplode(tag_bodies(F.col(html), tag)).alias(position, out))
 
 
-def extract_records(
-    df: DataFrame, html: str, row_pattern: str, fields: Mapping[str, str]
-) -> tuple[DataFrame, DataFrame]:
-    """Split a page into records and take one field per pattern.
+def parse_records(df: DataFrame, html: str, row_pattern: str, fields: Mapping[str, str]) -> DataFrame:
+    """Split pages into records and take one field per pattern, in one pass.
 
-    Returns (records, rejects): a record missing any field goes to rejects with
-    the names of the fields that were not found.
+    ``missing`` lists the fields that were not found; a page without records
+    keeps one row without a record number.
     """
     keep = [c for c in df.columns if c != html]
-    rows = df.select(
-        *keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(row_pattern), F.lit(0))).alias("record_no", "record")
-    )
-    found = {name: F.col("record").rlike(p) for name, p in fields.items()}
-    everything = None
-    for hit in found.values():
-        everything = hit if everything is None else everything & hit
-    good = rows.filter(everything).select(
-        *keep, "record_no", *[F.regexp_extract("record", p, 1).alias(name) for name, p in fields.items()]
-    )
-    missed = F.array_compact(F.array(*[F.when(~hit, F.lit(name)) for name, hit in found.items()]))
-    bad = rows.filter(~everything).select(*keep, "record_no", "record", missed.alias("missing"))
+    found = F.regexp_extract_all(F.col(html), F.lit(row_pattern), F.lit(0))
+    rows = df.select(*keep, F.posexplode_outer(found).alias("record_no", "record"))
+    missed = F.array_compact(F.array(*[F.when(~F.col("record").rlike(p), F.lit(name)) for name, p in fields.items()]))
+    return rows.select("*", *[F.regexp_extract("record", p, 1).alias(name) for name, p in fields.items()], missed.alias("missing"))
+
+
+def extract_records(df: DataFrame, html: str, row_pattern: str, fields: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects): a record missing any field goes to rejects with the names of those fields."""
+    keep = [c for c in df.columns if c != html]
+    parsed = parse_records(df, html, row_pattern, fields).filter(F.col("record_no").isNotNull())
+    good = parsed.filter(F.size("missing") == 0).select(*keep, "record_no", *fields)
+    bad = parsed.filter(F.size("missing") > 0).select(*keep, "record_no", "record", "missing")
     return good, bad
 
 
+def extract_pages(
+    df: DataFrame, html: str, row_pattern: str, fields: Mapping[str, str], key: str
+) -> tuple[DataFrame, DataFrame]:
+    """Extract from every page; a page giving no record is reported and the rest continue.
+
+    Returns (records, report), the report with the records and rejects per page.
+    """
+    parsed = parse_records(df, html, row_pattern, fields)
+    there = F.col("record_no").isNotNull()
+    report = parsed.groupBy(key).agg(
+        F.count_if(there & (F.size("missing") == 0)).alias("records"), F.count_if(there & (F.size("missing") > 0)).alias("rejects")
+    )
+    return extract_records(df, html, row_pattern, fields)[0], report.withColumn("failed", F.col("records") == 0)
+
+
 def html_tables(
     df: DataFrame, html: str, require_col: str | None = None, nth: int | None = None
 ) -> DataFrame:
@@ -75,20 +88,3 @@ def html_tables(
         F.coalesce(F.get("_heads", F.col("_col")), F.lit("")).alias("header"),
         F.trim(F.regexp_replace("_td", "<[^>]*>", "")).alias("value"),
     )
-
-
-def extract_pages(
-    df: DataFrame, html: str, record: Callable[[DataFrame], tuple[DataFrame, DataFrame]], key: str
-) -> tuple[DataFrame, DataFrame]:
-    """Apply an extractor to every page; pages giving no record are reported, the rest continue.
-
-    Returns (records, page_report) where the report counts records and rejects per page.
-    """
-    good, bad = record(df)
-    counts = (
-        df.select(key, F.lit(0).alias("records"), F.lit(0).alias("rejects"))
-        .unionByName(good.select(key, F.lit(1).alias("records"), F.lit(0).alias("rejects")))
-        .unionByName(bad.select(key, F.lit(0).alias("records"), F.lit(1).alias("rejects")))
-    )
-    report = counts.groupBy(key).agg(F.sum("records").alias("records"), F.sum("rejects").alias("rejects"))
-    return good, report.withColumn("failed", F.col("records") == 0)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from larkspan.functions.text import fmt_line
 from larkspan.operators.aggregates import digest
-from larkspan.operators.filters import RUNNING, Rules, match_rules
+from larkspan.operators.filters import RUNNING, Rules
 from larkspan.sources.writers import write_partitioned
 
 # Fixed value: the message when no hour passes.
@@ -38,8 +38,9 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
 
 def daily_message(hours: DataFrame, key: Sequence[str], rules: Rules = RUNNING) -> DataFrame:
     """One message per day from hourly readings (one row per day and hour)."""
-    lines = match_rules(hours, rules).select(*key, "hour", fmt_line(F.col("hour"), F.col("temp"), F.col("wind_speed"), F.col("status")).alias("line"))
-    return digest(lines, hours.select(*key).distinct(), key, "hour", "line", NOTHING)
+    text = fmt_line(F.col("hour"), F.col("temp"), F.col("wind_speed"), F.col("status"))
+    lines = hours.select(*key, "hour", F.when(rules.condition(), text).alias("line"))
+    return digest(lines, key, "hour", "line", NOTHING)
 
 
 def alert_stream(hours: DataFrame, key: Sequence[str], sink: str, rules: Rules = RUNNING) -> DataStreamWriter:

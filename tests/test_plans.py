@@ -84,6 +84,17 @@ def test_window_operators_in_blocks(hot):
         assert rows(one) == rows(many, *one.columns)
 
 
+def test_gaps_in_blocks(spark, hot):
+    gappy = hot.withColumn("y", F.when(F.col("id") % 5 < 2, F.col("v")))
+    for make in (
+        lambda b: V.missing_streak(gappy, ["k"], "id", "y", blocks=b),
+        lambda b: V.interpolate(gappy, ["k"], "id", "y", "z", blocks=b),
+        lambda b: V.interpolate(gappy, ["k"], "id", "y", "z", both=True, blocks=b),
+    ):
+        one = make(1)
+        assert rows(one) == rows(make(8), *one.columns)
+
+
 def test_quantiles_equal_builtin(hot):
     weighted = hot.groupBy("k", "v").count()
     assert rows(A.quantiles(weighted, ["k"], "v", {"q": 0.4}, weight="count", blocks=6)) == rows(A.quantiles(hot, ["k"], "v", {"q": 0.4}, blocks=1))
