@@ -11,10 +11,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspan.functions.scalar import clip
 from larkspan.operators.aggregates import quantiles
 from larkspan.plans.ordered import spread
+from larkspan.session import checkpoint
 
 
 def group_means(df: DataFrame, y: str, treat: str, weight: str | None = None) -> DataFrame:
@@ -119,24 +121,69 @@ def _repeat_quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
     return float(low + (high - low) * (h - np.floor(h)))
 
 
+@F.pandas_udf(T.LongType())
+def _poisson(n: pd.Series, replicate: pd.Series, cell: pd.Series, seed: pd.Series) -> pd.Series:
+    """Poisson count with mean ``n``, fixed by replicate, cell and seed."""
+    draw = lambda m, r, c, s: np.random.default_rng([s, r, c & 0xFFFFFFFFFFFFFFFF]).poisson(m)
+    return pd.Series([draw(*v) for v in zip(n, replicate, cell, seed)], dtype="int64")
+
+
+def _replicates_by_aggregation(runs: DataFrame, y: str, treat: str, covs: Sequence[str], seed: int, q: float) -> DataFrame:
+    """Replicates over any number of cells: every step groups by replicate.
+
+    A logistic step needs one gradient and one Hessian per replicate, so only
+    those come back between the steps.
+    """
+    drawn = _poisson("n", "replicate", F.xxhash64(treat, *covs, y), F.lit(seed))
+    counts = F.when(F.col("replicate") == 0, F.col("n")).otherwise(drawn)
+    data = checkpoint(runs.withColumn("_c", counts).filter(F.col("_c") > 0))
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in covs]]
+    size = len(x)
+    total = data.groupBy("replicate").agg(F.sum(F.col(treat) * F.col("_c")).alias("t"), F.sum("_c").alias("c")).collect()
+    betas = {r["replicate"]: np.array([np.log(r["t"] / (r["c"] - r["t"])), *np.zeros(size - 1)]) for r in total}
+
+    def fitted() -> DataFrame:
+        rows = [(r, [float(v) for v in b]) for r, b in betas.items()]
+        known = data.sparkSession.createDataFrame(rows, "replicate int, _b array<double>")
+        eta = sum((F.col("_b")[i] * x[i] for i in range(1, size)), F.col("_b")[0])
+        return data.join(known, "replicate").withColumn("_p", 1 / (1 + F.exp(-eta))).drop("_b")
+
+    for _ in range(25):
+        p, c = F.col("_p"), F.col("_c")
+        slopes = [F.sum(c * (F.col(treat) - p) * x[i]) for i in range(size)]
+        curves = [F.sum(c * p * (1 - p) * x[i] * x[j]) for i in range(size) for j in range(size)]
+        largest = 0.0
+        for r in fitted().groupBy("replicate").agg(F.array(*slopes).alias("g"), F.array(*curves).alias("h")).collect():
+            step = np.linalg.solve(np.array(r["h"]).reshape(size, size) + 1e-12 * np.eye(size), np.array(r["g"]))
+            betas[r["replicate"]] = betas[r["replicate"]] + step
+            largest = max(largest, float(np.max(np.abs(step))))
+        if largest < 1e-9:
+            break
+    weighted = fitted().withColumn("_w", iptw(F.col("_p"), F.col(treat)))
+    limits = quantiles(weighted, ["replicate"], "_w", {"_limit": q}, weight="_c")
+    used = F.least("_w", "_limit") * F.col("_c")
+    mean = lambda v: F.sum(F.when(F.col(treat) == v, used * F.col(y))) / F.sum(F.when(F.col(treat) == v, used))
+    return weighted.join(limits, "replicate").groupBy("replicate").agg((mean(1) - mean(0)).alias("effect"))
+
+
 def bootstrap_replicates(
     df: DataFrame, y: str, treat: str, covs: Sequence[str], n: int = 500, seed: int = 1, q: float = 0.99, max_cells: int = 100_000
 ) -> DataFrame:
     """Effect in ``n`` resamples and in the data itself (replicate 0).
 
-    Rows are first counted per distinct (treatment, covariates, outcome) cell; a
-    resample is a multinomial draw over the cells, seeded by replicate, so the
-    result does not depend on partitioning. A replicate's task holds the cells,
-    never the rows; more than ``max_cells`` distinct cells is an error that asks
-    for coarser covariates.
+    Rows are first counted per distinct (treatment, covariates, outcome) cell. Up
+    to ``max_cells`` cells a resample is a multinomial draw and one task fits a
+    replicate; above, every cell draws its own Poisson count and the fits run as
+    aggregations over all replicates at once. Draws are seeded by replicate (and
+    cell), so the result does not depend on partitioning.
     """
     covs = list(covs)
-    cells = df.groupBy(treat, *covs, y).agg(F.count(F.lit(1)).alias("n")).na.drop()
+    cells = checkpoint(df.groupBy(treat, *covs, y).agg(F.count(F.lit(1)).alias("n")).na.drop())
     runs = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    if cells.count() > max_cells:
+        return _replicates_by_aggregation(runs, y, treat, covs, seed, q)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_cells:
-            raise ValueError(f"{len(pdf)} distinct cells; bin the covariates or the outcome first")
         pdf = pdf.sort_values([treat, *covs, y])
         counts = pdf["n"].to_numpy(float)
         if key[0] > 0:

@@ -103,10 +103,11 @@ def test_saturated_fit_equals_iteration(customers):
     assert np.allclose(sorted(fit.summary.coefficientStandardErrors), sorted([mine["se_intercept"], mine["se_coefficient"]]), rtol=1e-4)
 
 
-def test_too_many_cells_is_an_error(spark):
-    df = spark.sql("SELECT id % 2 AS t, id AS x, id % 5 AS y FROM range(100)")
-    with pytest.raises(Exception, match="bin the covariates"):
-        C.bootstrap_replicates(df, "y", "t", ["x"], n=1, max_cells=50).collect()
+def test_replicates_by_aggregation(customers):
+    small = C.bootstrap_replicates(customers, "post", "member", ["pre"], n=40, seed=1).toPandas().set_index("replicate")["effect"]
+    large = C.bootstrap_replicates(customers, "post", "member", ["pre"], n=40, seed=1, max_cells=10).toPandas().set_index("replicate")["effect"]
+    assert len(large) == 41 and np.isclose(small[0], large[0], atol=1e-9)
+    assert abs(small[1:].mean() - large[1:].mean()) < 0.01 and 0.5 < small[1:].std() / large[1:].std() < 2
 
 
 def test_prior_update(spark):
