@@ -10,6 +10,7 @@ the exact answer; they only decide how even the blocks are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,8 +54,8 @@ def _tuple(parts: Sequence[Column]) -> Column:
     return F.struct(*[p.alias(f"f{i}") for i, p in enumerate(parts)])
 
 
-def block_of(df: DataFrame, parts: Sequence[Column], blocks: int) -> Column:
-    """Column giving each row's block number in the order of ``parts``.
+def with_block(df: DataFrame, parts: Sequence[Column], blocks: int, out: str = BLOCK) -> DataFrame:
+    """Add each row's block number in the order of ``parts``.
 
     The cut points are a fixed-size uniform sample of the tuples (smallest
     hashes), so the driver only ever sees ``blocks * SAMPLES_PER_BLOCK`` rows.
@@ -68,11 +69,19 @@ def block_of(df: DataFrame, parts: Sequence[Column], blocks: int) -> Column:
     step = max(1, len(rows) // blocks)
     cuts = [r.t for r in rows[step::step]]
     if not cuts:
-        return F.lit(0)
-    literal = F.array(
-        *[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, fields)]) for cut in cuts]
-    )
-    return F.size(F.filter(literal, lambda cut: cut <= tup))
+        return df.withColumn(out, F.lit(0))
+    # Two short lookups instead of one long one: the run of cuts, then the place in it.
+    width = math.isqrt(len(cuts) - 1) + 1
+    literal = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, fields)]) for cut in cuts
+    ]
+    runs = [literal[i : i + width] for i in range(0, len(literal), width)]
+    passed = lambda array: F.size(F.filter(array, lambda cut: cut <= F.col("_tup")))
+    # The tuple and the run are columns of their own, so that no lookup builds them again.
+    found = df.withColumn("_tup", tup).withColumn("_run", passed(F.array(*[r[0] for r in runs])))
+    inside = passed(F.get(F.array(*[F.array(*r) for r in runs]), F.col("_run") - 1))
+    block = F.when(F.col("_run") == 0, F.lit(0)).otherwise((F.col("_run") - 1) * width + inside)
+    return found.withColumn(out, block).drop("_tup", "_run")
 
 
 def with_position(
@@ -117,7 +126,7 @@ def with_position(
 
     cols = df.columns
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    base = df.withColumns({KEY: group, BLOCK: block_of(df, [*map(F.col, keys), *order], n)})
+    base = with_block(df, [*map(F.col, keys), *order], n).withColumn(KEY, group)
     per_block = base.groupBy(KEY, BLOCK).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[FOLD[fn](c).alias(f"_r_{k}") for k, (fn, c) in running.items()],

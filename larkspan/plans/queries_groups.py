@@ -283,7 +283,7 @@ def _(t):
     "cum_share",
     "F3 F2",
     NAMES
-    + """SELECT state, name, n, row_number() OVER w AS row_index, sum(n) OVER w::BIGINT AS cum_sum,
+    + """SELECT state, name, n, row_number() OVER w::INT AS row_index, sum(n) OVER w::BIGINT AS cum_sum,
          round(sum(n) OVER w / sum(n) OVER (PARTITION BY state), 9) AS cum_share
          FROM counts WINDOW w AS (PARTITION BY state ORDER BY n DESC, name ROWS UNBOUNDED PRECEDING)""",
 )

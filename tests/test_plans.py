@@ -66,8 +66,7 @@ def test_blocks_give_the_same_positions(hot, blocks):
 
 
 def test_blocks_split_a_hot_group(hot):
-    at = O.block_of(hot, [F.col("k"), F.col("v"), F.col("id")], 20)
-    sizes = hot.withColumn("b", at).groupBy("k", "b").count()
+    sizes = O.with_block(hot, [F.col("k"), F.col("v"), F.col("id")], 20, "b").groupBy("k", "b").count()
     assert sizes.agg(F.max("count")).first()[0] < 600
 
 
