@@ -11,11 +11,11 @@ Steps:
    linked sets share one of those. The order puts shingles of crowded counters
    (a table of fixed size, counted over all documents) last, then goes by hash.
    Shingles in the index of one set only are dropped.
-3. The index lists are kept in blocks by (shingle, size band). A set probes
-   only the blocks whose sizes can link with it and, inside them, only entries
-   whose positions leave room for the overlap needed.
+3. A set probes of an index list only the blocks (size bands) that can link
+   with it and, inside them, only entries whose positions leave room for the
+   overlap needed.
 4. Lists are joined in rounds. A round meets each entry with the first entries
-   (leaders) of its blocks only, verifies the pairs on whole sets, and merges
+   (leaders) of its list only, verifies the pairs on whole sets, and merges
    linked sets; later rounds take more leaders of those lists that still hold
    several components. A group of copies so costs a few pairs per member.
 5. Answers are derived where possible: sets already in one component are not
@@ -48,7 +48,9 @@ from larkspan.llm.words import SHINGLE_WORDS, mix, shingle_sets
 
 COUNTER_BITS = 22
 CROWDED = 64
-ENTRY = np.dtype([("t", "<i8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
+# Shingle (48 bits: shorter names only add candidates), set, set size, place in the set's order.
+ENTRY = np.dtype([("t", "<i8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4"), ("late", "<i4")])
+SHINGLE_BITS = np.uint64((1 << 48) - 1)
 ENTRIES_PER_FLUSH = 1 << 20
 ENTRIES_PER_PARTITION = 1 << 21
 FIRST_LEADERS, MORE_LEADERS = 4, 16
@@ -74,13 +76,31 @@ def _sketch(width: int):
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), none, none], ["doc_id", "s", "n", "slot", "hits"])
         # Counters that this partition fills no more than evenly can't tell a frequent shingle.
-        full = np.flatnonzero(counts >= max(3, 2 * total / len(counts))).astype(np.int32)
+        full = np.flatnonzero(counts >= 5 + 2 * total / len(counts)).astype(np.int32)
         none = pa.nulls(len(full))
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(full), pa.array(counts[full])], ["doc_id", "s", "n", "slot", "hits"])
 
     return run
 
 
+def pack(rows: np.ndarray) -> bytes:
+    """Entries as compressed byte planes, so that high bytes take no room in a shuffle."""
+    planes = b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in ENTRY.names)
+    return len(rows).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    rows = np.empty(int.from_bytes(blob[:4], "little"), ENTRY)
+    planes = np.frombuffer(pa.decompress(blob[4:], len(rows) * ENTRY.itemsize, "zstd", asbytes=True), np.uint8)
+    at = 0
+    for c in ENTRY.names:
+        width = ENTRY[c].itemsize
+        part = planes[at : at + width * len(rows)].reshape(width, -1).T
+        rows[c] = np.ascontiguousarray(part).view(ENTRY[c])[:, 0]
+        at += width * len(rows)
+    return rows
+
+
 def _need(n, percent: int):
     """Smallest overlap of a set of ``n`` with any set it links with: ceil(percent n / 100)."""
     return (percent * n + 99) // 100
@@ -89,15 +109,14 @@ def _need(n, percent: int):
 def _index(width: int, percent: int, crowded, buckets: int):
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(parts)
-        late = np.unpackbits(crowded.value)[rows["t"].view(np.uint64) >> np.uint64(64 - COUNTER_BITS)].astype(bool)
         # Entries of frequent shingles need no count, so they are dealt out by set as well.
-        key = np.where(late, rows["t"] ^ rows["s"], rows["t"]).view(np.uint64)
-        place = (mix(key) % np.uint64(buckets)).astype(np.int64) * 2 + late
+        key = np.where(rows["late"] > 0, rows["t"] ^ rows["s"], rows["t"]).view(np.uint64)
+        place = (mix(key) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(place, kind="stable")
         rows, place = rows[order], place[order]
         cuts = np.flatnonzero(np.diff(place, prepend=-1))
         ends = [*cuts[1:], len(rows)]
-        return pa.RecordBatch.from_arrays([pa.array((place[cuts] // 2).astype(np.int32)), pa.array((place[cuts] % 2).astype(bool)), pa.array([rows[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "late", "entries"])
+        return pa.RecordBatch.from_arrays([pa.array(place[cuts]), pa.array([pack(rows[a:b]) for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(crowded.value).astype(bool)
@@ -111,11 +130,10 @@ def _index(width: int, percent: int, crowded, buckets: int):
                 seen.add(s)
                 late = bits[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 k = n - _need(n, percent) + 1
-                first = tokens[~late][:k]
-                if len(first) < k:
-                    first = np.concatenate([first, tokens[late][: k - len(first)]])
+                first = np.argsort(late, kind="stable")[:k]
                 rows = np.empty(k, ENTRY)
-                rows["t"], rows["s"], rows["n"], rows["p"] = first.view(np.int64), s, n, np.arange(k)
+                rows["t"], rows["late"] = (tokens[first] & SHINGLE_BITS).view(np.int64), late[first]
+                rows["s"], rows["n"], rows["p"] = s, n, np.arange(k)
                 parts.append(rows)
                 held += k
                 if held >= ENTRIES_PER_FLUSH:
@@ -129,23 +147,16 @@ def _index(width: int, percent: int, crowded, buckets: int):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of the lists with two sets or more, each entry once."""
-    held: dict[bool, list[bytes]] = {False: [], True: []}
-    for batch in batches:
-        for late, entries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            held[late].append(entries)
-    for late, parts in held.items():
-        rows = np.frombuffer(b"".join(parts), ENTRY)
-        rows = rows[np.lexsort((rows["s"], rows["t"]))]
-        if len(rows):
-            same = rows["t"][1:] == rows["t"][:-1]
-            new = np.concatenate([[True], ~(same & (rows["s"][1:] == rows["s"][:-1]))])
-            rows = rows[new]
-        if not late and len(rows):
-            same = rows["t"][1:] == rows["t"][:-1]
-            rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        for at in range(0, len(rows), 1 << 18):
-            some = rows[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[c])) for c in ENTRY.names], list(ENTRY.names))
+    held = [unpack(entries) for batch in batches for entries in batch.column(1).to_pylist()]
+    rows = np.concatenate(held) if held else np.empty(0, ENTRY)
+    rows = rows[np.lexsort((rows["s"], rows["t"]))]
+    same = rows["t"][1:] == rows["t"][:-1]
+    rows = rows[np.concatenate([[True], ~(same & (rows["s"][1:] == rows["s"][:-1]))])[: len(rows)]]
+    same = np.concatenate([[False], rows["t"][1:] == rows["t"][:-1], [False]])[: len(rows) + 1]
+    rows = rows[same[:-1] | same[1:] | (rows["late"] > 0)]
+    for at in range(0, len(rows), 1 << 18):
+        some = rows[at : at + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[c])) for c in ENTRY.names[:4]], list(ENTRY.names[:4]))
 
 
 def _sets(width: int):
@@ -186,7 +197,7 @@ class JaccardJoin:
         sets = named.join(labels, named.s == labels.node, "left").select("s", "doc_id", F.coalesce("label", "s").alias("g"))
         least = sets.groupBy("g").agg(F.min("doc_id").alias("component_id"))
         sets = store(sets.join(least, "g").select("s", "component_id"), "components")
-        drop(entries, named)
+        drop(named)
         return rows.join(sets, "s", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
     def _entries(self, read: DataFrame, named: DataFrame) -> DataFrame:
@@ -198,13 +209,13 @@ class JaccardJoin:
         flags[slots["slot"].to_numpy()] = True
         crowded = self.spark.sparkContext.broadcast(np.packbits(flags))
         parts = max(partitions(self.spark), -(-(kept or 0) // ENTRIES_PER_PARTITION))
-        packed = self.docs.select("text").mapInArrow(_index(self.width, self.percent, crowded, 8 * parts), "bucket int, late boolean, entries binary")
+        packed = self.docs.select("text").mapInArrow(_index(self.width, self.percent, crowded, 4 * parts), "bucket int, entries binary")
         return packed.repartition(parts, "bucket").mapInArrow(_shared, "t long, s long, n int, p int")
 
     def _link(self, entries: DataFrame, named: DataFrame) -> DataFrame:
         """(node, label) for the sets that have links."""
         store, drop = self.scratch.store, self.scratch.drop
-        live = store(entries.withColumns({"band": self._band(F.col("n")), "q": F.xxhash64("s"), "g": F.col("s")}), "lists")
+        live = entries.withColumn("g", F.col("s"))
         labels = verified = None
         lo, hi = 0, FIRST_LEADERS
         while True:
@@ -223,32 +234,34 @@ class JaccardJoin:
             lists = live if labels is None else live.drop("g").join(labels, live.s == labels.node, "left").withColumn("g", F.coalesce("label", "s")).drop("node", "label")
             open_ = lists.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).where((F.col("c") > hi) & (F.col("g0") != F.col("g1"))).select("t")
             later = store(lists.join(open_, "t", "left_semi"), "lists")
-            drop(live)
-            live = later
+            drop(entries)
+            live = entries = later
             if not live.limit(1).count():
                 return labels if labels is not None else self.spark.createDataFrame([], "node long, label long")
             lo, hi = hi, hi * MORE_LEADERS
 
-    def _band(self, n):
-        """Sets whose bands differ by more than one can't link."""
-        return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / self.percent)) + 1e-9).cast("int")
-
     def _pairs(self, live: DataFrame, lo: int, hi: int) -> DataFrame:
-        """Candidate pairs (a, b) of each entry with the leaders ``lo`` to ``hi`` of its blocks."""
+        """Candidate pairs (a, b) of each entry with the leaders ``lo`` to ``hi`` of its list.
+
+        A set's name is a hash, so the first names of a list are a random choice,
+        and the same one in all lists that a group of copies shares.
+        """
         t = self.percent
-        blocks = live.withColumn("block", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
-        first = Window.partitionBy("t", "block").orderBy("q", "s")
-        lead = blocks.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hi)
-        lead = lead.where(F.col("rank") > lo).select("t", F.col("block").alias("band"), *[F.col(c).alias(f"{c}0") for c in ("s", "n", "p", "q", "g")])
+        first = Window.partitionBy("t").orderBy("s")
+        lead = live.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hi).where(F.col("rank") > lo)
+        lead = self.scratch.store(lead.select("t", *[F.col(c).alias(f"{c}0") for c in ("s", "n", "p", "g")]), "leaders")
+        # Blocks of sizes: sets whose bands differ by more than one can't link.
+        band = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / t)))
         # overlap >= percent/(100+percent) * (sizes), and no more than what follows either position
         room = F.least(F.col("n") - F.col("p"), F.col("n0") - F.col("p0"))
         fits = (
-            (F.col("g") != F.col("g0"))
-            & ((F.col("q0") < F.col("q")) | ((F.col("q0") == F.col("q")) & (F.col("s0") < F.col("s"))))
+            (F.col("s0") < F.col("s"))
+            & (F.col("g") != F.col("g0"))
+            & (F.abs(band("n") - band("n0")) <= 1)
             & (100 * F.least("n", "n0") >= t * F.greatest("n", "n0"))
             & ((100 + t) * room >= t * (F.col("n") + F.col("n0")))
         )
-        return live.join(lead, ["t", "band"]).where(fits).select(F.col("s0").alias("a"), F.col("s").alias("b"), F.col("n0").alias("na"), F.col("n").alias("nb")).distinct()
+        return live.join(lead, "t").where(fits).select(F.col("s0").alias("a"), F.col("s").alias("b"), F.col("n0").alias("na"), F.col("n").alias("nb")).distinct()
 
     def _underived(self, pairs: DataFrame, verified: DataFrame) -> DataFrame:
         """Pairs not yet verified whose answer does not follow from verified ones.

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspan.session import configure, shared_folder
 
 
+# Removes the shuffle files of a statement when it ends; the stored table replaces them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables under ``spark.checkpoint.dir`` that cut lineage.
 
@@ -27,7 +31,12 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str = "table") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
         return out

@@ -23,6 +23,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+# Letters, digits and bytes of wider characters; all else separates.
+_SIGN = np.ones(256, dtype=bool)
+_SIGN[48:58] = _SIGN[65:91] = _SIGN[97:123] = _SIGN[128:] = False
 _STEP = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(64)], dtype=_U)
 _powers = {_BASE: np.ones(1, dtype=_U), _INVERSE: np.ones(1, dtype=_U)}
 
@@ -52,10 +55,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_words(data: np.ndarray, cuts: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of the words of ``data``; no word crosses a cut."""
     low = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -70,39 +73,41 @@ def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts]), starts, ends
 
 
-def _pieces(data: np.ndarray, chunk: int) -> Iterator[tuple[int, int]]:
+def _pieces(data: np.ndarray, chunk: int, gaps: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cut one long text into pieces of about ``chunk`` bytes that end at white space."""
     at = 0
     while at < len(data):
         end = min(at + chunk, len(data))
-        while end < len(data) and not _SPACE[data[end]]:
+        while end < len(data) and not gaps[data[end]]:
             window = data[end : end + chunk]
-            gap = np.flatnonzero(_SPACE[window])
+            gap = np.flatnonzero(gaps[window])
             end += int(gap[0]) if len(gap) else len(window)
         yield at, end
         at = end
 
 
-def hashed_words(column: pa.Array, chunk: int = CHUNK_BYTES, spans: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple | None]]:
+def hashed_words(column: pa.Array, chunk: int = CHUNK_BYTES, spans: bool = False, letters: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple | None]]:
     """Runs of rows as (first row, row after the last, word hashes, word offsets
     of those rows, (starts, ends) in bytes from each row's start or None).
 
     A run holds about ``chunk`` bytes; one longer text makes a run of its own.
+    ``letters``: signs separate words as white space does.
     """
+    gaps = _SIGN if letters else _SPACE
     data, offsets = text_buffers(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         after = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk, side="right")) - 1)
         lo, hi = int(offsets[row]), int(offsets[after])
         if after == row + 1 and hi - lo > chunk:
-            parts = [(a, *_hash_words(data[lo + a : lo + b], np.zeros(0, np.int64))) for a, b in _pieces(data[lo:hi], chunk)]
+            parts = [(a, *_hash_words(data[lo + a : lo + b], np.zeros(0, np.int64), gaps)) for a, b in _pieces(data[lo:hi], chunk, gaps)]
             hashes = np.concatenate([p[1] for p in parts])
             starts = np.concatenate([p[2] + p[0] for p in parts])
             ends = np.concatenate([p[3] + p[0] for p in parts])
             bounds = np.array([0, len(hashes)])
         else:
             cuts = (offsets[row : after + 1] - lo).astype(np.int64)
-            hashes, starts, ends = _hash_words(data[lo:hi], cuts) if hi > lo else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            hashes, starts, ends = _hash_words(data[lo:hi], cuts, gaps) if hi > lo else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
             bounds = np.searchsorted(starts, cuts)
             if spans:
                 base = np.repeat(cuts[:-1], np.diff(bounds))
