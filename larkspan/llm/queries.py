@@ -2,13 +2,44 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspan.llm import decontaminate, pieces, quality, secrets, unigram
 from larkspan.llm.jaccard_join import jaccard_components
 from larkspan.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
 
+MODEL = f"{os.environ.get('TOKENIZER_DIR', '/opt/tokenizers')}/piece_bpe_32k.model"
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.token_counts(table(spark, folder, "documents"), pieces.read_model(MODEL))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_sentencepiece")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, folder, "documents"), pieces.read_model(MODEL))
+
+
+@query("op6_secret_scans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
 
 @query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
