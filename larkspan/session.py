@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +18,23 @@ RUNTIME_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package's files to the Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_larkspan_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="larkspan-")) / "larkspan.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._larkspan_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; partition counts stay the cluster's choice."""
+    """Apply the runtime settings and ship the package; partition counts stay the cluster's choice."""
+    ship_package(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
