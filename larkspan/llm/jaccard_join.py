@@ -53,6 +53,7 @@ ENTRY = np.dtype([("t", "<i8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4"), ("late
 SHINGLE_BITS = np.uint64((1 << 48) - 1)
 ENTRIES_PER_FLUSH = 1 << 20
 ENTRIES_PER_PARTITION = 1 << 21
+CHUNK_PAIRS = 256
 FIRST_LEADERS, MORE_LEADERS = 4, 16
 
 _SUM = np.uint64(0x2545F4914F6CDD1D)
@@ -159,19 +160,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[c])) for c in ENTRY.names[:4]], list(ENTRY.names[:4]))
 
 
-def _sets(width: int):
+def _overlaps(width: int):
+    """Overlaps of the pairs of each chunk; a chunk's texts come before its pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        chunk, sets = None, {}
         for batch in batches:
-            wanted, names, sets = batch.column(1).to_pylist(), [], []
-            for i, tokens in shingle_sets(batch.column(0), width):
-                if len(tokens) and (s := set_id(tokens)) == wanted[i] and s not in seen:
-                    seen.add(s)
-                    names.append(s)
-                    sets.append(tokens.view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["s", "tokens"])
+            cs, ks, names, others = (batch.column(i).to_pylist() for i in range(4))
+            found = {i: tokens for i, tokens in shingle_sets(batch.column(4), width) if others[i] is None}
+            a, b, o = [], [], []
+            for i, here in enumerate(zip(cs, ks)):
+                if here != chunk:
+                    chunk, sets = here, {}
+                if others[i] is None:
+                    # Rows of the same id may hold other texts.
+                    if len(found[i]) and set_id(found[i]) == names[i]:
+                        sets[names[i]] = found[i]
+                else:
+                    a.append(names[i])
+                    b.append(others[i])
+                    o.append(len(np.intersect1d(sets[names[i]], sets[others[i]], assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(o, pa.int64())], ["a", "b", "o"])
 
     return run
 
@@ -283,15 +292,25 @@ class JaccardJoin:
         return out.distinct()
 
     def _verify(self, pairs: DataFrame, named: DataFrame) -> DataFrame:
-        """The pairs with their overlap ``o`` and whether they link, on whole sets."""
-        wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-        wanted = wanted.join(named, "s").select("s", F.col("doc_id").alias("_id"))
-        texts = self.docs.join(wanted, self.docs.doc_id.eqNullSafe(F.col("_id"))).select("text", "s")
-        sets = self.scratch.store(texts.mapInArrow(_sets(self.width), "s long, tokens array<long>"), "tokens")
-        met = pairs.join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("y")), "b")
-        overlap = met.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("o")).distinct()
+        """The pairs with their overlap ``o`` and whether they link, on whole sets.
+
+        Pairs whose first sets share a smaller partner meet in chunks, dealt by
+        their second set. A chunk gets each set's text once, not once a pair,
+        and has about ``CHUNK_PAIRS`` pairs however large the group is.
+        """
+        least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("root"))
+        rooted = pairs.join(least, "a", "left").withColumn("c", F.coalesce("root", "a")).drop("root")
+        sizes = rooted.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK_PAIRS).alias("m"))
+        rooted = rooted.join(sizes, "c").withColumn("k", F.pmod(F.xxhash64("b"), "m"))
+        rooted = self.scratch.store(rooted.select("c", "k", "a", "b"), "chunks")
+        wanted = rooted.select("c", "k", F.col("a").alias("s")).union(rooted.select("c", "k", "b")).distinct()
+        wanted = wanted.join(named.select("s", F.col("doc_id").alias("_id")), "s")
+        texts = self.docs.join(wanted, self.docs.doc_id.eqNullSafe(F.col("_id"))).select("c", "k", "s", F.lit(None).cast("long").alias("b"), "text")
+        rows = texts.union(rooted.select("c", "k", "a", "b", F.lit(None).cast("string")))
+        rows = rows.repartition(partitions(self.spark), "c", "k").sortWithinPartitions("c", "k", F.col("b").asc_nulls_first())
+        met = rows.mapInArrow(_overlaps(self.width), "a long, b long, o long")
         t = self.percent
-        return overlap.withColumn("linked", (100 + t) * F.col("o") >= t * (F.col("na") + F.col("nb")))
+        return met.join(pairs, ["a", "b"]).select("a", "b", "na", "nb", "o", ((100 + t) * F.col("o") >= t * (F.col("na") + F.col("nb"))).alias("linked"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE_WORDS) -> DataFrame:
