@@ -46,15 +46,16 @@ from larkspan.llm.components import components
 from larkspan.llm.scratch import Scratch, partitions
 from larkspan.llm.words import SHINGLE_WORDS, mix, shingle_sets
 
-COUNTER_BITS = 22
-CROWDED = 64
+COUNTER_BITS = 23
+STRIPE_BITS = 17
+CROWDED = 32
 # Shingle (48 bits: shorter names only add candidates), set, set size, place in the set's order.
 ENTRY = np.dtype([("t", "<i8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4"), ("late", "<i4")])
 SHINGLE_BITS = np.uint64((1 << 48) - 1)
 ENTRIES_PER_FLUSH = 1 << 20
 ENTRIES_PER_PARTITION = 1 << 21
 CHUNK_PAIRS = 256
-FIRST_LEADERS, MORE_LEADERS = 4, 16
+FIRST_LEADERS, MORE_LEADERS = 8, 64
 
 _SUM = np.uint64(0x2545F4914F6CDD1D)
 
@@ -66,20 +67,37 @@ def set_id(tokens: np.ndarray) -> int:
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(1 << COUNTER_BITS, np.int32), 0
+        counts = np.zeros(1 << COUNTER_BITS, np.int32)
         for batch in batches:
             names, sizes = [0] * batch.num_rows, [0] * batch.num_rows
             for i, tokens in shingle_sets(batch.column(1), width):
                 if len(tokens):
                     names[i], sizes[i] = set_id(tokens), len(tokens)
                     np.add.at(counts, (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
-                    total += len(tokens)
-            none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), none, none], ["doc_id", "s", "n", "slot", "hits"])
-        # Counters that this partition fills no more than evenly can't tell a frequent shingle.
-        full = np.flatnonzero(counts >= 5 + 2 * total / len(counts)).astype(np.int32)
+            none = pa.nulls(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "s", "n", "stripe", "hits"])
+        # The counters in stripes, so that they add up in as many tasks.
+        stripes = counts.reshape(-1, 1 << STRIPE_BITS)
+        full = np.flatnonzero(stripes.any(1))
+        blobs = [pa.compress(np.minimum(stripes[i], 65535).astype("<u2").tobytes(), "zstd", asbytes=True) for i in full]
         none = pa.nulls(len(full))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(full), pa.array(counts[full])], ["doc_id", "s", "n", "slot", "hits"])
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["doc_id", "s", "n", "stripe", "hits"])
+
+    return run
+
+
+def _crowded(limit: int):
+    """The places of counters over ``limit``, of all partitions' stripes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for stripe, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(pa.decompress(blob, 2 << STRIPE_BITS, "zstd", asbytes=True), "<u2")
+                sums[stripe] = sums.get(stripe, 0) + counts.astype(np.int64)
+        for stripe, total in sums.items():
+            places = np.flatnonzero(total > limit) + (stripe << STRIPE_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32))], ["slot"])
 
     return run
 
@@ -197,8 +215,8 @@ class JaccardJoin:
     def documents(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) per row of the table."""
         store, drop = self.scratch.store, self.scratch.drop
-        read = store(self.docs.mapInArrow(_sketch(self.width), "doc_id long, s long, n int, slot int, hits int"), "sketch")
-        rows = read.where("slot is null").select("doc_id", "s", "n")
+        read = store(self.docs.mapInArrow(_sketch(self.width), "doc_id long, s long, n int, stripe int, hits binary"), "sketch")
+        rows = read.where("stripe is null").select("doc_id", "s", "n")
         named = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
         named = store(named, "sets")
         entries = store(self._entries(read, named), "entries")
@@ -213,7 +231,9 @@ class JaccardJoin:
         """The index (t, s, n, p): shingle, set, set size, place in the set's order."""
         total, kept = named.select(F.sum("n"), F.sum(F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).first()
         limit = max(CROWDED, 3 * (total or 0) >> COUNTER_BITS)
-        slots = read.where("slot is not null").groupBy("slot").agg(F.sum("hits").alias("hits")).where(F.col("hits") > limit).select("slot").toPandas()
+        stripes = read.where("stripe is not null").select("stripe", "hits").repartition(1 << (COUNTER_BITS - STRIPE_BITS), "stripe")
+        # At most as many numbers as there are counters.
+        slots = stripes.mapInArrow(_crowded(limit), "slot int").toPandas()
         flags = np.zeros(1 << COUNTER_BITS, bool)
         flags[slots["slot"].to_numpy()] = True
         crowded = self.spark.sparkContext.broadcast(np.packbits(flags))
@@ -273,23 +293,18 @@ class JaccardJoin:
         return live.join(lead, "t").where(fits).select(F.col("s0").alias("a"), F.col("s").alias("b"), F.col("n0").alias("na"), F.col("n").alias("nb")).distinct()
 
     def _underived(self, pairs: DataFrame, verified: DataFrame) -> DataFrame:
-        """Pairs not yet verified whose answer does not follow from verified ones.
+        """Pairs whose answer does not follow from verified ones.
 
         If p is the set most similar to x and |p & y| is known, then
         |x & y| <= |p & y| + |x - p|.
         """
         t = self.percent
-        known = verified.select("a", "b", "o").union(verified.select(F.col("b").alias("a"), F.col("a").alias("b"), "o"))
-        linked = verified.where("linked").select("a", "b", "o").union(verified.where("linked").select(F.col("b").alias("a"), F.col("a").alias("b"), "o"))
-        parent = linked.groupBy(F.col("a").alias("x")).agg(F.max(F.struct("o", "b")).alias("best")).select("x", F.col("best.b").alias("parent"), F.col("best.o").alias("shared"))
-        out = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        for x, y, nx in (("a", "b", "na"), ("b", "a", "nb")):
-            bound = known.select(F.col("a").alias("parent"), F.col("b").alias("_y"), F.col("o").alias("po"))
-            out = out.join(parent.withColumnRenamed("x", "_x"), F.col(x) == F.col("_x"), "left")
-            out = out.join(bound.withColumnRenamed("parent", "_p"), (F.col("parent") == F.col("_p")) & (F.col(y) == F.col("_y")), "left")
-            most = F.col("po") + F.col(nx) - F.col("shared")
-            out = out.where(F.col("po").isNull() | ((100 + t) * most >= t * (F.col("na") + F.col("nb")))).select("a", "b", "na", "nb")
-        return out.distinct()
+        turned = lambda df: df.select("a", "b", "o").union(df.select(F.col("b").alias("a"), F.col("a").alias("b"), "o"))
+        parent = turned(verified.where("linked")).groupBy(F.col("a").alias("b")).agg(F.max(F.struct("o", F.col("b").alias("p"))).alias("best")).select("b", F.col("best.p").alias("p"), F.col("best.o").alias("shared"))
+        known = turned(verified).select(F.col("a").alias("p"), F.col("b").alias("a"), F.col("o").alias("po"))
+        out = pairs.join(parent, "b", "left").join(known, ["p", "a"], "left")
+        most = F.col("po") + F.col("nb") - F.col("shared")
+        return out.where(F.col("po").isNull() | ((100 + t) * most >= t * (F.col("na") + F.col("nb")))).select("a", "b", "na", "nb").distinct()
 
     def _verify(self, pairs: DataFrame, named: DataFrame) -> DataFrame:
         """The pairs with their overlap ``o`` and whether they link, on whole sets.
