@@ -33,6 +33,7 @@ DIM = 8
 GRAMS = (3, 4)
 REPEAT_WEIGHT = 4
 EPOCHS, RATE, BATCH, DECAY = 8, 0.5, 32, 1e-6
+MIN_STEPS = 600  # small samples take more epochs
 MAX_ROWS = 2500
 MAX_CHARS = 16_000_000
 CHUNK = 1 << 18
@@ -132,9 +133,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     share = np.bincount(labels, minlength=2) / len(labels)
     # Rows of rarer buckets learn at the summed squares' own pace (Adagrad).
     seen = np.full(size, 1e-4, np.float32)
-    steps = EPOCHS * -(-len(docs) // BATCH)
+    per_epoch = -(-len(docs) // BATCH)
+    epochs = max(EPOCHS, -(-MIN_STEPS // per_epoch))
+    steps = epochs * per_epoch
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(docs), BATCH):
             some = order[at : at + BATCH]
