@@ -43,8 +43,12 @@ def trigamma(x) -> np.ndarray:
     return out + 1 / x + r / 2 + r / x * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
 
 
-def _fraction(a, b, x, steps: int = 400):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+def _fraction(a, b, x):
+    """Continued fraction of the incomplete beta function (modified Lentz).
+
+    It needs steps in proportion to the root of the larger parameter.
+    """
+    steps = 400 + int(20 * np.sqrt(np.max(np.maximum(a, b), initial=1.0)))
     tiny = 1e-300
     guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
     c = np.ones_like(x)
@@ -58,6 +62,8 @@ def _fraction(a, b, x, steps: int = 400):
             h = h * d * c
         if np.all(np.abs(d * c - 1) < 1e-15):
             break
+    if np.any(np.abs(d * c - 1) > 1e-9):
+        raise ArithmeticError("the continued fraction of the incomplete beta function did not converge")
     return h
 
 

@@ -63,8 +63,12 @@ def us_holidays(years: DataFrame, col: str, window: tuple[int, int] = (0, 0)) ->
 
 
 def mark_holidays(df: DataFrame, date: str, out: str = "is_holiday") -> DataFrame:
-    """Flag the dates that are holidays, by an exact date join."""
-    days = us_holidays(df.select(F.year(date).alias("_y")).distinct(), "_y").select(F.col("ds").alias(date)).distinct()
+    """Flag the dates that are holidays, by an exact date join.
+
+    The year after each date's is looked at too: its New Year's Day may be observed on 31 December.
+    """
+    years = df.select(F.explode(F.array(F.year(date), F.year(date) + 1)).alias("_y")).distinct()
+    days = us_holidays(years, "_y").select(F.col("ds").alias(date)).distinct()
     return df.join(days.withColumn(out, F.lit(1)), date, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 

@@ -259,3 +259,14 @@ def test_near_pairs_by_brute_force(spark):
                     want.add((g, a.i, b.i))
     got = {(r["g"], r["i"], r["j"]) for r in P.pair_dist(df, ["g"], "i", "lat", "lng", 0.11).collect()}
     assert got == want and len(want) > 50
+
+
+def test_betainc_for_large_parameters():
+    import numpy as np
+    from larkspan.functions.special import betainc
+
+    sizes = np.array([1e6, 1e8, 1e9])
+    # At the mean the value tends to 1/2, and I_x(a, b) + I_1-x(b, a) = 1.
+    low = betainc(0.3 * sizes, 0.7 * sizes, 0.3)
+    assert np.allclose(low, 0.5, atol=2e-4)
+    assert np.allclose(low + betainc(0.7 * sizes, 0.3 * sizes, 0.7), 1, atol=1e-6)

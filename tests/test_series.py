@@ -163,3 +163,10 @@ def test_holidays(spark):
     assert ("Thanksgiving", date(2010, 11, 25)) in got and ("Memorial Day", date(2010, 5, 31)) in got
     assert ("Independence Day (observed)", date(2010, 7, 5)) in got and ("Christmas Day (observed)", date(2010, 12, 24)) in got
     assert not any(h.startswith("Juneteenth") and x.year == 2010 for h, x in got)
+
+
+def test_new_years_day_observed_in_the_old_year(spark):
+    from larkspan.operators.forecast import mark_holidays
+
+    days = spark.sql("SELECT explode(array(date'2004-12-30', date'2004-12-31')) AS ds")
+    assert {str(r.ds): r.is_holiday for r in mark_holidays(days, "ds").collect()} == {"2004-12-30": 0, "2004-12-31": 1}
