@@ -37,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,8 @@ SHINGLE_BITS = np.uint64((1 << 48) - 1)
 ENTRIES_PER_FLUSH = 1 << 20
 ENTRIES_PER_PARTITION = 1 << 21
 CHUNK_PAIRS = 256
+# Bits of the filter over the ids of texts that a verification reads.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 15, 27
 FIRST_LEADERS, MORE_LEADERS = 8, 64
 
 _SUM = np.uint64(0x2545F4914F6CDD1D)
@@ -179,14 +182,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(width: int):
-    """Overlaps of the pairs of each chunk; a chunk's texts come before its pairs."""
+    """Sizes and overlaps of the pairs of each chunk; a chunk's texts come before its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, sets = None, {}
         for batch in batches:
             cs, ks, names, others = (batch.column(i).to_pylist() for i in range(4))
             found = {i: tokens for i, tokens in shingle_sets(batch.column(4), width) if others[i] is None}
-            a, b, o = [], [], []
+            rows = []
             for i, here in enumerate(zip(cs, ks)):
                 if here != chunk:
                     chunk, sets = here, {}
@@ -195,14 +198,42 @@ def _overlaps(width: int):
                     if len(found[i]) and set_id(found[i]) == names[i]:
                         sets[names[i]] = found[i]
                 else:
-                    a.append(names[i])
-                    b.append(others[i])
-                    o.append(len(np.intersect1d(sets[names[i]], sets[others[i]], assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(o, pa.int64())], ["a", "b", "o"])
+                    x, y = sets[names[i]], sets[others[i]]
+                    rows.append((names[i], others[i], len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            columns = np.array(rows, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[:, i])) for i in range(5)], ["a", "b", "na", "nb", "o"])
 
     return run
 
 
+def _slot(column: str, bits: int):
+    """Place of an id in a filter, from 1."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits)) + 1
+
+
+def only_asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` may be an ``_id`` of ``wanted``, before any shuffle.
+
+    The filter is a bitmap of hashed ids, of 8 bits an id and 16 MB at most. A
+    row it lets through by chance goes at the join that follows; no asked row is
+    lost. A null id is an id like others.
+    """
+    bits = min(max((8 * wanted.count()).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
+    slot = _slot("_id", bits)
+    parts = wanted.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("held"))
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for part, held in parts.collect():  # one row of 4 KB for each 32,768 bits
+        whole[(part - 1) * len(held) : part * len(held)] = np.frombuffer(held, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def asked(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy() - 1
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+    return docs.where(asked(_slot("doc_id", bits)))
+
+
 class JaccardJoin:
     """The join over one table of documents; ``documents()`` gives the components."""
 
@@ -253,7 +284,7 @@ class JaccardJoin:
                 pairs = self._underived(pairs, verified)
             pairs = store(pairs, "pairs")
             if pairs.limit(1).count():
-                new = store(self._verify(pairs, named), "verified")
+                new = self._verify(pairs, named)
                 verified = new if verified is None else verified.union(new)
                 edges = new.where("linked").select("a", "b")
                 if labels is not None:
@@ -313,19 +344,22 @@ class JaccardJoin:
         their second set. A chunk gets each set's text once, not once a pair,
         and has about ``CHUNK_PAIRS`` pairs however large the group is.
         """
+        store, drop = self.scratch.store, self.scratch.drop
         least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("root"))
-        rooted = pairs.join(least, "a", "left").withColumn("c", F.coalesce("root", "a")).drop("root")
+        rooted = store(pairs.join(least, "a", "left").select(F.coalesce("root", "a").alias("c"), "a", "b"), "rooted")
         sizes = rooted.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK_PAIRS).alias("m"))
-        rooted = rooted.join(sizes, "c").withColumn("k", F.pmod(F.xxhash64("b"), "m"))
-        rooted = self.scratch.store(rooted.select("c", "k", "a", "b"), "chunks")
-        wanted = rooted.select("c", "k", F.col("a").alias("s")).union(rooted.select("c", "k", "b")).distinct()
-        wanted = wanted.join(named.select("s", F.col("doc_id").alias("_id")), "s")
-        texts = self.docs.join(wanted, self.docs.doc_id.eqNullSafe(F.col("_id"))).select("c", "k", "s", F.lit(None).cast("long").alias("b"), "text")
-        rows = texts.union(rooted.select("c", "k", "a", "b", F.lit(None).cast("string")))
+        chunks = store(rooted.join(sizes, "c").select("c", F.pmod(F.xxhash64("b"), "m").alias("k"), "a", "b"), "chunks")
+        wanted = chunks.select("c", "k", F.col("a").alias("s")).union(chunks.select("c", "k", "b")).distinct()
+        wanted = store(wanted.join(named.select("s", F.col("doc_id").alias("_id")), "s").select("c", "k", "s", "_id"), "wanted")
+        docs = only_asked(self.docs, wanted)
+        texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("_id"))).select("c", "k", "s", F.lit(None).cast("long").alias("b"), "text")
+        rows = texts.union(chunks.select("c", "k", "a", "b", F.lit(None).cast("string")))
         rows = rows.repartition(partitions(self.spark), "c", "k").sortWithinPartitions("c", "k", F.col("b").asc_nulls_first())
-        met = rows.mapInArrow(_overlaps(self.width), "a long, b long, o long")
+        met = rows.mapInArrow(_overlaps(self.width), "a long, b long, na long, nb long, o long")
         t = self.percent
-        return met.join(pairs, ["a", "b"]).select("a", "b", "na", "nb", "o", ((100 + t) * F.col("o") >= t * (F.col("na") + F.col("nb"))).alias("linked"))
+        out = store(met.withColumn("linked", (100 + t) * F.col("o") >= t * (F.col("na") + F.col("nb"))), "verified")
+        drop(rooted, chunks, wanted)
+        return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE_WORDS) -> DataFrame:
