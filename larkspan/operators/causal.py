@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from larkspan.functions.scalar import clip
 from larkspan.operators.aggregates import quantiles
-from larkspan.plans.ordered import spread
 from larkspan.session import checkpoint
 
 
@@ -98,57 +97,52 @@ def weighted_effect(df: DataFrame, y: str, treat: str, covs: Sequence[str], q: f
     return glm_effect(trimmed, y, treat, "_w")
 
 
-def _logistic(x: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Fitted probabilities of a weighted logistic regression with an intercept."""
-    design = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(design.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hess = design.T @ (design * (n * p * (1 - p))[:, None]) + 1e-12 * np.eye(len(beta))
-        step = np.linalg.solve(hess, design.T @ (n * (t - p)))
-        beta += step
-        if np.max(np.abs(step)) < 1e-10:
-            break
-    return 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-
-
-def _repeat_quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
-    order = np.argsort(values, kind="stable")
-    values, upto = values[order], np.cumsum(counts[order])
-    h = (upto[-1] - 1) * q
-    at = lambda i: values[np.searchsorted(upto, i, side="right")]
-    low, high = at(np.floor(h)), at(np.ceil(h))
-    return float(low + (high - low) * (h - np.floor(h)))
-
-
 @F.pandas_udf(T.LongType())
-def _poisson(n: pd.Series, replicate: pd.Series, cell: pd.Series, seed: pd.Series) -> pd.Series:
-    """Poisson count with mean ``n``, fixed by replicate, cell and seed."""
-    draw = lambda m, r, c, s: np.random.default_rng([s, r, c & 0xFFFFFFFFFFFFFFFF]).poisson(m)
-    return pd.Series([draw(*v) for v in zip(n, replicate, cell, seed)], dtype="int64")
-
-
-def _replicates_by_aggregation(runs: DataFrame, y: str, treat: str, covs: Sequence[str], seed: int, q: float) -> DataFrame:
-    """Replicates over any number of cells: every step groups by replicate.
+def _poisson(mean: pd.Series, u: pd.Series) -> pd.Series:
+    """Poisson counts by inversion of uniform numbers, a table for each distinct mean."""
+    means, uniform = mean.to_numpy(float), u.to_numpy(float)
+    out = np.empty(len(means), np.int64)
+    order = np.argsort(means, kind="stable")
+    values, starts = np.unique(means[order], return_index=True)
+    for m, at in zip(values, np.split(order, starts[1:])):
+        low = max(0, int(m - 12 * np.sqrt(m) - 12))
+        k = np.arange(low + 1, int(m + 12 * np.sqrt(m) + 40))
+        logs = np.concatenate([[0.0], np.cumsum(np.log(m) - np.log(k))])
+        weights = np.cumsum(np.exp(logs - logs.max()))
+        out[at] = low + np.searchsorted(weights, uniform[at] * weights[-1], side="right")
+    return pd.Series(out)
+
+
+def bootstrap_replicates(df: DataFrame, y: str, treat: str, covs: Sequence[str], n: int = 500, seed: int = 1, q: float = 0.99) -> DataFrame:
+    """Effect in ``n`` resamples and in the data itself (replicate 0).
 
-    A logistic step needs one gradient and one Hessian per replicate, so only
-    those come back between the steps.
+    Rows are first counted per distinct (treatment, covariates, outcome) cell. In
+    a resample every cell draws a Poisson count from a hash of seed, replicate
+    and cell, so the result depends neither on partitioning nor on size. All
+    replicates are fitted at once: a logistic step groups by replicate and needs
+    one gradient and one Hessian of each, so only those come back between steps.
+    A resample without both treatments has no effect (null).
     """
-    drawn = _poisson("n", "replicate", F.xxhash64(treat, *covs, y), F.lit(seed))
-    counts = F.when(F.col("replicate") == 0, F.col("n")).otherwise(drawn)
+    covs = list(covs)
+    cells = checkpoint(df.groupBy(treat, *covs, y).agg(F.count(F.lit(1)).alias("n")).na.drop())
+    runs = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    # The upper 53 bits of a hash as a number from 0 to 1.
+    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "replicate", treat, *covs, y), 11) * F.lit(2.0**-53)
+    counts = F.when(F.col("replicate") == 0, F.col("n")).otherwise(_poisson(F.col("n").cast("double"), uniform))
     data = checkpoint(runs.withColumn("_c", counts).filter(F.col("_c") > 0))
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in covs]]
     size = len(x)
     total = data.groupBy("replicate").agg(F.sum(F.col(treat) * F.col("_c")).alias("t"), F.sum("_c").alias("c")).collect()
-    betas = {r["replicate"]: np.array([np.log(r["t"] / (r["c"] - r["t"])), *np.zeros(size - 1)]) for r in total}
+    start = lambda t, c: np.log((t + 0.5) / (c - t + 0.5))
+    betas = {r["replicate"]: np.array([start(r["t"], r["c"]), *np.zeros(size - 1)]) for r in total}
 
     def fitted() -> DataFrame:
         rows = [(r, [float(v) for v in b]) for r, b in betas.items()]
         known = data.sparkSession.createDataFrame(rows, "replicate int, _b array<double>")
         eta = sum((F.col("_b")[i] * x[i] for i in range(1, size)), F.col("_b")[0])
-        return data.join(known, "replicate").withColumn("_p", 1 / (1 + F.exp(-eta))).drop("_b")
+        return data.join(known, "replicate").withColumn("_p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta))))).drop("_b")
 
-    for _ in range(25):
+    for _ in range(50):
         p, c = F.col("_p"), F.col("_c")
         slopes = [F.sum(c * (F.col(treat) - p) * x[i]) for i in range(size)]
         curves = [F.sum(c * p * (1 - p) * x[i] * x[j]) for i in range(size) for j in range(size)]
@@ -166,40 +160,6 @@ def _replicates_by_aggregation(runs: DataFrame, y: str, treat: str, covs: Sequen
     return weighted.join(limits, "replicate").groupBy("replicate").agg((mean(1) - mean(0)).alias("effect"))
 
 
-def bootstrap_replicates(
-    df: DataFrame, y: str, treat: str, covs: Sequence[str], n: int = 500, seed: int = 1, q: float = 0.99, max_cells: int = 100_000
-) -> DataFrame:
-    """Effect in ``n`` resamples and in the data itself (replicate 0).
-
-    Rows are first counted per distinct (treatment, covariates, outcome) cell. Up
-    to ``max_cells`` cells a resample is a multinomial draw and one task fits a
-    replicate; above, every cell draws its own Poisson count and the fits run as
-    aggregations over all replicates at once. Draws are seeded by replicate (and
-    cell), so the result does not depend on partitioning.
-    """
-    covs = list(covs)
-    cells = checkpoint(df.groupBy(treat, *covs, y).agg(F.count(F.lit(1)).alias("n")).na.drop())
-    runs = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    if cells.count() > max_cells:
-        return _replicates_by_aggregation(runs, y, treat, covs, seed, q)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([treat, *covs, y])
-        counts = pdf["n"].to_numpy(float)
-        if key[0] > 0:
-            rng = np.random.default_rng([seed, int(key[0])])
-            counts = rng.multinomial(int(counts.sum()), counts / counts.sum()).astype(float)
-        pdf, counts = pdf[counts > 0], counts[counts > 0]
-        t, out = pdf[treat].to_numpy(float), pdf[y].to_numpy(float)
-        p = _logistic(pdf[covs].to_numpy(float), t, counts)
-        w = 1 / np.where(t == 0, 1 - p, p)
-        w = np.minimum(w, _repeat_quantile(w, counts, q)) * counts
-        means = [np.sum((w * out)[t == v]) / max(np.sum(w[t == v]), 1e-300) for v in (0, 1)]
-        return pd.DataFrame({"replicate": [int(key[0])], "effect": [means[1] - means[0]]})
-
-    return spread(runs, "replicate").groupBy("replicate").applyInPandas(one, "replicate int, effect double")
-
-
 def bootstrap_effect(df: DataFrame, y: str, treat: str, covs: Sequence[str], n: int = 500, seed: int = 1, q: float = 0.99) -> DataFrame:
     """2.5, 50 and 97.5 percentiles of the bootstrapped effect, the original sample included."""
     reps = bootstrap_replicates(df, y, treat, covs, n, seed, q)

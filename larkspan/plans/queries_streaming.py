@@ -32,10 +32,10 @@ def _(t):
 @query("alert_stream", "ST1 ST2 ST3 A5", HOURLY)
 def _(t):
     arrived, sink = t.scratch("readings"), t.scratch("messages")
-    # A day's readings arrive in one file.
-    hourly(t).repartition("day").write.json(arrived)
+    # A day's readings arrive in three files, of which a batch takes one.
+    hourly(t).repartition(3, F.col("hour") % 3).write.json(arrived)
     schema = "day date, hour int, temp double, wind_speed double, status string"
-    ST.run_available(ST.alert_stream(ST.stream_json(t.spark, arrived, schema), ["day"], sink), t.scratch("state"))
+    ST.run_available(ST.alert_stream(ST.stream_json(t.spark, arrived, schema, files_per_trigger=1), ["day"], sink), t.scratch("state"))
     return t.spark.read.schema("message string, day date").json(sink).select("day", "message")
 
 

@@ -43,15 +43,26 @@ def daily_message(hours: DataFrame, key: Sequence[str], rules: Rules = RUNNING)
     return digest(lines, key, "hour", "line", NOTHING)
 
 
-def alert_stream(hours: DataFrame, key: Sequence[str], sink: str, rules: Rules = RUNNING) -> DataStreamWriter:
+def alert_stream(hours: DataFrame, key: Sequence[str], sink: str, rules: Rules = RUNNING, kept: str | None = None) -> DataStreamWriter:
     """Write the messages of every arriving batch of hourly readings, one folder per day.
 
-    A batch replaces the days it holds, so a batch repeated after a failure
-    leaves the same table.
+    A day may arrive in any number of batches: readings are kept in ``kept``
+    (next to the sink unless given), a folder per day and batch, and a batch
+    rebuilds the messages of its days from all their readings. Of several
+    readings of an hour the latest batch's counts, within a batch the greatest
+    row. A batch repeated after a failure replaces what it wrote before.
     """
+    key, kept = list(key), kept or f"{sink.rstrip('/')}_readings"
+    rest = [c for c in hours.columns if c not in (*key, "hour")]
 
-    def emit(batch: DataFrame, _: int) -> None:
-        write_partitioned(daily_message(batch, key, rules), sink, list(key), fmt="json")
+    def emit(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        write_partitioned(batch.withColumn("epoch", F.lit(epoch)), kept, [*key, "epoch"])
+        if not (days := spark.read.schema(batch.schema.add("epoch", "long")).parquet(kept).filter(F.col("epoch") <= epoch)).limit(1).count():
+            return
+        touched = days.filter(F.col("epoch") == epoch).select(*key).distinct()
+        readings = days.join(touched, key, "left_semi").groupBy(*key, "hour").agg(F.max(F.struct("epoch", *rest)).alias("last"))
+        write_partitioned(daily_message(readings.select(*key, "hour", *[f"last.{c}" for c in rest]), key, rules), sink, key, fmt="json")
 
     return hours.writeStream.foreachBatch(emit)
 

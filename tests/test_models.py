@@ -103,11 +103,29 @@ def test_saturated_fit_equals_iteration(customers):
     assert np.allclose(sorted(fit.summary.coefficientStandardErrors), sorted([mine["se_intercept"], mine["se_coefficient"]]), rtol=1e-4)
 
 
-def test_replicates_by_aggregation(customers):
-    small = C.bootstrap_replicates(customers, "post", "member", ["pre"], n=40, seed=1).toPandas().set_index("replicate")["effect"]
-    large = C.bootstrap_replicates(customers, "post", "member", ["pre"], n=40, seed=1, max_cells=10).toPandas().set_index("replicate")["effect"]
-    assert len(large) == 41 and np.isclose(small[0], large[0], atol=1e-9)
-    assert abs(small[1:].mean() - large[1:].mean()) < 0.01 and 0.5 < small[1:].std() / large[1:].std() < 2
+def test_replicates_match_resampled_rows(customers):
+    def brute(pdf):
+        w = 1 / np.where(pdf["member"] == 1, pdf["p"], 1 - pdf["p"])
+        w, y, m = np.minimum(w, np.quantile(w, 0.99)), pdf["post"].to_numpy(float), pdf["member"].to_numpy()
+        return np.average(y[m == 1], weights=w[m == 1]) - np.average(y[m == 0], weights=w[m == 0])
+
+    mine = C.bootstrap_replicates(customers, "post", "member", ["pre"], n=100, seed=1).toPandas().set_index("replicate")["effect"]
+    pdf = C.propensity(customers, "member", ["pre"]).select("post", "member", "propensity").toPandas().rename(columns={"propensity": "p"})
+    drawn = np.array([brute(pdf.sample(len(pdf), replace=True, random_state=i)) for i in range(100)])
+    assert len(mine) == 101 and np.isclose(mine[0], brute(pdf), atol=1e-4)
+    assert abs(mine[1:].mean() - drawn.mean()) < 0.01 and 0.75 < mine[1:].std() / drawn.std() < 1.33
+
+
+def test_replicates_do_not_depend_on_partitions(customers):
+    args = ("post", "member", ["pre"])
+    one, many = (C.bootstrap_replicates(customers.repartition(k), *args, n=5, seed=3).toPandas().set_index("replicate")["effect"].sort_index() for k in (1, 7))
+    assert np.allclose(one, many, atol=1e-9)
+
+
+def test_poisson_counts(spark):
+    draws = spark.range(60000).selectExpr("id", "array(0.5, 3, 5000)[id % 3] AS m").withColumn("u", F.shiftrightunsigned(F.xxhash64("id"), 11) * F.lit(2.0**-53))
+    out = draws.withColumn("c", C._poisson(F.col("m").cast("double"), "u")).groupBy("m").agg(F.avg("c"), F.var_samp("c")).collect()
+    assert len(out) == 3 and all(abs(r[1] / float(r[0]) - 1) < 0.03 and abs(r[2] / float(r[0]) - 1) < 0.06 for r in out)
 
 
 def test_prior_update(spark):

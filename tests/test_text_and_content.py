@@ -174,3 +174,16 @@ def test_alert_stream_replaces_a_repeated_day(spark, tmp_path):
         (date(2021, 5, 1), "<p><b>1:00 PM:</b> 60F with wind at 5 mph and clear</p>"),
         (date(2021, 5, 2), "<p>No Times to Run Today!</p>"),
     ]
+
+
+def test_alert_stream_keeps_a_day_that_arrives_in_parts(spark, tmp_path):
+    source, sink, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    schema = "day date, hour int, temp double, wind_speed double, status string"
+    day = date(2021, 5, 1)
+    # Two hours in two files, then a later reading of the first hour; a run without new files changes nothing.
+    for hour, temp in ((14, 60.0), (15, 61.0), (14, 62.0), (None, None)):
+        if hour:
+            spark.createDataFrame([(day, hour, temp, 5.0, "Clear")], schema).write.mode("append").json(source)
+        ST.run_available(ST.alert_stream(ST.stream_json(spark, source, schema, 1), ["day"], sink), state)
+    lines = "<b>2:00 PM:</b> 62F with wind at 5 mph and clear<br/><b>3:00 PM:</b> 61F with wind at 5 mph and clear"
+    assert rows(spark.read.schema("message string, day date").json(sink), "day", "message") == [(day, f"<p>{lines}</p>")]
