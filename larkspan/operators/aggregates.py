@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -132,6 +133,12 @@ def observed(df: DataFrame, name: str, **aggs: Column) -> tuple[DataFrame, Obser
     return df.observe(watch, *[c.alias(k) for k, c in aggs.items()]), watch
 
 
+def step_counts(steps: Mapping[str, DataFrame], **aggs: Column) -> DataFrame:
+    """Rows: one per named step with its aggregates, to read the steps' effects side by side."""
+    parts = [df.agg(*[c.alias(k) for k, c in aggs.items()]).select(F.lit(name).alias("step"), *aggs.keys()) for name, df in steps.items()]
+    return reduce(DataFrame.union, parts)
+
+
 def lump(df: DataFrame, col: str, n: int, other: str, out: str | None = None) -> DataFrame:
     """Keep the ``n`` most frequent values of a column and call the rest ``other``."""
     top = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), col).limit(n)

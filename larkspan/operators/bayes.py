@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -177,7 +177,7 @@ def eb_fit(df: DataFrame, k: str, n: str, covs: Sequence[str] = (), low: float =
 
 def _generator(seed: int, *key) -> np.random.Generator:
     """Random stream fixed by the key and seed, wherever the row is processed."""
-    return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+    return np.random.default_rng([seed, int.from_bytes(blake2b(repr(key).encode(), digest_size=16).digest())])
 
 
 def posterior_win_prob(df: DataFrame, key: Sequence[str], a: str, b: str, n: int = 1000, seed: int = 123) -> DataFrame:
@@ -207,6 +207,18 @@ def versus(posteriors: DataFrame, t: str, entity: str, a: str, b: str) -> DataFr
     return pick(a, "a").join(pick(b, "b"), t)
 
 
+def versus_leader(posteriors: DataFrame, t: str, entity: str) -> DataFrame:
+    """Per step every entity against the one of highest posterior mean (ties: the least entity).
+
+    The leaders fold map-side to one row per step, so the join has a small side.
+    """
+    mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
+    best = F.min_by(F.struct(F.col(entity).alias("leader"), F.col("alpha").alias("b_alpha"), F.col("beta").alias("b_beta")), F.struct(-mean, entity))
+    leaders = posteriors.groupBy(t).agg(best.alias("_best")).select(t, "_best.*")
+    sides = posteriors.select(t, entity, F.col("alpha").alias("a_alpha"), F.col("beta").alias("a_beta"))
+    return sides.join(leaders, t).filter(F.col(entity) != F.col("leader"))
+
+
 def posterior_predictive(
     df: DataFrame, entity: str, trials: int, points: float, n: int = 1000, seed: int = 2018
 ) -> DataFrame:

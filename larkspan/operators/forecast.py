@@ -7,6 +7,7 @@ its calendar; Spark spreads the groups over the tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from larkspan.plans.ordered import spread
 YEAR = 365.25
 Z95 = 1.959963984540054
 Z80 = 1.2815515655446004
+# Observations a series needs to be fitted.
+LEAST_ROWS = 2
 
 
 def us_holidays(years: DataFrame, col: str, window: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -115,16 +118,17 @@ def forecast_groups(
     """Forecast every series of a model frame (keys, cap, floor, ds, y) ``horizon`` steps ahead.
 
     Returns ds, keys, yhat, yhat_lower and yhat_upper; all lie between the bounds.
+    Series too short to fit are in ``forecast_rejects``.
     """
     keys = list(spec.keys)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "ds date", "yhat_lower double", "yhat_upper double", "yhat double"])
-    calendar = _holiday_days(df)
+    calendar = _holiday_days(df, horizon * 7 if spec.freq.startswith("W-") else horizon * int(spec.freq[:-1] or 1))
     step = spec.freq if spec.freq.startswith("W-") else f"{int(spec.freq[:-1] or 1)}D"
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["y"].notna()].sort_values("ds")
-        if len(pdf) < 2:
+        if len(pdf) < LEAST_ROWS:
             return pd.DataFrame(columns=[*keys, "ds", "yhat_lower", "yhat_upper", "yhat"])
         ds = pd.to_datetime(pdf["ds"])
         future = pd.date_range(ds.iloc[-1], periods=horizon + 1, freq=step)[-horizon:]
@@ -142,9 +146,20 @@ def forecast_groups(
     return spread(df.select(*keys, "cap", "floor", "ds", "y"), *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
-def _holiday_days(df: DataFrame, years: tuple[int, int] = (1970, 2100)) -> np.ndarray:
-    """The rule calendar as plain days: about 13 dates a year, fixed size."""
-    frame = df.sparkSession.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("y"))
+def forecast_rejects(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """The series that ``forecast_groups`` cannot fit: keys, observations, reason."""
+    seen = df.groupBy(*spec.keys).agg(F.count("y").alias("n"))
+    return seen.filter(F.col("n") < LEAST_ROWS).withColumn("reason", F.lit(f"fewer than {LEAST_ROWS} observations"))
+
+
+def _holiday_days(df: DataFrame, days_ahead: int) -> np.ndarray:
+    """The rule calendar over the data's years and the horizon as plain days: about 13 dates a year."""
+    span = df.agg(F.min("ds").alias("a"), F.max("ds").alias("b")).first()
+    if span.a is None:
+        return np.array([], dtype="datetime64[D]")
+    # New Year's Day may be observed in the year before.
+    years = range(span.a.year, (span.b + timedelta(days=days_ahead)).year + 2)
+    frame = df.sparkSession.range(years.start, years.stop).select(F.col("id").cast("int").alias("y"))
     rows = us_holidays(frame, "y").select("ds").distinct().collect()
     return np.array([r.ds for r in rows], dtype="datetime64[D]")
 

@@ -11,6 +11,7 @@ the exact answer; they only decide how even the blocks are.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,9 @@ from larkspan.session import checkpoint
 
 # Inputs the planner expects to stay under this size are numbered with one window per group.
 SMALL_BYTES = 64 * 1024 * 1024
-MAX_BLOCKS = 512
+# Plan nodes that make rows which the planner's size estimate does not count.
+GROWING = re.compile(r"\b(Generate|Expand|MapIn\w+|FlatMap\w+|MapPartitions\w*|LogicalRDD)\b")
+LEAST_BLOCKS_LIMIT = 512
 ROWS_PER_BLOCK = 1_000_000
 SAMPLES_PER_BLOCK = 16
 
@@ -29,25 +32,31 @@ FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate for ``df``; None where it cannot be asked."""
+    """The optimizer's size estimate for ``df``; None where it cannot be asked or relied on."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        plan = df._jdf.queryExecution().optimizedPlan()
+        return None if GROWING.search(plan.toString()) else int(str(plan.stats().sizeInBytes()))
     except Exception:
         return None
 
 
+def block_limit(df: DataFrame) -> int:
+    """As many blocks as the cluster has shuffle partitions, 512 at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_BLOCKS_LIMIT)
+
+
 def block_count(df: DataFrame, blocks: int | None = None) -> int:
-    """1 for input known to be small, else about one block per shuffle partition."""
+    """1 for input known to be small, else one block per shuffle partition."""
     if blocks is not None:
         return blocks
     size = estimated_bytes(df)
     if size is not None and size <= SMALL_BYTES:
         return 1
-    return max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def blocks_of_rows(rows: int) -> int:
-    return max(1, min(-(-rows // ROWS_PER_BLOCK), MAX_BLOCKS))
+def blocks_of_rows(rows: int, limit: int) -> int:
+    return max(1, min(-(-rows // ROWS_PER_BLOCK), limit))
 
 
 def _tuple(parts: Sequence[Column]) -> Column:
@@ -95,14 +104,15 @@ def with_position(
     blocks: int | None = None,
     derived: bool = False,
 ) -> DataFrame:
-    """Add the row number in group order, and optionally the group's row count,
+    """Add the row number (BIGINT) in group order, and optionally the group's row count,
     running values (current row included) and group sums.
 
     A running value is a column to sum, or ``("min" | "max" | "sum", column)``.
 
     ``order`` holds ascending expressions that make a total order in the group;
     negate a number for descending order. ``derived`` says that the input is the
-    result of joins or aggregations: unless known to be small it is checkpointed,
+    result of joins or aggregations: unless known to be small it is checkpointed
+    (as is input whose size the planner can't estimate, such as exploded rows),
     so that its three uses do not compute it three times, and its counted rows
     decide how many blocks are needed.
     """
@@ -110,16 +120,16 @@ def with_position(
     totals = dict(totals or {})
     order = list(order)
     n = block_count(df, blocks)
-    if n > 1 and derived:
+    if n > 1 and (derived or (blocks is None and estimated_bytes(df) is None)):
         df = checkpoint(df)
-        n = blocks if blocks is not None else blocks_of_rows(df.count())
+        n = blocks if blocks is not None else blocks_of_rows(df.count(), block_limit(df))
     if n <= 1:
         whole = Window.partitionBy(*keys)
         rows = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         new = {name: FOLD[fn](c).over(rows) for name, (fn, c) in running.items()}
         new |= {name: F.sum(c).over(whole) for name, c in totals.items()}
         if position:
-            new[position] = F.row_number().over(whole.orderBy(*order))
+            new[position] = F.row_number().over(whole.orderBy(*order)).cast("bigint")
         if total:
             new[total] = F.count(F.lit(1)).over(whole)
         return df.withColumns(new)
@@ -157,7 +167,7 @@ def with_position(
             new[k] = (F.least if fn == "min" else F.greatest)(earlier, here)
     new |= {k: F.col(f"_a_{k}") for k in totals}
     if position:
-        new[position] = (F.col("_first") + F.col("_at")).cast("int")
+        new[position] = F.col("_first") + F.col("_at")
     if total:
         new[total] = F.col("_all")
     keep = [c for c in cols if c not in new]

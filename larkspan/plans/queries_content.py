@@ -22,7 +22,7 @@ HOSTS = r"""
 WITH hosts AS (SELECT DISTINCT regexp_extract(url, '//([^/]+)', 1) AS host FROM pages),
 words AS (SELECT DISTINCT lower(unnest(string_split_regex(regexp_extract(html, '<title>(.*?)</title>', 1), '[^\pL\pN]+'))) AS w FROM pages),
 a AS (SELECT host, regexp_replace(host, '^m\.|\.example\.[a-z]+$', '', 'g') AS name FROM hosts),
-b AS (SELECT w, w AS name FROM words WHERE length(w) >= 5),
+b AS (SELECT w, w AS name FROM words WHERE w <> ''),
 j AS (SELECT host, w, a.name AS name_x, b.name AS name_y, damerau_levenshtein(a.name, b.name)::INT AS dist FROM a JOIN b ON damerau_levenshtein(a.name, b.name) <= 2)
 """
 
@@ -34,10 +34,10 @@ def hosts(t):
 
 
 def title_words(t):
-    """Distinct words of five or more letters in page titles."""
+    """Distinct words in page titles."""
     titles = t.pages.select(F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
     words = titles.select(F.explode(T.tokens(F.col("title"))).alias("w")).distinct()
-    return words.filter(F.char_length("w") >= 5).withColumn("name", F.col("w"))
+    return words.withColumn("name", F.col("w"))
 
 
 def matched(t):

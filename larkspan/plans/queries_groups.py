@@ -223,6 +223,23 @@ def _(t):
     return watched.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 5)
 
 
+@query(
+    "step_counts",
+    "E11",
+    """WITH kept AS (SELECT * FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 5)
+       SELECT 'orders read' AS step, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_groups, count(*) - count(o_totalprice) AS n_null FROM orders
+       UNION ALL SELECT 'customers with over 5', count(*), count(DISTINCT o_custkey), count(*) - count(o_totalprice) FROM kept""",
+)
+def _(t):
+    orders = t.orders.select("o_custkey", "o_totalprice")
+    often = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 5)
+    kept = orders.join(often, "o_custkey", "left_semi")
+    return A.step_counts(
+        {"orders read": orders, "customers with over 5": kept},
+        n_rows=F.count(F.lit(1)), n_groups=F.count_distinct("o_custkey"), n_null=F.count_if(F.col("o_totalprice").isNull()),
+    )
+
+
 @query(
     "lump",
     "E12",
@@ -276,7 +293,7 @@ def _(t):
 )
 def _(t):
     orders = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return V.row_index(orders, ["o_orderpriority"], [-F.col("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "row_index")
+    return V.row_index(orders, ["o_orderpriority"], [-F.col("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", F.col("row_index").cast("int").alias("row_index"))
 
 
 @query(
@@ -290,7 +307,7 @@ def _(t):
 def _(t):
     counts = name_counts(t).groupBy("state", "name").agg(F.sum("frequency").alias("n"))
     out = V.cum_share(counts, ["state"], [-F.col("n"), F.col("name")], "n", derived=True)
-    return out.select("state", "name", "n", "row_index", "cum_sum", F.round("cum_share", 9).alias("cum_share"))
+    return out.select("state", "name", "n", F.col("row_index").cast("int").alias("row_index"), "cum_sum", F.round("cum_share", 9).alias("cum_share"))
 
 
 @query(

@@ -305,8 +305,8 @@ def _(t):
 
 @query("win_probability", "L20")
 def _(t):
-    weeks = B.versus(evolution(t), "week", "user_id", 1, 2)
-    return B.posterior_win_prob(weeks, ["week"], "a", "b", n=1000)
+    weeks = B.versus_leader(evolution(t), "week", "user_id")
+    return B.posterior_win_prob(weeks, ["week", "user_id", "leader"], "a", "b", n=1000)
 
 
 @query("simulated_seasons", "L21 E16 F9")

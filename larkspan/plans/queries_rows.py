@@ -213,7 +213,7 @@ def _(t):
 def _(t):
     joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     counts = summarise(joined, ["n_name", "c_mktsegment"], n=F.count(F.lit(1)))
-    return C.with_order(counts, "c_mktsegment", "n", ["n_name"])
+    return C.with_order(counts, "c_mktsegment", "n", ["n_name"]).withColumn("label_order", F.col("label_order").cast("int"))
 
 
 @query(

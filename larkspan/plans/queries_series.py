@@ -241,10 +241,8 @@ def _(t):
     return K.bind_forecast(frame, ahead, SPEC, run_date("2001-08-01"))
 
 
-@query(
-    "us_holidays",
-    "L2",
-    """WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders),
+# The calendar of the years in orders, as b (holiday, d).
+HOLIDAYS = """WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders),
        d AS (SELECT y, unnest(generate_series(make_date(y, 1, 1)::TIMESTAMP, make_date(y, 12, 31)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM y),
        k AS (SELECT d, month(d) AS m, day(d) AS dd, isodow(d) AS w FROM d),
        h AS (SELECT d, CASE
@@ -255,7 +253,14 @@ def _(t):
          WHEN m = 10 AND w = 1 AND dd BETWEEN 8 AND 14 THEN 'Columbus Day' WHEN m = 11 AND dd = 11 THEN 'Veterans Day'
          WHEN m = 11 AND w = 4 AND dd BETWEEN 22 AND 28 THEN 'Thanksgiving' WHEN m = 12 AND dd = 25 THEN 'Christmas Day' END AS holiday FROM k),
        b AS (SELECT holiday, d FROM h WHERE holiday IS NOT NULL
-             UNION ALL SELECT holiday || ' (observed)', CASE isodow(d) WHEN 6 THEN d - 1 ELSE d + 1 END FROM h WHERE holiday IS NOT NULL AND isodow(d) >= 6)
+             UNION ALL SELECT holiday || ' (observed)', CASE isodow(d) WHEN 6 THEN d - 1 ELSE d + 1 END FROM h WHERE holiday IS NOT NULL AND isodow(d) >= 6)"""
+
+
+@query(
+    "us_holidays",
+    "L2",
+    HOLIDAYS
+    + """
        SELECT holiday, d + o::INT AS ds, o::INT AS "offset" FROM b, range(-1, 2) AS r(o)""",
 )
 def _(t):
@@ -265,15 +270,13 @@ def _(t):
 @query(
     "holiday_sales",
     "L2",
-    """SELECT CASE WHEN strftime(o_orderdate, '%m-%d') IN ('07-04', '12-25', '01-01', '11-11') THEN 1 ELSE 0 END AS fixed_day,
-       count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
+    HOLIDAYS.replace("SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders", "SELECT DISTINCT year(o_orderdate)::INT + unnest([0, 1]) AS y FROM orders")
+    + """ SELECT (o_orderdate::DATE IN (SELECT d FROM b))::INT AS is_holiday, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
 )
 def _(t):
     days = t.orders.select(F.to_date("o_orderdate").alias("ds"), "o_totalprice")
-    fixed = F.date_format("ds", "MM-dd").isin("07-04", "12-25", "01-01", "11-11").cast("int")
-    # Every fixed-date holiday must be flagged by the calendar; other flags do not count here.
-    marked = P.mark_holidays(days, "ds").withColumn("fixed_day", F.least(fixed, F.col("is_holiday")))
-    return marked.groupBy("fixed_day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    marked = P.mark_holidays(days, "ds")
+    return marked.groupBy("is_holiday").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(

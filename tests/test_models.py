@@ -165,6 +165,12 @@ def test_prior_fit_with_covariates(spark):
     assert np.allclose(coefs, [0.5, 0.03, 0.01], atol=[0.03, 0.004, 0.003]) and abs(sigma - 1 / 80) < 0.002
 
 
+def test_everyone_meets_the_leader(spark):
+    df = spark.createDataFrame([(1, "a", 8, 2), (1, "b", 5, 5), (1, "c", 4, 1), (2, "a", 1, 9)], "w int, who string, alpha int, beta int")
+    out = rows(B.versus_leader(df, "w", "who"), "w", "who", "leader", "a_alpha", "b_beta")
+    assert out == [(1, "b", "a", 5, 2), (1, "c", "a", 4, 2)]
+
+
 def test_comparisons(spark):
     df = spark.createDataFrame([(1, 50.0, 10.0, 10.0, 50.0), (2, 5.0, 5.0, 5.0, 5.0)], "w int, a_alpha double, a_beta double, b_alpha double, b_beta double")
     won = dict(rows(B.posterior_win_prob(df, ["w"], "a", "b", n=4000)))

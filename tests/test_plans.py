@@ -128,3 +128,14 @@ def test_results_do_not_depend_on_partitions(spark, sf):
             out.append(rows(QUERIES[name].run(spark, sf)))
         spark.conf.set("spark.sql.shuffle.partitions", before)
         assert out[0] == out[1], name
+
+
+def test_grown_input_is_counted(spark):
+    grown = spark.createDataFrame([(1,)], "k int").select(F.explode(F.sequence(F.lit(1), F.lit(100))).alias("v"))
+    assert O.estimated_bytes(grown) is None
+    out = O.with_position(grown, [], [F.col("v")])
+    assert dict(out.dtypes)["pos"] == "bigint" and out.filter("pos = v").count() == 100
+
+
+def test_block_limit_follows_the_cluster(spark):
+    assert O.blocks_of_rows(10**13, 4000) == 4000 and O.blocks_of_rows(10, 4000) == 1

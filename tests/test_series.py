@@ -145,6 +145,21 @@ def test_forecast_stays_in_bounds(spark):
     assert all(r["yhat_upper"] <= 260 for r in P.forecast_groups(steep, spec).collect())
 
 
+def test_forecast_rejects_short_series(spark):
+    spec = K.SeriesSpec(("k",), "ds", "y")
+    one = series(spark, weeks=1).withColumn("k", F.lit(2))
+    none = series(spark, weeks=3).withColumns({"k": F.lit(3), "y": F.lit(None).cast("double")})
+    df = series(spark).unionByName(one).unionByName(none)
+    assert rows(P.forecast_rejects(df, spec), "k", "n") == [(2, 1), (3, 0)]
+    assert [r["k"] for r in P.forecast_groups(df, spec).select("k").distinct().collect()] == [1]
+
+
+def test_holidays_of_far_years(spark):
+    df = spark.createDataFrame([(date(2149, 12, 25),), (date(2150, 12, 30),)], "ds date")
+    days = P._holiday_days(df, 14)
+    assert np.datetime64("2149-12-25") in days and np.datetime64("2151-01-01") in days and days.min().astype(object).year == 2149
+
+
 def test_smoothing_picks_a_trend(spark):
     years = spark.range(2000, 2019).withColumnRenamed("id", "year")
     df = expand_grid(spark.createDataFrame([("up",), ("flat",)], "name string"), years).withColumn(
