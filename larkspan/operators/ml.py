@@ -9,12 +9,13 @@ from typing import Protocol
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.sets import hash_key
 from larkspan.operators.windows import with_ntile
 from larkspan.plans.ordered import spread, with_position
+from larkspan.session import shared_folder
 
 
 class Predictor(Protocol):
@@ -88,6 +89,12 @@ def _regressor(y: str, trees: int, mtry: int | None, rate: float, depth: int, se
     )
 
 
+def _cut_lineage(spark: SparkSession) -> None:
+    """Spark ML cuts the lineage of a long fit every tenth tree, but only where a checkpoint folder is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def fit_gbt(
     df: DataFrame, x: Sequence[str], y: str, trees: int = 100, mtry: int | None = None, rate: float = 0.01, depth: int = 6, seed: int = 1
 ) -> PipelineModel:
@@ -96,6 +103,7 @@ def fit_gbt(
     Training passes over the rows once per tree level, so the few columns it
     needs are spread evenly over the tasks and kept first.
     """
+    _cut_lineage(df.sparkSession)
     assembler = VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip")
     data = spread(df.select(*x, y)).persist()
     try:
@@ -113,6 +121,7 @@ def tune(
     One fit per fold and mtry grows the longest model; shorter ones are its
     first trees, so their errors are read off stage by stage.
     """
+    _cut_lineage(df.sparkSession)
     data = VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip").transform(spread(df.select(*x, y, fold))).select("_x", y, fold).persist()
     longest = max(trees)
 

@@ -402,24 +402,26 @@ def model_rows(t):
 @query("boosted_trees", "M5 M7 M1 G9")
 def _(t):
     rows = model_rows(t)
-    model = M.fit_gbt(rows.filter(F.col("part") == "train"), FEATURES, "l_extendedprice", trees=5, mtry=4, rate=0.1, depth=4)
+    model = M.fit_gbt(rows.filter(F.col("part") == "train"), FEATURES, "l_extendedprice", mtry=4)
     scored = with_prediction(model, rows.filter(F.col("part") == "test"))
     return M.mae(scored, "l_extendedprice", "prediction")
 
 
 @query("tuned_trees", "M6 M2 G3")
 def _(t):
-    rows = t.part.select("p_partkey", "p_size", "p_retailprice", (F.col("p_type") == "PROMO").cast("int").alias("promo"), F.length("p_name").alias("chars"))
-    folded = M.kfold(rows, ["p_partkey"], "p_retailprice", k=3)
+    # A grid up to mtry 8 needs more than 8 features, or its points repeat each other.
+    flags = [F.array_contains(F.split("p_name", " "), w).cast("int").alias(c) for w, c in WORDS.items()]
+    rows = t.part.select("p_partkey", "p_size", "p_retailprice", (F.col("p_type") == "PROMO").cast("int").alias("promo"), F.length("p_name").alias("chars"), *flags)
+    folded = M.kfold(rows, ["p_partkey"], "p_retailprice", k=5)
     x = other_columns(rows, "p_partkey", "p_retailprice")
-    scores = M.tune(folded, x, "p_retailprice", mtry=[1, 2], trees=[2, 4, 6], folds=3, rate=0.1, depth=3)
+    scores = M.tune(folded, x, "p_retailprice", mtry=[2, 4, 6, 8], trees=range(50, 1001, 50), parallelism=20)
     return argmin(scores, "mae", ["mtry", "trees"])
 
 
 @query("feature_importance", "M8 M5")
 def _(t):
     rows = model_rows(t)
-    model = M.fit_gbt(rows.filter(F.col("part") == "train"), FEATURES, "l_extendedprice", trees=3, rate=0.1, depth=3)
+    model = M.fit_gbt(rows.filter(F.col("part") == "train"), FEATURES, "l_extendedprice")
     return M.importance(rows, model, FEATURES)
 
 
@@ -427,7 +429,7 @@ def _(t):
 def _(t):
     rows = model_rows(t)
     train = rows.filter(F.col("part") == "train")
-    model = M.fit_gbt(train, FEATURES, "l_extendedprice", trees=3, rate=0.1, depth=3)
+    model = M.fit_gbt(train, FEATURES, "l_extendedprice")
     means = train.agg(*[F.avg(c).alias(c) for c in FEATURES]).first().asDict()
     return M.break_down(model, train, FEATURES, {**means, "l_quantity": 45.0, "p_size": 25.0})
 
@@ -435,6 +437,6 @@ def _(t):
 @query("scored_hypotheticals", "M10 M5")
 def _(t):
     rows = model_rows(t)
-    model = M.fit_gbt(rows.filter(F.col("part") == "train"), FEATURES, "l_extendedprice", trees=3, rate=0.1, depth=3)
+    model = M.fit_gbt(rows.filter(F.col("part") == "train"), FEATURES, "l_extendedprice")
     typical = rows.groupBy("promo").agg(*[F.avg(c).alias(c) for c in FEATURES if c != "promo"])
     return M.score(model, typical.withColumn("l_quantity", F.lit(45.0)))

@@ -13,6 +13,7 @@ from larkspan.operators import geo as P
 from larkspan.operators import ml as M
 from larkspan.operators import stats as S
 from larkspan.operators.aggregates import lump, mean_ci
+from larkspan.plans.catalog import QUERIES
 
 
 def test_beta_identities():
@@ -233,6 +234,36 @@ def test_tuning_reads_stages(trees):
     assert errors == sorted(errors, reverse=True) and len(errors) == 3
 
 
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["boosted_trees", "feature_importance", "break_down", "scored_hypotheticals", "tuned_trees"])
+def test_queries_register_the_surveyed_trees(spark, sf, monkeypatch, name):
+    asked = {}
+
+    def fit(df, x, y, trees=100, mtry=None, rate=0.01, depth=6, seed=1):
+        asked.update(trees=[trees], rate=rate, depth=depth)
+        raise Asked
+
+    def tune(df, x, y, mtry, trees, fold="fold", folds=5, rate=0.01, depth=6, seed=123, parallelism=2):
+        asked.update(mtry=list(mtry), trees=list(trees), rate=rate, depth=depth, folds=folds, seen=df.select(fold).distinct().count(), features=len(x))
+        raise Asked
+
+    monkeypatch.setattr(M, "fit_gbt", fit)
+    monkeypatch.setattr(M, "tune", tune)
+    with pytest.raises(Asked):
+        QUERIES[name].run(spark, sf)
+    assert min(asked["trees"]) >= 50 and (asked["rate"], asked["depth"]) == (0.01, 6)
+    if name == "tuned_trees":
+        assert asked["mtry"] == [2, 4, 6, 8] and asked["trees"] == list(range(50, 1001, 50))
+        assert asked["folds"] == asked["seen"] == 5 and asked["features"] > 8
+
+
+def test_long_fits_have_a_checkpoint_folder(spark, trees):
+    assert spark.sparkContext.getCheckpointDir() is not None
+
+
 def tour_length(points, order):
     p = points[order]
     return np.sqrt(((p - np.roll(p, -1, axis=0)) ** 2).sum(1)).sum()
