@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larkspan.functions.scalar import earth_feet
 from larkspan.functions.text import FEET_PER_MILE, to_feet
 from larkspan.plans.ordered import attach, spread, with_neighbour, with_position
+from larkspan.session import checkpoint
 
 
 def distance(metric: str, lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -46,26 +47,42 @@ def pair_dist(
 
 
 def curve_key(lat: Column, lng: Column, bits: int = 16) -> Column:
-    """Place on a Z-order curve: interleaved bits of the scaled coordinates."""
+    """Place on a Hilbert curve over the scaled coordinates: neighbours on it are neighbours on the map."""
     scale = (1 << bits) - 1
     x = F.floor((lng + 180) / 360 * scale).cast("bigint")
     y = F.floor((lat + 90) / 180 * scale).cast("bigint")
-    out = F.lit(0).cast("bigint")
-    for b in range(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftright(x, b).bitwiseAND(F.lit(1).cast("bigint")), 2 * b))
-        out = out.bitwiseOR(F.shiftleft(F.shiftright(y, b).bitwiseAND(F.lit(1).cast("bigint")), 2 * b + 1))
-    return out
+    one = F.lit(1).cast("bigint")
 
+    def step(at: Column, bit: Column) -> Column:
+        rx, ry = (F.call_function("shiftright", at[c], bit).bitwiseAND(one) for c in "xy")
+        flip = (ry == 0) & (rx == 1)
+        fx, fy = (F.when(flip, scale - at[c]).otherwise(at[c]) for c in "xy")
+        return F.struct(
+            F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"),
+            (at["key"] * 4 + (rx * 3).bitwiseXOR(ry)).alias("key"),
+        )
 
-def two_opt(points: np.ndarray, closed: bool) -> np.ndarray:
-    """Visiting order from the first point: nearest neighbour, then 2-opt until no gain."""
-    n = len(points)
-    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
-    tour, left = [0], set(range(1, n))
+    first = F.struct(x.alias("x"), y.alias("y"), F.lit(0).cast("bigint").alias("key"))
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), first, step, lambda at: at["key"])
+
+
+def lengths(points: np.ndarray) -> np.ndarray:
+    """Distances of all points of a piece."""
+    return np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
+
+
+def nearest_first(d: np.ndarray) -> np.ndarray:
+    """Visiting order from the first point, always on to the nearest point left."""
+    tour, left = [0], set(range(1, len(d)))
     while left:
         tour.append(min(left, key=lambda j: (d[tour[-1], j], j)))
         left.remove(tour[-1])
-    tour, better = np.array(tour), True
+    return np.array(tour)
+
+
+def improve(tour: np.ndarray, d: np.ndarray, closed: bool) -> tuple[np.ndarray, bool]:
+    """2-opt until no gain, and whether there was one. The first point stays; so does the last of an open piece."""
+    n, gained, better = len(tour), False, True
     while better:
         better = False
         for i in range(1, n - 1):
@@ -79,8 +96,14 @@ def two_opt(points: np.ndarray, closed: bool) -> np.ndarray:
             if gain[best] > 1e-12:
                 stop = int(j[best]) + 1
                 tour[i:stop] = tour[i:stop][::-1].copy()
-                better = True
-    return tour
+                better = gained = True
+    return tour, gained
+
+
+def two_opt(points: np.ndarray, closed: bool) -> np.ndarray:
+    """Visiting order from the first point: nearest neighbour, then 2-opt until no gain."""
+    d = lengths(points)
+    return improve(nearest_first(d), d, closed)[0]
 
 
 def route_groups(
@@ -88,28 +111,46 @@ def route_groups(
 ) -> DataFrame:
     """Round trip per group from its depot through all stops: adds ``tour_pos`` from 1.
 
-    Stops are put on a space-filling curve, depot first, and cut into pieces of
-    at most ``max_stops``; each piece is optimised in its own task and the pieces
-    follow each other along the curve. A group within the limit is one piece and
-    gets the plain 2-opt tour; a huge group never lands in one task.
+    Stops are put on a space-filling curve, depot first, and the closed tour is
+    cut into equal pieces of at most ``max_stops``, each optimised in its own
+    task. Passes over the pieces follow, cut by turns half a piece further
+    (across the tour's end) and as at first, until a pass finds no gain: then no
+    2-opt move inside any piece of either cut is left. A group of one piece is
+    the closed tour itself. A huge group never lands in one task.
     """
     group = list(group)
     order = [F.when(F.col(depot), F.lit(0)).otherwise(F.lit(1)), curve_key(F.col(lat), F.col(lng)), F.col(key)]
     placed = with_position(df, group, order, "_at", total="_n", blocks=blocks)
-    pieces = placed.withColumns(
-        {"_piece": F.floor((F.col("_at") - 1) / F.lit(max_stops)).cast("int"), "_whole": F.col("_n") <= max_stops}
-    )
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in df.columns], "tour_pos bigint"])
-
-    def one(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        tour = two_opt(pdf[[lat, lng]].to_numpy(float), bool(pdf["_whole"].iloc[0]))
-        out = pdf.iloc[tour].copy()
-        out["tour_pos"] = int(pdf["_at"].iloc[0]) + np.arange(len(out))
-        return out.drop(columns=["_at", "_n", "_piece", "_whole"])
-
-    return spread(pieces, *group, "_piece").groupBy(*group, "_piece").applyInPandas(one, schema)
+    placed = placed.withColumns({"_first": F.col("_at") == 1, "_gained": F.lit(False)})
+    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items())
+
+    def one_pass(tours: DataFrame, shifted: bool, start: bool) -> DataFrame:
+        # The cut is floor(place * pieces / n), where place counts from the cut's first stop.
+        count = F.ceil(F.col("_n") / F.lit(max_stops))
+        half = F.floor(F.col("_n") / (2 * count)) if shifted else F.lit(0)
+        place = F.pmod(F.col("_at") - 1 + half, F.col("_n"))
+        pieces = tours.withColumns({"_place": place, "_piece": F.floor(place * count / F.col("_n")).cast("bigint")})
+
+        def one(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_place")
+            d = lengths(pdf[[lat, lng]].to_numpy(float))
+            tour, gained = improve(nearest_first(d) if start else np.arange(len(pdf)), d, len(pdf) == int(pdf["_n"].iloc[0]))
+            out = pdf.iloc[tour].copy()
+            out["_at"] = pdf["_at"].to_numpy()
+            out["_gained"] = gained
+            return out.drop(columns=["_place", "_piece"])
+
+        return checkpoint(spread(pieces, *group, "_piece").groupBy(*group, "_piece").applyInPandas(one, schema))
+
+    tours, shifted = one_pass(placed, False, True), True
+    several = F.col("_n") > max_stops
+    while tours.filter(several).limit(1).count():
+        tours = one_pass(tours, shifted, False)
+        if not tours.filter(several & F.col("_gained")).limit(1).count():
+            break
+        shifted = not shifted
+    return rotate(tours.drop("_n"), group, "_at", "_first", "tour_pos").select(*df.columns, "tour_pos")
 
 
 def rotate(df: DataFrame, group: Sequence[str], position: str, depot: str, out: str = "route_order") -> DataFrame:

@@ -298,6 +298,18 @@ def test_a_huge_route_is_cut_into_pieces(spark):
     assert tour_length(pts, np.arange(300)) < 0.4 * tour_length(pts, rng.permutation(300))
 
 
+@pytest.mark.parametrize("n", [40, 50, 51, 120, 300])
+def test_pieces_lengthen_a_route_little(spark, n):
+    df = stops(spark, 1, n, seed=3)
+    length = {}
+    for limit in (50, 1000):
+        out = P.route_groups(df, ["g"], "i", "lat", "lng", "depot", max_stops=limit).toPandas().sort_values("tour_pos")
+        assert sorted(out["i"]) == list(range(n)) and out["depot"].iloc[0] and list(out["tour_pos"]) == list(range(1, n + 1))
+        length[limit] = tour_length(out[["lat", "lng"]].to_numpy(), np.arange(n))
+    print(n, length)
+    assert length[50] <= 1.15 * length[1000]
+
+
 def test_rotation(spark):
     df = spark.createDataFrame([(1, "a", 1, False), (1, "b", 2, False), (1, "d", 3, True), (2, "d", 1, True), (2, "e", 2, False)], "g int, s string, pos int, depot boolean")
     assert rows(P.rotate(df, ["g"], "pos", "depot"), "g", "route_order", "s") == [(1, 1, "d"), (1, 2, "a"), (1, 3, "b"), (2, 1, "d"), (2, 2, "e")]
