@@ -2,8 +2,8 @@
 
 Markup is cut into blocks at block-level tags. Elements whose role is not the
 article (navigation, page headers and footers, asides, forms, scripts, and
-elements whose class or id says advert, sidebar, notice, comments and the like)
-give no blocks.
+hidden elements, and elements whose class or id says advert, sidebar, notice,
+comments and the like; never article or main by their class or id) give no blocks.
 
 Pass 1 decides blocks by link density, length and stop-word density: mostly
 links is boilerplate, long text with many stop words is content, and so is any
@@ -14,7 +14,8 @@ or what lies outside them): where both sides agree, or one side is nearer or
 alone; at equal distance headings follow the next block and others the more
 content-like side. In a landmark without decided blocks open blocks are content,
 outside of one they are not. A page that has a landmark with content takes none
-from outside it.
+from outside it. Where no landmark has text and pass 1 finds no content, as in
+languages without stop words here, it is repeated by link density and length.
 
 Cases: null and empty pages, and pages without content blocks, give the empty
 text. Pages are read whole; tags cut off at the end are dropped. Repeated rows
@@ -38,7 +39,7 @@ MANY, FEW = 0.12, 0.04
 LINKS = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
-_NAMES = re.compile(r"""(?i)\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden|aria-hidden)\b""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW = frozenset("script style noscript template textarea iframe svg math title object canvas".split())
 _ROLE = frozenset("nav footer aside form button select option dialog head menu fieldset".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -46,6 +47,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SECTION = frozenset("article aside body div footer form header main nav section table td ul ol".split())
 _NOT_MAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice alert popup modal comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe footer masthead toolbar widget contentinfo complementary search".split())
+# Words that may stand beside those in a compound name (site-footer, comment-list); others make a modifier (has-sidebar, tag-ads).
+_PARTS = frozenset("site page main global top bottom list box block container wrap wrapper area section slot unit form link links button buttons bar item items post posts article articles inner outer primary secondary header title".split())
 # Frequent function words of the languages served; a parameter of the density, not a list to match.
 STOP_WORDS = frozenset(
     "the of and to in is it that for on as with by are be this was at from or an a he you not but they have had his her she which we all there their been has when who will more no if out so what up "
@@ -56,6 +59,25 @@ STOP_WORDS = frozenset(
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def not_main(name: str, attributes: str) -> bool:
+    """Whether the attributes of an element say that it isn't the article.
+
+    Class and id count by whole tokens between blanks, never on a landmark; role
+    and the two ways to hide count everywhere. A compound token counts where all
+    its parts are known.
+    """
+    for found in _ATTRIBUTE.finditer(attributes):
+        key, value = found.group(1).lower(), entities.unescape((found.group(2) or "").strip("\"'")).strip().lower()
+        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+            return True
+        if key == "role" or (key in ("class", "id") and name not in ("article", "main")):
+            for token in value.split():
+                parts = {x for x in re.split(r"[^a-z]+", token) if x}
+                if parts & _NOT_MAIN and parts <= _NOT_MAIN | _PARTS:
+                    return True
+    return False
+
+
 @dataclass
 class Block:
     text: str
@@ -129,20 +151,20 @@ def blocks_of(page: str) -> list[Block]:
         if name in _ROLE or (name == "header" and not landmark):
             outside = True
         if not outside and attributes and name not in ("html", "body"):
-            for found in _NAMES.finditer(attributes):
-                if found.group(3) or _NOT_MAIN.intersection(re.split(r"[^a-z]+", found.group(2).lower())):
-                    outside = True
+            outside = not_main(name, attributes)
         stack.append((name, outside, landmark))
     add(page[at:])
     flush(any(n in _HEADING for n, _, _ in stack))
     return out
 
 
-def first_pass(block: Block) -> bool | None:
-    """True for content, False for boilerplate, None if open."""
+def first_pass(block: Block, by_words: bool = True) -> bool | None:
+    """True for content, False for boilerplate, None if open; without ``by_words`` by links and length alone."""
     size = len(block.text)
     if block.linked > LINKS * size and not block.heading:
         return False
+    if not by_words:
+        return True if size >= (SHORT if block.landmark else LONG) else None
     words = _WORD.findall(block.text)
     stops = sum(w.lower() in STOP_WORDS for w in words) / max(1, len(words))
     if size >= LONG and stops >= MANY:
@@ -178,6 +200,9 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     for block in blocks:
         block.label = first_pass(block)
+    if not any(b.label or b.landmark for b in blocks):
+        for block in blocks:
+            block.label = first_pass(block, by_words=False)
     second_pass(blocks)
     inside = [b for b in blocks if b.label and b.landmark]
     return " ".join(b.text for b in (inside or [b for b in blocks if b.label]))

@@ -118,6 +118,30 @@ def test_block_rules():
     assert [html_text.main_text(x) for x in (None, "", "<p", "<nav>a</nav>", "<!-- x")] == [""] * 5
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow:hidden"', 'aria-hidden="false"', 'title="hidden in a class=ad"', "data-href=/hidden/x", 'class="layout has-sidebar"', 'class="post tag-ads"', 'data-id="ad"', 'data-class="footer"', "id=no-comments"],
+)
+def test_attributes_that_keep_an_element(attributes):
+    assert html_text.main_text(f"<div {attributes}><article {attributes}><p>Kept text.</p></article></div>") == "Kept text."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', 'aria-hidden="true"', "class='x ad'", "class=site-footer", 'id="comment-list-2"', 'CLASS="Sidebar"', "role=navigation"])
+def test_attributes_that_drop_an_element(attributes):
+    assert html_text.main_text(f"<article><p>Kept.</p><div {attributes}>Gone.</div></article>") == "Kept."
+
+
+def test_landmarks_are_kept_whatever_their_class():
+    assert html_text.main_text('<main id="related"><article class="sidebar ad"><p>Kept.</p></article></main>') == "Kept."
+    assert html_text.main_text("<article hidden><p>Gone.</p></article>") == ""
+
+
+def test_other_languages_are_judged_by_length_and_links():
+    text = "Съешь ещё этих мягких французских булок, да выпей чаю. " * 5
+    page = f'<div><a href="/">Главная</a></div><div><p>{text}</p><p>{text}</p></div><div><a href="/x">{text}</a></div>'
+    assert html_text.main_text(page) == " ".join([text.strip()] * 2)
+
+
 def test_main_text_edges(spark):
     out = html_text.extract(edge_pages(spark))
     assert out.count() == 8 and out.where("text is null or n_chars is null").count() == 0
