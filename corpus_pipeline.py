@@ -40,8 +40,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Copies are told apart by their id and, for equal or missing ids, by their place in the table.
+    # A place depends on how files are split, so the numbered rows are stored and every step reads those.
     ids = Scratch(spark, "rows")
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = ids.store(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = ids.store(jaccard_components(keyed, "_row"), "components")
     rows = keyed.select("_row", F.col("doc_id").alias("_id")).join(found.withColumnRenamed("doc_id", "_row"), "_row")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_row")).alias("first"))

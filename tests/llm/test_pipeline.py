@@ -53,3 +53,25 @@ def test_stages_bear_edges(spark, sf):
     assert left.schema == spark.createDataFrame([], DOCS).schema
     # One of the cat rows, one of the two-word rows, and every row without words.
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 6), (False, 8), (False, 9), (True, 0)]
+
+
+def test_near_duplicates_bear_other_file_splits(spark, sf, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(6, "doc_id").write.parquet(str(tmp_path / "docs"))
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    found = corpus_pipeline.jaccard_components
+
+    def then_split_otherwise(*args):
+        out = found(*args)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "jaccard_components", then_split_otherwise)
+    try:
+        left = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(str(tmp_path / "docs")), sf)
+        kept = sorted(r.doc_id for r in left.collect())
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert kept == sorted({c for _, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()])})
