@@ -4,7 +4,7 @@ A rule names a host and the start of a path; it fits the host and all its
 subdomains, and the longest fitting rule decides. URLs without a rule get the
 verdict of boosted trees on lexical features: lengths, depth, share of digits
 and hyphens, character entropy of the host, parameter counts, and the block rate
-of the URL's suffix in the labelled sample. Everything is DataFrame functions
+of the URL's suffix among all labelled URLs. Everything is DataFrame functions
 and Spark ML; no Python runs on executors.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no
@@ -31,7 +31,6 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 # Words of hosts that label a URL as unwanted; the trees see lexical features only, never these words.
 UNWANTED = ("casino", "bets", "pills", "adult", "ads", "spam", "porn", "warez")
 MAX_ROWS = 4000
-SUFFIXES = 64
 TREES, DEPTH, RATE = 10, 3, 0.3
 FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_labels", "f_digits", "f_hyphens", "f_longest", "f_entropy", "f_params", "f_query", "f_suffix"]
 
@@ -103,18 +102,18 @@ def judged(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str
     scratch = Scratch(pages.sparkSession, "url-filter")
     parts = [labelled.where(F.col("label") == k).select("url", F.col("label").cast("double").alias("label")).distinct().orderBy(F.xxhash64("url"), "url").limit(max_rows) for k in (0, 1)]
     sample = scratch.store(with_features(parts[0].union(parts[1]).coalesce(1)), "sample")
-    rates = sample.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), ((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("rate")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    rate = F.lit(0.5)
-    for row in rates:
-        rate = F.when(F.col("suffix") == row["suffix"], F.lit(row["rate"])).otherwise(rate)
+    known = labelled.where(F.col("label").isin(0, 1)).select("url", F.col("label").cast("double").alias("label")).distinct()
+    known = known.withColumn("suffix", F.substring_index(host_of(F.coalesce(F.col("url"), F.lit(""))), ".", -1))
+    rates = scratch.store(known.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("f_suffix")), "suffixes")
+    rated = lambda df: df.join(rates, "suffix", "left").fillna(0.5, ["f_suffix"])
     classes = [r["label"] for r in sample.select("label").distinct().collect()]
-    rows = with_features(pages.select("page_id", "url")).withColumn("f_suffix", rate)
+    rows = rated(with_features(pages.select("page_id", "url")))
     if len(classes) == 2:
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=5, featuresCol="features", labelCol="label")
         # Both classes weigh alike.
         share = sample.agg(F.avg("label")).first()[0]
-        weighed = assemble.transform(sample.withColumn("f_suffix", rate)).withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+        weighed = assemble.transform(rated(sample).coalesce(1).sortWithinPartitions(F.xxhash64("url"), "url")).withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
         model = trees.setWeightCol("weight").fit(weighed)
         rows = model.transform(assemble.transform(rows)).withColumn("score", vector_to_array("probability")[1])
     else:

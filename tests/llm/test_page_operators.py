@@ -189,3 +189,20 @@ def test_url_edges(spark):
             assert r.verdict in ("allow", "block") and r.host is not None and r.path is not None
     assert {(r.page_id, r.rule) for r in rows if r.rule} == {(3, "org/"), (None, "com/de/"), (7, "example.org/en/1")}
     assert url_filter.judged(pages.limit(0), labelled).count() == 0
+
+
+def test_every_labelled_suffix_counts(spark, monkeypatch):
+    # 100 suffixes of 4 URLs each, told apart by nothing but the suffix; few of them are trained on.
+    rows = [(f"http://host.t{chr(97 + k // 10)}{chr(97 + k % 10)}/{i}", k % 2) for k in range(100) for i in range(4)]
+    seen = []
+    transform = url_filter.VectorAssembler.transform
+
+    def spy(self, df, *args):
+        seen.append(df)
+        return transform(self, df, *args)
+
+    monkeypatch.setattr(url_filter.VectorAssembler, "transform", spy)
+    pages = spark.createDataFrame([(n, u) for n, (u, _) in enumerate(rows)], "page_id long, url string")
+    url_filter.judged(pages, spark.createDataFrame(rows, "url string, label int"), max_rows=60)
+    rates = {r["suffix"]: r["f_suffix"] for r in seen[-1].select("suffix", "f_suffix").distinct().collect()}
+    assert len(rates) == 100 and set(rates.values()) == {1 / 6, 5 / 6}
