@@ -32,18 +32,27 @@ from pyspark.sql import functions as F
 from larkspan.llm.scratch import Scratch
 
 SCALE = 256
-LIMIT = float(1 << 23)
 INDEX_ROWS, QUERY_ROWS = 8192, 256
 
 _U = np.uint64
 
 
+def integers(df: DataFrame, vector_col: str, out: str, scale: int = SCALE) -> DataFrame:
+    """``df`` with ``out``, floor(scale * x) of the components of an array of doubles, as longs.
+
+    Rows whose vector is null or holds a null or non-finite component go; a
+    component that doesn't fit a long is an error.
+    """
+    fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = df.where(F.col(vector_col).isNotNull()).where(fine)
+    over = F.raise_error(F.lit("a vector component leaves 64 bits")).cast("long")
+    return kept.withColumn(out, F.transform(vector_col, lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale).cast("long")).otherwise(over)))
+
+
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and the integer vector v of the rows that take part."""
-    fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT))
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(fine)
-    return rows.select("vec_id", F.transform("e", lambda x: F.floor(x * SCALE).cast("int")).alias("v"))
+    return integers(rows.where(F.col("vec_id").isNotNull()), "e", "v").select("vec_id", "v")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
