@@ -9,14 +9,16 @@ once, three to two, until one bitmap per weight is left. The top rows are chosen
 from the most significant slice downward; the rows left equal at the boundary
 are taken by smallest id. Every step is exact.
 
-Queries are packed in blocks as well and meet every index block by an equi-join
-on the block's number; a block returns k rows a query.
-
-Cases: vectors that are null or hold a null or non-finite component, or one of
-2**23 or more in size, whose score might not fit a long, take no part, nor do
-rows without an id. Vectors meet those of the same length only. A query's own
-row, and rows that repeat its id, are no candidates for it; an id that asks with
-several vectors asks with the least of them. Rows that repeat a candidate may fill several ranks.
+Queries are dealt in groups, index rows in blocks; a task holds one group and
+meets a stripe of blocks one after another, so that a block is sent once per
+group and a task returns k rows a query.
+
+Cases: vectors that are null or hold a null or non-finite component take no
+part, nor do rows without an id; components or scores that leave 64 bits are an
+error. Vectors meet those of the same length only. Rows stand for themselves: a
+query's own row is not its candidate, another row of the same id is, and two
+rows of one id that ask get a ranking each. Empty tables give no rows. Columns
+other than id and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.scratch import Scratch
 
 SCALE = 256
-INDEX_ROWS, QUERY_ROWS = 8192, 256
+INDEX_ROWS, QUERY_ROWS = 8192, 4096
 
 _U = np.uint64
 
@@ -49,48 +51,59 @@ def integers(df: DataFrame, vector_col: str, out: str, scale: int = SCALE) -> Da
     return kept.withColumn(out, F.transform(vector_col, lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale).cast("long")).otherwise(over)))
 
 
-def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and the integer vector v of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
-    return integers(rows.where(F.col("vec_id").isNotNull()), "e", "v").select("vec_id", "v")
+def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id, the integer vector v and the flag ``asks`` of the rows that take part."""
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"), "asks")
+    return integers(rows.where(F.col("vec_id").isNotNull()), "e", "v").select("vec_id", "v", "asks")
+
+
+def matrix(vectors: pa.Array, own: np.ndarray, dim: int) -> np.ndarray:
+    """The rows ``own`` of a list column, all of length ``dim``."""
+    ends = vectors.offsets.to_numpy()[1:].astype(np.int64)
+    flat = vectors.values.to_numpy(zero_copy_only=False)
+    return flat[(ends[own] - dim)[:, None] + np.arange(dim)].astype(np.int64).reshape(len(own), dim)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per partition and vector length: its ids and vectors as bytes."""
-    held: dict[int, tuple[list, list]] = {}
-    for batch in batches:
-        ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        sizes = np.diff(vectors.offsets.to_numpy())
-        flat = vectors.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        for dim in np.unique(sizes):
-            own = np.flatnonzero(sizes == dim)
-            place = (ends[own] - dim)[:, None] + np.arange(dim)
-            kept = held.setdefault(int(dim), ([], []))
-            kept[0].append(ids[own])
-            kept[1].append(flat[place.astype(np.int64)].reshape(len(own), dim))
+    """One row per vector length and run of the partition's rows (row, vec_id, v): their numbers, ids and vectors as bytes."""
     part = TaskContext.get().partitionId()
-    for dim, (ids, rows) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate(rows).astype("<i4").tobytes()], pa.binary())], ["block", "dim", "ids", "rows"])
+    for batch in batches:
+        rows, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        sizes = np.diff(batch.column(2).offsets.to_numpy())
+        for dim in np.unique(sizes).tolist():
+            every = np.flatnonzero(sizes == dim)
+            for own in np.split(every, range(INDEX_ROWS, len(every), INDEX_ROWS)):
+                values = [part, dim, *(x.astype("<i8").tobytes() for x in (rows[own], ids[own], matrix(batch.column(2), own, dim)))]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, [pa.int32()] * 2 + [pa.binary()] * 3)], ["grp", "dim", "row", "id", "v"])
 
 
-PACKED = "block int, dim int, ids binary, rows binary"
+PACKED = "grp int, dim int, row binary, id binary, v binary"
+
+
+def met(asked: DataFrame, blocks: DataFrame, groups: list[int], stripes: int) -> DataFrame:
+    """Packed queries and index blocks, every group with every block: within each (grp, stripe) the
+    queries first (kind 0), then the blocks (kind 1)."""
+    rest = [c for c in asked.columns if c != "grp"]
+    left = asked.select("grp", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(0).alias("kind"), F.lit(0).alias("block"), *rest)
+    right = blocks.select(F.explode(F.array(*map(F.lit, groups))).alias("to"), (F.col("grp") % stripes).alias("stripe"), F.lit(1).alias("kind"), F.col("grp").alias("block"), *rest)
+    both = left.unionByName(right.withColumnRenamed("to", "grp"))
+    return both.repartition(len(groups) * stripes, "grp", "stripe").sortWithinPartitions("grp", "stripe", "kind", "block")
 
 
 class Slices:
     """A block's bitmaps: ``bits[j]`` slices of component j, and their inverse."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.n, self.dim = ids, *rows.shape
-        self.low = rows.min(0).astype(np.int64)
-        shifted = rows.astype(np.int64) - self.low
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+        self.numbers, self.ids, self.n, self.dim = numbers, ids, *rows.shape
+        self.low = rows.min(0)
+        shifted = rows.view(_U) - self.low.view(_U)  # distances fit 64 bits without a sign
         self.width = [int(x).bit_length() for x in shifted.max(0)]
         words = -(-self.n // 64)
         maps = np.zeros((sum(self.width), words * 8), np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.width)]).astype(np.int64)
         for j, width in enumerate(self.width):
             for b in range(width):
-                packed = np.packbits((shifted[:, j] >> b & 1).astype(np.uint8), bitorder="little")
+                packed = np.packbits((shifted[:, j] >> _U(b) & _U(1)).astype(np.uint8), bitorder="little")
                 maps[self.first[j] + b, : len(packed)] = packed
         maps = maps.view(_U)
         # Slices, then their inverses.
@@ -137,11 +150,11 @@ class Slices:
             weight += 1
         return out, constant
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows whose id is not ``own``; ties by smaller id."""
+    def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """Scores and ids of the k best rows other than row ``own``; ties by smaller id."""
         slices, constant = self.sums(query)
         tied = self.everyone.copy()
-        for at in np.flatnonzero(self.ids == own):
+        for at in np.flatnonzero(self.numbers == own):
             tied[at // 64] &= ~(_U(1) << _U(at % 64))
         sure = np.zeros_like(tied)
         for bits in reversed(slices):
@@ -162,49 +175,60 @@ class Slices:
         if len(edge):
             edge = edge[np.argsort(self.ids[edge], kind="stable")][: k - len(place)]
             place = np.concatenate([place, edge])
-        score = np.full(len(place), constant, np.int64)
+        score = [constant] * len(place)
         for weight, bits in enumerate(slices):
             if bits is not None:
-                score += ((bits[place // 64] >> (place % 64).astype(_U)) & _U(1)).astype(np.int64) << weight
-        return self.ids[place], score
+                for i, bit in enumerate(((bits[place // 64] >> (place % 64).astype(_U)) & _U(1)).tolist()):
+                    score[i] += bit << weight
+        if score and max(map(abs, score)) >= 1 << 63:
+            raise OverflowError("an inner product leaves 64 bits")
+        return list(zip(score, self.ids[place].tolist()))
 
 
 def _search(k: int):
+    def results(asked: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for queries in asked.values():
+            flat = [(row, own, *hit) for row, own, _, best in queries for hit in best]
+            if flat:
+                row, own, score, ids = zip(*flat)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (row, own, ids, score)], ["row", "query_id", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, slices = None, None
+        now, asked = None, {}
         for batch in batches:
-            for block, dim, ids, rows, q_ids, q_rows in zip(*(c.to_pylist() for c in batch.columns)):
-                if (block, dim) != known:
-                    ids = np.frombuffer(ids, "<i8")
-                    slices, known = Slices(ids, np.frombuffer(rows, "<i4").reshape(len(ids), dim)), (block, dim)
-                q_ids = np.frombuffer(q_ids, "<i8")
-                q_rows = np.frombuffer(q_rows, "<i4").reshape(len(q_ids), dim)
-                out: list[list] = [[], [], []]
-                for own, query in zip(q_ids.tolist(), q_rows):
-                    found, score = slices.top(query, own, k)
-                    out[0].append(np.full(len(found), own, np.int64))
-                    out[1].append(found)
-                    out[2].append(score)
-                cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                grp, stripe, kind, _, dim, numbers, ids, rows = (c[i].as_py() for c in batch.columns)
+                if (grp, stripe) != now:
+                    yield from results(asked)
+                    now, asked = (grp, stripe), {}
+                numbers, ids = np.frombuffer(numbers, "<i8"), np.frombuffer(ids, "<i8")
+                rows = np.frombuffer(rows, "<i8").reshape(len(ids), dim)
+                if kind == 0:
+                    asked.setdefault(dim, []).extend([number, own, query, []] for number, own, query in zip(numbers.tolist(), ids.tolist(), rows))
+                elif dim in asked:
+                    slices = Slices(numbers, ids, rows)
+                    for query in asked[dim]:
+                        both = query[3] + slices.top(query[2], query[0], k)
+                        query[3] = sorted(both, key=lambda hit: (-hit[0], hit[1]))[:k]
+        yield from results(asked)
 
     return run
 
 
-def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best rows of ``vectors`` for each row of ``queries``."""
-    scratch = Scratch(vectors.sparkSession, "bit-sliced")
-    index = quantised(vectors, id_col, vector_col)
-    # An id asks once, with the least of its vectors.
-    asked = quantised(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-index.count() // INDEX_ROWS))
-    index = scratch.store(index.repartition(blocks).mapInArrow(_packed, PACKED), "index")
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = scratch.store(asked.repartition(parts).mapInArrow(_packed, PACKED), "queries")
-    # Each block of queries goes to every block of the index.
-    sent = asked.select("dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = index.join(sent, ["block", "dim"]).select("block", "dim", "ids", "rows", "q_ids", "q_rows")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` best rows of ``vectors`` for each of its rows that fulfils ``queries``."""
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "bit-sliced")
+    flagged = vectors.select(F.col(id_col), F.col(vector_col), F.coalesce(queries, F.lit(False)).alias("asks"))
+    base = scratch.store(quantised(flagged, id_col, vector_col).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", "asks"), "rows")
+    n, n_asks = base.agg(F.count("*"), F.count_if("asks")).first()
+    plain = ["row", "vec_id", "v"]
+    blocks = max(1, -(-n // INDEX_ROWS))
+    index = scratch.store(base.select(*plain).repartition(blocks, "row").mapInArrow(_packed, PACKED), "index")
+    asked = scratch.store(base.where("asks").select(*plain).repartition(max(1, -(-n_asks // QUERY_ROWS)), "row").mapInArrow(_packed, PACKED), "queries")
+    groups = sorted(r["grp"] for r in asked.select("grp").distinct().collect()) or [0]
+    stripes = max(1, min(blocks, -(-2 * spark.sparkContext.defaultParallelism // len(groups))))
+    found = met(asked, index, groups, stripes).mapInArrow(_search(k), "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

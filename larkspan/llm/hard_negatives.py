@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.bit_sliced import SCALE, integers
+from larkspan.llm.bit_sliced import SCALE, integers, matrix, met
 from larkspan.llm.scratch import Scratch
 
 GROUP_ROWS, BLOCK_ROWS, CHUNK = 8192, 8192, 512
@@ -84,12 +84,6 @@ def centres_of(rows: np.ndarray, k: int = CENTRES, rounds: int = ROUNDS) -> np.n
     return centres
 
 
-def _matrix(vectors: pa.Array, own: np.ndarray, dim: int) -> np.ndarray:
-    ends = vectors.offsets.to_numpy()[1:].astype(np.int64)
-    flat = vectors.values.to_numpy(zero_copy_only=False)
-    return flat[(ends[own] - dim)[:, None] + np.arange(dim)].astype(np.int64).reshape(len(own), dim)
-
-
 def _clustered(centres: dict[int, np.ndarray]):
     """Adds the nearest centre's number to rows (row, vec_id, label, dim, v)."""
 
@@ -100,7 +94,7 @@ def _clustered(centres: dict[int, np.ndarray]):
             for dim in np.unique(dims).tolist():
                 if dim in centres:
                     own = np.flatnonzero(dims == dim)
-                    cluster[own] = (directions(_matrix(batch.column(4), own, dim)) @ centres[dim].T).argmax(1)
+                    cluster[own] = (directions(matrix(batch.column(4), own, dim)) @ centres[dim].T).argmax(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster)], [*batch.schema.names, "cluster"])
 
     return run
@@ -132,7 +126,7 @@ def _packed(rows_a_pack: int, by_cluster: bool):
                     found = [(i, s, p) for i, at in enumerate(own.tolist()) for s, p in ((x["slot"], x["score"]) for x in slots[at])] if slots else [(i, 0, 0) for i in range(len(own))]
                     which = np.array([[i, s] for i, s, _ in found], np.int64).reshape(-1, 2)
                     pos = np.array([p for _, _, p in found], np.int64)
-                    values = [part, int(key[0]), int(key[1]), int(key[2]), row[own].astype("<i8").tobytes(), ids[own].astype("<i8").tobytes(), labels[own].astype("<i8").tobytes(), _narrow(_matrix(batch.column(4), own, int(key[0]))), which.tobytes(), pos.tobytes()]
+                    values = [part, int(key[0]), int(key[1]), int(key[2]), row[own].astype("<i8").tobytes(), ids[own].astype("<i8").tobytes(), labels[own].astype("<i8").tobytes(), _narrow(matrix(batch.column(4), own, int(key[0]))), which.tobytes(), pos.tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 6)], [c.split()[0] for c in PACKED.split(", ")])
 
     return run
@@ -223,7 +217,7 @@ def _walk(k: int, low: int, high: int, same: bool):
         now, clusters = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                grp, stripe, kind, _, dim, label, row, ids, labels, v, slots, pos = (c[i].as_py() for c in batch.columns)
+                grp, stripe, kind, _, dim, label, _, row, ids, labels, v, slots, pos = (c[i].as_py() for c in batch.columns)
                 if (grp, stripe) != now:
                     yield from results(clusters)
                     now, clusters = (grp, stripe), {}
@@ -246,15 +240,6 @@ def _walk(k: int, low: int, high: int, same: bool):
     return run
 
 
-def _met(asked: DataFrame, blocks: DataFrame, groups: list[int], stripes: int) -> DataFrame:
-    """Packed anchors and blocks, each group with every block, in the order the walk reads them."""
-    rest = ["dim", "label", "row", "id", "labels", "v", "slots", "pos"]
-    left = asked.select("grp", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(0).alias("kind"), F.lit(0).alias("block"), *rest)
-    right = blocks.select(F.explode(F.array(*map(F.lit, groups))).alias("to"), (F.col("grp") % stripes).alias("stripe"), F.lit(1).alias("kind"), F.col("grp").alias("block"), *rest)
-    both = left.unionByName(right.withColumnRenamed("to", "grp"))
-    return both.repartition(len(groups) * stripes, "grp", "stripe").sortWithinPartitions("grp", "stripe", "kind", "block")
-
-
 def hard_negatives(
     vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: int = SCALE,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS,
@@ -289,7 +274,7 @@ def hard_negatives(
         packed = scratch.store(ranged.sortWithinPartitions("dim", "label", "cluster", "row").mapInArrow(_packed(group_rows, True), PACKED), "groups")
         groups = sorted(r["grp"] for r in packed.select("grp").distinct().collect())
         stripes = max(1, min(spread, -(-2 * spark.sparkContext.defaultParallelism // max(1, len(groups)))))
-        near = _met(packed, index, groups or [0], stripes).mapInArrow(_walk(k, low, high, same), "row long, slot long, id long, score long")
+        near = met(packed, index, groups or [0], stripes).mapInArrow(_walk(k, low, high, same), "row long, slot long, id long, score long")
         best = Window.partitionBy("row", "slot").orderBy(F.desc("score"), "id")
         return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

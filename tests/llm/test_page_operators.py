@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from larkspan.llm import bit_sliced, html_text, url_filter, warc
 from larkspan.llm.queries import QUERIES, SQL
+from pyspark.sql import functions as F
 
 PAGES = "page_id long, url string, html string, digest string, rank int"
 
@@ -82,15 +83,32 @@ def test_top_k_ties_and_odd_vectors(spark):
     rows += [(1000 + i, [0.5] * 6) for i in range(40)]
     odd = [(2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (2004, [1.0, 2.0]), (2050, [3.0, 4.0]), (None, [1.0] * 6), (2005, [])]
     vectors = spark.createDataFrame([(*r, 1) for r in rows + odd], "vec_id long, embedding array<double>, rank int")
-    got = sorted(map(tuple, bit_sliced.top_inner_products(vectors, vectors.where("vec_id % 50 = 0")).collect()))
+    asks = F.col("vec_id") % 50 == 0
+    got = sorted(map(tuple, bit_sliced.top_inner_products(vectors, asks).collect()))
     fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows] + [(2004, [256, 512]), (2050, [768, 1024])]
+    assert got == brute_top(fine)
+    assert bit_sliced.top_inner_products(vectors.limit(0), asks).count() == 0
+
+
+def brute_top(rows):
     want = []
-    for q, v in fine:
+    for at, (q, v) in enumerate(rows):
         if q % 50 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(w) == len(v))[:5]
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for n, (i, w) in enumerate(rows) if n != at and len(w) == len(v))[:5]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
-    assert got == sorted(want)
-    assert bit_sliced.top_inner_products(vectors.limit(0), vectors.limit(0)).count() == 0
+    return sorted(want)
+
+
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    """Components up to 2**31 / 256 and beyond, ids that occur twice, and sums that leave 64 bits."""
+    rows = [(0, [2.0**23, 1.5]), (0, [-1.0, 2.0]), (1, [2.0**22, -(2.0**23)]), (2, [2.0**23, 1.5]), (2, [2.0**23, 1.5]), (3, [-(2.0**30), 0.25]), (50, [1.0, 1.0])]
+    asks = F.col("vec_id") % 50 == 0
+    schema = "vec_id long, embedding array<double>"
+    got = sorted(map(tuple, bit_sliced.top_inner_products(spark.createDataFrame(rows, schema), asks).collect()))
+    assert got == brute_top([(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows])
+    for wide in ([2.0**40, 2.0**40], [2.0**60, 0.0]):
+        with pytest.raises(Exception, match="64 bits"):
+            bit_sliced.top_inner_products(spark.createDataFrame([(0, wide), (1, wide)], schema), asks).collect()
 
 
 def brute_article(page):
