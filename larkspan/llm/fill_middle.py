@@ -49,11 +49,11 @@ class Sentinels:
 
     def __post_init__(self):
         own = self.encoded()
-        for a in own:
+        for i, a in enumerate(own):
             if not a:
                 raise ValueError("a sentinel is empty")
-            for b in own:
-                if a is not b and a in b:
+            for j, b in enumerate(own):
+                if i != j and a in b:
                     raise ValueError(f"sentinel {a!r} occurs in {b!r}")
                 if any(a.endswith(b[:n]) for n in range(1, min(len(a), len(b)))):
                     raise ValueError(f"sentinel {b!r} may start inside {a!r}")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bit_sliced, decontaminate, fill_middle, hard_negatives, html_text, pieces, quality, secrets, unigram, url_filter, warc
+from larkspan.llm import bit_sliced, decontaminate, fill_middle, hard_negatives, html_text, pieces, pitman_yor, quality, secrets, unigram, url_filter, warc
 from larkspan.llm.jaccard_join import jaccard_components
 from larkspan.llm.registry import QUERIES, SQL, query, table
 
@@ -125,3 +125,9 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     rows = fill_middle.restored(fill_middle.fill_in_middle(table(spark, folder, "documents")))
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")]
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query("op12_lm_scoring")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return pitman_yor.scores(table(spark, folder, "documents"), train=remainder != 2, held_out=remainder == 2)
