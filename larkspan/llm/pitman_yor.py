@@ -12,8 +12,8 @@ one restaurant (a dish) are seated anew. How many tables they take has
 probability S(c, t) * prod_j (s + d (T' + j)) p, j < t, with T' the tables of other dishes
 and S the generalised Stirling numbers; the sizes of the tables are summed out,
 as no probability needs them. Dishes of up to ``EXACT`` customers are drawn
-from just that; larger ones by seating their customers one after another, some
-times over, and picking one seating by its weight. A sweep draws all dishes of
+from just that; for larger ones S is taken at its saddle point, and where many
+numbers of tables are likely, they are weighed on a grid. A sweep draws all dishes of
 all contexts by the parent and the totals of the sweep before, then the parent's.
 After ``burn_in`` sweeps each one is a sample; probabilities are averaged over
 the samples, then their logarithms are summed.
@@ -54,7 +54,7 @@ from larkspan.llm.words import hashed_words, mix
 
 PACK_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 22
 HEAVY = 256
-EXACT, TRIES = 48, 4
+EXACT, GRID = 1024, 129
 CELLS = 1 << 20
 
 _U = np.uint64
@@ -211,40 +211,66 @@ def stirling_logs(limit: int, d: float) -> np.ndarray:
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """For x >= 8 or so (Stirling's series)."""
-    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    """For x > 0, by Stirling's series above 8."""
+    shift = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        shift -= np.where(low, np.log(np.where(low, x, 1.0)), 0.0)
+        x = np.where(low, x + 1, x)
+    return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+def _stirling_log(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) for large c: the saddle point of c! / (t! d^t) [x^c] (1 - (1 - x)^d)^t."""
+    goal = c / np.minimum(t, c * 0.999999)
+    low, high = np.full(len(c), -80.0 / d), np.full(len(c), -1e-12)  # log(1 - x)
+    for _ in range(60):
+        mid = (low + high) / 2
+        y = np.exp(mid)
+        steep = d * -np.expm1(mid) * np.exp((d - 1) * mid) / -np.expm1(d * mid) > goal
+        low, high = np.where(steep, mid, low), np.where(steep, high, mid)
+    ly = (low + high) / 2
+    y, f = np.exp(ly), -np.expm1(d * ly)
+    x, slope = -np.expm1(ly), d * np.exp((d - 1) * ly)
+    spread = slope / f + x * (1 - d) * slope / y / f - x * (slope / f) ** 2
+    return _log_gamma(c + 1) - _log_gamma(t + 1) - t * np.log(d) + t * np.log(f) - c * np.log(x) - 0.5 * np.log(2 * np.pi * np.maximum(t * x * spread, 1e-12))
 
 
 def _seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, s: float, key: np.ndarray, turn: int) -> np.ndarray:
-    """Tables of large dishes: TRIES seatings each, one picked by its weight."""
-    n = len(c)
-    c, others, p = np.tile(c, TRIES), np.tile(others, TRIES), np.tile(p, TRIES)
-    key = mix(np.concatenate([key + _U(i * 0x632BE59BD9B4E019 % (1 << 64)) for i in range(TRIES)]))
-    t, weight = np.ones(len(c)), np.zeros(len(c))
-    for seated in range(1, EXACT):
-        fresh = (s + d * (others + t)) * p
-        total = seated - d * t + fresh
-        weight += np.log(total)
-        t += _uniform(key, turn + seated) < fresh / total
-    seated = np.full(len(c), float(EXACT))
-    live, step = np.flatnonzero(seated < c), EXACT
-    while len(live):
-        # How many join the tables there are before the next new one: the chance that none of the next m
-        # opens a table is a ratio of gamma functions, inverted here in its leading form.
-        old, fresh = seated[live] - d * t[live], (s + d * (others[live] + t[live])) * p[live]
-        with np.errstate(over="ignore"):
-            joins = np.floor((old + fresh / 2 - 0.5) * (_uniform(key[live], turn + step) ** (-1 / fresh) - 1))
-        left = c[live] - seated[live]
-        last = joins >= left
-        taken = np.where(last, left, joins + 1)
-        weight[live] += _log_gamma(old + fresh + taken) - _log_gamma(old + fresh)
-        t[live] += ~last
-        seated[live] += taken
-        live, step = live[~last & (taken < left)], step + 1
-    weight, t = weight.reshape(TRIES, n), t.reshape(TRIES, n)
-    share = np.cumsum(np.exp(weight - weight.max(0)), 0)
-    pick = (share < _uniform(key[:n], turn) * share[-1]).sum(0)
-    return t[np.minimum(pick, TRIES - 1), np.arange(n)].astype(np.int64)
+    """Tables of large dishes: the most likely number, and a draw by the weights on a grid around it."""
+
+    # The saddle point is off by about e / t; one table, where S is known, tells e.
+    one = np.ones(len(c))
+    off = _log_gamma(c - d) - _log_gamma(one - d) - _stirling_log(c, one, d)
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        return _stirling_log(c, t, d) + off / t + t * np.log(d * p) + _log_gamma(s / d + others + t)
+
+    low, high = np.ones(len(c)), c.copy()
+    while (low < high).any():
+        mid = np.floor((low + high) / 2)
+        up = weight(np.minimum(mid + 1, c)) > weight(mid)
+        low, high = np.where(up & (mid < high), mid + 1, low), np.where(up, high, mid)
+    mode, top = low, weight(low)
+    edges = []
+    for sign, end in ((-1, np.ones(len(c))), (1, c)):
+        reach = np.ones(len(c))
+        for _ in range(64):
+            at = np.clip(mode + sign * reach, 1, c)
+            short = (weight(at) > top - 30) & (at != end)
+            if not short.any():
+                break
+            reach = np.where(short, reach * 2, reach)
+        edges.append(np.clip(mode + sign * reach, 1, c))
+    grid = np.linspace(edges[0], edges[1], GRID)
+    share = np.cumsum(np.exp(np.stack([weight(t) for t in np.rint(grid)]) - top), 0)
+    share = np.where(np.rint(grid) == np.vstack([np.zeros(len(c)), np.rint(grid[:-1])]), 0, np.diff(share, axis=0, prepend=0))
+    share = np.cumsum(share, 0)
+    pick = np.minimum((share < _uniform(key, turn) * share[-1]).sum(0), GRID - 1)
+    # Between grid points further than one apart, any number is as likely.
+    gap = (edges[1] - edges[0]) / (GRID - 1)
+    jitter = np.where(gap > 1, (_uniform(key, turn + 1) - 0.5) * gap, 0.0)
+    return np.clip(np.rint(grid[pick, np.arange(len(c))] + jitter), 1, c).astype(np.int64)
 
 
 def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, s: float, key: np.ndarray, sweep: int) -> np.ndarray:
@@ -255,7 +281,7 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, s: f
     for size, own in split_by(np.minimum(c, EXACT + 1), EXACT + 2):
         if size < 2:
             continue
-        width = size if size <= EXACT else TRIES * 8
+        width = size if size <= EXACT else GRID
         for at in range(0, len(own), max(1, CELLS // width)):
             part = own[at : at + max(1, CELLS // width)]
             if size > EXACT:
