@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from larkspan.llm.scratch import Scratch, partitions
 from larkspan.llm.words import hashed_words, mix
 
-PACK_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 22
+PACK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
 HEAVY = 256
 EXACT, GRID = 1024, 129
 CELLS = 1 << 20
