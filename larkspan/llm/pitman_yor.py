@@ -24,7 +24,8 @@ context with more than 1 in ``HEAVY`` of all tokens is spread over all buckets.
 A step sends arrays between packs and buckets: the rows of a bucket, its fixed
 part and what it is sent, meet by one groupBy. All steps are stored, so a lost
 executor costs the tasks of one step. A bucket holds the distinct pairs of about
-``BUCKET_TOKENS`` tokens; messages grow with the square of the number of buckets.
+``bucket_tokens`` tokens; messages are as many as the square of the buckets, so
+corpora of thousands of buckets want larger ones.
 All draws hash the seed, sweep and dish, so partitioning changes nothing.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, known by a 64-bit hash;
@@ -42,6 +43,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +51,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.scratch import Scratch, partitions
+from larkspan.llm.scratch import Scratch
 from larkspan.llm.words import hashed_words, mix
 
 PACK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
 HEAVY = 256
+LEAST_BUCKETS, ROUNDS = 8, 2
 EXACT, GRID = 1024, 129
 CELLS = 1 << 20
 
@@ -198,6 +201,7 @@ def _uniform(key: np.ndarray, turn: int) -> np.ndarray:
     return (mix(key + _U(turn * 0x9E3779B97F4A7C15 % (1 << 64))) >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+@lru_cache(8)
 def stirling_logs(limit: int, d: float) -> np.ndarray:
     """log S(c, t) for c, t <= limit: S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t)."""
     out = np.full((limit + 1, limit + 1), -np.inf)
@@ -353,13 +357,17 @@ def _count_words(to: str, rows: list[dict]) -> list[tuple]:
     return out
 
 
-def _ask_dishes(model: Settings):
+def _ask_dishes(model: Settings, turn: int):
+    """A pack's pairs to the buckets of one round, so that not all of them are on the way at a time."""
+
     def rows(pack: Pack) -> list[tuple]:
         keys, which, train = pack.pairs()
         counts = np.bincount(which[train], minlength=len(keys))
         u, w = pack.vocab[keys // len(pack.vocab)], pack.vocab[keys % len(pack.vocab)]
         out = []
         for b, at in split_by(model.dish_bucket(u, w), model.buckets):
+            if b % ROUNDS != turn:
+                continue
             first = np.flatnonzero(np.append(True, u[at][1:] != u[at][:-1]))
             out.append(message(f"d{b}", pack.name, 0, 0, 0, u[at][first].tobytes(), enc(np.diff(np.append(first, len(at)))), w[at].tobytes(), enc(counts[at])))
         return out
@@ -585,7 +593,7 @@ def discount_of(ones: int, twos: int) -> float:
 
 def scores(
     docs: DataFrame, train: Column, held_out: Column, sweeps: int = 6, burn_in: int = 3, strength: float = 1.0, parent_strength: float = 1.0,
-    seed: int = 12, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None,
+    seed: int = 12, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, bucket_tokens: int = BUCKET_TOKENS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
@@ -599,7 +607,7 @@ def scores(
     known = packs.agg(F.sum("x")).first()[0]
     if known is None:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    buckets = buckets or max(partitions(spark), -(-known // BUCKET_TOKENS))
+    buckets = buckets or max(LEAST_BUCKETS, -(-known // bucket_tokens))
 
     counted = scratch.store(grouped(packs.mapInArrow(_ask_words(buckets), ROW), step=_count_words), "words")
     words, asked_words = counted.where("kind = 'words'"), counted.where("kind like 'asked:%'")
@@ -607,7 +615,8 @@ def scores(
     heavy, n_docs = _heavy_contexts(words, tokens)
     model = Settings(buckets, tokens, n_words, n_docs, heavy, 0.5, 0.5, strength, parent_strength, seed)
 
-    dishes = scratch.store(grouped(packs.mapInArrow(_ask_dishes(model), ROW), step=_count_dishes(model)), "dishes")
+    rounds = [scratch.store(grouped(packs.mapInArrow(_ask_dishes(model, turn), ROW), step=_count_dishes(model)), "dishes") for turn in range(ROUNDS)]
+    dishes = reduce(DataFrame.unionByName, rounds)
     fixed = dishes.where("kind in ('dishes', 'names')")
     model.discount = discount_of(*(dishes.where("kind = 'dishes'").agg(F.sum("x"), F.sum("y")).first()))
     links = scratch.store(grouped(words, dishes.where("kind in ('link', 'single')"), step=_link_words), "links")
@@ -636,7 +645,7 @@ def scores(
     drawn = [[s[side].where("kind = 'own'").withColumn("kind", F.lit(f"own{i}")) for i, s in enumerate(samples)] for side in (0, 1)]
     from_pairs = scratch.store(grouped(dishes.where("kind = 'dishes' or kind like 'asked:%'"), *drawn[0], step=_answer_pairs(model, len(samples))), "pairs")
     from_words = scratch.store(grouped(words, asked_words, from_pairs.where("kind = 'context'"), *drawn[1], step=_answer_words(model, len(samples))), "answers")
-    scratch.drop(dishes, counted, links, *[x for s in samples for x in s[:2]])
+    scratch.drop(*rounds, counted, links, *[x for s in samples for x in s[:2]])
     answers = packs.unionByName(from_pairs.where("kind = 'pairs'")).unionByName(from_words)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return answers.groupBy("to").applyInArrow(_score(model, [s[2] for s in samples]), schema)
