@@ -58,6 +58,7 @@ PACK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
 HEAVY = 256
 LEAST_BUCKETS, ROUNDS = 8, 2
 EXACT, GRID = 1024, 129
+WIDTHS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 768, EXACT])  # dishes drawn together
 CELLS = 1 << 20
 
 _U = np.uint64
@@ -71,17 +72,22 @@ _TYPES = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.s
 
 
 def enc(values: np.ndarray) -> bytes:
-    """Non-negative integers in their narrowest type, compressed unless they are hashes."""
+    """Non-negative integers in their narrowest type, compressed byte by byte of them unless they are hashes."""
     top = int(values.max()) if len(values) else 0
     kind = next(i for i, k in enumerate("1248") if top < 1 << 8 * int(k))
-    data = values.astype(f"<u{1 << kind}").tobytes()
-    return struct.pack("<BQ", kind, len(values)) + (data if kind == 3 else pa.compress(data, "zstd", asbytes=True))
+    data = values.astype(f"<u{1 << kind}")
+    if kind == 3:
+        return struct.pack("<BQ", kind, len(values)) + data.tobytes()
+    planes = data.view(np.uint8).reshape(-1, 1 << kind).T.tobytes()
+    return struct.pack("<BQ", kind, len(values)) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def dec(data: bytes) -> np.ndarray:
     kind, n = struct.unpack_from("<BQ", data)
-    raw = data[9:] if kind == 3 else pa.decompress(data[9:], n << kind, "zstd", asbytes=True)
-    return np.frombuffer(raw, f"<u{1 << kind}").astype(np.uint64 if kind == 3 else np.int64)
+    if kind == 3:
+        return np.frombuffer(data[9:], "<u8").copy()
+    planes = np.frombuffer(pa.decompress(data[9:], n << kind, "zstd", asbytes=True), np.uint8).reshape(1 << kind, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{1 << kind}").reshape(n).astype(np.int64)
 
 
 def hashes(data: bytes) -> np.ndarray:
@@ -141,7 +147,12 @@ class Pack:
         flags = np.frombuffer(row["b"], np.uint8)
         ids = np.frombuffer(row["a"], "<i8").tolist()
         # Bits: trains, held out, the id is null.
-        return Pack(row["to"], [None if f & 4 else i for f, i in zip(flags.tolist(), ids)], (flags & 1).astype(bool), [None if f & 4 else bool(f & 2) for f in flags.tolist()], dec(row["c"]), hashes(row["d"]), dec(row["e"]))
+        # Words are kept by falling frequency, which makes their numbers small; here they are sorted.
+        vocab, stream = hashes(row["d"]), dec(row["e"])
+        order = np.argsort(vocab)
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        return Pack(row["to"], [None if f & 4 else i for f, i in zip(flags.tolist(), ids)], (flags & 1).astype(bool), [None if f & 4 else bool(f & 2) for f in flags.tolist()], dec(row["c"]), vocab[order], number[stream])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (context, word) as number of the pair, sorted, the pair of each token, and whether it trains."""
@@ -163,8 +174,11 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         size = np.array([len(w) for w in words], np.int64)
         every = np.concatenate(words)
-        vocab, stream = np.unique(np.append(every, START), return_inverse=True)
-        row = message(f"p{part}-{made}", "pack", 0, len(every), len(ids), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(flags, np.uint8).tobytes(), enc(size), vocab.tobytes(), enc(stream[:-1]))
+        vocab, stream, counts = np.unique(np.append(every, START), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        row = message(f"p{part}-{made}", "pack", 0, len(every), len(ids), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(flags, np.uint8).tobytes(), enc(size), vocab[order].tobytes(), enc(number[stream[:-1]]))
         return as_table([row]).combine_chunks().to_batches()[0]
 
     end = np.array([END])
@@ -282,17 +296,17 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, s: f
     out = np.ones(len(c), np.int64)
     turn = sweep << 32
     logs = stirling_logs(EXACT, d)
-    for size, own in split_by(np.minimum(c, EXACT + 1), EXACT + 2):
-        if size < 2:
+    for kind, own in split_by(np.searchsorted(WIDTHS, c), len(WIDTHS) + 1):
+        if kind == 0:
             continue
-        width = size if size <= EXACT else GRID
+        width = int(WIDTHS[kind]) if kind < len(WIDTHS) else GRID
         for at in range(0, len(own), max(1, CELLS // width)):
             part = own[at : at + max(1, CELLS // width)]
-            if size > EXACT:
+            if kind == len(WIDTHS):
                 out[part] = _seat(c[part].astype(float), others[part].astype(float), p[part], d, s, key[part], turn)
                 continue
-            opened = np.log(s + d * (others[part, None] + np.arange(size))) + np.log(p[part, None])
-            weight = logs[size, 1 : size + 1] + np.cumsum(opened, 1)
+            opened = np.log(s + d * (others[part, None] + np.arange(width))) + np.log(p[part, None])
+            weight = logs[c[part], 1 : width + 1] + np.cumsum(opened, 1)
             share = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
             out[part] = 1 + (share < _uniform(key[part], turn)[:, None] * share[:, -1:]).sum(1)
     return np.minimum(out, np.maximum(c, 1))
