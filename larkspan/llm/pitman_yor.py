@@ -241,8 +241,8 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 def _stirling_log(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """log S(c, t) for large c: the saddle point of c! / (t! d^t) [x^c] (1 - (1 - x)^d)^t."""
     goal = c / np.minimum(t, c * 0.999999)
-    low, high = np.full(len(c), -80.0 / d), np.full(len(c), -1e-12)  # log(1 - x)
-    for _ in range(60):
+    low, high = np.full(t.shape, -80.0 / d), np.full(t.shape, -1e-12)  # log(1 - x)
+    for _ in range(45):
         mid = (low + high) / 2
         y = np.exp(mid)
         steep = d * -np.expm1(mid) * np.exp((d - 1) * mid) / -np.expm1(d * mid) > goal
@@ -267,7 +267,8 @@ def _seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, s: float,
     low, high = np.ones(len(c)), c.copy()
     while (low < high).any():
         mid = np.floor((low + high) / 2)
-        up = weight(np.minimum(mid + 1, c)) > weight(mid)
+        here, after = weight(np.stack([mid, np.minimum(mid + 1, c)]))
+        up = after > here
         low, high = np.where(up & (mid < high), mid + 1, low), np.where(up, high, mid)
     mode, top = low, weight(low)
     edges = []
@@ -281,9 +282,9 @@ def _seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, s: float,
             reach = np.where(short, reach * 2, reach)
         edges.append(np.clip(mode + sign * reach, 1, c))
     grid = np.linspace(edges[0], edges[1], GRID)
-    share = np.cumsum(np.exp(np.stack([weight(t) for t in np.rint(grid)]) - top), 0)
-    share = np.where(np.rint(grid) == np.vstack([np.zeros(len(c)), np.rint(grid[:-1])]), 0, np.diff(share, axis=0, prepend=0))
-    share = np.cumsum(share, 0)
+    whole = np.rint(grid)
+    again = whole == np.vstack([np.zeros(len(c)), whole[:-1]])  # numbers that the grid names twice count once
+    share = np.cumsum(np.where(again, 0.0, np.exp(weight(whole) - top)), 0)
     pick = np.minimum((share < _uniform(key, turn) * share[-1]).sum(0), GRID - 1)
     # Between grid points further than one apart, any number is as likely.
     gap = (edges[1] - edges[0]) / (GRID - 1)
