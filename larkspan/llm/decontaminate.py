@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.scratch import Scratch
+from larkspan.llm.scratch import Scratch, free_name
 from larkspan.llm.words import hashed_words, mix
 
 # Positions read (1) and ignored (0); each reads six tokens.
@@ -178,5 +178,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id has no overlap with an item; all columns kept."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    name = free_name(docs, "found")
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -6,8 +6,9 @@ scores (unigram log scores, or merge ranks of a BPE model) and byte fallback.
 
 If no piece holds the mark after another character, and the normaliser only
 marks spaces, no piece can span the start of a word. Words then encode on their
-own, so each batch sends only the words not met before to the library, in one
-multithreaded call; a bounded memo keeps them. Other models encode whole texts.
+own, so only the words not met before go to the library, some thousands a
+multithreaded call, of which nothing but the ids is kept; a memo of bounded
+bytes keeps them. Other models encode whole texts, in calls of bounded size.
 
 Cases: null and empty texts have no tokens and decode to the empty text. Texts
 are encoded whole. Strings that look like control pieces are plain text. With
@@ -17,11 +18,13 @@ rows give repeated rows; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
@@ -30,7 +33,9 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-MEMO_WORDS, MEMO_CHARS = 1 << 18, 48
+MEMO_BYTES, MEMO_CHARS = 1 << 25, 48
+ENTRY_BYTES = 250  # of a memo's entry besides its word and ids
+CALL_WORDS, CALL_CHARS = 4096, 1 << 17
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -102,9 +107,9 @@ class Codec:
         users = any(p.type == USER for p in model.pieces)
         spans = any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces if p.type == NORMAL)
         self.by_word = plain and not users and not spans
-        self.whole = build(model)
-        self.bare = build(model, normalize=False)
+        self.tokenizer = build(model, normalize=not self.by_word)
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         # What a piece adds to a decoded text; an unknown piece is written as the format's sign for it.
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
 
@@ -117,19 +122,35 @@ class Codec:
         found = _SEGMENT.findall(MARK + text.replace(" ", MARK))
         return [w[1:] if w[1:2] not in ("", MARK) and w[0] == MARK else w for w in found]
 
+    def _calls(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """Ids of the texts as bytes, a call's texts at a time: few thousand, and of bounded length but for single long texts."""
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and end - at < CALL_WORDS and (end == at or chars + len(texts[end]) <= CALL_CHARS):
+                chars += len(texts[end])
+                end += 1
+            yield [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
+            at = end
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (int32) of each text."""
         if not self.by_word:
-            found = self.whole.encode_batch(texts, add_special_tokens=False)
-            return [np.array(e.ids if t else [], np.int32) for e, t in zip(found, texts)]
+            found = [ids for part in self._calls(texts) for ids in part]
+            return [np.frombuffer(ids if t else b"", np.int32) for ids, t in zip(found, texts)]
         split = [self.words(t) for t in texts]
-        if len(self.memo) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         memo, extra = self.memo, {}
         new = list({w for words in split for w in words if w not in memo})
-        coded = self.bare.encode_batch_fast([w if MARK in w else MARK + w for w in new], add_special_tokens=False)
-        for w, e in zip(new, coded):
-            (memo if len(w) <= MEMO_CHARS else extra)[w] = np.array(e.ids, np.int32).tobytes()
+        coded = (ids for part in self._calls([w if MARK in w else MARK + w for w in new]) for ids in part)
+        for w, ids in zip(new, coded):
+            if len(w) <= MEMO_CHARS:
+                memo[w] = ids
+                self.held += ENTRY_BYTES + len(w) + len(ids)
+            else:
+                extra[w] = ids
         both = memo if not extra else {**memo, **extra}
         return [np.frombuffer(b"".join(map(both.__getitem__, words)), np.int32) for words in split]
 
@@ -141,7 +162,7 @@ class Codec:
         return out
 
 
-def batches_of(column: pa.Array, chars: int = 1 << 21) -> Iterator[list[str]]:
+def batches_of(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
     """Texts of a column (null: empty) in lists of bounded size."""
     part, held = [], 0
     for text in column:
@@ -154,11 +175,19 @@ def batches_of(column: pa.Array, chars: int = 1 << 21) -> Iterator[list[str]]:
         yield part
 
 
+def _use_threads() -> None:
+    """The library's threads: the task's share of the machine, two at least; set before its first call in a worker."""
+    context = TaskContext.get()
+    os.environ.setdefault("RAYON_NUM_THREADS", str(max(2, context.cpus() if context else 2)))
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+
+
 def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (the ids decode to the text; a null text counts as empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _use_threads()
         codec = Codec(shared.value)
         for batch in batches:
             at = 0

@@ -1,19 +1,25 @@
 """Secret scans: fixed patterns, and character Markov models for the rest.
 
-Patterns find assignments, access keys and hex runs. Every other long run of key
-characters is scored by two Markov models of character pairs, one of random
-strings and one of ordinary identifiers: the mean log-likelihood ratio per
-character must reach a threshold set on labelled samples. Samples come from the
-corpus: words and identifiers joined from them (label 0), and values of pattern
-hits with random strings over their alphabets (label 1).
+Patterns find assignments, access keys and hex runs. What they leave of every
+run of key characters is scored by two Markov models of character pairs, one of
+random strings and one of ordinary identifiers. Each character adds its
+log-likelihood ratio less a threshold; a stretch whose sum rises far enough above
+what went before is a secret, whatever stands around it in the run. It is
+widened to the letters and digits it cuts through, and has ``RUN_CHARS``
+characters at least (``REST_CHARS`` beside a pattern span). A repeated character
+adds nothing, so rulers and padding are no secrets. Threshold and least sum are
+set on labelled samples from the corpus: words and identifiers joined from them
+(label 0), and values of pattern hits with random strings over their alphabets
+(label 1).
 
 Spans are in code points, end exclusive; an assignment's span is its whole
-match. A Markov span that meets a pattern span is left out.
+match. Markov spans don't overlap pattern spans.
 
-Cases: a null or empty text has no spans. Texts are read whole. Repeated rows
-give repeated rows. Without words to learn from, the identifier model is uniform
-and no run reaches the threshold. Other columns are kept by ``redact`` and
-ignored by ``scan``.
+Cases: a null or empty text has no spans. Texts are read whole, in time linear in
+their length. Repeated rows give repeated rows, an empty table an empty one.
+Without words to learn from, the identifier model is uniform and no stretch
+reaches the threshold. Other columns, whatever their names, are kept by
+``redact`` and ignored by ``scan``.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ASSIGN_CHARS, RUN_CHARS = 12, 20
+ASSIGN_CHARS, RUN_CHARS, REST_CHARS = 12, 16, 8
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RANDOM_ALPHABETS = (ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef")
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLES = 2000, 4_000_000, 4000
@@ -48,14 +54,46 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
 @dataclass
 class MarkovModel:
-    """``ratio[a, b]``: log-likelihood ratio of b after a (row ``len(ALPHABET)`` starts a run)."""
+    """``ratio[a, b]``: log-likelihood ratio of b after a (row ``len(ALPHABET)`` starts a run).
+
+    ``threshold`` is taken off each character's ratio, ``least`` is the sum a secret reaches.
+    """
 
     ratio: np.ndarray
     threshold: float
+    least: float = np.inf
 
-    def score(self, run: str) -> float:
+    def ratios(self, run: str) -> np.ndarray:
         codes = _CODE[np.frombuffer(run.encode(), np.uint8)]
-        return float(self.ratio[np.concatenate([[len(ALPHABET)], codes[:-1]]), codes].mean())
+        return self.ratio[np.concatenate([[len(ALPHABET)], codes[:-1]]), codes]
+
+    def score(self, run: str) -> float:
+        return float(self.ratios(run).mean())
+
+    def peak(self, run: str) -> float:
+        """The largest sum of any stretch."""
+        sums = np.cumsum(np.append(0.0, self.ratios(run) - self.threshold))
+        return float((sums - np.minimum.accumulate(sums)).max())
+
+    def stretches(self, gains: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of largest sum, from where the sum was least to where it peaks, of ``least`` and more."""
+        found, parts = [], [(0, len(gains))]
+        while parts:
+            lo, hi = parts.pop()
+            sums = np.cumsum(np.append(0.0, gains[lo:hi]))
+            lowest = np.minimum.accumulate(sums)
+            rise = sums - lowest
+            if not len(rise) or rise.max() < self.least:
+                continue
+            first = np.flatnonzero(sums == lowest)
+            peaks = np.maximum.reduceat(rise, first)
+            ends = np.append(first[1:], len(sums))
+            for i in np.flatnonzero(peaks >= self.least).tolist():
+                top = int(first[i] + rise[first[i] : ends[i]].argmax())
+                found.append((lo + int(first[i]), lo + top))
+                # After its peak a rise may hold another one.
+                parts.append((lo + top, lo + int(ends[i]) - 1))
+        return sorted(found)
 
 
 def _logs(samples: list[str]) -> np.ndarray:
@@ -74,11 +112,14 @@ def fit_markov(samples: list[tuple[str, int]], false_share: float = FALSE_SHARE)
     if not all(any(y == k for _, y in part) for part in (learn, test) for k in (0, 1)):
         return MarkovModel(np.zeros((len(ALPHABET) + 1, len(ALPHABET))), 1.0)
     model = MarkovModel(_logs([r for r, y in learn if y]) - _logs([r for r, y in learn if not y]), 0.0)
+    same = np.arange(len(ALPHABET))
+    model.ratio[same, same] = np.minimum(model.ratio[same, same], 0.0)
     ordinary = np.array([model.score(r) for r, y in test if not y])
     random_ = np.array([model.score(r) for r, y in test if y])
     low, high = np.quantile(ordinary, 1 - false_share), np.quantile(random_, 0.01)
     # Between the two, where they part; else at the share of false hits allowed.
     model.threshold = max(float(low), float((low + high) / 2), 0.05)
+    model.least = max(float(np.quantile([model.peak(r) for r, y in test if not y], 1 - false_share)), 1.0)
     return model
 
 
@@ -93,14 +134,49 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _union(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Disjoint stretches covered by sorted spans."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def all_spans(text: str, model: MarkovModel, base: list[tuple[int, int, str]] | None = None) -> list[tuple[int, int, str]]:
     base = base_spans(text) if base is None else base
     found = list(base)
+    covered, at = _union(base), 0
     for m in RUN.finditer(text):
-        if any(m.start() < end and start < m.end() for start, end, _ in base):
-            continue
-        if model.score(m.group()) >= model.threshold:
-            found.append((m.start(), m.end(), "markov"))
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
+        # What the patterns leave of the run.
+        parts, lo, i = [], m.start(), at
+        while i < len(covered) and covered[i][0] < m.end():
+            parts.append((lo, covered[i][0]))
+            lo, i = covered[i][1], i + 1
+        parts.append((lo, m.end()))
+        gains = None
+        for lo, hi in parts:
+            need = RUN_CHARS if (lo, hi) == m.span() else REST_CHARS
+            if hi - lo < need:
+                continue
+            if gains is None:
+                gains = model.ratios(m.group()) - model.threshold
+            last = lo
+            for start, end in model.stretches(gains[lo - m.start() : hi - m.start()]):
+                start, end = max(lo + start, last), lo + end
+                if start >= end:
+                    continue
+                while start > last and text[start - 1].isalnum() and text[start].isalnum():
+                    start -= 1
+                while end < hi and text[end].isalnum() and text[end - 1].isalnum():
+                    end += 1
+                last = end
+                if end - start >= need:
+                    found.append((start, end, "markov"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -135,7 +211,7 @@ def samples_of(texts: list[str], seed: int = 11) -> list[tuple[str, int]]:
 def fit(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> MarkovModel:
     """Models from up to ``max_docs`` documents of least text hash and ``max_chars`` characters in all."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    hashed = docs.where("length(text) > 0").where(F.length("text") <= max_chars // 10).select("text", F.xxhash64("text").alias("h"))
+    hashed = docs.where("length(text) > 0").select("text", F.xxhash64("text").alias("h"))
     picked = hashed.select("h").distinct().orderBy("h").limit(max_docs)
     kept = scratch.store(hashed.join(F.broadcast(picked), "h").groupBy("h").agg(F.min("text").alias("text")), "sample")
     texts, left = [], max_chars

@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from larkspan.llm import pieces
 from larkspan.llm.queries import MODEL
+from pyspark.sql import functions as F
 from test_text_operators import DOCS, brute_components, brute_spans, edge_docs, empty_docs
 
 
@@ -75,3 +76,14 @@ def test_near_duplicates_bear_other_file_splits(spark, sf, tmp_path, monkeypatch
         for k in settings:
             spark.conf.unset(k)
     assert kept == sorted({c for _, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()])})
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Extra columns named like the stages' own ones come back untouched."""
+    names = ["row", "row_", "score", "found", "id", "at", "component_id", "none", "first", "_row", "_score", "_found"]
+    docs = edge_docs(spark).select("doc_id", "text", *[F.lit(f"kept {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"kept {n}" for r in rows for n in names), name
