@@ -14,7 +14,8 @@ one's documents. All but the last stage return the columns of their input.
 
 Nulls, empty texts and repeated rows: a null or empty text scores by the
 classifier's bias, links with nothing, meets no benchmark item, holds no secret
-and has no tokens. Rows equal in id and set are copies. Empty tables pass.
+and has no tokens. Rows equal in id and set are copies. Empty tables pass. Extra
+columns, whatever their names, are carried as they are up to the last stage.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from larkspan.llm import decontaminate, pieces, quality, secrets
 from larkspan.llm.jaccard_join import jaccard_components
 from larkspan.llm.registry import table
-from larkspan.llm.scratch import Scratch
+from larkspan.llm.scratch import Scratch, free_name
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
@@ -35,19 +36,21 @@ MODEL = "piece_bpe_32k.model"
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, out="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    return quality.with_score(docs, model, out=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Copies are told apart by their id and, for equal or missing ids, by their place in the table.
     # A place depends on how files are split, so the numbered rows are stored and every step reads those.
     ids = Scratch(spark, "rows")
-    keyed = ids.store(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = ids.store(jaccard_components(keyed, "_row"), "components")
-    rows = keyed.select("_row", F.col("doc_id").alias("_id")).join(found.withColumnRenamed("doc_id", "_row"), "_row")
-    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_row")).alias("first"))
-    keep = ids.store(first.select(F.col("first._row").alias("_row")), "kept")
-    return keyed.join(keep, "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "row")
+    keyed = ids.store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = ids.store(jaccard_components(keyed, row).select(F.col("doc_id").alias("at"), "component_id"), "components")
+    rows = keyed.select(F.col(row).alias("at"), F.col("doc_id").alias("id")).join(found, "at")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"))
+    keep = ids.store(first.select(F.col("first.at").alias(row)), "kept")
+    return keyed.join(keep, row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
