@@ -1,21 +1,18 @@
-"""Splits, features, boosted trees and local explanations on Spark ML."""
+"""Splits, features, boosted trees and local explanations."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.boosting import BoostedTrees, fitted, grown
 from larkspan.operators.sets import hash_key
 from larkspan.operators.windows import with_ntile
-from larkspan.plans.ordered import spread, with_position
-from larkspan.session import shared_folder
+from larkspan.plans.ordered import with_position
+from larkspan.session import checkpoint
 
 
 class Predictor(Protocol):
@@ -82,72 +79,49 @@ def drop_nzv(df: DataFrame, cols: Sequence[str], freq: float = 95 / 5, unique: f
     return df.drop(*[r["name"] for r in rows])
 
 
-def _regressor(y: str, trees: int, mtry: int | None, rate: float, depth: int, seed: int) -> GBTRegressor:
-    return GBTRegressor(
-        labelCol=y, featuresCol="_x", maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed,
-        featureSubsetStrategy=str(mtry) if mtry else "all",
-    )
-
-
-def _cut_lineage(spark: SparkSession) -> None:
-    """Spark ML cuts the lineage of a long fit every tenth tree, but only where a checkpoint folder is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def fit_gbt(
     df: DataFrame, x: Sequence[str], y: str, trees: int = 100, mtry: int | None = None, rate: float = 0.01, depth: int = 6, seed: int = 1
-) -> PipelineModel:
-    """Boosted regression trees as a pipeline that assembles its own features.
-
-    Training passes over the rows once per tree level, so the few columns it
-    needs are spread evenly over the tasks and kept first.
-    """
-    _cut_lineage(df.sparkSession)
-    assembler = VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip")
-    data = spread(df.select(*x, y)).persist()
+) -> BoostedTrees:
+    """Boosted regression trees; rows with a missing feature or target are left out."""
+    data = df.select(*x, y).dropna().persist()
     try:
-        return Pipeline(stages=[assembler, _regressor(y, trees, mtry, rate, depth, seed)]).fit(data)
+        return fitted(data, x, y, trees, mtry, rate, depth, seed)
     finally:
         data.unpersist()
 
 
 def tune(
     df: DataFrame, x: Sequence[str], y: str, mtry: Sequence[int], trees: Sequence[int], fold: str = "fold",
-    folds: int = 5, rate: float = 0.01, depth: int = 6, seed: int = 123, parallelism: int = 2,
+    folds: int = 5, rate: float = 0.01, depth: int = 6, seed: int = 123,
 ) -> DataFrame:
     """Mean absolute error of every (mtry, trees) point over the folds.
 
-    One fit per fold and mtry grows the longest model; shorter ones are its
-    first trees, so their errors are read off stage by stage.
+    One fit per fold and mtry grows the longest model, all of them in the same
+    pass; shorter ones are its first trees, so their errors are read off on the
+    way.
     """
-    _cut_lineage(df.sparkSession)
-    data = VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip").transform(spread(df.select(*x, y, fold))).select("_x", y, fold).persist()
-    longest = max(trees)
-
-    def run(job: tuple[int, int]) -> list[tuple[int, int, int, float]]:
-        m, f = job
-        model = _regressor(y, longest, m, rate, depth, seed).fit(data.filter(F.col(fold) != f))
-        errors = model.evaluateEachIteration(data.filter(F.col(fold) == f), "absolute")
-        return [(m, n, f, float(errors[n - 1])) for n in trees]
-
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            rows = [r for part in pool.map(run, [(m, f) for m in mtry for f in range(folds)]) for r in part]
-    finally:
-        data.unpersist()
-    scores = df.sparkSession.createDataFrame(rows, "mtry int, trees int, fold int, mae double")
-    return scores.groupBy("mtry", "trees").agg(F.avg("mae").alias("mae"), F.stddev("mae").alias("sd"))
+    fits = [(m, f) for m in mtry for f in range(folds)]
+    plan = {
+        "mtry": tuple(min(m, len(x)) for m, _ in fits), "left_out": tuple(f for _, f in fits), "trees": max(trees), "rate": rate, "depth": depth,
+        "seed": seed, "staged": tuple(trees),
+    }
+    # Read several times and by a result that is still to run, so it is cut from its input.
+    data = checkpoint(df.select(*x, y, fold).dropna())
+    errors, _ = grown(data, x, y, fold, plan)
+    per_fold = errors.groupBy("fit", "trees").agg((F.sum("error") / F.sum("n")).alias("error"))
+    at = F.array(*[F.lit(m) for m, _ in fits])
+    scores = per_fold.select(F.element_at(at, F.col("fit") + 1).alias("mtry"), "trees", "error")
+    return scores.groupBy("mtry", "trees").agg(F.avg("error").alias("mae"), F.stddev("error").alias("sd"))
 
 
 def mae(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return df.agg(F.avg(F.abs(F.col(y) - F.col(yhat))).alias("mae"))
 
 
-def importance(df: DataFrame, model: PipelineModel, names: Sequence[str]) -> DataFrame:
-    """Gain importance per feature, largest first. ``df`` only supplies the session."""
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(names, values)]
+def importance(df: DataFrame, model: BoostedTrees, names: Sequence[str]) -> DataFrame:
+    """Share of the drop in squared error that each feature's splits bring, largest first. ``df`` only supplies the session."""
+    total = model.gains.sum() or 1.0
+    rows = [(n, float(v / total)) for n, v in zip(names, model.gains)]
     return df.sparkSession.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
@@ -182,4 +156,4 @@ def break_down(model: Predictor, background: DataFrame, x: Sequence[str], row: M
 
 
 def score(model: Predictor, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).drop("_x")
+    return model.transform(rows)

@@ -10,6 +10,7 @@ from larkspan.functions import special as Z
 from larkspan.operators import bayes as B
 from larkspan.operators import causal as C
 from larkspan.operators import geo as P
+from larkspan.operators import boosting as B2
 from larkspan.operators import ml as M
 from larkspan.operators import stats as S
 from larkspan.operators.aggregates import lump, mean_ci
@@ -246,7 +247,7 @@ def test_queries_register_the_surveyed_trees(spark, sf, monkeypatch, name):
         asked.update(trees=[trees], rate=rate, depth=depth)
         raise Asked
 
-    def tune(df, x, y, mtry, trees, fold="fold", folds=5, rate=0.01, depth=6, seed=123, parallelism=2):
+    def tune(df, x, y, mtry, trees, fold="fold", folds=5, rate=0.01, depth=6, seed=123):
         asked.update(mtry=list(mtry), trees=list(trees), rate=rate, depth=depth, folds=folds, seen=df.select(fold).distinct().count(), features=len(x))
         raise Asked
 
@@ -260,8 +261,46 @@ def test_queries_register_the_surveyed_trees(spark, sf, monkeypatch, name):
         assert asked["folds"] == asked["seen"] == 5 and asked["features"] > 8
 
 
-def test_long_fits_have_a_checkpoint_folder(spark, trees):
-    assert spark.sparkContext.getCheckpointDir() is not None
+def test_trees_do_not_depend_on_how_rows_are_dealt(trees):
+    """One task, or a barrier stage of several that add up their histograms: the same trees."""
+    df, _ = trees
+    one = B2.fitted(df, ["a", "b", "noise"], "y", trees=2, mtry=2, rate=0.3, depth=2, seed=4)
+    many = B2.fitted(df, ["a", "b", "noise"], "y", trees=2, mtry=2, rate=0.3, depth=2, seed=4, rows_per_task=400)
+    for part in ("feature", "cut", "leaf", "gains"):
+        assert (getattr(one, part) == getattr(many, part)).all(), part
+    plan = {"mtry": (1, 3), "left_out": (0, 1), "trees": 2, "rate": 0.3, "depth": 2, "seed": 4, "staged": (1, 2)}
+    folded = df.withColumn("fold", F.col("id") % 2)
+    found = []
+    for rows in (10**6, 400):
+        out, _ = B2.grown(folded, ["a", "b", "noise"], "y", "fold", plan, rows)
+        found.append([tuple(r) for r in out.groupBy("fit", "trees").agg(F.sum("error"), F.sum("n")).orderBy("fit", "trees").collect()])
+    assert np.allclose(found[0], found[1], rtol=1e-9) and [r[3] for r in found[0]] == [1000] * 4
+
+
+def test_trees_match_the_ml_library(spark, sf):
+    """Held-out error of one fold against Spark ML, whose squared-error gradient is twice the residual: half the rate there."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 1, (3000, 3))
+    y = 10 * np.sin(6 * x[:, 0]) + 5 * (x[:, 1] > 0.4) * x[:, 2] + rng.normal(0, 0.5, 3000)
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, y double").repartition(4).cache()
+    train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
+    own = M.mae(M.fit_gbt(train, ["a", "b", "c"], "y", trees=40, rate=0.05, depth=5).transform(test), "y", "prediction").first()[0]
+    features = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f")
+    model = GBTRegressor(labelCol="y", featuresCol="f", maxIter=40, stepSize=0.025, maxDepth=5, seed=1).fit(features.transform(train))
+    library = M.mae(model.transform(features.transform(test)), "y", "prediction").first()[0]
+    assert abs(own - library) < 0.02 * library  # cut points differ
+
+
+def test_trees_leave_out_missing_values_and_bear_constants(spark):
+    rows = [(float(i % 2), 1.0, float(i % 2) * 4) for i in range(50)] + [(None, 1.0, 9.0), (float("nan"), 1.0, 9.0), (1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, same double, y double")
+    model = M.fit_gbt(df, ["a", "same"], "y", trees=3, depth=3)
+    assert {(r.a, r.prediction) for r in model.transform(df).collect()} == {(0.0, 0.0), (1.0, 4.0)}
+    flat = M.fit_gbt(df, ["same"], "y", trees=2, depth=2).transform(df.where("a = 1 and y = 4")).first()
+    assert np.isclose(flat["prediction"], 4 * 25 / 52 + 9 * 2 / 52)
 
 
 def tour_length(points, order):
