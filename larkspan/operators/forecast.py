@@ -18,7 +18,6 @@ from larkspan.operators.series import SeriesSpec
 from larkspan.plans.ordered import spread
 
 YEAR = 365.25
-Z95 = 1.959963984540054
 Z80 = 1.2815515655446004
 # Observations a series needs to be fitted.
 LEAST_ROWS = 2
@@ -75,93 +74,194 @@ def mark_holidays(df: DataFrame, date: str, out: str = "is_holiday") -> DataFram
     return df.join(days.withColumn(out, F.lit(1)), date, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
-def _design(days: np.ndarray, start: float, span: float, knots: np.ndarray, order: int) -> np.ndarray:
-    t = (days - start) / span
+# Scales of the priors, for a series scaled to its bounds: trend offset and slope, changes of slope (Laplace), yearly terms, holidays.
+TREND_SD, CHANGE_SCALE, SEASON_SD, HOLIDAY_SD = 5.0, 0.05, 10.0, 10.0
+LEAST_NOISE = 1e-3
+TRAJECTORIES = 500
+
+
+def _trend_basis(t: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones_like(t), t, np.maximum(t[:, None] - knots, 0)])
+
+
+def _yearly(days: np.ndarray, order: int) -> np.ndarray:
     angle = 2 * np.pi * np.outer(days / YEAR, np.arange(1, order + 1))
-    return np.column_stack([np.ones_like(t), t, np.maximum(t[:, None] - knots, 0), np.sin(angle), np.cos(angle)])
+    return np.column_stack([np.sin(angle), np.cos(angle)])
+
+
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
+
+
+def _most_likely(y: np.ndarray, basis: np.ndarray, extra: np.ndarray, sd: np.ndarray, changes: slice) -> tuple[np.ndarray, float, np.ndarray]:
+    """Parameters and noise of largest posterior density, by damped Gauss-Newton steps, and the parameters' covariance.
+
+    The model is sigmoid(basis @ trend) + extra @ effects. ``sd`` holds the
+    priors' scales; that of ``changes`` is a Laplace prior, whose curvature is
+    that of the square through the current value.
+    """
+    k, n = basis.shape[1], len(y)
+    third = max(n // 3, 1)
+    edge = np.clip([y[:third].mean(), y[-third:].mean()], 0.02, 0.98)
+    ends = np.log(edge / (1 - edge))
+    theta = np.zeros(k + extra.shape[1])
+    theta[0], theta[1] = ends[0], ends[1] - ends[0]
+    noise = max(float(np.std(y)), LEAST_NOISE)
+
+    def parts(theta):
+        curve = _sigmoid(basis @ theta[:k])
+        return curve, y - curve - extra @ theta[k:]
+
+    def cost(theta, rest):
+        square = (theta / sd) ** 2 / 2
+        square[changes] = np.abs(theta[changes]) / sd[changes]
+        return (rest @ rest) / (2 * noise**2) + square.sum()
+
+    for _ in range(12):
+        damp = 1e-3
+        curve, rest = parts(theta)
+        now = start = cost(theta, rest)
+        for _ in range(25):
+            jacobian = np.column_stack([basis * (curve * (1 - curve))[:, None], extra])
+            pull = 1 / sd**2
+            pull[changes] = 1 / (sd[changes] * (np.abs(theta[changes]) + 1e-4))
+            gram = jacobian.T @ jacobian / noise**2 + np.diag(pull)
+            step = np.linalg.solve(gram + damp * np.diag(np.diag(gram)), jacobian.T @ rest / noise**2 - pull * theta)
+            after = theta + step
+            curve_after, rest_after = parts(after)
+            then = cost(after, rest_after)
+            if then < now:
+                gained, theta, curve, rest, now = now - then, after, curve_after, rest_after, then
+                damp = max(damp / 5, 1e-9)
+                if gained < 1e-6 * (1 + abs(now)):
+                    break
+            else:
+                damp *= 8
+                if damp > 1e9:
+                    break
+        before, noise = noise, max(float(np.sqrt(rest @ rest / n)), LEAST_NOISE)
+        if abs(noise - before) < 1e-4 * before and start - now < 1e-4 * (1 + abs(now)):
+            break
+    # Parameters used up by the fit make the residuals too small; how much they are in doubt is in the curvature.
+    about = np.linalg.inv(jacobian.T @ jacobian / noise**2 + np.diag(pull))
+    used = np.trace(about @ jacobian.T @ jacobian) / noise**2
+    return theta, noise * np.sqrt(n / max(n - used, 1.0)), about
 
 
 def fit_series(
-    days: np.ndarray, y: np.ndarray, floor: float, cap: float, holiday: np.ndarray,
-    future: np.ndarray, future_holiday: np.ndarray, level_z: float, order: int, max_knots: int,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Saturating trend with changepoints, yearly terms and holiday effects for one series.
-
-    The scaled series goes through a logit, so a linear model there saturates
-    between the bounds; ridge penalties act as priors. The interval adds the
-    spread of the residuals and the growing doubt about future slope changes.
+    days: np.ndarray, y: np.ndarray, floor: float, cap: float, holidays: np.ndarray,
+    future: np.ndarray, future_holidays: np.ndarray, level: float, order: int, max_knots: int, seed: int = 7,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Saturating trend with changepoints, plus yearly terms and an effect per holiday column, for one series.
+
+    The trend is a logistic curve between the bounds whose exponent changes slope
+    at the knots; the other terms are added on the scale of the series, whose
+    values may lie outside the bounds. Returns the mean, the interval and the
+    holiday effects. The interval holds the noise, the doubt about the parameters
+    and simulated changes of slope to come, as many and as large as those seen;
+    it is clipped to the bounds.
     """
     width = max(cap - floor, 1e-9)
-    squash = lambda v: np.clip((v - floor) / width, 1e-3, 1 - 1e-3)
-    z = np.log(squash(y) / (1 - squash(y)))
     start, span = days[0], max(days[-1] - days[0], 1.0)
     count = min(max_knots, max(len(days) // 3 - 1, 0))
     knots = np.linspace(0, 0.8, count + 1)[1:]
-    x = np.column_stack([_design(days, start, span, knots, order), holiday])
-    sd = np.concatenate([[5, 5], np.full(count, 0.05), np.full(2 * order, 1.0), [1.0]])
-    noise = max(np.std(np.diff(z)) / np.sqrt(2), 1e-2) if len(z) > 1 else 1.0
-    gram = x.T @ x + np.diag((noise / sd) ** 2)
-    beta = np.linalg.solve(gram, x.T @ z)
-    sigma = np.std(z - x @ beta)
-    ahead = np.column_stack([_design(future, start, span, knots, order), future_holiday])
-    mean = ahead @ beta
-    change = np.mean(np.abs(beta[2 : 2 + count])) if count else 0.0
-    h = (future - days[-1]) / span
-    spread = level_z * np.sqrt(sigma**2 + 2 * change**2 * (count / 0.8 if count else 0) * h**3 / 3)
-    back = lambda v: floor + width / (1 + np.exp(-v))
-    return back(mean), back(mean - spread), back(mean + spread)
-
-
-def forecast_groups(
-    df: DataFrame, spec: SeriesSpec, horizon: int = 13, level_z: float = Z95, order: int = 10, max_knots: int = 25
-) -> DataFrame:
-    """Forecast every series of a model frame (keys, cap, floor, ds, y) ``horizon`` steps ahead.
-
-    Returns ds, keys, yhat, yhat_lower and yhat_upper; all lie between the bounds.
-    Series too short to fit are in ``forecast_rejects``.
-    """
+    basis, extra = _trend_basis((days - start) / span, knots), np.column_stack([_yearly(days, order), holidays])
+    sd = np.concatenate([[TREND_SD] * 2, np.full(count, CHANGE_SCALE), np.full(2 * order, SEASON_SD), np.full(holidays.shape[1], HOLIDAY_SD)])
+    theta, noise, about = _most_likely((y - floor) / width, basis, extra, sd, slice(2, 2 + count))
+    trend, effects = theta[: 2 + count], theta[2 + count :]
+    t = (future - start) / span
+    exponent, added = _trend_basis(t, knots) @ trend, np.column_stack([_yearly(future, order), future_holidays]) @ effects
+    curve = _sigmoid(exponent)
+    mean = curve + added
+    toward = np.column_stack([_trend_basis(t, knots) * (curve * (1 - curve))[:, None], _yearly(future, order), future_holidays])
+    doubt = np.sqrt(noise**2 + np.maximum(np.einsum("ij,jk,ik->i", toward, about, toward), 0))
+
+    rng = np.random.default_rng([seed, len(days)])
+    size = np.mean(np.abs(trend[2:])) if count else 0.0
+    new = rng.poisson(count * max(t[-1] - 1, 0.0), TRAJECTORIES) if count else np.zeros(TRAJECTORIES, int)
+    most = max(int(new.max()), 1)
+    at = rng.uniform(1, max(t[-1], 1.0), (TRAJECTORIES, most))
+    change = np.where(np.arange(most) < new[:, None], rng.laplace(0, max(size, 1e-12), (TRAJECTORIES, most)), 0.0)
+    moved = exponent + np.einsum("sk,skt->st", change, np.maximum(t - at[:, :, None], 0))
+    drawn = _sigmoid(moved) + added + rng.normal(0, 1, (TRAJECTORIES, len(t))) * doubt
+    low, high = np.quantile(drawn, [(1 - level) / 2, (1 + level) / 2], axis=0)
+    back = lambda v: floor + width * np.clip(v, 0, 1)
+    return back(mean), back(np.minimum(low, mean)), back(np.maximum(high, mean)), effects[2 * order :] * width
+
+
+def _per_series(df: DataFrame, spec: SeriesSpec, horizon: int, window: tuple[int, int], made, columns: str) -> DataFrame:
+    """One fit per key; ``made(ds, future, names, fitted)`` gives the rows of its result."""
     keys = list(spec.keys)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "ds date", "yhat_lower double", "yhat_upper double", "yhat double"])
-    calendar = _holiday_days(df, horizon * 7 if spec.freq.startswith("W-") else horizon * int(spec.freq[:-1] or 1))
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], columns])
+    names = [c.split()[0] for c in columns.split(", ")]
+    calendar = _holiday_days(df, horizon * 7 if spec.freq.startswith("W-") else horizon * int(spec.freq[:-1] or 1), window)
     step = spec.freq if spec.freq.startswith("W-") else f"{int(spec.freq[:-1] or 1)}D"
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["y"].notna()].sort_values("ds")
         if len(pdf) < LEAST_ROWS:
-            return pd.DataFrame(columns=[*keys, "ds", "yhat_lower", "yhat_upper", "yhat"])
+            return pd.DataFrame(columns=[*keys, *names])
         ds = pd.to_datetime(pdf["ds"])
         future = pd.date_range(ds.iloc[-1], periods=horizon + 1, freq=step)[-horizon:]
-        number = lambda s: np.asarray(s, "datetime64[D]").astype(float)
-        off = lambda s: np.isin(np.asarray(s, "datetime64[D]"), calendar).astype(float)
-        mean, low, high = fit_series(
-            number(ds), pdf["y"].to_numpy(float), float(pdf["floor"].iloc[0]), float(pdf["cap"].iloc[0]), off(ds),
-            number(future), off(future), level_z, order, max_knots,
-        )
-        out = pd.DataFrame({"ds": future.date, "yhat_lower": low, "yhat_upper": high, "yhat": mean})
+        plain = lambda s: np.asarray(s, "datetime64[D]")
+        # A column per named holiday and day of its window that the series has seen.
+        seen = set(plain(ds).tolist())
+        columns = sorted({c for c, dates in calendar.items() if dates & seen})
+        flags = lambda s: np.array([[float(d in calendar[c]) for c in columns] for d in plain(s).tolist()]).reshape(len(s), len(columns))
+        out = made(plain(ds), plain(future), columns, pdf["y"].to_numpy(float), float(pdf["floor"].iloc[0]), float(pdf["cap"].iloc[0]), flags(ds), flags(future))
         for name, value in zip(keys, key):
             out[name] = value
-        return out[[*keys, "ds", "yhat_lower", "yhat_upper", "yhat"]]
+        return out[[*keys, *names]]
 
     return spread(df.select(*keys, "cap", "floor", "ds", "y"), *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
+def forecast_groups(
+    df: DataFrame, spec: SeriesSpec, horizon: int = 13, level: float = 0.95, order: int = 10, max_knots: int = 25, window: tuple[int, int] = (0, 0)
+) -> DataFrame:
+    """Forecast every series of a model frame (keys, cap, floor, ds, y) ``horizon`` steps ahead.
+
+    Returns ds, keys, yhat, yhat_lower and yhat_upper; all lie between the bounds.
+    Every US holiday has an effect of its own, with ``window`` also on the days
+    around it. Series too short to fit are in ``forecast_rejects``.
+    """
+
+    def made(ds, future, columns, y, floor, cap, flags, future_flags):
+        mean, low, high, _ = fit_series(ds.astype(float), y, floor, cap, flags, future.astype(float), future_flags, level, order, max_knots)
+        return pd.DataFrame({"ds": future.tolist(), "yhat_lower": low, "yhat_upper": high, "yhat": mean})
+
+    return _per_series(df, spec, horizon, window, made, "ds date, yhat_lower double, yhat_upper double, yhat double")
+
+
+def holiday_effects(df: DataFrame, spec: SeriesSpec, order: int = 10, max_knots: int = 25, window: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Keys, holiday, offset, effect: what each named holiday (and day around it) adds to every series that has seen it."""
+
+    def made(ds, future, columns, y, floor, cap, flags, future_flags):
+        *_, effects = fit_series(ds.astype(float), y, floor, cap, flags, future.astype(float), future_flags, 0.95, order, max_knots)
+        return pd.DataFrame({"holiday": [c[0] for c in columns], "offset": [c[1] for c in columns], "effect": effects})
+
+    return _per_series(df, spec, 1, window, made, "holiday string, offset int, effect double")
+
+
 def forecast_rejects(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """The series that ``forecast_groups`` cannot fit: keys, observations, reason."""
     seen = df.groupBy(*spec.keys).agg(F.count("y").alias("n"))
     return seen.filter(F.col("n") < LEAST_ROWS).withColumn("reason", F.lit(f"fewer than {LEAST_ROWS} observations"))
 
 
-def _holiday_days(df: DataFrame, days_ahead: int) -> np.ndarray:
-    """The rule calendar over the data's years and the horizon as plain days: about 13 dates a year."""
+def _holiday_days(df: DataFrame, days_ahead: int, window: tuple[int, int] = (0, 0)) -> dict[tuple[str, int], set]:
+    """The rule calendar over the data's years and the horizon: the dates of each (holiday, day of its window)."""
     span = df.agg(F.min("ds").alias("a"), F.max("ds").alias("b")).first()
     if span.a is None:
-        return np.array([], dtype="datetime64[D]")
+        return {}
     # New Year's Day may be observed in the year before.
-    years = range(span.a.year, (span.b + timedelta(days=days_ahead)).year + 2)
+    years = range(span.a.year - 1, (span.b + timedelta(days=days_ahead)).year + 2)
     frame = df.sparkSession.range(years.start, years.stop).select(F.col("id").cast("int").alias("y"))
-    rows = us_holidays(frame, "y").select("ds").distinct().collect()
-    return np.array([r.ds for r in rows], dtype="datetime64[D]")
+    out: dict[tuple[str, int], set] = {}
+    for r in us_holidays(frame, "y", window).collect():
+        out.setdefault((r["holiday"], r["offset"]), set()).add(r["ds"])
+    return out
 
 
 # Simple, Holt and damped Holt smoothing over a grid of weights (alpha, beta, phi).

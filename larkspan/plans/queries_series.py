@@ -216,6 +216,28 @@ def _(t):
     return P.forecast_groups(model_frame(t), SPEC, horizon=13)
 
 
+@query(
+    "forecast_dates",
+    "L1 L2",
+    WEEKLY
+    + PREPARED
+    + """ SELECT n_name, c_mktsegment, (last + 7 * i::INT)::DATE AS ds, true AS ordered, true AS bounded
+        FROM (SELECT n_name, c_mktsegment, max(day) AS last FROM bounded GROUP BY ALL), range(1, 14) r(i)""",
+)
+def _(t):
+    # Keys, dates and bounds of the forecasts; the fit itself has no SQL form.
+    frame = model_frame(t)
+    limits = frame.groupBy(*SPEC.keys).agg(F.min("floor").alias("floor"), F.max("cap").alias("cap"))
+    out = P.forecast_groups(frame, SPEC, horizon=13).join(limits, list(SPEC.keys))
+    ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return out.select(*SPEC.keys, "ds", ordered.alias("ordered"), ((F.col("floor") <= F.col("yhat_lower")) & (F.col("yhat_upper") <= F.col("cap"))).alias("bounded"))
+
+
+@query("forecast_holidays", "L1 L2")
+def _(t):
+    return P.holiday_effects(model_frame(t), SPEC)
+
+
 @query("forecast_bound", "K12 L1 B15 B17 G6")
 def _(t):
     frame = model_frame(t)

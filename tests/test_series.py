@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -156,8 +156,48 @@ def test_forecast_rejects_short_series(spark):
 
 def test_holidays_of_far_years(spark):
     df = spark.createDataFrame([(date(2149, 12, 25),), (date(2150, 12, 30),)], "ds date")
-    days = P._holiday_days(df, 14)
-    assert np.datetime64("2149-12-25") in days and np.datetime64("2151-01-01") in days and days.min().astype(object).year == 2149
+    found = P._holiday_days(df, 14)
+    assert date(2149, 12, 25) in found["Christmas Day", 0] and date(2151, 1, 1) in found["New Year's Day", 0]
+
+
+def test_named_holidays_have_effects_of_their_own(spark):
+    """A planted effect of Thanksgiving and of the day after is found; other holidays, a neighbour among them, have none."""
+    spec = K.SeriesSpec(("k",), "ds", "y", "1D")
+    rng = np.random.default_rng(3)
+    days = [date(2015, 1, 1) + timedelta(days=i) for i in range(4 * 365)]
+    calendar = P._holiday_days(spark.createDataFrame([(days[0],), (days[-1],)], "ds date"), 30, (0, 1))
+    thanks, after, veterans = calendar["Thanksgiving", 0], calendar["Thanksgiving", 1], calendar["Veterans Day", 0]
+    y = [60 + 0.005 * i + 8 * np.sin(2 * np.pi * i / 365.25) + 30 * (d in thanks) - 15 * (d in after) + rng.normal(0, 1) for i, d in enumerate(days)]
+    df = spark.createDataFrame([(1, 200.0, 0.0, d, float(v)) for d, v in zip(days, y)], "k int, cap double, floor double, ds date, y double")
+    found = {(r.holiday, r.offset): r.effect for r in P.holiday_effects(df, spec, window=(0, 1)).collect()}
+    assert abs(found["Thanksgiving", 0] - 30) < 2 and abs(found["Thanksgiving", 1] + 15) < 2
+    assert abs(found["Veterans Day", 0]) < 2 and abs(found["Columbus Day", 0]) < 2 and len(veterans) >= 4
+    ahead = {r.ds: r.yhat for r in P.forecast_groups(df.where("ds < date'2018-11-10'"), spec, horizon=20, window=(0, 1)).collect()}
+    assert ahead[date(2018, 11, 22)] - ahead[date(2018, 11, 20)] > 20 and ahead[date(2018, 11, 23)] - ahead[date(2018, 11, 20)] < -8
+
+
+def test_intervals_cover(spark):
+    """On simulated series with two changes of slope, 95 % intervals hold 90 to 99 % of what comes."""
+    rng = np.random.default_rng(11)
+    spec = K.SeriesSpec(("k",), "ds", "y")
+    first = date(2012, 1, 6)
+    past, coming = [], {}
+    for k in range(60):
+        t = np.arange(169)
+        slope = rng.normal(0, 0.01) * np.ones(169)
+        for at in rng.integers(20, 150, 2):
+            slope[at:] += rng.laplace(0, 0.004)
+        truth = 100 / (1 + np.exp(-(rng.normal(0, 0.5) + np.cumsum(slope)))) + 5 * np.sin(2 * np.pi * t * 7 / 365.25 + rng.uniform(0, 6))
+        y = truth + rng.normal(0, 2, 169)
+        for i in range(169):
+            d = first + timedelta(days=7 * i)
+            if i < 156:
+                past.append((k, 120.0, -20.0, d, float(y[i])))
+            else:
+                coming[k, d] = y[i]
+    df = spark.createDataFrame(past, "k int, cap double, floor double, ds date, y double")
+    hit = [r.yhat_lower <= coming[r.k, r.ds] <= r.yhat_upper for r in P.forecast_groups(df, spec).collect()]
+    assert len(hit) == 60 * 13 and 0.9 <= np.mean(hit) <= 0.99, np.mean(hit)
 
 
 def test_smoothing_picks_a_trend(spark):
