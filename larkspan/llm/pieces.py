@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-MEMO_BYTES, MEMO_CHARS = 1 << 25, 48
+MEMO_BYTES, MEMO_CHARS = 3 << 24, 48
 ENTRY_BYTES = 250  # of a memo's entry besides its word and ids
 CALL_WORDS, CALL_CHARS = 4096, 1 << 17
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -108,7 +109,9 @@ class Codec:
         spans = any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces if p.type == NORMAL)
         self.by_word = plain and not users and not spans
         self.tokenizer = build(model, normalize=not self.by_word)
+        # Two generations of words met, each of bounded bytes.
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
         # What a piece adds to a decoded text; an unknown piece is written as the format's sign for it.
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
@@ -130,7 +133,7 @@ class Codec:
             while end < len(texts) and end - at < CALL_WORDS and (end == at or chars + len(texts[end]) <= CALL_CHARS):
                 chars += len(texts[end])
                 end += 1
-            yield [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
+            yield [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
             at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -140,19 +143,19 @@ class Codec:
             return [np.frombuffer(ids if t else b"", np.int32) for ids, t in zip(found, texts)]
         split = [self.words(t) for t in texts]
         if self.held > MEMO_BYTES:
-            self.memo.clear()
-            self.held = 0
-        memo, extra = self.memo, {}
-        new = list({w for words in split for w in words if w not in memo})
-        coded = (ids for part in self._calls([w if MARK in w else MARK + w for w in new]) for ids in part)
-        for w, ids in zip(new, coded):
-            if len(w) <= MEMO_CHARS:
-                memo[w] = ids
-                self.held += ENTRY_BYTES + len(w) + len(ids)
-            else:
-                extra[w] = ids
-        both = memo if not extra else {**memo, **extra}
-        return [np.frombuffer(b"".join(map(both.__getitem__, words)), np.int32) for words in split]
+            # Words not met since the last change of generation go.
+            self.memo, self.before, self.held = {}, self.memo, 0
+        wanted = set().union(*split)
+        found = {w: ids for w in wanted if (ids := self.memo.get(w)) is not None}
+        again = {w: ids for w in wanted if w not in found and (ids := self.before.get(w)) is not None}
+        new = [w for w in wanted if w not in found and w not in again]
+        for w, ids in zip(new, (ids for part in self._calls([w if MARK in w else MARK + w for w in new]) for ids in part)):
+            again[w] = ids
+        found.update(again)
+        kept = {w: ids for w, ids in again.items() if len(w) <= MEMO_CHARS}
+        self.memo.update(kept)
+        self.held += ENTRY_BYTES * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
+        return [np.frombuffer(b"".join(map(found.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         out = []
