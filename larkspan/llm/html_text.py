@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,9 +39,9 @@ LONG, SHORT = 140, 50
 MANY, FEW = 0.12, 0.04
 LINKS = 0.5
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_RAW = frozenset("script style noscript template textarea iframe svg math title object canvas".split())
+_RAW = frozenset("script style noscript template textarea iframe svg title".split())
 _ROLE = frozenset("nav footer aside form button select option dialog head menu fieldset".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -94,6 +95,12 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     landmarks = 0
+    names: Counter[str] = Counter()  # open elements
+
+    def close(depth: int) -> None:
+        for name, _, _ in stack[depth:]:
+            names[name] -= 1
+        del stack[depth:]
 
     def flush(heading: bool) -> None:
         nonlocal parts, linked
@@ -108,7 +115,7 @@ def blocks_of(page: str) -> list[Block]:
         if raw and not (stack and stack[-1][1]):
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(name == "a" for name, _, _ in stack):
+            if names["a"]:
                 linked += len(text.strip())
 
     at = 0
@@ -119,14 +126,14 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         if name in _BLOCK:
-            flush(any(n in _HEADING for n, _, _ in stack))
+            flush(any(names[n] for n in _HEADING))
         if m.group(1) or m.group(4):
-            depth = len(stack) - 1
+            depth = len(stack) - 1 if names[name] else -1
             while depth >= 0 and stack[depth][0] != name:
                 # Inline ends don't close the section around them.
                 depth = -1 if name not in _SECTION and stack[depth][0] in _SECTION else depth - 1
             if depth >= 0:
-                del stack[depth:]
+                close(depth)
             continue
         attributes = m.group(3) or m.group(6) or ""
         if name in _RAW:
@@ -136,14 +143,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in _VOID or attributes.rstrip().endswith("/"):
             continue
-        if name in _BLOCK and any(n == "p" for n, _, _ in stack):
+        if name in _BLOCK and names["p"]:
             depth = len(stack) - 1
             while stack[depth][0] != "p" and stack[depth][0] not in _SECTION:
                 depth -= 1
             if stack[depth][0] == "p":
-                del stack[depth:]
+                close(depth)
         if name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
+            close(len(stack) - 1)
         outside, landmark = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         if name in ("article", "main") and not landmark:
             landmarks += 1
@@ -153,8 +160,9 @@ def blocks_of(page: str) -> list[Block]:
         if not outside and attributes and name not in ("html", "body"):
             outside = not_main(name, attributes)
         stack.append((name, outside, landmark))
+        names[name] += 1
     add(page[at:])
-    flush(any(n in _HEADING for n, _, _ in stack))
+    flush(any(names[n] for n in _HEADING))
     return out
 
 

@@ -224,3 +224,18 @@ def test_every_labelled_suffix_counts(spark, monkeypatch):
     url_filter.judged(pages, spark.createDataFrame(rows, "url string, label int"), max_rows=60)
     rates = {r["suffix"]: r["f_suffix"] for r in seen[-1].select("suffix", "f_suffix").distinct().collect()}
     assert len(rates) == 100 and set(rates.values()) == {1 / 6, 5 / 6}
+
+
+def test_bad_markup_takes_linear_time():
+    import time
+
+    for page in ("<" + "a" * 200_000, "<span>" * 100_000 + "text", "<p>" + "<a" * 100_000, "<b>x" * 50_000):
+        started = time.time()
+        html_text.main_text(page)
+        assert time.time() - started < 2
+
+
+def test_text_of_formulas_and_objects_stays():
+    page = f"<article><p>{'The value of the sum that we have in the end is '*3}<math>x=2</math> and <canvas>a drawing</canvas> <object>or more</object> for all.</p></article>"
+    text = html_text.main_text(page)
+    assert "x=2 and a drawing or more for all." in text
