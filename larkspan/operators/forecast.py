@@ -264,54 +264,246 @@ def _holiday_days(df: DataFrame, days_ahead: int, window: tuple[int, int] = (0,
     return out
 
 
-# Simple, Holt and damped Holt smoothing over a grid of weights (alpha, beta, phi).
+# Parameters of each form, the error's variance included.
+FORMS = {"N": 3, "A": 5, "Ad": 6}
+# Bounds of the level weight, of the slope weight's share of it, and of the damping.
+LEVEL, SHARE, DAMPING = (1e-4, 0.9999), (1e-4, 0.9999), (0.8, 0.98)
+# Weights of the starting points.
 WEIGHTS = np.arange(0.1, 1.0, 0.1)
-MODELS = {
-    "simple": (3, np.array([(a, 0.0, 1.0) for a in WEIGHTS])),
-    "holt": (5, np.array([(a, b, 1.0) for a in WEIGHTS for b in WEIGHTS])),
-    "damped": (6, np.array([(a, b, p) for a in WEIGHTS for b in WEIGHTS for p in (0.8, 0.9, 0.98)])),
+STARTS = {
+    "N": np.array([(a, 0.0, 1.0) for a in WEIGHTS]),
+    "A": np.array([(a, b, 1.0) for a in WEIGHTS for b in WEIGHTS]),
+    "Ad": np.array([(a, b, p) for a in WEIGHTS for b in WEIGHTS for p in (0.82, 0.9, 0.97)]),
 }
+# Least mean squared error of a series scaled to mean size 1.
+LEAST_VAR = 1e-12
 
 
-def _smooth(y: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared error, last level and last slope: one row per series, one column per weight set."""
-    alpha, beta, phi = grid.T
+def _between(u: np.ndarray, bounds: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """A free number mapped between bounds, and the derivative."""
+    low, high = bounds
+    s = _sigmoid(u)
+    return low + (high - low) * s, (high - low) * s * (1 - s)
+
+
+def _free(x: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
+    share = np.clip((x - bounds[0]) / (bounds[1] - bounds[0]), 0.01, 0.99)
+    return np.log(share / (1 - share))
+
+
+def _weights(u: np.ndarray, form: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level weight, slope weight and damping of free parameters (level, [slope, [damping]], states)."""
+    alpha = _between(u[:, 0], LEVEL)[0]
+    if form == "N":
+        return alpha, np.zeros_like(alpha), np.ones_like(alpha)
+    beta = alpha * _between(u[:, 1], SHARE)[0]
+    return alpha, beta, _between(u[:, 2], DAMPING)[0] if form == "Ad" else np.ones_like(alpha)
+
+
+def ets_deviance(y: np.ndarray, u: np.ndarray, form: str, relative: bool, curved: bool = False) -> tuple[np.ndarray, ...]:
+    """Minus twice the log likelihood (without constants) of one parameter row per series, its
+    gradient, the error variance, the last level and slope, and with ``curved`` the
+    Gauss-Newton part of the Hessian.
+
+    Level and slope move alike under both error kinds; relative errors are
+    measured against the expected value. A row whose expected value is not
+    positive has no relative likelihood (infinite deviance).
+    """
+    m, k = u.shape
+    n = y.shape[1]
+    alpha, d_alpha = _between(u[:, 0], LEVEL)
+    beta, phi = np.zeros(m), np.ones(m)
+    to_alpha, to_beta, to_phi = np.zeros((m, k)), np.zeros((m, k)), np.zeros((m, k))
+    to_alpha[:, 0] = d_alpha
+    level, slope = u[:, k - 1].copy(), np.zeros(m)
+    d_level, d_slope = np.zeros((m, k)), np.zeros((m, k))
+    if form == "N":
+        d_level[:, k - 1] = 1
+    else:
+        share, d_share = _between(u[:, 1], SHARE)
+        beta = alpha * share
+        to_beta[:, 0], to_beta[:, 1] = share * d_alpha, alpha * d_share
+        level, slope = u[:, k - 2].copy(), u[:, k - 1].copy()
+        d_level[:, k - 2] = d_slope[:, k - 1] = 1
+    if form == "Ad":
+        phi, to_phi[:, 2] = _between(u[:, 2], DAMPING)
+    col = lambda v: v[:, None]
+    squares, logs = np.zeros(m), np.zeros(m)
+    d_squares, d_logs = np.zeros((m, k)), np.zeros((m, k))
+    crossed = np.zeros((m, k, k)) if curved else None
+    wrong = np.zeros(m, dtype=bool)
+    for i in range(n):
+        ahead = level + phi * slope
+        d_ahead = d_level + col(phi) * d_slope + col(slope) * to_phi
+        error = y[:, i] - ahead
+        if relative:
+            wrong |= ahead <= 1e-9
+            safe = np.where(ahead <= 1e-9, 1.0, ahead)
+            rate = error / safe
+            squares += rate * rate
+            d_error = -col(y[:, i] / (safe * safe)) * d_ahead
+            d_squares += col(2 * rate) * d_error
+            logs += np.log(safe)
+            d_logs += d_ahead / col(safe)
+        else:
+            squares += error * error
+            d_error = -d_ahead
+            d_squares += col(2 * error) * d_error
+        if curved:
+            crossed += d_error[:, :, None] * d_error[:, None, :]
+        d_slope = col(phi) * d_slope + col(slope) * to_phi - col(beta) * d_ahead + col(error) * to_beta
+        d_level = col(1 - alpha) * d_ahead + col(error) * to_alpha
+        level, slope = ahead + alpha * error, phi * slope + beta * error
+    var = squares / n
+    value = n * np.log(np.maximum(var, LEAST_VAR)) + 2 * logs
+    gradient = np.where(col(var > LEAST_VAR), n * d_squares / col(np.maximum(squares, n * LEAST_VAR)), 0.0) + 2 * d_logs
+    bad = wrong | ~np.isfinite(value)
+    value[bad], gradient[bad] = np.inf, 0.0
+    found = value, gradient, np.maximum(var, LEAST_VAR), level, slope
+    return (*found, crossed * (2 * n / np.maximum(squares, n * LEAST_VAR))[:, None, None]) if curved else found
+
+
+def ets_start(y: np.ndarray, form: str) -> np.ndarray:
+    """Free parameters of the weights on a coarse grid whose path from the first two values errs least."""
+    grid = STARTS[form]
+    alpha, share, phi = grid.T
     level = np.repeat(y[:, :1], len(grid), axis=1)
-    slope = np.where(beta > 0, (y[:, 1] - y[:, 0])[:, None], 0.0)
+    first = (y[:, 1] - y[:, 0]) if form != "N" else np.zeros(len(y))
+    slope = np.repeat(first[:, None], len(grid), axis=1)
     sse = np.zeros_like(level)
     for i in range(1, y.shape[1]):
         ahead = level + phi * slope
         error = y[:, i : i + 1] - ahead
-        level, slope = ahead + alpha * error, phi * slope + alpha * beta * error
+        level, slope = ahead + alpha * error, phi * slope + alpha * share * error
         sse += error * error
-    return sse, level, slope
+    best = grid[np.argmin(sse, axis=1)]
+    # States before the first value that expect exactly the first value and then the slope.
+    states = [y[:, 0]] if form == "N" else [y[:, 0] - first, first / best[:, 2]]
+    weights = [_free(best[:, 0], LEVEL)]
+    if form != "N":
+        weights.append(_free(best[:, 1], SHARE))
+    if form == "Ad":
+        weights.append(_free(best[:, 2], DAMPING))
+    return np.stack([*weights, *states], axis=1)
+
+
+def _inverse(y: np.ndarray, u: np.ndarray, form: str, relative: bool) -> np.ndarray:
+    """Inverse Hessian that a search along ``u`` starts with."""
+    hessian = ets_deviance(y, u, form, relative, curved=True)[5]
+    at = np.arange(hessian.shape[1])
+    hessian[:, at, at] = hessian[:, at, at] * (1 + 1e-6) + 1e-3
+    return np.linalg.inv(hessian)
+
+
+def ets_fit(y: np.ndarray, form: str, relative: bool, steps: int = 200) -> np.ndarray:
+    """Free parameters of largest likelihood for each row of a matrix of equally long series.
+
+    All rows take quasi-Newton (BFGS) steps together, each with its own inverse
+    Hessian and its own halved step. A row whose deviance stands still starts
+    again from the Gauss-Newton Hessian, and leaves if that doesn't help. No row
+    ends above the deviance of its start.
+    """
+    u = ets_start(y, form)
+    value, gradient = ets_deviance(y, u, form, relative)[:2]
+    inverse = _inverse(y, u, form, relative)
+    fresh = np.ones(len(u), dtype=bool)
+    live = np.flatnonzero(np.isfinite(value))
+    for _ in range(steps):
+        live = live[np.abs(gradient[live]).max(axis=1, initial=0) > 1e-6]
+        if not len(live):
+            break
+        g = gradient[live]
+        move = -np.einsum("mij,mj->mi", inverse[live], g)
+        fall = (move * g).sum(axis=1)
+        uphill = ~(fall < 0)
+        move[uphill], fall[uphill] = -g[uphill], -(g[uphill] ** 2).sum(axis=1)
+        # No parameter moves by more than 1 in a step.
+        scale = np.minimum(1.0, 1.0 / np.abs(move).max(axis=1))
+        move, fall = move * scale[:, None], fall * scale
+        length = np.ones(len(live))
+        new, new_value, new_gradient = u[live].copy(), value[live].copy(), g.copy()
+        trying = np.arange(len(live))
+        for _ in range(25):
+            rows = live[trying]
+            tried = u[rows] + length[trying, None] * move[trying]
+            v, d = ets_deviance(y[rows], tried, form, relative)[:2]
+            ok = v <= value[rows] + 1e-4 * length[trying] * fall[trying]
+            done = trying[ok]
+            new[done], new_value[done], new_gradient[done] = tried[ok], v[ok], d[ok]
+            trying = trying[~ok]
+            if not len(trying):
+                break
+            length[trying] /= 2
+        s, z = new - u[live], new_gradient - g
+        curve = (s * z).sum(axis=1)
+        fit = curve > 1e-12
+        rows = live[fit]
+        if len(rows):
+            sf, zf, rho = s[fit], z[fit], 1 / curve[fit]
+            hz = np.einsum("mij,mj->mi", inverse[rows], zf)
+            zhz = (zf * hz).sum(axis=1)
+            cross = hz[:, :, None] * sf[:, None, :]
+            square = sf[:, :, None] * sf[:, None, :]
+            inverse[rows] += ((1 + rho * zhz) * rho)[:, None, None] * square - rho[:, None, None] * (cross + cross.transpose(0, 2, 1))
+        still = value[live] - new_value <= 1e-8 * (1 + np.abs(new_value))
+        u[live], value[live], gradient[live] = new, new_value, new_gradient
+        leaves = still & fresh[live]
+        again = live[still & ~leaves]
+        if len(again):
+            inverse[again] = _inverse(y[again], u[again], form, relative)
+        fresh[live] = still
+        live = live[~leaves]
+    return u
 
 
 def ets_forecast(y: np.ndarray, h: int, z: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best model by AICc for each row of a matrix of equally long series.
+    """Best form by AICc for each row of a matrix of equally long series.
 
-    Returns (model name, mean, half width of the interval).
+    Additive (A) and, for positive series, multiplicative (M) errors with no (N),
+    additive (A) or damped (Ad) trend, each by maximum likelihood; no seasons.
+    Returns (form such as ``MAdN``, mean, half width of the interval).
     """
-    rows, n = np.arange(len(y)), y.shape[1] - 1
+    n = y.shape[1]
+    size = np.abs(y).mean(axis=1)
+    size[size == 0] = 1.0
+    scaled = y / size[:, None]
     best = np.full(len(y), np.inf)
     names = np.full(len(y), "", dtype=object)
     mean, half = np.zeros((len(y), h)), np.zeros((len(y), h))
-    for name, (k, grid) in MODELS.items():
-        if name != "simple" and n - k - 1 <= 0:
-            continue
-        sse, level, slope = _smooth(y, grid)
-        at = np.argmin(sse, axis=1)
-        var = np.maximum(sse[rows, at], 1e-12) / n
-        score = n * np.log(var) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1e-9)
-        alpha, beta, phi = (c[:, None] for c in grid[at].T)
-        damp = np.where(beta > 0, np.cumsum(phi ** np.arange(1, h + 1), axis=1), 0.0)
-        # Variance of step j sums the squared effects of the j - 1 shocks before it.
-        effect = np.cumsum((alpha + alpha * beta * damp) ** 2, axis=1)
-        total = 1 + np.concatenate([np.zeros((len(y), 1)), effect[:, :-1]], axis=1)
-        win = score < best
-        best[win], names[win] = score[win], name
-        mean[win] = (level[rows, at][:, None] + slope[rows, at][:, None] * damp)[win]
-        half[win] = (z * np.sqrt(var[:, None] * total))[win]
+    exact = np.zeros(len(y), dtype=bool)
+    for error in "AM":
+        for form, k in FORMS.items():
+            if form != "N" and n - k - 1 <= 0:
+                continue
+            # A series that additive errors fit exactly needs no other.
+            rows = np.arange(len(y)) if error == "A" else np.flatnonzero((y > 0).all(axis=1) & ~exact)
+            if not len(rows):
+                continue
+            part = scaled[rows]
+            u = ets_fit(part, form, error == "M")
+            value, _, var, level, slope = ets_deviance(part, u, form, error == "M")
+            if error == "A":
+                exact |= var <= LEAST_VAR
+            score = value + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1e-9)
+            # The interval's variance allows for the fitted parameters.
+            var = var * n / max(n - k + 1, 1)
+            alpha, beta, phi = (c[:, None] for c in _weights(u, form))
+            damp = np.cumsum(phi ** np.arange(1, h + 1), axis=1)
+            ahead = level[:, None] + slope[:, None] * damp
+            # Effect of a shock on the value j steps later.
+            effect = (alpha + beta * damp) ** 2
+            if error == "A":
+                spread_of = var[:, None] * (1 + np.concatenate([np.zeros((len(part), 1)), np.cumsum(effect, axis=1)[:, :-1]], axis=1))
+            else:
+                second = np.zeros_like(ahead)
+                for j in range(h):
+                    second[:, j] = ahead[:, j] ** 2 + var * (effect[:, :j] * second[:, :j][:, ::-1]).sum(axis=1)
+                spread_of = (1 + var[:, None]) * second - ahead**2
+            win = score < best[rows] - 1e-9
+            at = rows[win]
+            best[at], names[at] = score[win], f"{error}{form}N"
+            mean[at] = ahead[win] * size[at, None]
+            half[at] = z * np.sqrt(np.maximum(spread_of[win], 0)) * size[at, None]
     return names, mean, half
 
 
@@ -319,7 +511,7 @@ def ets_groups(df: DataFrame, key: Sequence[str], t: str, y: str, h: int = 10, l
     """Exponential-smoothing forecast of a yearly series per key, lower bound clipped at zero.
 
     A series is one array (one value per year), and a batch of equally long
-    series is smoothed as one matrix. Series of one or two values repeat their
+    series is fitted as one matrix. Series of one or two values repeat their
     first value.
     """
     key = list(key)

@@ -320,3 +320,15 @@ def yearly_lines(t):
 @query("smoothing_forecast", "L3 Q3")
 def _(t):
     return P.ets_groups(yearly_lines(t), ["l_partkey"], "year", "n", h=10)
+
+
+@query(
+    "smoothing_steps",
+    "L3 Q3",
+    """WITH y AS (SELECT l_partkey FROM lineitem WHERE year(l_shipdate) >= 1996 GROUP BY 1 HAVING count(*) >= 25), last AS (SELECT max(year(l_shipdate)) AS last FROM lineitem)
+       SELECT l_partkey, (last + step)::INT AS year, true AS bounded FROM y, last, range(1, 11) r(step)""",
+)
+def _(t):
+    out = P.ets_groups(yearly_lines(t), ["l_partkey"], "year", "n", h=10)
+    bounded = (F.col("lo") >= 0) & (F.col("lo") <= F.greatest("n", F.lit(0.0))) & (F.col("n") <= F.col("hi"))
+    return out.select("l_partkey", "year", bounded.alias("bounded"))

@@ -212,6 +212,72 @@ def test_smoothing_picks_a_trend(spark):
     assert len(flat) == 10 and all(abs(r["n"] - 40) < 1e-6 and r["lo"] >= 0 for r in flat)
 
 
+def smoothed(m, n, alpha, beta, phi, relative, sd, level, slope, seed=1):
+    """Simulated innovations state-space series, one per row."""
+    rng, out = np.random.default_rng(seed), []
+    l, b = np.full(m, level), np.full(m, slope)
+    for _ in range(n):
+        mean = l + phi * b
+        error = rng.normal(0, sd, m) * (mean if relative else 1)
+        out.append(mean + error)
+        l, b = mean + alpha * error, phi * b + beta * error
+    return np.array(out).T
+
+
+@pytest.mark.parametrize(
+    "form, relative, weights, sd, level, slope",
+    [
+        ("N", False, (0.3, 0.0, 1.0), 1.0, 50.0, 0.0),
+        ("A", False, (0.5, 0.1, 1.0), 0.5, 500.0, 0.5),
+        ("Ad", False, (0.5, 0.2, 0.9), 0.5, 500.0, 0.5),
+        ("N", True, (0.3, 0.0, 1.0), 0.02, 50.0, 0.0),
+        ("A", True, (0.4, 0.1, 1.0), 0.001, 500.0, 0.5),
+    ],
+)
+def test_smoothing_recovers_parameters(form, relative, weights, sd, level, slope):
+    y = smoothed(40, 1500, *weights, relative, sd, level, slope)
+    y = y[(y > 0).all(axis=1)] if relative else y
+    y = y / np.abs(y).mean(axis=1, keepdims=True)
+    u = P.ets_fit(y, form, relative)
+    assert len(u) >= 15
+    for got, true in zip(P._weights(u, form), weights):
+        assert abs(np.mean(got) - true) < 0.02 and np.quantile(np.abs(got - true), 0.9) < 0.05
+    # The search starts on the grid and never ends above it.
+    assert (P.ets_deviance(y, u, form, relative)[0] <= P.ets_deviance(y, P.ets_start(y, form), form, relative)[0]).all()
+
+
+@pytest.mark.parametrize("form", list(P.FORMS))
+@pytest.mark.parametrize("relative", [False, True])
+def test_smoothing_gradient(form, relative):
+    y = smoothed(6, 25, 0.4, 0.1, 0.9, False, 1.0, 50.0, 0.2)
+    y = y / y.mean(axis=1, keepdims=True)
+    u = P.ets_start(y, form)
+    gradient = P.ets_deviance(y, u, form, relative)[1]
+    for j, step in enumerate(np.eye(u.shape[1]) * 1e-6):
+        by_hand = (P.ets_deviance(y, u + step, form, relative)[0] - P.ets_deviance(y, u - step, form, relative)[0]) / 2e-6
+        assert np.allclose(by_hand, gradient[:, j], rtol=1e-3, atol=1e-3)
+
+
+def test_smoothing_intervals_hold_the_future():
+    hits = []
+    for relative, sd in ((False, 3.0), (True, 0.05)):
+        y = smoothed(200, 210, 0.3, 0.05, 1.0, relative, sd, 100.0, 1.0, seed=5)
+        y = y[(y > 0).all(axis=1)]
+        _, mean, half = P.ets_forecast(y[:, :200], 10, P.Z80)
+        hits.append(np.mean(np.abs(y[:, 200:] - mean) <= half))
+    assert all(0.72 <= h <= 0.88 for h in hits), hits
+
+
+def test_smoothing_of_odd_series():
+    y = np.array([[0.0] * 8, [5.0] * 8, [0, 0, 0, 9.0, 0, 0, 0, 1], [1e12, 2e12, 1e12, 3e12, 2e12, 1e12, 2e12, 2e12], list(np.arange(8.0) * 3 + 1)])
+    names, mean, half = P.ets_forecast(y, 3, P.Z80)
+    assert np.isfinite(mean).all() and np.isfinite(half).all() and (half >= 0).all() and (names != "").all()
+    assert np.allclose(mean[:2], [[0] * 3, [5] * 3]) and np.allclose(mean[4], [25, 28, 31], atol=0.01)
+    for n in (3, 4, 5, 6, 7):
+        names, mean, half = P.ets_forecast(y[:, :n], 3, P.Z80)
+        assert np.isfinite(mean).all() and np.isfinite(half).all() and (names != "").all()
+
+
 def test_holidays(spark):
     out = P.us_holidays(spark.createDataFrame([(2010,), (2021,)], "y int"), "y")
     got = {(r["holiday"], r["ds"]) for r in out.collect()}
