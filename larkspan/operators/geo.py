@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.scalar import earth_feet
 from larkspan.functions.text import FEET_PER_MILE, to_feet
-from larkspan.plans.ordered import attach, spread, with_neighbour, with_position
+from larkspan.plans.ordered import attach, spread, with_lead, with_position
 from larkspan.session import checkpoint
 
 
@@ -162,17 +162,21 @@ def rotate(df: DataFrame, group: Sequence[str], position: str, depot: str, out:
     return joined.withColumn(out, (F.pmod(F.col(position) - F.col("_d"), F.col("_n")) + 1).cast("bigint")).drop("_d", "_n")
 
 
-def legs(df: DataFrame, group: Sequence[str], position: str, lat: str, lng: str, label: str) -> DataFrame:
-    """Each stop with the next one's coordinates and a label; the last stop has no leg."""
-    joined = with_neighbour(df, group, position, {"end_lat": lat, "end_lng": lng, "_to": label})
-    return joined.filter(F.col("end_lat").isNotNull() & F.col("end_lng").isNotNull()).select(
+def legs(
+    df: DataFrame, group: Sequence[str], position: str, lat: str, lng: str, label: str, blocks: int | None = None
+) -> DataFrame:
+    """Each stop with the coordinates of the one at the next position and a label; a stop before a gap has no leg."""
+    cols = {"end_lat": lat, "end_lng": lng, "_label": label, "_after": position}
+    joined = with_lead(df, group, [F.col(position)], cols, blocks)
+    follows = F.col("_after") == F.col(position) + 1
+    return joined.filter(follows & F.col("end_lat").isNotNull() & F.col("end_lng").isNotNull()).select(
         *group,
         position,
         F.col(lat).alias("start_lat"),
         F.col(lng).alias("start_lng"),
         "end_lat",
         "end_lng",
-        F.concat(F.col(label).cast("string"), F.lit(" to "), F.col("_to").cast("string")).alias("leg"),
+        F.concat(F.col(label).cast("string"), F.lit(" to "), F.col("_label").cast("string")).alias("leg"),
     )
 
 

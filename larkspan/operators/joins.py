@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.plans.ordered import with_neighbour, with_position
+from larkspan.plans.ordered import with_lead
 
 
 def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,11 +99,11 @@ def join_loss(a: DataFrame, joined: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def with_next(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], cols: Mapping[str, str], keep_last: bool = False
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], cols: Mapping[str, str], keep_last: bool = False,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Each row with columns of its successor; the last row of a group is dropped."""
-    numbered = with_position(df, group, order, "_pos")
-    out = with_neighbour(numbered.withColumn("_here", F.lit(1)), group, "_pos", {**cols, "_next": "_here"})
+    out = with_lead(df.withColumn("_here", F.lit(1)), group, order, {**cols, "_next": "_here"}, blocks)
     if not keep_last:
         out = out.filter(F.col("_next").isNotNull())
-    return out.drop("_pos", "_here", "_next")
+    return out.drop("_here", "_next")

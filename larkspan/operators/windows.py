@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.plans.ordered import attach, with_neighbour, with_position
+from larkspan.plans.ordered import attach, with_lead, with_position
 
 
 def top_n(df: DataFrame, keys: Sequence[str], n: int, by: str, ties: bool = True) -> DataFrame:
@@ -88,8 +88,7 @@ def missing_streak(df: DataFrame, keys: Sequence[str], t: str, y: str, out: str
 
 def lead_cols(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Mapping[str, str], blocks=None) -> DataFrame:
     """Columns of the next row in group order; NULL on the last row."""
-    numbered = with_position(df, keys, order, "_pos", blocks=blocks)
-    return with_neighbour(numbered, keys, "_pos", cols).drop("_pos")
+    return with_lead(df, keys, order, cols, blocks)
 
 
 def group_mean(df: DataFrame, keys: Sequence[str], col: str, out: str = "group_mean") -> DataFrame:

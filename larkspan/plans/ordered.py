@@ -59,6 +59,15 @@ def blocks_of_rows(rows: int, limit: int) -> int:
     return max(1, min(-(-rows // ROWS_PER_BLOCK), limit))
 
 
+def ready(df: DataFrame, blocks: int | None, derived: bool) -> tuple[DataFrame, int]:
+    """The rows to cut and the number of blocks; counted where the size can't be estimated."""
+    n = block_count(df, blocks)
+    if n > 1 and (derived or (blocks is None and estimated_bytes(df) is None)):
+        df = checkpoint(df)
+        n = blocks if blocks is not None else blocks_of_rows(df.count(), block_limit(df))
+    return df, n
+
+
 def _tuple(parts: Sequence[Column]) -> Column:
     return F.struct(*[p.alias(f"f{i}") for i, p in enumerate(parts)])
 
@@ -119,10 +128,7 @@ def with_position(
     running = {k: v if isinstance(v, tuple) else ("sum", v) for k, v in (running or {}).items()}
     totals = dict(totals or {})
     order = list(order)
-    n = block_count(df, blocks)
-    if n > 1 and (derived or (blocks is None and estimated_bytes(df) is None)):
-        df = checkpoint(df)
-        n = blocks if blocks is not None else blocks_of_rows(df.count(), block_limit(df))
+    df, n = ready(df, blocks, derived)
     if n <= 1:
         whole = Window.partitionBy(*keys)
         rows = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -174,14 +180,30 @@ def with_position(
     return out.withColumns(new).select(*keep, *new)
 
 
-def with_neighbour(df: DataFrame, keys: Sequence[str], position: str, cols: Mapping[str, str], step: int = 1) -> DataFrame:
-    """Attach columns of the row ``step`` positions later, by an equi-join on (keys, position)."""
-    other = df.select(
-        F.struct(*[F.col(k) for k in keys], (F.col(position) - step).alias(position)).alias("_at"),
-        *[F.col(src).alias(dst) for dst, src in cols.items()],
-    )
-    left = df.withColumn("_at", F.struct(*[F.col(k) for k in keys], F.col(position).alias(position)))
-    return left.join(other, "_at", "left").drop("_at")
+def with_lead(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Mapping[str, str], blocks: int | None = None, derived: bool = False
+) -> DataFrame:
+    """Attach columns (new name -> column) of the next row in group order; NULL on the last row.
+
+    ``order`` as in ``with_position``. A block's rows take their successor inside
+    the block; only its last row takes the first row of the group's next block,
+    which is one row per key and block.
+    """
+    order = list(order)
+    df, n = ready(df, blocks, derived)
+    next_row = F.struct(*[F.col(src).alias(dst) for dst, src in cols.items()])
+    if n <= 1:
+        found = df.withColumn("_to", F.lead(next_row).over(Window.partitionBy(*keys).orderBy(*order)))
+        return found.withColumns({dst: F.col("_to")[dst] for dst in cols}).drop("_to")
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    base = with_block(df, [*map(F.col, keys), *order], n).withColumn(KEY, group).withColumn("_own", next_row)
+    first = base.groupBy(KEY, BLOCK).agg(F.min_by("_own", _tuple(order)).alias("_first"))
+    border = first.select(KEY, BLOCK, F.lead("_first").over(Window.partitionBy(KEY).orderBy(BLOCK)).alias("_border"))
+    inside = base.withColumn("_to", F.lead("_own").over(Window.partitionBy(KEY, BLOCK).orderBy(*order)))
+    out = inside.join(border, [KEY, BLOCK])
+    # A row with a successor in its block has a struct there, even one of NULLs.
+    out = out.withColumn("_to", F.coalesce("_to", "_border")).withColumns({dst: F.col("_to")[dst] for dst in cols})
+    return out.drop(KEY, BLOCK, "_own", "_to", "_border")
 
 
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

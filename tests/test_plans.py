@@ -83,6 +83,30 @@ def test_window_operators_in_blocks(hot):
         assert rows(one) == rows(many, *one.columns)
 
 
+def test_next_rows_across_blocks(spark, hot):
+    # Rows of NULLs are successors too, and no row is matched with all rows again.
+    some = hot.withColumn("x", F.when(F.col("id") % 3 != 1, F.col("id")))
+    order = [-F.col("v"), F.col("id")]
+    for keys in (["k"], []):
+        one = J.with_next(some, keys, order, {"x2": "x", "id2": "id"}, keep_last=True, blocks=1)
+        assert "Join" not in plan_of(one)
+        for blocks in (2, 9, 60):
+            many = J.with_next(some, keys, order, {"x2": "x", "id2": "id"}, keep_last=True, blocks=blocks)
+            assert rows(one) == rows(many, *one.columns)
+    lost = J.with_next(some, ["k"], order, {"x2": "x"}, blocks=9)
+    assert lost.count() == 3000 - some.select("k").distinct().count()
+
+
+def test_borders_are_joined_not_rows(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts")
+    plan = V.lead_cols(events, ["user_id"], [F.col("ts"), F.col("event_id")], {"next_ts": "ts"}, blocks=6)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner")
+    sides = plan[join:].split("\n")
+    # The only join: one side is aggregated to one row per key and block.
+    assert plan.count("Join Inner") == 1 and sum("Aggregate" in line for line in sides) == 1
+    assert not any("Join" in line for line in sides[1:])
+
+
 def test_gaps_in_blocks(spark, hot):
     gappy = hot.withColumn("y", F.when(F.col("id") % 5 < 2, F.col("v")))
     for make in (
