@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkspan.functions.scalar import ratio
-from larkspan.plans.ordered import attach, block_count, with_position
+from larkspan.plans.ordered import attach, block_count, ready, with_position
+from larkspan.session import checkpoint
+
+
+# Items a quantile sketch keeps per level, and half the width of a bracket in ranks (some five times the sketch's error).
+SKETCH_SIZE = 1600
+MARGIN = 0.01
 
 
 def summarise(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
@@ -48,10 +54,12 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles (linear between neighbours) per group, one column per entry of ``qs``.
 
-    Equal values are counted first; the running count over the distinct values
-    tells which ones hold the two ranks a quantile needs. ``weight`` names a
-    column of repeat counts. ``approx`` uses the built-in sketch instead. Input
-    known to be small goes to the built-in exact percentile, which holds a
+    A mergeable sketch per group brackets every quantile; a second pass counts
+    what lies below a bracket and numbers only the values inside it. A group
+    whose counts show that a bracket missed is ranked whole. ``weight`` names a
+    column of repeat counts; weighted rows are ranked whole. ``approx`` returns a
+    value whose rank is off by at most 1 / ``accuracy`` of the group's rows.
+    Input known to be small goes to the built-in exact percentile, which holds a
     group's distinct values in one task.
     """
     if approx:
@@ -61,23 +69,67 @@ def quantiles(
         found = F.percentile(F.col(col).cast("double"), levels, F.col(weight) if weight else 1)
         some = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(found.alias("_q"))
         return some.select(*keys, *[F.col("_q")[i].alias(k) for i, k in enumerate(qs)])
+    if weight is None:
+        return _bracketed_quantiles(df, keys, col, qs, blocks)
+    return _ranked_quantiles(df, keys, col, qs, blocks, weight)
+
+
+def _ranked_quantiles(
+    df: DataFrame, keys: Sequence[str], col: str, qs: Mapping[str, float], blocks: int | None, weight: str | None = None
+) -> DataFrame:
+    """Equal values are counted; the running count over a group's distinct values tells which ones hold the two ranks."""
     n_rows = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(n_rows.cast("bigint").alias("_n"))
+    counted = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(n_rows.cast("bigint").alias("_c"))
     placed = with_position(
-        counted, keys, [F.col(col)], position=None, running={"_to": F.col("_n")}, totals={"_all": F.col("_n")}, blocks=blocks,
+        counted, keys, [F.col(col)], position=None, running={"_to": F.col("_c")}, totals={"_n": F.col("_c")}, blocks=blocks,
         derived=True,
     )
-    out, first, last = {}, F.col("_to") - F.col("_n"), F.col("_to") - 1
-    for name, q in qs.items():
-        h = (F.col("_all") - 1) * F.lit(float(q))
-        low, high = F.floor(h), F.ceil(h)
-        holds = lambda at: F.max(F.when((first <= at) & (at <= last), F.col(col)))
-        out[name] = (holds(low), holds(high), F.max(h - low))
-    picked = placed.groupBy(*keys).agg(
-        *[c.alias(f"_{name}_{i}") for name, parts in out.items() for i, c in enumerate(parts)]
+    picked = placed.groupBy(*keys).agg(*[c for i, q in enumerate(qs.values()) for c in _holders(i, q, F.col(col))])
+    return picked.select(*keys, *[_between_holders(i).alias(k) for i, k in enumerate(qs)])
+
+
+def _holders(i: int, q: float, value: Column, among: Column | bool = True) -> list[Column]:
+    """Values at the two ranks around a quantile and its place between them, from running counts ``_to`` of ``_c`` rows."""
+    first, last, h = F.col("_to") - F.col("_c"), F.col("_to") - 1, (F.col("_n") - 1) * F.lit(float(q))
+    holds = lambda at: F.max(F.when((first <= at) & (at <= last) & among, value))
+    return [holds(F.floor(h)).alias(f"_low{i}"), holds(F.ceil(h)).alias(f"_high{i}"), F.max(h - F.floor(h)).alias(f"_part{i}")]
+
+
+def _between_holders(i: int) -> Column:
+    return F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
+
+
+def _bracketed_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Mapping[str, float], blocks: int | None) -> DataFrame:
+    some, _ = ready(df.filter(F.col(col).isNotNull()).select(*keys, col), blocks, False)
+    keys, levels, v = list(keys), [float(q) for q in qs.values()], F.col(col).cast("double")
+    real = F.when(~F.isnan(v), v)
+    sketch = some.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(real).alias("_real"), F.kll_sketch_agg_double(real, SKETCH_SIZE).alias("_sketch")
     )
-    value = lambda k: F.col(f"_{k}_0") + (F.col(f"_{k}_1") - F.col(f"_{k}_0")) * F.col(f"_{k}_2")
-    return picked.select(*keys, *[value(k).alias(k) for k in qs])
+    at = lambda r: F.kll_sketch_get_quantile_double("_sketch", F.lit(r))
+    # NaN is the greatest double. A group of NaNs only is one bracket.
+    some_real, lowest, highest = F.col("_real") > 0, F.lit(float("-inf")), F.lit(float("nan"))
+    low = [F.when(some_real, at(q - MARGIN)).otherwise(lowest) if q - MARGIN > 0 else lowest for q in levels]
+    high = [F.when(some_real, at(q + MARGIN)).otherwise(highest) if q + MARGIN < 1 else highest for q in levels]
+    # Sketches draw random bits; the stored bounds are the same for a task that runs again.
+    bounds = checkpoint(sketch.select(*keys, "_n", F.array(*low).alias("_from"), F.array(*high).alias("_upto")))
+    marked = attach(some, bounds, keys)
+    # What lies below a bracket folds into one NULL per group and bracket, which sorts first.
+    zones = [
+        F.when(v <= F.col("_upto")[i], F.struct(F.lit(i).alias("_at"), F.when(v >= F.col("_from")[i], F.col(col)).alias("_v")))
+        for i in range(len(levels))
+    ]
+    inside = marked.select(*keys, "_n", F.explode(F.array_compact(F.array(*zones))).alias("_zone")).select(*keys, "_n", "_zone.*")
+    counted = inside.groupBy(*keys, "_n", "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = with_position(counted, [*keys, "_at"], [F.col("_v")], position=None, running={"_to": F.col("_c")}, blocks=blocks, derived=True)
+    picked = placed.groupBy(*keys).agg(*[c for i, q in enumerate(levels) for c in _holders(i, q, F.col("_v"), F.col("_at") == i)])
+    held = reduce(lambda x, y: x & y, [F.col(f"_low{i}").isNotNull() & F.col(f"_high{i}").isNotNull() for i in range(len(levels))])
+    found = checkpoint(picked.select(*keys, *[_between_holders(i).alias(k) for i, k in enumerate(qs)], held.alias("_held")))
+    missed = found.filter(~F.col("_held")).select(*keys, "_held")
+    if not missed.limit(1).count():
+        return found.drop("_held")
+    rest = attach(some, missed, keys).filter(F.col("_held").isNotNull()).drop("_held")
+    return found.filter("_held").drop("_held").unionByName(_ranked_quantiles(rest, keys, col, qs, blocks))
 
 
 def five_num(df: DataFrame, keys: Sequence[str], col: str, blocks: int | None = None) -> DataFrame:

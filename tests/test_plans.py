@@ -126,6 +126,48 @@ def test_quantiles_equal_builtin(hot):
     assert [(k, round(q, 9)) for k, q in rows(mine)] == [(k, round(q, 9)) for k, q in rows(builtin)]
 
 
+QS = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.99, "e": 1.0}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Groups of every size with many equal values, NaNs and NULLs."""
+    return spark.sql(
+        """SELECT CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 31 = 1 THEN NULL WHEN id % 101 = 2 THEN 'nan' ELSE concat('k', id % 17) END AS k,
+                  CASE WHEN id % 101 = 2 THEN double('NaN') WHEN id % 57 = 0 THEN NULL WHEN id % 4 = 0 THEN 1 ELSE xxhash64(id) / 1e9 END AS v
+           FROM range(60000)"""
+    ).cache()
+
+
+@pytest.mark.parametrize("margin", [0.01, 0.0005, 0.0])
+def test_bracketed_quantiles_equal_builtin(odd, monkeypatch, margin):
+    # With margins under the sketch's error brackets miss, and their groups are ranked whole.
+    monkeypatch.setattr(A, "MARGIN", margin)
+    for keys in (["k"], []):
+        data = odd if keys else odd.filter("NOT isnan(v)")
+        mine, whole = rows(A.quantiles(data, keys, "v", QS, blocks=7)), rows(A.quantiles(data, keys, "v", QS, blocks=1))
+        assert len(mine) == len(whole) and [r[: len(keys)] for r in mine] == [r[: len(keys)] for r in whole]
+        for a, b in zip(mine, whole):
+            assert a[len(keys) :] == pytest.approx(b[len(keys) :], rel=1e-12, nan_ok=True)
+
+
+def test_only_brackets_are_ranked(spark, monkeypatch):
+    ranked = []
+    kept = A.with_position
+    monkeypatch.setattr(A, "with_position", lambda df, *a, **k: (ranked.append(df.count()), kept(df, *a, **k))[1])
+    data = spark.sql("SELECT id % 3 AS k, CAST(xxhash64(id) AS DOUBLE) AS v FROM range(300000)")
+    A.quantiles(data, ["k"], "v", {"low": 0.025, "mid": 0.5, "high": 0.99}, blocks=4).collect()
+    assert len(ranked) == 1 and ranked[0] < 0.07 * 300000
+
+
+def test_approximate_quantiles_keep_their_error(spark):
+    data = spark.sql("SELECT id % 3 AS k, id AS v FROM range(300000)")
+    for accuracy in (20, 1000):
+        for r in A.quantiles(data, ["k"], "v", {"low": 0.025, "mid": 0.5, "high": 0.99}, approx=True, accuracy=accuracy).collect():
+            for q, value in zip((0.025, 0.5, 0.99), (r.low, r.mid, r.high)):
+                assert abs(value / 300000 - q) <= 1 / accuracy
+
+
 def test_deep_page(hot):
     order = [F.col("v"), F.col("id")]
     assert rows(G.page(hot, order, 1000, 20)) == rows(G.deep_page(hot, order, 1000, 20, blocks=6))
