@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkspan.functions.scalar import ratio
-from larkspan.plans.ordered import attach, block_count, ready, with_position
+from larkspan.plans.ordered import attach, ready, with_position
 from larkspan.session import checkpoint
 
 
@@ -64,14 +64,15 @@ def quantiles(
     """
     if approx:
         return df.groupBy(*keys).agg(*[F.percentile_approx(col, q, accuracy).alias(k) for k, q in qs.items()])
-    if block_count(df, blocks) <= 1:
+    used = dict.fromkeys([*keys, col, *([weight] if weight else [])])
+    some, n = ready(df.filter(F.col(col).isNotNull()).select(*used), blocks, False)
+    if n <= 1:
         levels = F.array(*[F.lit(float(q)) for q in qs.values()])
         found = F.percentile(F.col(col).cast("double"), levels, F.col(weight) if weight else 1)
-        some = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(found.alias("_q"))
-        return some.select(*keys, *[F.col("_q")[i].alias(k) for i, k in enumerate(qs)])
+        return some.groupBy(*keys).agg(found.alias("_q")).select(*keys, *[F.col("_q")[i].alias(k) for i, k in enumerate(qs)])
     if weight is None:
-        return _bracketed_quantiles(df, keys, col, qs, blocks)
-    return _ranked_quantiles(df, keys, col, qs, blocks, weight)
+        return _bracketed_quantiles(some, keys, col, qs, blocks)
+    return _ranked_quantiles(some, keys, col, qs, blocks, weight)
 
 
 def _ranked_quantiles(
@@ -79,7 +80,7 @@ def _ranked_quantiles(
 ) -> DataFrame:
     """Equal values are counted; the running count over a group's distinct values tells which ones hold the two ranks."""
     n_rows = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(n_rows.cast("bigint").alias("_c"))
+    counted = df.groupBy(*keys, col).agg(n_rows.cast("bigint").alias("_c"))
     placed = with_position(
         counted, keys, [F.col(col)], position=None, running={"_to": F.col("_c")}, totals={"_n": F.col("_c")}, blocks=blocks,
         derived=True,
@@ -99,8 +100,7 @@ def _between_holders(i: int) -> Column:
     return F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
 
 
-def _bracketed_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Mapping[str, float], blocks: int | None) -> DataFrame:
-    some, _ = ready(df.filter(F.col(col).isNotNull()).select(*keys, col), blocks, False)
+def _bracketed_quantiles(some: DataFrame, keys: Sequence[str], col: str, qs: Mapping[str, float], blocks: int | None) -> DataFrame:
     keys, levels, v = list(keys), [float(q) for q in qs.values()], F.col(col).cast("double")
     real = F.when(~F.isnan(v), v)
     sketch = some.groupBy(*keys).agg(
