@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from larkspan.plans.registry import query
 from larkspan.streaming import alerts as ST
+from larkspan.streaming.weekly import POSTERIOR, weekly_posteriors
 
 HOURLY = """
 WITH hours AS (SELECT ts::DATE AS day, hour(ts)::INT AS hour, max(value) AS temp, min((props->>'$.k')::DOUBLE) AS wind_speed, min(event_type) AS status FROM events GROUP BY ALL),
@@ -62,3 +65,27 @@ def _(t):
     ST.run_available(ST.keep_updates(state, sink), t.scratch("state"))
     updates = t.spark.read.schema("user_id bigint, successes bigint, failures bigint, alpha bigint, beta bigint, mean double, epoch int").parquet(sink)
     return ST.latest_state(updates, ["user_id"])
+
+
+@query(
+    "posterior_week_stream",
+    "ST4 L15 L14",
+    """WITH e AS (SELECT user_id, date_trunc('week', ts)::DATE AS week, (value >= 30)::INT AS success FROM events),
+       u AS (SELECT user_id, greatest(sum(success) FILTER (week < DATE '2024-01-08'), 1) AS a0, greatest(sum(1 - success) FILTER (week < DATE '2024-01-08'), 1) AS b0 FROM e GROUP BY 1),
+       w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-08', (SELECT max(ts) FROM events) - INTERVAL 8 DAY, INTERVAL 7 DAY))::DATE AS week),
+       c AS (SELECT user_id, week, sum(success) AS s, sum(1 - success) AS f FROM e GROUP BY ALL),
+       r AS (SELECT user_id, week, a0, b0, sum(coalesce(s, 0)) OVER o AS s, sum(coalesce(f, 0)) OVER o AS f FROM u CROSS JOIN w LEFT JOIN c USING (user_id, week)
+             WINDOW o AS (PARTITION BY user_id ORDER BY week))
+       SELECT user_id, week, s::BIGINT AS successes, f::BIGINT AS failures, (a0 + s)::BIGINT AS alpha, (b0 + f)::BIGINT AS beta,
+              round((a0 + s) / (a0 + s + b0 + f), 9) AS mean FROM r""",
+)
+def _(t):
+    arrived, sink, state = t.scratch("events"), t.scratch("weeks"), t.scratch("state")
+    events = t.events.select("user_id", "ts", (F.col("value") >= 30).alias("success"))
+    # Two arrivals, with a restart of the stream between them.
+    middle = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2")).scalar()
+    for part in (F.col("ts") < middle, F.col("ts") >= middle):
+        events.filter(part).write.mode("append").parquet(arrived)
+        weeks = weekly_posteriors(ST.stream_parquet(t.spark, arrived, events.schema), ["user_id"], "ts", "success", date(2024, 1, 8))
+        ST.run_available(ST.keep_updates(weeks, sink), state)
+    return t.spark.read.schema(f"user_id bigint, {POSTERIOR}").parquet(sink).drop("epoch").withColumn("mean", F.round("mean", 9))

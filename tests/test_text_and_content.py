@@ -1,4 +1,4 @@
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows
@@ -163,6 +163,38 @@ def test_stream_equals_batch_over_several_arrivals(spark, tmp_path):
     assert streamed == rows(ST.beta_stream(batch, ["player"], "success"), "player", "alpha", "beta") == [("a", 3, 2), ("b", 1, 2), ("c", 2, 1)]
 
 
+def test_weekly_posteriors_across_restarts_gaps_and_repeats(spark, tmp_path):
+    from larkspan.streaming.weekly import weekly_posteriors
+
+    source, sink, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    schema = "player string, ts timestamp, ok boolean"
+    monday = datetime(2024, 1, 1)
+    at = lambda week, day: monday + timedelta(days=7 * week + day)
+    # Weeks 0 is the prior; b has no event in weeks 2 and 3; c comes late; week 1 gets an event out of order, in time for the delay.
+    parts = [
+        [("a", at(0, 1), True), ("a", at(0, 2), True), ("a", at(1, 3), False), ("b", at(1, 0), True)],
+        [("a", at(2, 0), True), ("a", at(1, 6), True)],
+        [("c", at(4, 2), False), ("a", at(3, 1), False)],
+        [("b", at(5, 0), False), ("a", at(7, 3), True)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(source)
+        for _ in range(2):  # the second run finds nothing new and must add nothing
+            stream = weekly_posteriors(ST.stream_json(spark, source, schema), ["player"], "ts", "ok", date(2024, 1, 8), "2 days")
+            ST.run_available(ST.keep_updates(stream, sink), state)
+    got = rows(spark.read.parquet(sink), "player", "week", "successes", "failures", "alpha", "beta")
+    events = [e for part in parts for e in part]
+    expected = []
+    for player in "abc":
+        prior = [ok for p, ts, ok in events if p == player and ts < at(1, 0)]
+        a0, b0 = max(sum(prior), 1), max(len(prior) - sum(prior), 1)
+        for week in range(1, 7):  # the watermark ends at week 7, day 1
+            seen = [ok for p, ts, ok in events if p == player and at(1, 0) <= ts < at(week + 1, 0)]
+            s, f = sum(seen), len(seen) - sum(seen)
+            expected.append((player, at(week, 0).date(), s, f, a0 + s, b0 + f))
+    assert got == expected
+
+
 def test_alert_stream_replaces_a_repeated_day(spark, tmp_path):
     source, sink, state = (str(tmp_path / p) for p in ("in", "out", "state"))
     schema = "day date, hour int, temp double, wind_speed double, status string"
