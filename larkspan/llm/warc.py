@@ -12,8 +12,12 @@ Options: ``path``; ``compress`` (true), ``file_bytes`` and ``date`` for writing;
 ``split_bytes`` and ``payload`` (true; false leaves payloads null) for reading.
 
 Cases: a null payload is empty. A null header column is not written and reads
-back null; line breaks in header values are percent-encoded. Tables without rows
-write archives without records. Repeated rows are records of their own.
+back null. Header values are written and read as they stand, ``%`` included; one
+that holds line breaks or has white space at its ends is percent-encoded and
+named in a header of its own, so that it reads back exactly. Tables without rows
+write archives without records. Repeated rows are records of their own; of pages
+with equal payload and equal page_id all that carry the smallest id are
+responses.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -39,6 +44,9 @@ SCHEMA = "record_type string, record_id string, target_uri string, payload_diges
 # Header names are the format's own.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 VERSION = b"WARC/1.1\r\n"
+# Names the headers whose values are percent-encoded; other archives have no such header.
+ESCAPED = "X-Escaped-Headers"
+PRINTABLE = "".join(map(chr, range(33, 127))).replace("%", "")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_manifest.json"
 FILE_BYTES, SPLIT_BYTES, BATCH_BYTES, CHUNK = 256 << 20, 32 << 20, 8 << 20, 1 << 16
@@ -56,11 +64,22 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def _line(name: str, value: str) -> bytes:
-    return f"{name}: {value}".replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").encode("utf-8", "surrogatepass") + b"\r\n"
+    return f"{name}: {value}".encode("utf-8", "surrogatepass") + b"\r\n"
 
 
-def _value(raw: bytes) -> str:
-    return raw.decode("utf-8", "replace").strip().replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _escaped(value: str) -> str | None:
+    """The value percent-encoded if a header line can't hold it (line breaks, white space at its ends), else null."""
+    held = value == value.strip() and not any(c in value for c in "\r\n")
+    return None if held else quote(value, safe=PRINTABLE, errors="surrogatepass")
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Lower-case names with values as they stand; those that ``ESCAPED`` lists are decoded."""
+    out = {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in (x.partition(b":") for x in lines)}
+    for name in out.get(ESCAPED.lower(), "").lower().split():
+        if name in out:
+            out[name] = unquote(out[name])
+    return out
 
 
 def record(row: dict, date: str) -> bytes:
@@ -74,14 +93,19 @@ def record(row: dict, date: str) -> bytes:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     if kind != "revisit":
         block += payload
+    escaped: list[str] = []
     lines = [VERSION, _line("WARC-Type", kind), _line("WARC-Date", date)]
     for column, name in HEADERS.items():
         value = row[column]
         if column == "record_id" and value is None:
             value = uuid.uuid4().urn
         if column != "record_type" and value is not None:
+            if (safe := _escaped(value)) is not None:
+                value, escaped = safe, [*escaped, name]
             text = f"<{value}>" if column in ("record_id", "refers_to") else f"sha1:{value}" if column == "payload_digest" else value
             lines.append(_line(name, text))
+    if escaped:
+        lines.append(_line(ESCAPED, " ".join(escaped)))
     if kind == "revisit":
         lines.append(_line("WARC-Profile", REVISIT_PROFILE))
     lines.append(_line("Content-Type", "application/http; msgtype=response" if http else "application/octet-stream"))
@@ -185,7 +209,7 @@ class Source:
             lines = text[:end].split(b"\r\n")
             if not lines[0].startswith(b"WARC/"):
                 raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-            headers = {k.decode().strip().lower(): _value(v) for k, _, v in (x.partition(b":") for x in lines[1:])}
+            headers = _headers(lines[1:])
             length = int(headers.get("content-length", "0"))
             take = wanted(headers)
             have = text[end + 4 :]
@@ -260,8 +284,9 @@ class WarcReader(DataSourceReader):
 
     def _columns(self, headers: dict[str, str]) -> dict[str, str | None]:
         out = {c: headers.get(name.lower()) for c, name in HEADERS.items()}
-        for c in ("record_id", "refers_to"):
-            out[c] = out[c].strip("<>") if out[c] is not None else None
+        for c in ("record_id", "refers_to", "target_uri"):
+            if out[c] is not None and out[c].startswith("<") and out[c].endswith(">"):
+                out[c] = out[c][1:-1]
         if (out["payload_digest"] or "").startswith("sha1:"):
             out["payload_digest"] = out["payload_digest"][5:]
         return out

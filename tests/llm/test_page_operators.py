@@ -70,6 +70,26 @@ def test_skipped_blocks_are_not_kept():
     assert len(found) == 1 and len(found[0][1]) > 200_000
 
 
+URIS = ["http://x.org/a%20b", "http://x.org/100%25?q=%0A", "http://x.org/\u00e9?a=1&b=<c>", " spaced ", "two\nlines\r\n%41", "", "a: b: c", None]
+
+
+def test_header_values_byte_for_byte(spark, tmp_path):
+    spark.dataSource.register(warc.WarcDataSource)
+    rows = [("resource", f"urn:{i}", uri, None, None, None, b"x") for i, uri in enumerate(URIS)]
+    plain = warc.record(dict(zip(warc.HEADERS | {"payload_length": 0, "payload": 0}, rows[0])), "1970-01-01T00:00:00Z")
+    assert b"\r\nWARC-Target-URI: http://x.org/a%20b\r\n" in plain and b"X-Escaped" not in plain
+    spark.createDataFrame(rows, warc.SCHEMA).write.format("warc").mode("append").save(str(tmp_path / "mine"))
+    back = spark.read.format("warc").load(str(tmp_path / "mine"))
+    assert {r.record_id: r.target_uri for r in back.collect()} == {f"urn:{i}": uri for i, uri in enumerate(URIS)}
+    # A standard record of another writer, and one of the older form with brackets.
+    foreign = b""
+    for uri in (b"http://x.org/100%25?q=%0A", b"<http://x.org/old%2F>"):
+        foreign += b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: " + uri + b"\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    (tmp_path / "foreign.warc").write_bytes(foreign)
+    back = spark.read.format("warc").load(str(tmp_path / "foreign.warc")).collect()
+    assert [(r.target_uri, bytes(r.payload)) for r in back] == [("http://x.org/100%25?q=%0A", b"ok"), ("http://x.org/old%2F", b"ok")]
+
+
 def test_top_k_matches_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
