@@ -56,6 +56,8 @@ SHINGLE_BITS = np.uint64((1 << 48) - 1)
 ENTRIES_PER_FLUSH = 1 << 20
 ENTRIES_PER_PARTITION = 1 << 21
 CHUNK_PAIRS = 256
+# Parts a root's pairs are dealt to when they look up how many chunks the root has.
+SALTS = 16
 # Bits of the filter over the ids of texts that a verification reads.
 LEAST_FILTER_BITS, MOST_FILTER_BITS = 15, 27
 FIRST_LEADERS, MORE_LEADERS = 8, 64
@@ -347,8 +349,13 @@ class JaccardJoin:
         store, drop = self.scratch.store, self.scratch.drop
         least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("root"))
         rooted = store(pairs.join(least, "a", "left").select(F.coalesce("root", "a").alias("c"), "a", "b"), "rooted")
-        sizes = rooted.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK_PAIRS).alias("m"))
-        chunks = store(rooted.join(sizes, "c").select("c", F.pmod(F.xxhash64("b"), "m").alias("k"), "a", "b"), "chunks")
+        # Only roots with several chunks are looked up (at most a row for CHUNK_PAIRS pairs, stored so that
+        # their size is known), and a hot root's pairs meet its row under as many salts.
+        sizes = rooted.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK_PAIRS).alias("m")).where("m > 1")
+        sizes = store(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "sizes")
+        salted = rooted.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        part = F.pmod(F.xxhash64("b", F.lit(1)), F.coalesce("m", F.lit(1)))
+        chunks = store(salted.join(sizes, ["c", "salt"], "left").select("c", part.alias("k"), "a", "b"), "chunks")
         wanted = chunks.select("c", "k", F.col("a").alias("s")).union(chunks.select("c", "k", "b")).distinct()
         wanted = store(wanted.join(named.select("s", F.col("doc_id").alias("_id")), "s").select("c", "k", "s", "_id"), "wanted")
         docs = only_asked(self.docs, wanted)
@@ -358,7 +365,7 @@ class JaccardJoin:
         met = rows.mapInArrow(_overlaps(self.width), "a long, b long, na long, nb long, o long")
         t = self.percent
         out = store(met.withColumn("linked", (100 + t) * F.col("o") >= t * (F.col("na") + F.col("nb"))), "verified")
-        drop(rooted, chunks, wanted)
+        drop(rooted, sizes, chunks, wanted)
         return out
 
 
