@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspan.operators import geo as P
+from larkspan.plans.ordered import attach, with_lead, with_position
 from larkspan.plans.registry import query
 
 POINTS = """
@@ -40,6 +41,32 @@ def _(t):
     return P.rotate(tours(t), ["label"], "tour_pos", "depot").drop("tour_pos")
 
 
+def tour_length(df, position):
+    """Length of each label's closed tour."""
+    begin = df.groupBy("label").agg(F.min_by("lat", position).alias("_lat"), F.min_by("lng", position).alias("_lng"))
+    stops = attach(with_lead(df, ["label"], [F.col(position)], {"lat2": "lat", "lng2": "lng"}), begin, ["label"])
+    leg = F.sqrt(F.pow(F.coalesce("lat2", "_lat") - F.col("lat"), 2) + F.pow(F.coalesce("lng2", "_lng") - F.col("lng"), 2))
+    return stops.groupBy("label").agg(F.sum(leg).alias("length"))
+
+
+@query(
+    "route_facts",
+    "P2 P3",
+    POINTS
+    + """SELECT label, count(DISTINCT vec_id) AS stops, (count(*) * (count(*) + 1) // 2)::BIGINT AS places, max(CASE WHEN depot THEN vec_id END) AS first_stop,
+         true AS shorter FROM points GROUP BY label""",
+)
+def _(t):
+    route = P.rotate(tours(t), ["label"], "tour_pos", "depot")
+    at = F.col("route_order")
+    facts = route.groupBy("label").agg(
+        F.count_distinct("vec_id").alias("stops"), F.sum(at).alias("places"), F.max(F.when(at == 1, F.col("vec_id"))).alias("first_stop")
+    )
+    # The optimised tour is no longer than the one from west to east.
+    both = tour_length(route, "route_order").join(tour_length(west_east(t), "pos").withColumnRenamed("length", "plain"), "label")
+    return facts.join(both.select("label", (F.col("length") <= F.col("plain") * (1 + 1e-9)).alias("shorter")), "label")
+
+
 TOUR = POINTS + """, tour AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY lng, vec_id) AS pos FROM points),
 ordered AS (SELECT *, ((pos - max(CASE WHEN depot THEN pos END) OVER w + count(*) OVER w) % count(*) OVER w + 1)::BIGINT AS route_order FROM tour WINDOW w AS (PARTITION BY label))
 """
@@ -47,8 +74,6 @@ ordered AS (SELECT *, ((pos - max(CASE WHEN depot THEN pos END) OVER w + count(*
 
 def west_east(t):
     """A simple tour by longitude; the depot sits anywhere in it."""
-    from larkspan.plans.ordered import with_position
-
     return with_position(points(t), ["label"], [F.col("lng"), F.col("vec_id")], "pos", derived=True)
 
 

@@ -191,6 +191,18 @@ def _(t):
     return scored.withColumn("iptw", C.iptw(F.col("propensity"), F.col("member_enrolled")))
 
 
+@query(
+    "propensity_moments",
+    "L9",
+    PURCHASES + "SELECT count(*) AS n, sum(member_enrolled)::DOUBLE AS members, sum(member_enrolled * n_purchase_pre)::DOUBLE AS earlier_orders FROM purchases",
+)
+def _(t):
+    # At the largest likelihood the scores sum to the members, and weighted by a covariate to the members' covariates.
+    p = C.propensity(purchases(t), "member_enrolled", ["n_purchase_pre"])
+    total = lambda c: F.round(F.sum(c), 3)
+    return p.agg(F.count(F.lit(1)).alias("n"), total(F.col("propensity")).alias("members"), total(F.col("propensity") * F.col("n_purchase_pre")).alias("earlier_orders"))
+
+
 @query("weighted_effect", "L8 L9 L10 L11")
 def _(t):
     return C.weighted_effect(purchases(t), "n_purchase_post", "member_enrolled", ["n_purchase_pre"])
