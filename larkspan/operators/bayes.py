@@ -14,6 +14,7 @@ from larkspan.functions.special import beta_pdf, beta_ppf, digamma, lgamma, trig
 from larkspan.operators.aggregates import quantiles
 from larkspan.operators.windows import running_counts
 from larkspan.plans.ordered import spread
+from larkspan.session import checkpoint
 
 
 def beta_update(df: DataFrame, success: str, failure: str, a0: Column, b0: Column) -> DataFrame:
@@ -49,7 +50,11 @@ def density_grid(df: DataFrame, steps: int = 100) -> DataFrame:
 
 
 def credible(df: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Credible interval and mean of each posterior."""
+    """Credible interval and mean of each posterior.
+
+    A quantile takes far longer than its row's bytes suggest, so the rows are dealt evenly.
+    """
+    df = spread(df)
     a, b = F.col("alpha").cast("double"), F.col("beta").cast("double")
     return df.withColumns(
         {"lower": beta_ppf(F.lit(low), a, b), "upper": beta_ppf(F.lit(high), a, b), "mean": a / (a + b)}
@@ -110,7 +115,8 @@ def eb_coefficients(
 ) -> tuple[np.ndarray, float]:
     """Beta-binomial fit with identity link: mean coefficients and dispersion sigma.
 
-    Rows are counted per distinct (k, n, covariates) cell. Every Newton step is
+    Rows are counted per distinct (k, n, covariates) cell; the cells are stored in
+    partitions by their size, not by the number of shuffle partitions. Every Newton step is
     one distributed aggregation on standardised covariates; only the gradient and Hessian sums, whose size
     depends on the number of covariates alone, come back.
     """
@@ -119,46 +125,42 @@ def eb_coefficients(
     if covs:
         facts = df.agg(*[F.struct(F.avg(c), F.stddev(c)).alias(c) for c in covs]).first()
         scale = {c: (float(facts[c][0]), float(facts[c][1] or 1.0)) for c in covs}
-    cells = (
+    cells = checkpoint(
         df.select(F.col(k).cast("double").alias("k"), F.col(n).cast("double").alias("n"), *[((F.col(c) - scale[c][0]) / scale[c][1]).alias(c) for c in covs])
         .na.drop()
         .filter(F.col("n") > 0)
         .groupBy("k", "n", *covs)
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
-        .persist()
     )
-    try:
-        n, k, w = F.col("n"), F.col("k"), F.col("w")
-        rate = cells.agg((F.sum(k * w) / F.sum(n * w)).alias("mu")).first().mu
-        rate = min(max(rate, 1e-3), 1 - 1e-3)
-        # The spread beyond binomial gives the first guess of the dispersion.
-        chi = F.sum(w * F.pow(k - n * rate, F.lit(2)) / (n * rate * (1 - rate)))
-        excess = cells.agg(chi.alias("chi"), F.sum(w).alias("rows"), (F.sum(n * w) / F.sum(w)).alias("size")).first()
-        rho = (excess.chi / excess.rows - 1) / max(excess.size - 1, 1e-9)
-        theta = np.concatenate([[rate], np.zeros(len(covs)), [np.clip(-np.log(max(rho, 1e-12)), -5, 14)]])
-        value, grad, hess = _evaluate(cells, theta, covs)
-        for _ in range(iterations):
-            # Absolute curvatures make every step go uphill.
-            curve, axes = np.linalg.eigh(hess)
-            step = axes @ ((axes.T @ grad) / np.maximum(np.abs(curve), 1e-8))
-            step *= min(1.0, 2 / max(abs(step[-1]), 1e-12))
-            size, moved = 1.0, False
-            while size > 1e-4:
-                new = theta + size * step
-                new[-1] = np.clip(new[-1], -5, 15)
-                result = _evaluate(cells, new, covs)
-                if result[0] > value:
-                    gain, moved = result[0] - value, True
-                    theta, (value, grad, hess) = new, result
-                    break
-                size /= 2
-            if not moved or gain < tol * (1 + abs(value)):
+    n, k, w = F.col("n"), F.col("k"), F.col("w")
+    rate = cells.agg((F.sum(k * w) / F.sum(n * w)).alias("mu")).first().mu
+    rate = min(max(rate, 1e-3), 1 - 1e-3)
+    # The spread beyond binomial gives the first guess of the dispersion.
+    chi = F.sum(w * F.pow(k - n * rate, F.lit(2)) / (n * rate * (1 - rate)))
+    excess = cells.agg(chi.alias("chi"), F.sum(w).alias("rows"), (F.sum(n * w) / F.sum(w)).alias("size")).first()
+    rho = (excess.chi / excess.rows - 1) / max(excess.size - 1, 1e-9)
+    theta = np.concatenate([[rate], np.zeros(len(covs)), [np.clip(-np.log(max(rho, 1e-12)), -5, 14)]])
+    value, grad, hess = _evaluate(cells, theta, covs)
+    for _ in range(iterations):
+        # Absolute curvatures make every step go uphill.
+        curve, axes = np.linalg.eigh(hess)
+        step = axes @ ((axes.T @ grad) / np.maximum(np.abs(curve), 1e-8))
+        step *= min(1.0, 2 / max(abs(step[-1]), 1e-12))
+        size, moved = 1.0, False
+        while size > 1e-4:
+            new = theta + size * step
+            new[-1] = np.clip(new[-1], -5, 15)
+            result = _evaluate(cells, new, covs)
+            if result[0] > value:
+                gain, moved = result[0] - value, True
+                theta, (value, grad, hess) = new, result
                 break
-        slopes = np.array([b / scale[c][1] for c, b in zip(covs, theta[1:-1])])
-        constant = theta[0] - sum(b * scale[c][0] for c, b in zip(covs, slopes))
-        return np.array([constant, *slopes]), float(np.exp(-theta[-1]))
-    finally:
-        cells.unpersist()
+            size /= 2
+        if not moved or gain < tol * (1 + abs(value)):
+            break
+    slopes = np.array([b / scale[c][1] for c, b in zip(covs, theta[1:-1])])
+    constant = theta[0] - sum(b * scale[c][0] for c, b in zip(covs, slopes))
+    return np.array([constant, *slopes]), float(np.exp(-theta[-1]))
 
 
 def eb_fit(df: DataFrame, k: str, n: str, covs: Sequence[str] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -225,7 +225,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     Their cost is the fits, not the bytes, so merging small partitions by size
     would leave the work to a few tasks. Grouping by the same keys needs no
-    further exchange.
+    further exchange; without keys the rows are dealt out in turn.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)

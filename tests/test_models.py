@@ -34,6 +34,21 @@ def test_beta_quantiles():
     assert list(Z.betaincinv(2, 3, [0.0, 1.0])) == [0.0, 1.0]
 
 
+def test_beta_quantiles_stop_at_rounding_and_wait_for_none(monkeypatch):
+    seen, plain = [], Z.betainc
+    monkeypatch.setattr(Z, "betainc", lambda a, b, x: seen.append(np.size(x)) or plain(a, b, x))
+    a, b = np.array([2.0] * 99 + [3e6]), np.array([3.0] * 99 + [7e6])
+    found = Z.betaincinv(a, b, 0.025)
+    assert np.allclose(plain(a, b, found), 0.025, rtol=1e-8)
+    assert sum(seen) < 12 * len(a) and len(seen) < 40
+
+
+def test_credible_intervals_are_dealt_evenly(spark):
+    few = spark.range(40).select((F.col("id") + 1.0).alias("alpha"), F.lit(2.0).alias("beta")).coalesce(1)
+    found = B.credible(few)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 40
+
+
 def test_gamma_derivatives():
     x = np.array([0.1, 1.0, 2.5, 40.0])
     h = 1e-5
