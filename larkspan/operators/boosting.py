@@ -1,36 +1,44 @@
-"""Boosted regression trees on binned features, many fits in one pass.
-
-Features are binned once, by cut points from Spark's quantile sketch. A task
-keeps its rows' bins, residuals and nodes; a level of all its trees is one
-histogram (sum and count per fit, node, feature and bin). Rows that fit one task
-are dealt by fit: every fit is a task of its own and nothing is exchanged.
-Larger tables are dealt by rows in a barrier stage, whose tasks add up their
-histograms by an all-gather: per level bins times features are sent, never rows.
-One such exchange takes Spark about a second, whatever its size, so it is for
-tables whose levels take longer than that in one task.
-
-Residuals are integers of a fixed scale, so histogram sums are exact and a model
-doesn't depend on how rows are dealt. The first tree enters whole, later ones
-times ``rate``; leaves are means, splits take the largest drop in squared error
-among ``mtry`` features drawn per node by a hash of seed, tree and node. Nodes
-without a gain pass their rows on, so all trees are complete.
+"""Boosted regression trees on binned features, many fits at once.
+
+Features are binned once, by cut points from Spark's quantile sketch. Rows of
+one fold with equal bins are one cell: a tree can't tell them apart, so their
+number and their sum of y is all that growing needs. A level of a tree is one
+histogram (sum and count per fit, node, feature and bin). Cells that fit one
+task are dealt by fit: every fit is a task of its own and nothing is exchanged.
+More cells are dealt in blocks, which stay in Spark's storage with their
+predictions; a level is one job that adds up the blocks' histograms. A job takes
+some hundredths of a second, a barrier stage's all-gather a whole one. Per level
+bins times features go to the driver, never rows. Errors of shorter models are
+read off by walking the rows of the left-out folds down the finished trees.
+
+Values and predictions are integers of a fixed scale, so histogram sums are
+exact and a model doesn't depend on how rows are dealt. The first tree enters
+whole, later ones times ``rate``; leaves are means, splits take the largest drop
+in squared error among ``mtry`` features drawn per node by a hash of seed, tree
+and node. Nodes without a gain pass their rows on, so all trees are complete.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.session import checkpoint
+
 BINS = 32
-ROWS_PER_TASK = 1_000_000
+CELLS_PER_TASK = 1_000_000
+CELLS_PER_BLOCK = 500_000
+ROWS_PER_WALK = 1 << 18
+# Blocks whose histograms are added up on the driver, not by tasks before it; trees between checkpoints of the blocks.
+FEW_BLOCKS = 32
+TREES_PER_CHECKPOINT = 20
 TREE = "fit int, tree int, feature array<int>, cut array<int>, gain array<double>, leaf array<double>"
 STAGED = "fit int, trees int, error double, n long"
 
@@ -53,103 +61,222 @@ class Plan:
         return self.rate if tree else 1.0
 
 
-class _Grower:
-    """The rows of one task under one fit."""
+class _Cells:
+    """The cells of one block that one fit learns from."""
 
-    def __init__(self, plan: Plan, fit: int, bins: np.ndarray, y: np.ndarray, fold: np.ndarray):
-        self.plan, self.fit, self.bins, self.y = plan, fit, bins, y
+    def __init__(self, plan: Plan, fit: int, block: tuple, pred: np.ndarray | None = None):
+        self.plan, self.fit = plan, fit
+        bins, n, y, fold = block
         out = plan.left_out[fit]
-        self.train = np.arange(len(y)) if out is None else np.flatnonzero(fold != out)
-        self.held = np.zeros(0, np.int64) if out is None else np.flatnonzero(fold == out)
+        if out is not None:
+            kept = np.flatnonzero(fold != out)
+            bins, n, y = bins[kept], n[kept], y[kept]
+        self.bins, self.n, self.y = bins, n, y
         # Cells of each feature's histogram, a row per feature.
-        self.at = np.ascontiguousarray(bins[self.train].T.astype(np.int64))
-        self.pred = np.zeros(len(y))
+        self.at = np.ascontiguousarray(bins.T.astype(np.int64))
+        self.pred = np.zeros(len(y)) if pred is None else pred
         self.first = np.arange(len(y)) * plan.features
 
     def start(self) -> None:
-        self.g = np.rint((self.y - self.pred)[self.train] * self.plan.scale)
+        self.g = self.y - self.n * np.rint(self.pred * self.plan.scale)
         self.node = np.zeros(len(self.y), np.int64)
 
     def histogram(self, level: int) -> np.ndarray:
         """Sums and counts, [2, nodes, features, bins]."""
         out = np.empty((2, 1 << level, self.plan.features, BINS))
-        first = self.node[self.train] * BINS
+        first = self.node * BINS
         for j, at in enumerate(self.at):
             where = at + first
             out[0, :, j] = np.bincount(where, self.g, BINS << level).reshape(-1, BINS)
-            out[1, :, j] = np.bincount(where, minlength=BINS << level).reshape(-1, BINS)
+            out[1, :, j] = np.bincount(where, self.n, BINS << level).reshape(-1, BINS)
         return out
 
-    def split(self, sums: np.ndarray, tree: int, level: int) -> tuple[np.ndarray, ...]:
-        """Feature, cut, gain of each node; sums and counts of its children. Moves all rows on."""
-        plan, nodes = self.plan, 1 << level
-        g, n = sums
-        left_g, left_n = np.cumsum(g, -1), np.cumsum(n, -1)
-        all_g, all_n = left_g[:, :1, -1:], left_n[:, :1, -1:]
-        right_g, right_n = all_g - left_g, all_n - left_n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            whole = np.where(all_n > 0, all_g**2 / all_n, 0.0)
-            gain = left_g**2 / left_n + right_g**2 / right_n - whole
-        gain[(left_n == 0) | (right_n == 0)] = -np.inf
-        if plan.mtry[self.fit] < plan.features:
-            order = np.random.default_rng([plan.seed, tree, level, plan.mtry[self.fit]]).random((nodes, plan.features)).argsort(1).argsort(1)
-            gain[order >= plan.mtry[self.fit]] = -np.inf
-        best = gain.reshape(nodes, -1).argmax(1)
-        top = gain.reshape(nodes, -1)[np.arange(nodes), best]
-        splits = top > 1e-9 * np.maximum(1.0, whole[:, 0, 0])
-        feature, cut = np.where(splits, best // BINS, 0), np.where(splits, best % BINS, BINS - 1)
-        pick = (np.arange(nodes), feature, cut)
-        child_g = np.stack([left_g[pick], right_g[pick]], 1).ravel()
-        child_n = np.stack([left_n[pick], right_n[pick]], 1).ravel()
+    def move(self, feature: np.ndarray, cut: np.ndarray) -> None:
         self.node = 2 * self.node + (self.bins.ravel().take(self.first + feature[self.node]) > cut[self.node])
-        return feature, cut, np.where(splits, top, 0.0) / plan.scale**2, child_g, child_n
-
-    def finish(self, tree: int, child_g: np.ndarray, child_n: np.ndarray) -> np.ndarray:
-        leaf = np.where(child_n > 0, child_g / np.maximum(child_n, 1), 0.0) / self.plan.scale
-        self.pred += self.plan.weight(tree) * leaf[self.node]
-        return leaf
 
+    def finish(self, tree: int, leaf: np.ndarray) -> None:
+        self.pred = self.pred + self.plan.weight(tree) * leaf[self.node]
+
+
+def _split(plan: Plan, fit: int, sums: np.ndarray, tree: int, level: int) -> tuple[np.ndarray, ...]:
+    """Feature, cut, gain of each node; sums and counts of its children."""
+    nodes = 1 << level
+    g, n = sums
+    left_g, left_n = np.cumsum(g, -1), np.cumsum(n, -1)
+    all_g, all_n = left_g[:, :1, -1:], left_n[:, :1, -1:]
+    right_g, right_n = all_g - left_g, all_n - left_n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        whole = np.where(all_n > 0, all_g**2 / all_n, 0.0)
+        gain = left_g**2 / left_n + right_g**2 / right_n - whole
+    gain[(left_n == 0) | (right_n == 0)] = -np.inf
+    if plan.mtry[fit] < plan.features:
+        order = np.random.default_rng([plan.seed, tree, level, plan.mtry[fit]]).random((nodes, plan.features)).argsort(1).argsort(1)
+        gain[order >= plan.mtry[fit]] = -np.inf
+    best = gain.reshape(nodes, -1).argmax(1)
+    top = gain.reshape(nodes, -1)[np.arange(nodes), best]
+    splits = top > 1e-9 * np.maximum(1.0, whole[:, 0, 0])
+    feature, cut = np.where(splits, best // BINS, 0), np.where(splits, best % BINS, BINS - 1)
+    pick = (np.arange(nodes), feature, cut)
+    child_g = np.stack([left_g[pick], right_g[pick]], 1).ravel()
+    child_n = np.stack([left_n[pick], right_n[pick]], 1).ravel()
+    return feature, cut, np.where(splits, top, 0.0) / plan.scale**2, child_g, child_n
+
+
+def _leaves(plan: Plan, child_g: np.ndarray, child_n: np.ndarray) -> np.ndarray:
+    return np.where(child_n > 0, child_g / np.maximum(child_n, 1), 0.0) / plan.scale
+
+
+def _row(fit: int, tree: int, grown: list, leaf: np.ndarray) -> dict:
+    """A row of TREE; ``grown`` has feature, cut and gain of each level."""
+    feature, cut, gain = (np.concatenate(part).tolist() for part in zip(*grown))
+    return {"fit": fit, "tree": tree, "feature": feature, "cut": cut, "gain": gain, "leaf": leaf.tolist()}
+
+
+def _grow(plan: Plan, fit: int, block: tuple) -> Iterator[dict]:
+    """All trees of a fit whose cells are in one task."""
+    cells = _Cells(plan, fit, block)
+    for tree in range(plan.trees):
+        cells.start()
+        grown = []
+        for level in range(plan.depth):
+            *node, child_g, child_n = _split(plan, fit, cells.histogram(level), tree, level)
+            cells.move(*node[:2])
+            grown.append(node)
+        leaf = _leaves(plan, child_g, child_n)
+        cells.finish(tree, leaf)
+        yield _row(fit, tree, grown, leaf)
+
+
+def _merged(block: tuple) -> tuple:
+    """The block with cells of equal bins as one, whatever their folds."""
+    bins, n, y, fold = block
+    if not len(n):
+        return block
+    _, first, at = np.unique(np.ascontiguousarray(bins).view(f"V{bins.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return bins[first], np.bincount(at, n), np.bincount(at, y), fold[first]
+
+
+def _grow_in_jobs(plan: Plan, blocks: RDD) -> list[dict]:
+    """All trees of all fits over blocks of cells, a job a level."""
+    fits = range(len(plan.mtry))
+    state = blocks.map(lambda block: (block, [None] * len(plan.mtry))).persist(StorageLevel.MEMORY_AND_DISK)
+    few, out, last = blocks.getNumPartitions() <= FEW_BLOCKS, [], None
+
+    def placed(element: tuple, fit: int, grown: list) -> _Cells:
+        cells = _Cells(plan, fit, element[0], element[1][fit])
+        cells.start()
+        for feature, cut, _ in grown:
+            cells.move(feature, cut)
+        return cells
+
+    def histograms(trees: list):
+        return lambda element: np.stack([placed(element, f, trees[f]).histogram(len(trees[f])) for f in fits])
+
+    def finished(tree: int, trees: list, leaves: list):
+        def run(element: tuple) -> tuple:
+            preds = []
+            for f in fits:
+                cells = placed(element, f, trees[f])
+                cells.finish(tree, leaves[f])
+                preds.append(cells.pred)
+            return element[0], preds
+
+        return run
 
-def _grow(plan: Plan, fits: Sequence[int], bins: np.ndarray, y: np.ndarray, fold: np.ndarray, add) -> Iterator[pa.RecordBatch]:
-    """All trees of ``fits``, level by level; ``add`` sums histograms over the tasks that share them."""
-    growers = [_Grower(plan, f, bins, y, fold) for f in fits]
     for tree in range(plan.trees):
-        for g in growers:
-            g.start()
-        grown = [([], [], []) for _ in growers]
+        trees = [[] for _ in fits]
         for level in range(plan.depth):
-            sums = add(np.stack([g.histogram(level) for g in growers]))
+            found = state.map(histograms([list(t) for t in trees]))
+            sums = sum(found.collect()) if few else found.treeReduce(np.add)
+            if last is not None:
+                last.unpersist()
+                last = None
             ends = []
-            for g, own, out in zip(growers, sums, grown):
-                *node, child_g, child_n = g.split(own, tree, level)
-                for part, value in zip(out, node):
-                    part.append(value)
+            for f in fits:
+                *node, child_g, child_n = _split(plan, f, sums[f], tree, level)
+                trees[f].append(node)
                 ends.append((child_g, child_n))
-        leaves = [g.finish(tree, *end) for g, end in zip(growers, ends)]
-        if plan.staged and tree + 1 in plan.staged:
-            error = [np.abs(g.y - g.pred)[g.held].sum() for g in growers]
-            yield pa.RecordBatch.from_pydict({"fit": pa.array(fits, pa.int32()), "trees": pa.array([tree + 1] * len(fits), pa.int32()), "error": pa.array(error, pa.float64()), "n": pa.array([len(g.held) for g in growers], pa.int64())})
-        elif not plan.staged:
-            cols = [[np.concatenate(part).tolist() for part in out] for out in grown]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fits, pa.int32()), pa.array([tree] * len(fits), pa.int32()), *(pa.array([c[i] for c in cols], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))), pa.array([x.tolist() for x in leaves], pa.list_(pa.float64()))],
-                [c.split()[0] for c in TREE.split(", ")],
-            )
-
-
-def _rows(batches: Sequence[pa.RecordBatch], cuts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins, y and fold of rows (features, then y, then fold)."""
-    table = pa.Table.from_batches(batches) if batches else None
-    if table is None:
-        return np.zeros((0, len(cuts)), np.uint8), np.zeros(0), np.zeros(0, np.int64)
-    bins = np.stack([np.searchsorted(c, table.column(i).to_numpy(), side="left").astype(np.uint8) for i, c in enumerate(cuts)], 1)
-    return bins, table.column(len(cuts)).to_numpy(), table.column(len(cuts) + 1).to_numpy()
-
-
-def _gathered(own: np.ndarray) -> np.ndarray:
-    """Sum over the tasks of a barrier stage; all numbers are whole, so the order doesn't matter."""
-    sent = BarrierTaskContext.get().allGather(base64.b64encode(own.astype("<i8").tobytes()).decode())
-    return sum(np.frombuffer(base64.b64decode(x), "<i8") for x in sent).reshape(own.shape).astype(np.float64)
+        leaves = [_leaves(plan, *end) for end in ends]
+        out += [_row(f, tree, trees[f], leaves[f]) for f in fits]
+        last, state = state, state.map(finished(tree, trees, leaves)).persist(StorageLevel.MEMORY_AND_DISK)
+        if (tree + 1) % TREES_PER_CHECKPOINT == 0:
+            state.checkpoint()  # written by the next job, so that the lineage stays short
+    for held in (last, state):
+        if held is not None:
+            held.unpersist()
+    return out
+
+
+def _binned(table: pa.Table, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, table.column(i).to_numpy(), side="left").astype(np.uint8) for i, c in enumerate(cuts)], 1)
+
+
+def _cells(rows: DataFrame, cuts: Sequence[np.ndarray], scale: float) -> DataFrame:
+    """Rows (features, then y, then fold) as cells: bins, fold, number of rows, sum of scaled y."""
+    width = len(cuts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            ends = pa.py_buffer(np.arange(0, width * batch.num_rows + 1, width, dtype=np.int32))
+            bins = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, pa.py_buffer(_binned(table, cuts).tobytes())])
+            y = np.rint(batch.column(width).to_numpy() * scale).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([bins, batch.column(width + 1), pa.array(y)], ["bins", "fold", "y"])
+
+    binned = rows.mapInArrow(run, "bins binary, fold long, y long")
+    return binned.groupBy("bins", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+
+
+def _block(table: pa.Table, features: int) -> tuple:
+    """Bins, numbers of rows, sums of y and folds of cells."""
+    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, features)
+    return bins, *(table.column(c).to_numpy().astype(np.float64) for c in ("n", "y")), table.column("fold").to_numpy()
+
+
+def _staged(plan: Plan, rows: DataFrame, cuts: Sequence[np.ndarray], trees: list) -> DataFrame:
+    """Sum of absolute errors and number of the left-out rows, per fit and length of the model."""
+    grown = sorted(trees, key=lambda t: (t["fit"], t["tree"]))
+    shape = (len(plan.mtry), plan.trees, -1)
+    # Features and cuts are less than 256.
+    kept = tuple(np.array([t[c] for t in grown], kind).reshape(shape) for c, kind in (("feature", np.uint8), ("cut", np.uint8), ("leaf", np.float64)))
+    shared = rows.sparkSession.sparkContext.broadcast(kept)
+    width = len(cuts)
+
+    def walk(table: pa.Table) -> pa.RecordBatch:
+        feature, cut, leaf = shared.value
+        bins, y, fold = _binned(table, cuts), table.column(width).to_numpy(), table.column(width + 1).to_numpy()
+        found = []
+        for fit, out in enumerate(plan.left_out):
+            held = np.flatnonzero(fold == out)
+            if not len(held):
+                continue
+            some, at = np.unique(bins[held].view(f"V{width}").ravel(), return_inverse=True)
+            some = some.view(np.uint8)
+            begin, pred = np.arange(0, len(some), width), np.zeros(len(some) // width)
+            for tree in range(plan.trees):
+                node = np.zeros(len(pred), np.int64)
+                for level in range(plan.depth):
+                    place = node + ((1 << level) - 1)
+                    node = 2 * node + (some.take(begin + feature[fit, tree].take(place)) > cut[fit, tree].take(place))
+                pred += plan.weight(tree) * leaf[fit, tree].take(node)
+                if tree + 1 in plan.staged:
+                    found.append((fit, tree + 1, float(np.abs(y[held] - pred[at]).sum()), len(held)))
+        columns = zip(*found) if found else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.int64()))], ["fit", "trees", "error", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS_PER_WALK:
+                yield walk(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield walk(pa.Table.from_batches(held))
+
+    # A row's walk takes far longer than its bytes suggest.
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, STAGED)
 
 
 def cut_points(df: DataFrame, x: Sequence[str]) -> list[np.ndarray]:
@@ -160,34 +287,48 @@ def cut_points(df: DataFrame, x: Sequence[str]) -> list[np.ndarray]:
 
 
 def grown(df: DataFrame, x: Sequence[str], y: str, fold: str | None, plan: dict, rows_per_task: int | None = None) -> tuple[DataFrame, list[np.ndarray]]:
-    """Trees (or staged errors) of all fits of ``plan`` as rows, and the cut points. ``df`` is read several times."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    """Trees (or staged errors) of all fits of ``plan`` as rows, and the cut points. ``df`` is read several times.
+
+    ``rows_per_task`` is the most cells that a task may hold whole.
+    """
+    spark = df.sparkSession
+    parallelism = spark.sparkContext.defaultParallelism
     n, largest = df.agg(F.count("*"), F.max(F.abs(F.col(y)))).first()
     cuts = cut_points(df, x) if n else [np.zeros(0)] * len(x)
     # Sums of n residuals of up to twice the largest y stay whole numbers of a double.
     scale = 2.0 ** (51 - np.ceil(np.log2(max(2.0 * n * (largest or 1.0), 1.0))))
     todo = Plan(**plan, scale=scale, features=len(x))
-    fits = len(todo.mtry)
-    schema = STAGED if todo.staged else TREE
+    fits, width = len(todo.mtry), len(x)
     rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], F.col(y).cast("double").alias("y"), (F.col(fold).cast("long") if fold else F.lit(-1).cast("long")).alias("fold"))
-    tasks = min(parallelism, -(-n // (rows_per_task or ROWS_PER_TASK)))
-    if tasks <= 1:
+    cells = checkpoint(_cells(rows, cuts, scale))
+    count = cells.count()
+    if count <= (rows_per_task or CELLS_PER_TASK):
 
         def whole(key: tuple, table: pa.Table) -> pa.Table:
-            found = list(_grow(todo, [key[0].as_py()], *_rows(table.drop(["fit"]).to_batches(), cuts), lambda sums: sums))
-            return pa.Table.from_batches(found)
-
-        dealt = rows.withColumn("fit", F.explode(F.array(*map(F.lit, range(fits)))))  # few rows, each once per fit
-        return dealt.repartition(max(fits, 1), "fit").groupBy("fit").applyInArrow(whole, schema), cuts
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _grow(todo, list(range(fits)), *_rows(list(batches), cuts), _gathered)
-        first = BarrierTaskContext.get().partitionId() == 0
-        for batch in found:
-            if first or todo.staged:
-                yield batch
-
-    return rows.repartition(tasks).mapInArrow(shard, schema, barrier=True), cuts
+            block = _block(table, width)
+            out = todo.left_out[key[0].as_py()]
+            kept = np.flatnonzero(block[3] != out) if out is not None else slice(None)
+            return pa.Table.from_pylist(list(_grow(todo, key[0].as_py(), _merged(tuple(v[kept] for v in block)))), kind)
+
+        kind = pa.schema([("fit", pa.int32()), ("tree", pa.int32()), *((c, pa.list_(t)) for c, t in (("feature", pa.int32()), ("cut", pa.int32()), ("gain", pa.float64()), ("leaf", pa.float64())))])
+        dealt = cells.withColumn("fit", F.explode(F.array(*map(F.lit, range(fits)))))  # few cells, each once per fit
+        trees = dealt.repartitionByRange(max(fits, 1), "fit").groupBy("fit").applyInArrow(whole, TREE)
+        return (_staged(todo, rows, cuts, trees.collect()) if todo.staged else trees), cuts
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            parts = _block(pa.Table.from_batches(held), width)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in parts], ["bins", "n", "y", "fold"])
+
+    def unpacked(row) -> tuple:
+        bins, *rest = (np.frombuffer(v, t) for v, t in zip(row, (np.uint8, np.float64, np.float64, np.int64)))
+        return bins.reshape(-1, width), *rest
+
+    tasks = max(parallelism, -(-count // CELLS_PER_BLOCK))
+    blocks = cells.repartition(tasks).mapInArrow(packed, "bins binary, n binary, y binary, fold binary").rdd.map(unpacked)
+    trees = _grow_in_jobs(todo, blocks)
+    return (_staged(todo, rows, cuts, trees) if todo.staged else spark.createDataFrame([tuple(t.values()) for t in trees], TREE)), cuts
 
 
 class BoostedTrees:

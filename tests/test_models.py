@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -292,6 +293,23 @@ def test_trees_do_not_depend_on_how_rows_are_dealt(trees):
     assert np.allclose(found[0], found[1], rtol=1e-9) and [r[3] for r in found[0]] == [1000] * 4
 
 
+def test_blocks_of_cells_take_a_job_a_level(trees):
+    """44 levels in blocks, over a checkpoint of them; an all-gather a level would take 44 seconds and more."""
+    df, _ = trees
+    one = B2.fitted(df, ["a", "b", "noise"], "y", trees=22, mtry=None, rate=0.3, depth=2, seed=4)
+    began = time.monotonic()
+    many = B2.fitted(df, ["a", "b", "noise"], "y", trees=22, mtry=None, rate=0.3, depth=2, seed=4, rows_per_task=400)
+    assert time.monotonic() - began < 35
+    assert (one.feature == many.feature).all() and (one.cut == many.cut).all() and (one.leaf == many.leaf).all()
+
+
+def test_rows_of_equal_bins_are_one_cell(spark):
+    df = spark.range(600).select((F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"), (F.col("id") % 7).alias("fold"), (F.col("id") * 1.5).alias("y"))
+    cells = B2._cells(df.select("a", "b", "y", "fold"), B2.cut_points(df, ["a", "b"]), 2.0)
+    assert cells.count() == 42
+    assert tuple(cells.agg(F.sum("n"), F.sum("y")).first()) == (600, 3 * sum(range(600)))
+
+
 def test_trees_match_the_ml_library(spark, sf):
     """Held-out error of one fold against Spark ML, whose squared-error gradient is twice the residual: half the rate there."""
     from pyspark.ml.feature import VectorAssembler
