@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from larkspan.session import checkpoint
 
-# Inputs the planner expects to stay under this size are numbered with one window per group.
+# Inputs the planner expects to stay under this size are numbered with one window per group. Files are
+# estimated by their compressed size, so rows of larger ones are counted, up to a size where blocks are due anyway.
+TINY_BYTES = 1024 * 1024
 SMALL_BYTES = 64 * 1024 * 1024
 # Plan nodes that make rows which the planner's size estimate does not count.
 GROWING = re.compile(r"\b(Generate|Expand|MapIn\w+|FlatMap\w+|MapPartitions\w*|LogicalRDD)\b")
 LEAST_BLOCKS_LIMIT = 512
-ROWS_PER_BLOCK = 1_000_000
+ROWS_PER_BLOCK = 250_000
 SAMPLES_PER_BLOCK = 16
 
 KEY, BLOCK = "_grp", "_blk"
@@ -46,11 +48,11 @@ def block_limit(df: DataFrame) -> int:
 
 
 def block_count(df: DataFrame, blocks: int | None = None) -> int:
-    """1 for input known to be small, else one block per shuffle partition."""
+    """1 for input known to be tiny, else one block per shuffle partition."""
     if blocks is not None:
         return blocks
     size = estimated_bytes(df)
-    if size is not None and size <= SMALL_BYTES:
+    if size is not None and size <= min(TINY_BYTES, SMALL_BYTES):
         return 1
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -60,11 +62,15 @@ def blocks_of_rows(rows: int, limit: int) -> int:
 
 
 def ready(df: DataFrame, blocks: int | None, derived: bool) -> tuple[DataFrame, int]:
-    """The rows to cut and the number of blocks; counted where the size can't be estimated."""
+    """The rows to cut and the number of blocks; counted where the size can't be estimated or relied on."""
     n = block_count(df, blocks)
-    if n > 1 and (derived or (blocks is None and estimated_bytes(df) is None)):
+    if n <= 1:
+        return df, n
+    size = None if blocks is not None else estimated_bytes(df)
+    if derived or (blocks is None and size is None):
         df = checkpoint(df)
-        n = blocks if blocks is not None else blocks_of_rows(df.count(), block_limit(df))
+    if blocks is None and (derived or size is None or size <= SMALL_BYTES):
+        n = blocks_of_rows(df.count(), block_limit(df))
     return df, n
 
 

@@ -205,3 +205,14 @@ def test_grown_input_is_counted(spark):
 
 def test_block_limit_follows_the_cluster(spark):
     assert O.blocks_of_rows(10**13, 4000) == 4000 and O.blocks_of_rows(10, 4000) == 1
+
+
+def test_well_packed_files_are_counted(spark, tmp_path, monkeypatch):
+    # Files under 64 MB can hold more rows than one task should number.
+    monkeypatch.setattr(O, "TINY_BYTES", 0)
+    monkeypatch.setattr(O, "ROWS_PER_BLOCK", 50)
+    spark.range(400).write.parquet(str(tmp_path / "t"))
+    packed = spark.read.parquet(str(tmp_path / "t"))
+    for derived in (False, True):
+        assert O.ready(packed, None, derived)[1] == 8
+        assert O.with_position(packed, [], [F.col("id")], derived=derived).filter("pos = id + 1").count() == 400
