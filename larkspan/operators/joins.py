@@ -100,10 +100,10 @@ def join_loss(a: DataFrame, joined: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def with_next(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], cols: Mapping[str, str], keep_last: bool = False,
-    blocks: int | None = None,
+    blocks: int | None = None, derived: bool = False,
 ) -> DataFrame:
-    """Each row with columns of its successor; the last row of a group is dropped."""
-    out = with_lead(df.withColumn("_here", F.lit(1)), group, order, {**cols, "_next": "_here"}, blocks)
+    """Each row with columns of its successor; the last row of a group is dropped. ``derived`` as in ``with_position``."""
+    out = with_lead(df.withColumn("_here", F.lit(1)), group, order, {**cols, "_next": "_here"}, blocks, derived)
     if not keep_last:
         out = out.filter(F.col("_next").isNotNull())
     return out.drop("_here", "_next")

@@ -27,6 +27,8 @@ SMALL_BYTES = 64 * 1024 * 1024
 GROWING = re.compile(r"\b(Generate|Expand|MapIn\w+|FlatMap\w+|MapPartitions\w*|LogicalRDD)\b")
 LEAST_BLOCKS_LIMIT = 512
 ROWS_PER_BLOCK = 250_000
+# Hash buckets of keys whose rows tell whether a group is too large for one task.
+KEY_BUCKETS = 4096
 SAMPLES_PER_BLOCK = 16
 
 KEY, BLOCK = "_grp", "_blk"
@@ -61,8 +63,18 @@ def blocks_of_rows(rows: int, limit: int) -> int:
     return max(1, min(-(-rows // ROWS_PER_BLOCK), limit))
 
 
-def ready(df: DataFrame, blocks: int | None, derived: bool) -> tuple[DataFrame, int]:
-    """The rows to cut and the number of blocks; counted where the size can't be estimated or relied on."""
+def only_small_groups(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether no group has more rows than a block, or than twice an even share of a hash bucket of the keys."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
+    most, rows = df.groupBy(bucket.alias("b")).count().agg(F.max("count"), F.sum("count")).first()
+    return (most or 0) <= max(ROWS_PER_BLOCK, 2 * (rows or 0) // KEY_BUCKETS)
+
+
+def ready(df: DataFrame, blocks: int | None, derived: bool, keys: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """The rows to cut and the number of blocks; counted where the size can't be estimated or relied on.
+
+    Groups of ``keys`` that each fit one task need no blocks, however many rows there are.
+    """
     n = block_count(df, blocks)
     if n <= 1:
         return df, n
@@ -71,6 +83,8 @@ def ready(df: DataFrame, blocks: int | None, derived: bool) -> tuple[DataFrame,
         df = checkpoint(df)
     if blocks is None and (derived or size is None or size <= SMALL_BYTES):
         n = blocks_of_rows(df.count(), block_limit(df))
+    if n > 1 and blocks is None and keys and only_small_groups(df, keys):
+        n = 1
     return df, n
 
 
@@ -134,7 +148,7 @@ def with_position(
     running = {k: v if isinstance(v, tuple) else ("sum", v) for k, v in (running or {}).items()}
     totals = dict(totals or {})
     order = list(order)
-    df, n = ready(df, blocks, derived)
+    df, n = ready(df, blocks, derived, keys)
     if n <= 1:
         whole = Window.partitionBy(*keys)
         rows = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -196,7 +210,7 @@ def with_lead(
     which is one row per key and block.
     """
     order = list(order)
-    df, n = ready(df, blocks, derived)
+    df, n = ready(df, blocks, derived, keys)
     next_row = F.struct(*[F.col(src).alias(dst) for dst, src in cols.items()])
     if n <= 1:
         found = df.withColumn("_to", F.lead(next_row).over(Window.partitionBy(*keys).orderBy(*order)))

@@ -103,7 +103,7 @@ def _(t):
 )
 def _(t):
     lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("l_quantity"))
-    out = J.with_next(lines, ["l_orderkey"], [F.col("l_shipdate"), F.col("l_linenumber")], {"next_ship": "l_shipdate", "next_qty": "l_quantity"})
+    out = J.with_next(lines, ["l_orderkey"], [F.col("l_shipdate"), F.col("l_linenumber")], {"next_ship": "l_shipdate", "next_qty": "l_quantity"}, derived=True)
     return out.drop("l_quantity")
 
 

@@ -216,3 +216,14 @@ def test_well_packed_files_are_counted(spark, tmp_path, monkeypatch):
     for derived in (False, True):
         assert O.ready(packed, None, derived)[1] == 8
         assert O.with_position(packed, [], [F.col("id")], derived=derived).filter("pos = id + 1").count() == 400
+
+
+def test_small_groups_need_no_blocks(spark, hot, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "TINY_BYTES", 0)
+    monkeypatch.setattr(O, "ROWS_PER_BLOCK", 50)
+    spark.range(3000).selectExpr("id div 3 AS k", "id").write.parquet(str(tmp_path / "t"))
+    even = spark.read.parquet(str(tmp_path / "t"))
+    assert O.ready(even, None, False, ["k"])[1] == 1 and O.ready(even, None, True, ["k"])[1] == 1
+    assert "Join" not in plan_of(O.with_lead(even, ["k"], [F.col("id")], {"next": "id"}))
+    # A group of 1,000 rows is cut all the same, and given numbers of blocks hold.
+    assert O.ready(hot, None, True, ["k"])[1] > 1 and O.ready(even, 4, False, ["k"])[1] == 4
