@@ -409,3 +409,12 @@ def test_betainc_for_large_parameters():
     low = betainc(0.3 * sizes, 0.7 * sizes, 0.3)
     assert np.allclose(low, 0.5, atol=2e-4)
     assert np.allclose(low + betainc(0.7 * sizes, 0.3 * sizes, 0.7), 1, atol=1e-6)
+
+
+def test_tuning_counts_cells_not_rows(spark, monkeypatch):
+    # 600 rows are over the limit of one task, their 12 cells are not.
+    monkeypatch.setattr(B2, "CELLS_PER_TASK", 100)
+    monkeypatch.setattr(B2, "_grow_in_jobs", None)
+    df = spark.range(600).select("id", (F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"), (F.col("id") * 1.5).alias("y"))
+    scores = M.tune(M.kfold(df, ["id"], "y", k=2), ["a", "b"], "y", [2], [1, 3], folds=2, rate=0.3, depth=2)
+    assert [r.trees for r in scores.orderBy("trees").collect()] == [1, 3]
