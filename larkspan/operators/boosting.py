@@ -9,7 +9,8 @@ More cells are dealt in blocks, which stay in Spark's storage with their
 predictions; a level is one job that adds up the blocks' histograms. A job takes
 some hundredths of a second, a barrier stage's all-gather a whole one. Per level
 bins times features go to the driver, never rows. Errors of shorter models are
-read off by walking the rows of the left-out folds down the finished trees.
+read off by walking the left-out folds down the finished trees: rows are dealt by
+their bins, so that a task walks few cells, each once for all fits.
 
 Values and predictions are integers of a fixed scale, so histogram sums are
 exact and a model doesn't depend on how rows are dealt. The first tree enters
@@ -211,8 +212,8 @@ def _binned(table: pa.Table, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, table.column(i).to_numpy(), side="left").astype(np.uint8) for i, c in enumerate(cuts)], 1)
 
 
-def _cells(rows: DataFrame, cuts: Sequence[np.ndarray], scale: float) -> DataFrame:
-    """Rows (features, then y, then fold) as cells: bins, fold, number of rows, sum of scaled y."""
+def _binned_rows(rows: DataFrame, cuts: Sequence[np.ndarray]) -> DataFrame:
+    """Rows (features, then y, then fold) as bins, fold and y."""
     width = len(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +221,15 @@ def _cells(rows: DataFrame, cuts: Sequence[np.ndarray], scale: float) -> DataFra
             table = pa.Table.from_batches([batch])
             ends = pa.py_buffer(np.arange(0, width * batch.num_rows + 1, width, dtype=np.int32))
             bins = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, pa.py_buffer(_binned(table, cuts).tobytes())])
-            y = np.rint(batch.column(width).to_numpy() * scale).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([bins, batch.column(width + 1), pa.array(y)], ["bins", "fold", "y"])
+            yield pa.RecordBatch.from_arrays([bins, batch.column(width + 1), batch.column(width)], ["bins", "fold", "y"])
 
-    binned = rows.mapInArrow(run, "bins binary, fold long, y long")
-    return binned.groupBy("bins", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    return rows.mapInArrow(run, "bins binary, fold long, y double")
+
+
+def _cells(rows: DataFrame, cuts: Sequence[np.ndarray], scale: float) -> DataFrame:
+    """Rows (features, then y, then fold) as cells: bins, fold, number of rows, sum of scaled y."""
+    y = F.rint(F.col("y") * F.lit(float(scale))).cast("long")
+    return _binned_rows(rows, cuts).groupBy("bins", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"))
 
 
 def _block(table: pa.Table, features: int) -> tuple:
@@ -236,31 +241,41 @@ def _block(table: pa.Table, features: int) -> tuple:
 def _staged(plan: Plan, rows: DataFrame, cuts: Sequence[np.ndarray], trees: list) -> DataFrame:
     """Sum of absolute errors and number of the left-out rows, per fit and length of the model."""
     grown = sorted(trees, key=lambda t: (t["fit"], t["tree"]))
-    shape = (len(plan.mtry), plan.trees, -1)
-    # Features and cuts are less than 256.
-    kept = tuple(np.array([t[c] for t in grown], kind).reshape(shape) for c, kind in (("feature", np.uint8), ("cut", np.uint8), ("leaf", np.float64)))
+    fits, width = len(plan.mtry), len(cuts)
+    # Features and cuts are less than 256. A tree's nodes or leaves of all fits lie side by side.
+    kept = tuple(np.array([t[c] for t in grown], kind).reshape(fits, plan.trees, -1).swapaxes(0, 1).reshape(plan.trees, -1) for c, kind in (("feature", np.uint8), ("cut", np.uint8), ("leaf", np.float64)))
     shared = rows.sparkSession.sparkContext.broadcast(kept)
-    width = len(cuts)
+    nodes, leaves = (1 << plan.depth) - 1, 1 << plan.depth
 
     def walk(table: pa.Table) -> pa.RecordBatch:
-        feature, cut, leaf = shared.value
-        bins, y, fold = _binned(table, cuts), table.column(width).to_numpy(), table.column(width + 1).to_numpy()
-        found = []
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, width)
+        y, fold = table.column("y").to_numpy(), table.column("fold").to_numpy()
+        held, cells, fit_of = [], [], []
         for fit, out in enumerate(plan.left_out):
-            held = np.flatnonzero(fold == out)
-            if not len(held):
-                continue
-            some, at = np.unique(bins[held].view(f"V{width}").ravel(), return_inverse=True)
-            some = some.view(np.uint8)
-            begin, pred = np.arange(0, len(some), width), np.zeros(len(some) // width)
-            for tree in range(plan.trees):
-                node = np.zeros(len(pred), np.int64)
-                for level in range(plan.depth):
-                    place = node + ((1 << level) - 1)
-                    node = 2 * node + (some.take(begin + feature[fit, tree].take(place)) > cut[fit, tree].take(place))
-                pred += plan.weight(tree) * leaf[fit, tree].take(node)
-                if tree + 1 in plan.staged:
-                    found.append((fit, tree + 1, float(np.abs(y[held] - pred[at]).sum()), len(held)))
+            if out not in plan.left_out[:fit]:
+                mine = np.flatnonzero(fold == out)
+                some, at = np.unique(np.ascontiguousarray(bins[mine]).view(f"V{width}").ravel(), return_inverse=True)
+                own = out, some.view(np.uint8).reshape(-1, width), mine, at
+                held.append(own)
+            else:
+                own = next(h for h in held if h[0] == out)
+            cells.append(own[1])
+            fit_of.append(own)
+        sizes = [len(c) for c in cells]
+        flat = np.concatenate(cells).ravel()
+        begin, pred = np.arange(0, len(flat), width), np.zeros(sum(sizes))
+        first_node, first_leaf = np.repeat(np.arange(fits) * nodes, sizes), np.repeat(np.arange(fits) * leaves, sizes)
+        starts, found = np.cumsum([0, *sizes]), []
+        for tree, (feature, cut, leaf) in enumerate(zip(*shared.value)):
+            node = np.zeros(len(pred), np.int64)
+            for level in range(plan.depth):
+                place = node + (first_node + ((1 << level) - 1))
+                node = 2 * node + (flat.take(begin + feature.take(place)) > cut.take(place))
+            pred += plan.weight(tree) * leaf.take(first_leaf + node)
+            if tree + 1 in plan.staged:
+                for fit, (_, _, mine, at) in enumerate(fit_of):
+                    if len(mine):
+                        found.append((fit, tree + 1, float(np.abs(y[mine] - pred[starts[fit] + at]).sum()), len(mine)))
         columns = zip(*found) if found else ((),) * 4
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.int64()))], ["fit", "trees", "error", "n"])
 
@@ -275,8 +290,9 @@ def _staged(plan: Plan, rows: DataFrame, cuts: Sequence[np.ndarray], trees: list
         if n:
             yield walk(pa.Table.from_batches(held))
 
-    # A row's walk takes far longer than its bytes suggest.
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, STAGED)
+    # A cell's walk takes far longer than its bytes suggest; a cell of very many rows is cut by their numbers.
+    dealt = _binned_rows(rows, cuts).withColumn("at", F.monotonically_increasing_id())
+    return dealt.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, "bins", "at").mapInArrow(run, STAGED)
 
 
 def cut_points(df: DataFrame, x: Sequence[str]) -> list[np.ndarray]:

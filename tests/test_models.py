@@ -418,3 +418,24 @@ def test_tuning_counts_cells_not_rows(spark, monkeypatch):
     df = spark.range(600).select("id", (F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"), (F.col("id") * 1.5).alias("y"))
     scores = M.tune(M.kfold(df, ["id"], "y", k=2), ["a", "b"], "y", [2], [1, 3], folds=2, rate=0.3, depth=2)
     assert [r.trees for r in scores.orderBy("trees").collect()] == [1, 3]
+
+
+def test_staged_errors_deal_rows_by_bins(spark, monkeypatch):
+    """Every task walked every cell down all trees; now a cell of few rows is in one task, and errors are those of its predictions."""
+    seen = []
+    deal = type(spark.range(0)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, n, *cols: seen.append(out := deal(self, n, *cols)) or out)
+    df = spark.range(4000).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") % 7 % 2).alias("fold"), ((F.col("id") % 20) * 2.0 + F.col("id") % 11).alias("y"))
+    plan = {"mtry": (1, 2, 2), "left_out": (0, 0, 1), "trees": 5, "rate": 0.3, "depth": 3, "seed": 4}
+    staged, cuts = B2.grown(df, ["a", "b"], "y", "fold", {**plan, "staged": (2, 5)})
+    errors = {(r.fit, r.trees): (r.e, r.n) for r in staged.groupBy("fit", "trees").agg(F.sum("error").alias("e"), F.sum("n").alias("n")).collect()}
+    tasks = seen[-1].withColumn("task", F.spark_partition_id()).groupBy("bins").agg(F.countDistinct("task").alias("n"))
+    assert sum(r.n for r in tasks.collect()) < 60 + spark.sparkContext.defaultParallelism
+    grown = sorted(B2.grown(df, ["a", "b"], "y", "fold", plan)[0].collect(), key=lambda t: t["tree"])
+    rows = df.toPandas()
+    for fit, out in enumerate(plan["left_out"]):
+        held = rows[rows["fold"] == out]
+        for n in (2, 5):
+            model = B2.BoostedTrees(["a", "b"], [t for t in grown if t["fit"] == fit][:n], cuts, 0.3)
+            error, count = errors[fit, n]
+            assert count == len(held) and np.isclose(error, np.abs(held["y"] - model.predict(held[["a", "b"]].to_numpy())).sum())
