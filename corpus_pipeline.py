@@ -22,16 +22,18 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import decontaminate, pieces, quality, secrets
-from larkspan.llm.jaccard_join import jaccard_components
+from larkspan.llm.jaccard_join import jaccard_components, may_be_asked
 from larkspan.llm.registry import table
 from larkspan.llm.scratch import Scratch, free_name
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
+# What happens to the rows of one hash: none stays, all stay, one stays.
+GOES, STAYS, ONCE = 0, 1, 2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,17 +42,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.with_score(docs, model, out=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """64-bit name of a row's values; nulls count by their place, which the hash alone leaves out."""
+    cols = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    return F.xxhash64(*cols, *[F.col(c).isNull() for c in docs.columns])
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Copies are told apart by their id and, for equal or missing ids, by their place in the table.
-    # A place depends on how files are split, so the numbered rows are stored and every step reads those.
+    # Rows are named by a hash of their values, which doesn't depend on how files are split, so that no text is
+    # stored again. Rows of equal values are one here; their first place in the table counts.
     ids = Scratch(spark, "rows")
     row = free_name(docs, "row")
-    keyed = ids.store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = ids.store(jaccard_components(keyed, row).select(F.col("doc_id").alias("at"), "component_id"), "components")
-    rows = keyed.select(F.col(row).alias("at"), F.col("doc_id").alias("id")).join(found, "at")
-    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"))
-    keep = ids.store(first.select(F.col("first.at").alias(row)), "kept")
-    return keyed.join(keep, row, "left_semi").select(*docs.columns)
+    keyed = docs.withColumn(row, row_hash(docs))
+    places = keyed.select(F.col(row).alias("at"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("place"))
+    places = ids.store(places.groupBy("at").agg(F.first("id").alias("id"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n")), "places")
+    found = jaccard_components(keyed, row).select(F.col("doc_id").alias("at"), "component_id", (F.col("n_shingles") > 0).alias("words")).distinct()
+    rows = places.join(ids.store(found, "components"), "at")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place", "at", "n", "words")).alias("first")).select("first.*")
+    # Rows without words link with nothing, not even with their copies.
+    keep = ids.store(first.select("at", F.when((F.col("n") > 1) & F.col("words"), ONCE).otherwise(STAYS).alias("how")), "kept")
+    gone = ids.store(places.join(keep, "at", "left_anti").select("at", F.lit(GOES).alias("how")), "gone")
+    once = keep.where(F.col("how") == ONCE)
+    # Only rows of the shorter list (and those that its filter lets through) are shuffled with their texts.
+    told, rest = (gone.union(once), STAYS) if gone.count() < keep.count() else (keep, GOES)
+    listed = may_be_asked(told.select(F.col("at").alias("_id")), row)
+    met = keyed.where(listed).join(told.withColumnsRenamed({"at": row, "how": (how := free_name(keyed, "how"))}), row, "left")
+    out = met.where(F.coalesce(how, F.lit(rest)) == STAYS).select(*docs.columns)
+    if rest == STAYS:
+        out = out.union(keyed.where(~listed).select(*docs.columns))
+    if once.limit(1).count():
+        out = out.union(met.where(F.col(how) == ONCE).dropDuplicates([row]).select(*docs.columns))
+    return out
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,13 +53,14 @@ CROWDED = 32
 # Shingle (48 bits: shorter names only add candidates), set, set size, place in the set's order.
 ENTRY = np.dtype([("t", "<i8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4"), ("late", "<i4")])
 SHINGLE_BITS = np.uint64((1 << 48) - 1)
-ENTRIES_PER_FLUSH = 1 << 20
+ENTRIES_PER_FLUSH = 1 << 19
 ENTRIES_PER_PARTITION = 1 << 21
 CHUNK_PAIRS = 256
 # Parts a root's pairs are dealt to when they look up how many chunks the root has.
 SALTS = 16
 # Bits of the filter over the ids of texts that a verification reads.
 LEAST_FILTER_BITS, MOST_FILTER_BITS = 15, 27
+FILTER_BITS = 16
 FIRST_LEADERS, MORE_LEADERS = 8, 64
 
 _SUM = np.uint64(0x2545F4914F6CDD1D)
@@ -143,7 +144,7 @@ def _index(width: int, percent: int, crowded, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(place[cuts]), pa.array([pack(rows[a:b]) for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(crowded.value).astype(bool)
+        bits = np.unpackbits(crowded.value).view(bool)
         seen: set[int] = set()  # copies in one partition are indexed once
         parts, held = [], 0
         for batch in batches:
@@ -213,27 +214,35 @@ def _slot(column: str, bits: int):
     return F.pmod(F.xxhash64(column), F.lit(1 << bits)) + 1
 
 
-def only_asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` may be an ``_id`` of ``wanted``, before any shuffle.
+def may_be_asked(wanted: DataFrame, id_col: str) -> Column:
+    """Whether a row's ``id_col`` may be an ``_id`` of ``wanted``, told without a shuffle.
 
-    The filter is a bitmap of hashed ids, of 8 bits an id and 16 MB at most. A
-    row it lets through by chance goes at the join that follows; no asked row is
-    lost. A null id is an id like others.
+    The filter is a bitmap of hashed ids, of FILTER_BITS bits an id and 16 MB at
+    most. Some rows pass by chance; no asked row fails. A null id is an id like
+    others.
     """
-    bits = min(max((8 * wanted.count()).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
+    bits = min(max((FILTER_BITS * wanted.count()).bit_length(), LEAST_FILTER_BITS), MOST_FILTER_BITS)
     slot = _slot("_id", bits)
     parts = wanted.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("held"))
     whole = np.zeros((1 << bits) // 8, np.uint8)
     for part, held in parts.collect():  # one row of 4 KB for each 32,768 bits
         whole[(part - 1) * len(held) : part * len(held)] = np.frombuffer(held, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(whole)
+    shared = wanted.sparkSession.sparkContext.broadcast(whole)
 
     @F.pandas_udf("boolean")
     def asked(slots: pd.Series) -> pd.Series:
         at = slots.to_numpy() - 1
         return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
-    return docs.where(asked(_slot("doc_id", bits)))
+    return asked(_slot(id_col, bits))
+
+
+def only_asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` may be an ``_id`` of ``wanted``, before any shuffle.
+
+    A row let through by chance goes at the join that follows.
+    """
+    return docs.where(may_be_asked(wanted, "doc_id"))
 
 
 class JaccardJoin:

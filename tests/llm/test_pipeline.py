@@ -87,3 +87,23 @@ def test_stages_keep_columns_of_any_name(spark, sf):
         assert out.columns == docs.columns, name
         rows = out.collect()
         assert rows and all(r[n] == f"kept {n}" for r in rows for n in names), name
+
+
+def test_near_duplicates_store_no_text_again(spark, sf, monkeypatch):
+    """The rows' texts were stored once more under row numbers, and all of them shuffled to the numbers that stay."""
+    held = []
+    store = corpus_pipeline.Scratch.store
+    monkeypatch.setattr(corpus_pipeline.Scratch, "store", lambda self, df, name="table": held.append(df.columns) or store(self, df, name))
+    corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count()
+    assert held and not any("text" in columns for columns in held)
+
+
+@pytest.mark.parametrize("others", [0, 40])
+def test_near_duplicates_of_equal_rows(spark, sf, others):
+    """Rows equal in all values leave one, rows without words all; whether most rows go or most stay."""
+    copies = [(7, "one two three four five six", "a", None)] * 5 + [(None, "some words of no id at all", None, "a")] * 4
+    copies += [(8, "one two three four five six", "a", None), (7, "one two three four five six", None, "a"), (1, None, "a", None), (1, None, "a", None), (None, " ", None, None), (None, " ", None, None)]
+    docs = spark.createDataFrame(copies + [(100 + i, f"text {i} of its own {i}", "b", None) for i in range(others)], "doc_id long, text string, lang string, source string").coalesce(1)
+    left = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()]
+    assert sorted(map(str, (r for r in left if r[2] != "b"))) == sorted(map(str, [copies[0], copies[5], *copies[-4:]]))
+    assert sum(r[2] == "b" for r in left) == others
