@@ -1,6 +1,7 @@
 """The pipeline against its stages' brute-force versions."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from larkspan.llm import pieces
 from larkspan.llm.queries import MODEL
@@ -107,3 +108,14 @@ def test_near_duplicates_of_equal_rows(spark, sf, others):
     left = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()]
     assert sorted(map(str, (r for r in left if r[2] != "b"))) == sorted(map(str, [copies[0], copies[5], *copies[-4:]]))
     assert sum(r[2] == "b" for r in left) == others
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    """3,000 texts of 4 KB were one batch of 12 MB."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 4096).alias("text"))
+    assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 6_000_000
