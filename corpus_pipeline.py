@@ -32,6 +32,9 @@ from larkspan.llm.scratch import Scratch, free_name
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
+# Words and characters that an encoding task holds: a third and a quarter of what the operator takes alone,
+# since executors come to that stage with heaps that the stages before have filled.
+MEMO_BYTES, LIST_CHARS = 1 << 24, 1 << 19
 # What happens to the rows of one hash: none stays, all stay, one stays.
 GOES, STAYS, ONCE = 0, 1, 2
 
@@ -88,7 +91,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(docs, pieces.read_model(f"{TOKENIZERS}/{MODEL}"))
+    return pieces.encode_documents(docs, pieces.read_model(f"{TOKENIZERS}/{MODEL}"), MEMO_BYTES, LIST_CHARS)
 
 
 STAGES = [

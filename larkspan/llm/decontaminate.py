@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.scratch import Scratch, free_name
 from larkspan.llm.words import hashed_words, mix
+from larkspan.llm.workers import tidy
 
 # Positions read (1) and ignored (0); each reads six tokens.
 MASKS = ("111111", "11011011", "1110100011", "1010110101")
@@ -158,7 +159,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = scratch.store(items.mapInArrow(_item_rows, "item long, item_id long, item_tokens array<long>, h array<long>, at array<int>"), "items")
+    items = scratch.store(items.mapInArrow(tidy(_item_rows), "item long, item_id long, item_tokens array<long>, h array<long>, at array<int>"), "items")
     seeds = items.select("item", F.explode(F.arrays_zip("h", "at")).alias("z")).select("item", F.col("z.h").alias("h"), F.col("z.at").alias("item_at"))
     # The table has a fixed number of bits: its set places are at most that many numbers.
     slots = seeds.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).cast("int").alias("slot")).distinct().toPandas()
@@ -166,12 +167,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     table[slots["slot"].to_numpy()] = True
     bits = spark.sparkContext.broadcast(np.packbits(table))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    regions = scratch.store(texts.mapInArrow(_regions(bits), "region long, doc_id long, start long, tokens array<long>, h array<long>, at array<int>"), "regions")
+    regions = scratch.store(texts.mapInArrow(tidy(_regions(bits)), "region long, doc_id long, start long, tokens array<long>, h array<long>, at array<int>"), "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("h", "at")).alias("z")).select("region", F.col("z.h").alias("h"), F.col("z.at").alias("doc_at"))
     aligned = hits.join(seeds, "h").select("region", "item", (F.col("item_at") - F.col("doc_at")).alias("shift")).distinct()
     aligned = scratch.store(aligned, "aligned")
     met = aligned.join(regions.select("region", "doc_id", "start", "tokens"), "region").join(items.select("item", "item_id", "item_tokens"), "item")
-    found = met.select("doc_id", "item_id", "start", "tokens", "item_tokens", "shift").mapInArrow(_verified, "doc_id long, item_id long, start long, length long, equal long")
+    found = met.select("doc_id", "item_id", "start", "tokens", "item_tokens", "shift").mapInArrow(tidy(_verified), "doc_id long, item_id long, start long, length long, equal long")
     longest = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("length", "equal", (-F.col("start")).alias("back"))).alias("best"))
     return longest.select("doc_id", "item_id", (-F.col("best.back")).alias("doc_start"), F.col("best.length").alias("n_tokens"), F.col("best.equal").alias("n_equal"))
 

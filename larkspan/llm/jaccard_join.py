@@ -46,6 +46,7 @@ from pyspark.sql.window import Window
 from larkspan.llm.components import components
 from larkspan.llm.scratch import Scratch, partitions
 from larkspan.llm.words import SHINGLE_WORDS, mix, shingle_sets
+from larkspan.llm.workers import tidy
 
 COUNTER_BITS = 23
 STRIPE_BITS = 17
@@ -257,7 +258,7 @@ class JaccardJoin:
     def documents(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) per row of the table."""
         store, drop = self.scratch.store, self.scratch.drop
-        read = store(self.docs.mapInArrow(_sketch(self.width), "doc_id long, s long, n int, stripe int, hits binary"), "sketch")
+        read = store(self.docs.mapInArrow(tidy(_sketch(self.width)), "doc_id long, s long, n int, stripe int, hits binary"), "sketch")
         rows = read.where("stripe is null").select("doc_id", "s", "n")
         named = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
         named = store(named, "sets")
@@ -275,13 +276,13 @@ class JaccardJoin:
         limit = max(CROWDED, 3 * (total or 0) >> COUNTER_BITS)
         stripes = read.where("stripe is not null").select("stripe", "hits").repartition(1 << (COUNTER_BITS - STRIPE_BITS), "stripe")
         # At most as many numbers as there are counters.
-        slots = stripes.mapInArrow(_crowded(limit), "slot int").toPandas()
+        slots = stripes.mapInArrow(tidy(_crowded(limit)), "slot int").toPandas()
         flags = np.zeros(1 << COUNTER_BITS, bool)
         flags[slots["slot"].to_numpy()] = True
         crowded = self.spark.sparkContext.broadcast(np.packbits(flags))
         parts = max(partitions(self.spark), -(-(kept or 0) // ENTRIES_PER_PARTITION))
-        packed = self.docs.select("text").mapInArrow(_index(self.width, self.percent, crowded, 4 * parts), "bucket int, entries binary")
-        return packed.repartition(parts, "bucket").mapInArrow(_shared, "t long, s long, n int, p int")
+        packed = self.docs.select("text").mapInArrow(tidy(_index(self.width, self.percent, crowded, 4 * parts)), "bucket int, entries binary")
+        return packed.repartition(parts, "bucket").mapInArrow(tidy(_shared), "t long, s long, n int, p int")
 
     def _link(self, entries: DataFrame, named: DataFrame) -> DataFrame:
         """(node, label) for the sets that have links."""
@@ -371,7 +372,7 @@ class JaccardJoin:
         texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("_id"))).select("c", "k", "s", F.lit(None).cast("long").alias("b"), "text")
         rows = texts.union(chunks.select("c", "k", "a", "b", F.lit(None).cast("string")))
         rows = rows.repartition(partitions(self.spark), "c", "k").sortWithinPartitions("c", "k", F.col("b").asc_nulls_first())
-        met = rows.mapInArrow(_overlaps(self.width), "a long, b long, na long, nb long, o long")
+        met = rows.mapInArrow(tidy(_overlaps(self.width)), "a long, b long, na long, nb long, o long")
         t = self.percent
         out = store(met.withColumn("linked", (100 + t) * F.col("o") >= t * (F.col("na") + F.col("nb"))), "verified")
         drop(rooted, sizes, chunks, wanted)

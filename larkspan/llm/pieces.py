@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
+from larkspan.llm.workers import tidy
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 MEMO_BYTES, MEMO_CHARS = 3 << 24, 48
 ENTRY_BYTES = 250  # of a memo's entry besides its word and ids
 CALL_WORDS, CALL_CHARS = 4096, 1 << 17
+LIST_CHARS = 1 << 21  # of texts encoded at once
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -100,7 +103,7 @@ def build(model: proto.ModelProto, normalize: bool = True) -> Tokenizer:
 class Codec:
     """Encodes and decodes batches of texts by one model file's bytes."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, memo_bytes: int = MEMO_BYTES):
         model = parse(data)
         spec = model.normalizer_spec
         self.prefix = spec.add_dummy_prefix
@@ -112,7 +115,7 @@ class Codec:
         # Two generations of words met, each of bounded bytes.
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, memo_bytes
         # What a piece adds to a decoded text; an unknown piece is written as the format's sign for it.
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
 
@@ -142,7 +145,7 @@ class Codec:
             found = [ids for part in self._calls(texts) for ids in part]
             return [np.frombuffer(ids if t else b"", np.int32) for ids, t in zip(found, texts)]
         split = [self.words(t) for t in texts]
-        if self.held > MEMO_BYTES:
+        if self.held > self.most:
             # Words not met since the last change of generation go.
             self.memo, self.before, self.held = {}, self.memo, 0
         wanted = set().union(*split)
@@ -165,7 +168,7 @@ class Codec:
         return out
 
 
-def batches_of(column: pa.Array, chars: int = 1 << 21) -> Iterator[list[str]]:
+def batches_of(column: pa.Array, chars: int = LIST_CHARS) -> Iterator[list[str]]:
     """Texts of a column (null: empty) in lists of bounded size."""
     part, held = [], 0
     for text in column:
@@ -185,16 +188,19 @@ def _use_threads() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
 
 
-def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip (the ids decode to the text; a null text counts as empty)."""
+def encode_documents(docs: DataFrame, model: bytes, memo_bytes: int = MEMO_BYTES, chars: int = LIST_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip (the ids decode to the text; a null text counts as empty).
+
+    Smaller ``memo_bytes`` and ``chars`` take less memory and more time, for the same rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _use_threads()
-        codec = Codec(shared.value)
+        codec = Codec(shared.value, memo_bytes)
         for batch in batches:
             at = 0
-            for texts in batches_of(batch.column(1)):
+            for texts in batches_of(batch.column(1), chars):
                 ids = codec.encode(texts)
                 same = [a == b for a, b in zip(codec.decode(ids), texts)]
                 sizes = np.array([len(x) for x in ids], np.int64)
@@ -204,7 +210,7 @@ def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(coded: DataFrame, model: bytes) -> DataFrame:

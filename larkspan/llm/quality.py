@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.scratch import Scratch
 from larkspan.llm.words import hashed_words, mix, text_buffers
+from larkspan.llm.workers import tidy
 
 BUCKET_BITS = 18
 DIM = 8
@@ -206,7 +207,7 @@ def with_score(df: DataFrame, model: Model, text_col: str = "text", out: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, out])
 
     schema = df.select("*").schema.add(out, "double")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.scratch import Scratch
+from larkspan.llm.workers import tidy
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -251,7 +252,7 @@ def scan(docs: DataFrame, model: MarkovModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
 
 
 def mask(text: str, spans: list[tuple[int, int, str]], by: str = MASK) -> str:
@@ -275,4 +276,4 @@ def redact(docs: DataFrame, model: MarkovModel, text_col: str = "text") -> DataF
             arrays = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

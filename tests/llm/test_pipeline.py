@@ -1,5 +1,9 @@
 """The pipeline against its stages' brute-force versions."""
 
+import os
+import subprocess
+import sys
+
 import corpus_pipeline
 import pyarrow as pa
 import pytest
@@ -119,3 +123,43 @@ def test_long_texts_go_to_python_in_small_batches(spark):
 
     docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 4096).alias("text"))
     assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 6_000_000
+
+
+def test_workers_give_memory_back(spark, sf, monkeypatch):
+    used, frame = [], type(spark.range(1))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, func, *rest: used.append(func) or plain(self, func, *rest))
+    corpus_pipeline.run(spark, sf)
+    assert len(used) >= 6 and {f.__qualname__ for f in used} == {"tidy.<locals>.tidied"}
+
+
+def test_tidy_tasks_leave_little_behind():
+    """Memory that a worker holds after a task over some MB of texts, as it was and tidied."""
+    code = """
+import re, sys, numpy as np, pyarrow as pa
+from larkspan.llm import pieces, workers
+from larkspan.llm.jaccard_join import _sketch
+held = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+rng = np.random.default_rng(3)
+def batches():
+    for i in range(8):
+        yield pa.RecordBatch.from_arrays([pa.array(range(1250)), pa.array([" ".join(map(str, rng.integers(0, 100000, 500))) for _ in range(1250)])], ["doc_id", "text"])
+workers.release()
+before = held()
+run = _sketch(5)
+for out in (workers.tidy(run) if sys.argv[1] == "tidy" else run)(batches()):
+    pass
+del out
+print(held() - before)
+"""
+    left = {how: int(subprocess.run([sys.executable, "-c", code, how], env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, check=True).stdout) for how in ("plain", "tidy")}
+    assert left["tidy"] < 50 and left["tidy"] < left["plain"] / 2, left
+
+
+def test_memo_size_changes_no_ids():
+    model = pieces.read_model(MODEL)
+    small, large = pieces.Codec(model, 1 << 12), pieces.Codec(model)
+    texts = [f"word{i} again{i % 7} and the same" for i in range(500)]
+    for at in range(0, 500, 50):
+        assert [x.tolist() for x in small.encode(texts[at : at + 50])] == [x.tolist() for x in large.encode(texts[at : at + 50])]
+    assert len(small.memo) + len(small.before) < len(large.memo) / 2
