@@ -28,7 +28,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.session import checkpoint
@@ -347,6 +348,25 @@ def grown(df: DataFrame, x: Sequence[str], y: str, fold: str | None, plan: dict,
     return (_staged(todo, rows, cuts, trees) if todo.staged else spark.createDataFrame([tuple(t.values()) for t in trees], TREE)), cuts
 
 
+def _places(df: DataFrame, x: Sequence[str], cuts: Sequence[np.ndarray]) -> DataFrame:
+    """Per feature how many of its cuts, finite and rising, are below the value: b0, b1, ...; -1 is missing, -2 is minus infinity.
+
+    Spark's Bucketizer looks values up without Python. Its buckets hold their lower end and a place its upper one, so signs are turned.
+    """
+    turned = df.select(*[(F.lit(0.0) - F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(x)])
+    some = [i for i, c in enumerate(cuts) if len(c)]
+    if some:
+        splits = [[-np.inf, *(0.0 - cuts[i][::-1]).tolist(), np.inf] for i in some]
+        turned = Bucketizer(splitsArray=splits, inputCols=[f"x{i}" for i in some], outputCols=[f"at{i}" for i in some], handleInvalid="keep").transform(turned)
+
+    def place(i: int) -> Column:
+        value = F.col(f"x{i}")
+        known = F.lit(len(cuts[i])) - F.col(f"at{i}").cast("int") if len(cuts[i]) else F.lit(0)
+        return F.when(value.isNull() | F.isnan(value), -1).when(value == np.inf, -2).otherwise(known).alias(f"b{i}")
+
+    return turned.select(*map(place, range(len(cuts))))
+
+
 class BoostedTrees:
     """A fitted model; ``transform`` adds ``prediction`` to rows without missing features."""
 
@@ -381,6 +401,23 @@ class BoostedTrees:
 
         return df.dropna(subset=self.names).withColumn("prediction", predicted(*[F.col(c).cast("double") for c in self.names]))
 
+    def alike(self, df: DataFrame) -> DataFrame:
+        """Features that stand for all rows of ``df`` that no tree tells from them, and the number of those rows (``_n``).
+
+        A value becomes the least cut of the trees that is not below it, missing ones stay missing.
+        """
+        cuts = [np.unique(self.cut[(self.feature == f) & np.isfinite(self.cut)]) for f in range(len(self.names))]
+        places = [f"b{f}" for f in range(len(cuts))]
+        counts = _places(df, self.names, cuts).groupBy(*places).agg(F.count(F.lit(1)).alias("_n"))
+        ends = [F.array(*map(F.lit, [*c.tolist(), float("inf")])) for c in cuts]
+        values = [F.when(F.col(b) >= 0, F.element_at(end, F.col(b) + 1)).when(F.col(b) == -2, F.lit(float("-inf"))) for b, end in zip(places, ends)]
+        return counts.select(*[v.alias(name) for name, v in zip(self.names, values)], "_n")
+
+    @property
+    def scale(self) -> float:
+        """A power of two by which predictions may be multiplied and rounded: as whole numbers their sums are exact."""
+        return 2.0 ** (51 - np.ceil(np.log2(max(float(self.weight @ np.abs(self.leaf).max(1)), 1e-250))))
+
 
 def fitted(df: DataFrame, x: Sequence[str], y: str, trees: int, mtry: int | None, rate: float, depth: int, seed: int, rows_per_task: int | None = None) -> BoostedTrees:
     plan = {"mtry": (min(mtry or len(x), len(x)),), "left_out": (None,), "trees": trees, "rate": rate, "depth": depth, "seed": seed}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,7 +84,9 @@ def fit_gbt(
     df: DataFrame, x: Sequence[str], y: str, trees: int = 100, mtry: int | None = None, rate: float = 0.01, depth: int = 6, seed: int = 1
 ) -> BoostedTrees:
     """Boosted regression trees; rows with a missing feature or target are left out."""
-    data = df.select(*x, y).dropna().persist()
+    data, stored = df.select(*x, y).dropna(), df.storageLevel
+    if not (stored.useMemory or stored.useDisk):  # else its rows are read from where they are
+        data.persist()
     try:
         return fitted(data, x, y, trees, mtry, rate, depth, seed)
     finally:
@@ -125,33 +128,51 @@ def importance(df: DataFrame, model: BoostedTrees, names: Sequence[str]) -> Data
     return df.sparkSession.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
-def _fixed_means(model: Predictor, background: DataFrame, x: Sequence[str], row: Mapping[str, float], sets: Sequence[Sequence[str]]) -> dict:
+def _fixed_means(model: Predictor, background: DataFrame, x: Sequence[str], row: Mapping[str, float], sets: Sequence[frozenset]) -> dict:
     """Mean prediction over the background with each set of features fixed at the row's values.
 
-    The background is read once: every row is scored once per set.
+    The background is read once: every row is scored once per set. Rows that ``model.alike`` counted (``_n``) are added
+    up first when they have become equal, as most do with a feature fixed.
     """
-    steps = background.select(*x, F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1))).alias("_step"))
+    counted = hasattr(model, "alike")
+    columns = [c for c in background.columns if not (counted and c == "_n")]
+    steps = background.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1))))
     fixed = {}
-    for name in x:
+    for name in columns:
         at = [i for i, s in enumerate(sets) if name in s]
         if at:
             fixed[name] = F.when(F.col("_step").isin(at), F.lit(float(row[name]))).otherwise(F.col(name))
-    scored = model.transform(steps.withColumns(fixed) if fixed else steps)
-    return {r["_step"]: r["m"] for r in scored.groupBy("_step").agg(F.avg("prediction").alias("m")).collect()}
+    steps = steps.withColumns(fixed) if fixed else steps
+    if not counted:
+        found = model.transform(steps).groupBy("_step").agg(F.avg("prediction").alias("m")).collect()
+        return {sets[r["_step"]]: r["m"] for r in found}
+    # Whole numbers: a feature without an effect leaves the mean exactly as it is, however rows are dealt.
+    whole = F.rint(F.col("prediction") * F.lit(float(model.scale))).cast("decimal(19,0)") * F.col("_n").cast("decimal(18,0)")
+    scored = model.transform(steps.groupBy("_step", *columns).agg(F.sum("_n").alias("_n")))
+    found = scored.groupBy("_step").agg(F.sum(whole).alias("total"), F.sum("_n").alias("n")).collect()
+    return {sets[r["_step"]]: float(Fraction(r["total"]) / r["n"] / Fraction(model.scale)) for r in found}
 
 
 def break_down(model: Predictor, background: DataFrame, x: Sequence[str], row: Mapping[str, float]) -> DataFrame:
     """Local attribution: from the mean prediction to the row's, one feature at a time.
 
-    Features enter by the size of the change each makes on its own.
+    Features enter by the size of the change each makes on its own. A model that says which rows it scores alike
+    (``alike``) scores one for all of them, so that scoring grows with what it can tell apart, not with rows.
     """
     x = list(x)
-    alone = _fixed_means(model, background, x, row, [[], *[[n] for n in x]])
-    order = sorted(x, key=lambda n: (-abs(alone[x.index(n) + 1] - alone[0]), n))
-    means = _fixed_means(model, background, x, row, [order[:i] for i in range(len(order) + 1)])
-    rows = [(0, "intercept", None, means[0], means[0])]
-    rows += [(i, n, float(row[n]), means[i] - means[i - 1], means[i]) for i, n in enumerate(order, 1)]
-    rows.append((len(order) + 1, "prediction", None, means[len(order)], means[len(order)]))
+    data = background.select(*x)
+    if hasattr(model, "alike"):
+        data = checkpoint(model.alike(data))  # read twice, in few partitions
+    means = _fixed_means(model, data, x, row, [frozenset(), *[frozenset([n]) for n in x]])
+    none = means[frozenset()]
+    order = sorted(x, key=lambda n: (-abs(means[frozenset([n])] - none), n))
+    longer = [frozenset(order[:i]) for i in range(2, len(order) + 1)]
+    if longer:
+        means |= _fixed_means(model, data, x, row, longer)
+    at = [means[frozenset(order[:i])] for i in range(len(order) + 1)]
+    rows = [(0, "intercept", None, at[0], at[0])]
+    rows += [(i, n, float(row[n]), at[i] - at[i - 1], at[i]) for i, n in enumerate(order, 1)]
+    rows.append((len(order) + 1, "prediction", None, at[-1], at[-1]))
     return background.sparkSession.createDataFrame(rows, "step int, feature string, value double, contribution double, cumulative double")
 
 
