@@ -21,6 +21,7 @@ and node. Nodes without a gain pass their rows on, so all trees are complete.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -401,18 +402,26 @@ class BoostedTrees:
 
         return df.dropna(subset=self.names).withColumn("prediction", predicted(*[F.col(c).cast("double") for c in self.names]))
 
+    def cuts_of(self, name: str) -> np.ndarray:
+        """The finite cuts of the trees' splits on a feature."""
+        return np.unique(self.cut[(self.feature == self.names.index(name)) & np.isfinite(self.cut)])
+
     def alike(self, df: DataFrame) -> DataFrame:
         """Features that stand for all rows of ``df`` that no tree tells from them, and the number of those rows (``_n``).
 
         A value becomes the least cut of the trees that is not below it, missing ones stay missing.
         """
-        cuts = [np.unique(self.cut[(self.feature == f) & np.isfinite(self.cut)]) for f in range(len(self.names))]
+        cuts = [self.cuts_of(name) for name in self.names]
         places = [f"b{f}" for f in range(len(cuts))]
         counts = _places(df, self.names, cuts).groupBy(*places).agg(F.count(F.lit(1)).alias("_n"))
         ends = [F.array(*map(F.lit, [*c.tolist(), float("inf")])) for c in cuts]
         values = [F.when(F.col(b) >= 0, F.element_at(end, F.col(b) + 1)).when(F.col(b) == -2, F.lit(float("-inf"))) for b, end in zip(places, ends)]
         return counts.select(*[v.alias(name) for name, v in zip(self.names, values)], "_n")
 
+    def kinds(self, names: Sequence[str]) -> int:
+        """The most rows of these features that ``alike`` tells apart, missing and infinite values counted."""
+        return math.prod(len(self.cuts_of(name)) + 3 for name in names)
+
     @property
     def scale(self) -> float:
         """A power of two by which predictions may be multiplied and rounded: as whole numbers their sums are exact."""

@@ -131,8 +131,8 @@ def importance(df: DataFrame, model: BoostedTrees, names: Sequence[str]) -> Data
 def _fixed_means(model: Predictor, background: DataFrame, x: Sequence[str], row: Mapping[str, float], sets: Sequence[frozenset]) -> dict:
     """Mean prediction over the background with each set of features fixed at the row's values.
 
-    The background is read once: every row is scored once per set. Rows that ``model.alike`` counted (``_n``) are added
-    up first when they have become equal, as most do with a feature fixed.
+    The background is read once: every row is scored once per set. Rows that ``model.alike`` counted (``_n``) and that
+    have become equal, as most do with features fixed, are added up first where that surely takes away half of them.
     """
     counted = hasattr(model, "alike")
     columns = [c for c in background.columns if not (counted and c == "_n")]
@@ -148,8 +148,10 @@ def _fixed_means(model: Predictor, background: DataFrame, x: Sequence[str], row:
         return {sets[r["_step"]]: r["m"] for r in found}
     # Whole numbers: a feature without an effect leaves the mean exactly as it is, however rows are dealt.
     whole = F.rint(F.col("prediction") * F.lit(float(model.scale))).cast("decimal(19,0)") * F.col("_n").cast("decimal(18,0)")
-    scored = model.transform(steps.groupBy("_step", *columns).agg(F.sum("_n").alias("_n")))
-    found = scored.groupBy("_step").agg(F.sum(whole).alias("total"), F.sum("_n").alias("n")).collect()
+    rows = background.count()
+    if 2 * sum(min(rows, model.kinds([c for c in columns if c not in s])) for s in sets) <= rows * len(sets):
+        steps = steps.groupBy("_step", *columns).agg(F.sum("_n").alias("_n"))
+    found = model.transform(steps).groupBy("_step").agg(F.sum(whole).alias("total"), F.sum("_n").alias("n")).collect()
     return {sets[r["_step"]]: float(Fraction(r["total"]) / r["n"] / Fraction(model.scale)) for r in found}
 
 
